@@ -88,16 +88,17 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def publish(df: DataFrame, root: str, name: str, partition_by: Sequence[str] = ()) -> str:
     """Replace a warehouse table as a whole."""
     path = f"{root}/{name.replace('.', '/')}"
-    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partition_by).parquet(path)
+    out = df.hint("rebalance", *partition_by) if partition_by else df
+    out.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partition_by).parquet(path)
     return path
 
 
 def replace_partition(df: DataFrame, root: str, name: str, key: str) -> str:
     """Replace only the partitions of `key` present in `df`, keep the others."""
     path = f"{root}/{name.replace('.', '/')}"
-    # one shuffle by key keeps the number of files per partition small; the
-    # random part spreads a very large key over several writers
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    # rebalancing keeps the number of files per key small and still splits a
+    # key that is too large for one writer
+    df.hint("rebalance", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
     return path
 
 
