@@ -27,9 +27,9 @@ def io02(t):
     src = t.orders.select("o_orderkey", "o_orderpriority", F.year("o_orderdate").alias("file_year"))
     # partition folders stand in for dated file names: the year is read from the path
     src.hint("rebalance", "file_year").write.option("header", True).partitionBy("file_year").csv(out)
-    df = t.spark.read.option("header", True).schema("o_orderkey bigint, o_orderpriority string").csv(f"{out}/*/*.csv")
-    year = F.regexp_extract(F.col("_metadata.file_path"), r"file_year=(\d{4})", 1).try_cast("int")
-    return df.select("o_orderpriority", year.alias("file_year")).groupBy("file_year", "o_orderpriority").agg(
+    df = files.read_dated_files(t.spark, f"{out}/*/*.csv", r"file_year=(\d{4})", "o_orderkey bigint, o_orderpriority string",
+                                {"file_year": 1})
+    return df.groupBy("file_year", "o_orderpriority").agg(
         F.count(F.lit(1)).alias("n"))
 
 

@@ -28,12 +28,11 @@ def read_delim(spark: SparkSession, path: str, sep: str = "|", schema: T.StructT
     return read_csv_clean(spark, path, schema, sep)
 
 
-def read_dated_files(spark: SparkSession, glob: str, pattern: str, schema: T.StructType, parts: Mapping[str, int],
+def read_dated_files(spark: SparkSession, glob: str, pattern: str, schema: T.StructType | str, parts: Mapping[str, int],
                      sep: str = ",") -> DataFrame:
-    """Many files in one scan; groups of `pattern` in the file name become integer columns."""
+    """Many files in one scan; groups of `pattern` in the file's path become integer columns."""
     df = spark.read.option("header", True).option("sep", sep).schema(schema).csv(glob)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return df.select("*", *[F.regexp_extract(name, pattern, g).try_cast("int").alias(c) for c, g in parts.items()])
+    return df.select("*", *[F.regexp_extract(F.col("_metadata.file_path"), pattern, g).try_cast("int").alias(c) for c, g in parts.items()])
 
 
 def number(c: Column | str) -> Column:
