@@ -272,7 +272,8 @@ def ag25_area(t):
 
 
 @query("ag26_composition_share", """
-SELECT c_nationkey AS zone, c_mktsegment, sum(area) AS area, sum(area) / sum(sum(area)) OVER (PARTITION BY c_nationkey) AS share FROM (SELECT *, CAST(1 + c_custkey % 5 AS DOUBLE) AS area FROM customer) GROUP BY ALL""", real="area share", ints="zone")
+SELECT zone, c_mktsegment, area, area / sum(area) OVER (PARTITION BY zone) AS share FROM (
+  SELECT c_nationkey AS zone, c_mktsegment, CAST(sum(1 + c_custkey % 5) AS DOUBLE) AS area FROM customer GROUP BY c_nationkey, c_mktsegment)""", real="area share", ints="zone")
 def ag26(t):
     df = t.customer.select(F.col("c_nationkey").alias("zone"), "c_mktsegment", (1 + F.col("c_custkey") % 5).cast("double").alias("area"))
     return R.composition_share(df, ["zone"], "c_mktsegment", "area")

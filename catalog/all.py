@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from catalog import aggregates, expressions, joins, sources  # noqa: F401
+from catalog import aggregates, checks, expressions, graphs, joins, selection, sources, windows  # noqa: F401

@@ -154,3 +154,9 @@ def correlation_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str], met
     shown = F.col("correlation") if weak is None else F.when(
         (F.col("metric_x") == F.col("metric_y")) | (F.abs("correlation") >= weak), F.col("correlation"))
     return out.withColumn("correlation_display", shown)
+
+
+def share_of_total(df: DataFrame, group: Sequence[str], value: str, out: str = "share") -> DataFrame:
+    """Value over its group's sum (an aggregate joined back, not a window)."""
+    j = _with_group_stats(df, group, [F.sum(value).alias("__total")])
+    return j.withColumn(out, F.try_divide(F.col(value), F.col("__total"))).drop("__total")
