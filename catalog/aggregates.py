@@ -144,12 +144,12 @@ def ag15(t):
 
 
 @query("ag16_benchmark_summary", MART("""
-SELECT 'target' AS scope, avg(income_pc) AS income_pc, avg(vacancy_rate) AS vacancy_rate FROM mart WHERE year = 1999 AND geo_id = '00003'
+SELECT 'target' AS scope, avg(income_pc) AS income_pc, avg(vacancy_rate) AS vacancy_rate FROM mart WHERE year = 1999 AND geo_id = '000000003'
 UNION ALL SELECT census_region, sum(income_pc * pop_total) / sum(pop_total), sum(vacancy_rate * pop_total) / sum(pop_total) FROM mart JOIN county_cbsa ON geo_id = county_geoid WHERE year = 1999 GROUP BY census_region
 UNION ALL SELECT 'us', avg(income_pc), avg(vacancy_rate) FROM mart WHERE year = 1999"""), real="income_pc vacancy_rate")
 def ag16(t):
     df, cols = county_geo(t).filter("year = 1999"), ["income_pc", "vacancy_rate"]
-    target = R.benchmark_summary(df.filter("geo_id = '00003'"), [], cols).select(F.lit("target").alias("scope"), *cols)
+    target = R.benchmark_summary(df.filter("geo_id = '000000003'"), [], cols).select(F.lit("target").alias("scope"), *cols)
     region = R.benchmark_summary(df, ["census_region"], cols, "weighted", "pop_total").withColumnRenamed("census_region", "scope")
     us = R.benchmark_summary(df, [], cols).select(F.lit("us").alias("scope"), *cols)
     return target.unionByName(region).unionByName(us)

@@ -145,11 +145,11 @@ def jn12(t):
 
 @query("jn13_peer_pool", MART("""
 SELECT m.geo_id, m.pop_total, x.census_region FROM mart m JOIN county_cbsa x ON m.geo_id = x.county_geoid,
-  (SELECT pop_total AS p, census_region AS r FROM mart JOIN county_cbsa ON geo_id = county_geoid WHERE geo_id = '00007' AND year = 1998) t
-WHERE m.year = 1998 AND m.geo_id <> '00007' AND x.census_region = t.r AND m.pop_total BETWEEN t.p * 0.8 AND t.p * 1.2"""), real="pop_total")
+  (SELECT pop_total AS p, census_region AS r FROM mart JOIN county_cbsa ON geo_id = county_geoid WHERE geo_id = '000000007' AND year = 1998) t
+WHERE m.year = 1998 AND m.geo_id <> '000000007' AND x.census_region = t.r AND m.pop_total BETWEEN t.p * 0.8 AND t.p * 1.2"""), real="pop_total")
 def jn13(t):
     m = S.mart(t, "county").filter("year = 1998").join(S.county_cbsa(t), F.col("geo_id") == F.col("county_geoid"))
-    return J.peer_pool(m, "00007", "geo_id", "census_region", "pop_total", 0.8, 1.2).select("geo_id", "pop_total", "census_region")
+    return J.peer_pool(m, "000000007", "geo_id", "census_region", "pop_total", 0.8, 1.2).select("geo_id", "pop_total", "census_region")
 
 
 @query("jn14_polygon_adjacency", f"""

@@ -39,12 +39,12 @@ _RANKED = "r AS (SELECT geo_id, year, income_total, row_number() OVER (PARTITION
 @query("so04_select_entities", MART("""
 SELECT 'fixed' AS strategy, geo_id, year, rank FROM r WHERE geo_id IN (SELECT geo_id FROM r WHERE year = 2001 AND rank <= 8)
 UNION ALL SELECT 'rolling', geo_id, year, rank FROM r WHERE geo_id IN (SELECT geo_id FROM r WHERE rank <= 3)
-UNION ALL SELECT 'peers', geo_id, year, rank FROM r WHERE geo_id IN ('00001', '00002')""", extra=_RANKED), ints="year")
+UNION ALL SELECT 'peers', geo_id, year, rank FROM r WHERE geo_id IN ('000000001', '000000002')""", extra=_RANKED), ints="year")
 def so04(t):
     r = K.rank_by(S.mart(t, "county").select("geo_id", "year", "income_total"), ["year"], "income_total", ["geo_id"], "rank")
     pick = lambda name, *a, **k: L.select_entities(r, *a, "geo_id", "year", "rank", **k).select(F.lit(name).alias("strategy"), "geo_id", "year", "rank")
     return pick("fixed", "fixed_top_n", k=8).unionByName(pick("rolling", "rolling_top_n", k=3)).unionByName(
-        pick("peers", "peer_set", peers=["00001", "00002"]))
+        pick("peers", "peer_set", peers=["000000001", "000000002"]))
 
 
 @query("st01_union_by_name", """

@@ -83,10 +83,10 @@ def counties(t: Tables) -> DataFrame:
     """County-year measures with the county's metro and region."""
     geo = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(
         t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    geo = geo.select("s_suppkey", F.lpad(F.col("s_suppkey").cast("string"), 5, "0").alias("county_id"),
+    geo = geo.select("s_suppkey", F.lpad(F.col("s_suppkey").cast("string"), 9, "0").alias("county_id"),
                      F.col("s_name").alias("county_name"),
-                     F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("cbsa_id"),
-                     F.col("n_name").alias("cbsa_name"), F.col("r_regionkey").cast("string").alias("region_id"),
+                     (F.col("n_nationkey") + 10000).cast("string").alias("cbsa_id"),
+                     F.col("n_name").alias("cbsa_name"), (F.col("r_regionkey") + 1).cast("string").alias("region_id"),
                      F.col("r_name").alias("region_name"))
     return _measured(lines(t), ["l_suppkey", "year"]).join(
         geo, F.col("l_suppkey") == F.col("s_suppkey")).drop("l_suppkey", "s_suppkey")
@@ -98,8 +98,8 @@ def tracts(t: Tables) -> DataFrame:
         t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     geo = geo.select("c_custkey", F.lpad(F.col("c_custkey").cast("string"), 11, "0").alias("tract_id"),
                      F.col("c_name").alias("tract_name"),
-                     F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("cbsa_id"),
-                     F.col("n_name").alias("cbsa_name"), F.col("r_regionkey").cast("string").alias("region_id"),
+                     (F.col("n_nationkey") + 10000).cast("string").alias("cbsa_id"),
+                     F.col("n_name").alias("cbsa_name"), (F.col("r_regionkey") + 1).cast("string").alias("region_id"),
                      F.col("r_name").alias("region_name"))
     own = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     return _measured(lines(t).join(own, "l_orderkey"), ["o_custkey", "year"]).join(
@@ -138,8 +138,8 @@ def county_cbsa(t: Tables) -> DataFrame:
     """County to metro and region crosswalk."""
     return t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(
         t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.lpad(F.col("s_suppkey").cast("string"), 5, "0").alias("county_geoid"),
-        F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("cbsa_code"), F.col("n_name").alias("cbsa_name"),
+        F.lpad(F.col("s_suppkey").cast("string"), 9, "0").alias("county_geoid"),
+        (F.col("n_nationkey") + 10000).cast("string").alias("cbsa_code"), F.col("n_name").alias("cbsa_name"),
         F.col("r_name").alias("census_region"))
 
 
@@ -148,13 +148,13 @@ def tract_cbsa(t: Tables) -> DataFrame:
     return t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(
         t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.lpad(F.col("c_custkey").cast("string"), 11, "0").alias("tract_geoid"),
-        F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("cbsa_code"), F.col("n_name").alias("cbsa_name"),
+        (F.col("n_nationkey") + 10000).cast("string").alias("cbsa_code"), F.col("n_name").alias("cbsa_name"),
         F.col("r_name").alias("census_region"), "c_mktsegment")
 
 
 def cbsa_region(t: Tables) -> DataFrame:
     return t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("cbsa_code"), F.col("n_name").alias("cbsa_name"),
+        (F.col("n_nationkey") + 10000).cast("string").alias("cbsa_code"), F.col("n_name").alias("cbsa_name"),
         F.col("r_name").alias("census_region"))
 
 
@@ -164,20 +164,20 @@ _M = ", ".join(f"{e} AS {m}" for m, e in MEASURES.items())
 _SUM = ", ".join(f"sum({m}) AS {m}" for m in MEASURES)
 _D = ", ".join(f"{e} AS {c}" for c, e in DERIVED.items())
 _R = ", ".join(f"{e} AS {c}" for c, e in RATIOS.items())
-_GEO = """lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS cbsa_id, n_name AS cbsa_name,
-    CAST(r_regionkey AS VARCHAR) AS region_id, r_name AS region_name"""
+_GEO = """CAST(n_nationkey + 10000 AS VARCHAR) AS cbsa_id, n_name AS cbsa_name,
+    CAST(r_regionkey + 1 AS VARCHAR) AS region_id, r_name AS region_name"""
 
-SQL_XWALKS = f"""county_cbsa AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS county_geoid,
-    lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS cbsa_code, n_name AS cbsa_name, r_name AS census_region
+SQL_XWALKS = f"""county_cbsa AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS county_geoid,
+    CAST(n_nationkey + 10000 AS VARCHAR) AS cbsa_code, n_name AS cbsa_name, r_name AS census_region
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 tract_cbsa AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 11, '0') AS tract_geoid,
-    lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS cbsa_code, n_name AS cbsa_name, r_name AS census_region, c_mktsegment
+    CAST(n_nationkey + 10000 AS VARCHAR) AS cbsa_code, n_name AS cbsa_name, r_name AS census_region, c_mktsegment
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-cbsa_region AS (SELECT lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS cbsa_code, n_name AS cbsa_name,
+cbsa_region AS (SELECT CAST(n_nationkey + 10000 AS VARCHAR) AS cbsa_code, n_name AS cbsa_name,
     r_name AS census_region FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 
 SQL_COUNTIES = f"""county_m AS (
-  SELECT lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS county_id, s_name AS county_name, {_GEO}, m.*
+  SELECT lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS county_id, s_name AS county_name, {_GEO}, m.*
   FROM (SELECT l_suppkey, year, {_M} FROM (SELECT l_suppkey, {LINE} FROM lineitem) GROUP BY l_suppkey, year) m
   JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey)"""

@@ -172,7 +172,7 @@ def wn18(t):
 
 
 @query("wn19_reference_index", TRACT("""
-SELECT geo_id, least(100, greatest(0, 50 + 15 * (income_pc - m) / s)) AS income_index FROM ty, (SELECT avg(income_pc) AS m, stddev_samp(income_pc) AS s FROM mart WHERE year = 1997)"""), real="income_index")
+SELECT geo_id, least(100, greatest(0, 50 + 10 * (income_pc - m) / s)) AS income_index FROM ty, (SELECT avg(income_pc) AS m, stddev_samp(income_pc) AS s FROM mart WHERE year = 1997)"""), real="income_index")
 def wn19(t):
     m = S.mart(t, "tract")
     return stats.z_index(m.filter("year = 1999"), m.filter("year = 1997"), {"income_pc": "income_index"}).select("geo_id", "income_index")

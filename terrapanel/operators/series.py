@@ -125,3 +125,20 @@ def waterfall(df: DataFrame, group: Sequence[str], order: str, component: str, v
     total = total.select(*group, order, F.lit(total_label).alias(component), value, F.lit(0.0).alias("start_value"),
                          F.col(value).alias("end_value"), F.lit(1.0).alias("share_of_total"), F.lit(True).alias("is_total"))
     return parts.unionByName(total)
+
+
+def growth_many(df: DataFrame, keys: Sequence[str], time: str, values: dict[str, str], horizons: Sequence[int],
+                cagr: Sequence[int] | None = None, mode: str = "row") -> DataFrame:
+    """`growth` for several columns ({value: prefix}) over one window."""
+    cagr = horizons if cagr is None else cagr
+    spans = sorted({*horizons, *cagr})
+    out = df.withColumns({f"__lag{h}_{p}": lag_of(v, keys, time, h, mode) for v, p in values.items() for h in spans})
+    new = {}
+    for v, p in values.items():
+        x = F.col(v).cast("double")
+        for h in horizons:
+            new[f"{p}_growth_{h}yr"] = safe_ratio(x - F.col(f"__lag{h}_{p}"), f"__lag{h}_{p}")
+        for h in cagr:
+            new[f"{p}_cagr_{h}yr"] = F.when(F.col(f"__lag{h}_{p}") > 0,
+                                            F.pow(x / F.col(f"__lag{h}_{p}"), F.lit(1.0 / h)) - 1)
+    return out.withColumns(new).drop(*[f"__lag{h}_{p}" for p in values.values() for h in spans])

@@ -42,8 +42,8 @@ def zscore(df: DataFrame, group: Sequence[str], cols: Mapping[str, str], flat: f
     return out.withColumns(z).drop(*[f"__{k}_{c}" for c in cols for k in ("mu", "sd")])
 
 
-def z_index(df: DataFrame, reference: DataFrame, cols: Mapping[str, str], centre: float = 50.0, per_sd: float = 15.0) -> DataFrame:
-    """Score against a reference distribution, clamped to 0-100."""
+def z_index(df: DataFrame, reference: DataFrame, cols: Mapping[str, str], centre: float = 50.0, per_sd: float = 10.0) -> DataFrame:
+    """Score against a reference distribution, clamped to 0-100; the centre where it has no spread."""
     aggs = []
     for c in cols:
         aggs += [F.avg(c).alias(f"__mu_{c}"), F.stddev_samp(c).alias(f"__sd_{c}")]
@@ -51,7 +51,8 @@ def z_index(df: DataFrame, reference: DataFrame, cols: Mapping[str, str], centre
     out = df.withColumn("__st", stats.select(F.struct(*stats.columns)).scalar()).select("*", "__st.*").drop("__st")
     new = {}
     for c, o in cols.items():
-        z = F.try_divide(F.col(c) - F.col(f"__mu_{c}"), F.col(f"__sd_{c}"))
+        flat = F.coalesce(F.col(f"__sd_{c}"), F.lit(0.0)) <= 0
+        z = F.when(flat, F.lit(0.0)).otherwise((F.col(c) - F.col(f"__mu_{c}")) / F.nullif(f"__sd_{c}", F.lit(0.0)))
         new[o] = F.when(z.isNotNull(), F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.lit(centre) + F.lit(per_sd) * z)))
     return out.withColumns(new).drop(*[f"__{k}_{c}" for c in cols for k in ("mu", "sd")])
 
