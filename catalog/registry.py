@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,13 +12,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _round(c: Column, digits: int) -> Column:
+    """Round half away from zero in binary arithmetic.
+
+    Spark's `round` works on the decimal text of a double; the SQL side rounds
+    the scaled binary value. They differ where the text ends in an exact 5.
+    """
+    y = F.abs(c) * F.lit(10.0 ** digits)
+    whole = F.floor(y).cast("double")
+    up = whole + F.when(y - whole >= 0.5, 1.0).otherwise(0.0)
+    return F.when(y < 4.0e15, F.signum(c) * up / F.lit(10.0 ** digits) + 0.0).otherwise(c)
+
+
 def rounded(df: DataFrame, digits: int) -> DataFrame:
     """Round doubles and widen integers so results compare across engines."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), digits)
+            c = _round(c.cast("double"), digits)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         out.append(c.alias(f.name))
