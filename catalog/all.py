@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from catalog import aggregates, checks, expressions, graphs, joins, marts, selection, silver, sources, windows  # noqa: F401
+from catalog import aggregates, checks, expressions, graphs, joins, marts, scoring, selection, silver, sources, windows  # noqa: F401

@@ -34,19 +34,19 @@ DERIVED = {
     "income_total": "CAST(inc AS DOUBLE) / 100",
     "income_pc": "CAST(inc AS DOUBLE) / (100 * pop)",
     "median_hh_income": "CAST(inc AS DOUBLE) / (100 * hu)",
-    "median_gross_rent": "CAST(inc AS DOUBLE) / (100 * pop) * (0.5 + rentw / (10.0 * pop)) / 2",
-    "median_home_value": "CAST(inc AS DOUBLE) / (25 * pop) * (1 + taxw / (10.0 * pop))",
-    "pct_rent_burden_30plus": "rentw / (10.0 * pop)",
-    "pct_rent_burden_50plus": "taxw / (10.0 * pop)",
+    "median_gross_rent": "CAST(inc AS DOUBLE) / (100 * pop) * (5e-1 + rentw / (1e1 * pop)) / 2",
+    "median_home_value": "CAST(inc AS DOUBLE) / (25 * pop) * (1 + taxw / (1e1 * pop))",
+    "pct_rent_burden_30plus": "rentw / (1e1 * pop)",
+    "pct_rent_burden_50plus": "taxw / (1e1 * pop)",
     "pct_ba_plus": "CAST(age1 AS DOUBLE) / pop",
     "vacancy_rate": "CAST(race_r AS DOUBLE) / pop",
     "owner_occ_rate": "CAST(race_a AS DOUBLE) / pop",
     "renter_occ_rate": "CAST(race_n AS DOUBLE) / pop",
-    "mean_travel_time": "taxw * 5.0 / pop",
+    "mean_travel_time": "taxw * 5e0 / pop",
     "pct_commute_wfh": "CAST(age7 AS DOUBLE) / pop",
     "permits": "CAST(permits AS DOUBLE)",
-    "permits_per_1000": "permits * 1000.0 / pop",
-    "land_area_sqmi": "CAST(hu AS DOUBLE) + 0.5",
+    "permits_per_1000": "permits * 1e3 / pop",
+    "land_area_sqmi": "CAST(hu AS DOUBLE) + 5e-1",
     **{f"age_{k}": f"CAST(age{k} AS DOUBLE)" for k in range(1, 8)},
     **{f"gdp_{k}": f"CAST(gdp{k} AS DOUBLE) / 100" for k in range(1, 8)},
     **{f"race_{k}": f"CAST(race_{k} AS DOUBLE)" for k in "anr"},
