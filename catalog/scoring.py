@@ -147,7 +147,7 @@ def mt27_funnel(t):
 
 # ---- zones ----------------------------------------------------------------
 
-CAND_SQL = V1_SQL + ", cand AS (SELECT s.*, CAST(tract_geoid AS BIGINT) AS k FROM scores s WHERE CAST(tract_geoid AS BIGINT) % 3 <> 1)"
+CAND_SQL = V1_SQL + ", cand AS (SELECT s.*, CAST(tract_geoid AS BIGINT) AS k FROM scores s WHERE (CAST(tract_geoid AS BIGINT) * CAST(tract_geoid AS BIGINT)) % 11 < 3)"
 
 
 def tract_polygons(t):
@@ -158,9 +158,9 @@ def tract_polygons(t):
 
 
 def candidates(t):
-    """Scored tracts chosen as zone seeds (two of three)."""
+    """Scored tracts chosen as zone seeds."""
     scores = P.tract_scores(features(t))
-    seeds = t.customer.filter("c_custkey % 3 <> 1").select(F.lpad(F.col("c_custkey").cast("string"), 11, "0").alias("tract_geoid"))
+    seeds = t.customer.filter("c_custkey * c_custkey % 11 < 3").select(F.lpad(F.col("c_custkey").cast("string"), 11, "0").alias("tract_geoid"))
     return Z.zone_candidates(scores, seeds.unionByName(seeds))
 
 
@@ -181,7 +181,7 @@ def mt28(t):
 _EPS = 1.2
 
 
-@query("mt28_cluster_zone_summary", sql(f"SELECT zid AS cluster_id, zlabel AS cluster_label, ord AS cluster_order, {_ZSUM} FROM z JOIN o USING (component) GROUP BY ALL", CAND_SQL.replace("% 3 <> 1", "% 5 < 2") + f""",
+@query("mt28_cluster_zone_summary", sql(f"SELECT zid AS cluster_id, zlabel AS cluster_label, ord AS cluster_order, {_ZSUM} FROM z JOIN o USING (component) GROUP BY ALL", CAND_SQL.replace("(CAST(tract_geoid AS BIGINT) * CAST(tract_geoid AS BIGINT)) % 11 < 3", "CAST(tract_geoid AS BIGINT) % 5 < 2") + f""",
 v AS (SELECT k AS id, k % 40 + 0.5 AS x, k // 40 + 0.5 AS y FROM cand), e AS (SELECT a.id AS src, b.id AS dst FROM v a JOIN v b ON a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {_EPS} * {_EPS}), {REACH}, {CC}, z AS (SELECT cand.*, component FROM cand JOIN cc ON cc.id = k), {_ORDER('cluster_', 'Cluster Zone ')}""").replace("WITH ", "WITH RECURSIVE ", 1), real=_ZREAL)
 def mt28_clusters(t):
     scores = P.tract_scores(features(t))
