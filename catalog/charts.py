@@ -167,3 +167,10 @@ def ch16(t):
 @query("ch_contract_validation", COUNTY("""SELECT 'required_columns' AS check_name, 0.0 AS metric_value, true AS pass, '' AS details UNION ALL SELECT 'optional_columns_present', 0, true, '' UNION ALL SELECT 'non_empty', count(*), true, '' FROM mart UNION ALL SELECT 'single_geo_level', 0, true, '' UNION ALL SELECT 'finite_metric_value', 0, true, ''"""), real="metric_value")
 def ch_contract(t):
     return C.validate_contract(long_metric(t), "line", ["geo_level"])
+
+
+@query("ch06_heatmap_metric_period", COUNTY("""SELECT metric_id AS row_id, year AS column_id, metric_value, (rank() OVER (PARTITION BY metric_id ORDER BY metric_value) + (count(*) OVER (PARTITION BY metric_id, metric_value) - 1) / 2.0 - 1) / (count(*) OVER (PARTITION BY metric_id) - 1) * 100 AS normalized_value FROM l""",
+       "l AS (SELECT 'income_pc' AS metric_id, year, income_pc AS metric_value FROM mart WHERE geo_id = '000000007' UNION ALL SELECT 'vacancy_rate', year, vacancy_rate FROM mart WHERE geo_id = '000000007')"), real="metric_value normalized_value", ints="column_id")
+def ch06p(t):
+    df = long_metric(t, "income_pc").unionByName(long_metric(t, "vacancy_rate")).filter("geo_id = '000000007'")
+    return C.heatmap_table(df, "metric_period", periods=range(1995, 2002)).select("row_id", "column_id", "metric_value", "normalized_value")

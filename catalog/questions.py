@@ -539,7 +539,7 @@ def wf4(t):
     return Q.change_components(g, "waterfall_housing_stock", _STOCK, 1997, 2001)
 
 
-@query("waterfall_q5_negative_offsets", sql("county", extra="e AS (SELECT geo_level, geo_id, geo_name, " + ", ".join(f"max(CASE WHEN year = 1998 THEN {s} END) - max(CASE WHEN year = 1996 THEN {s} END) AS {s}" for s in _SECTORS) + f" FROM g JOIN cx USING (geo_id) WHERE cbsa_code = '{METRO}' GROUP BY ALL), s AS (SELECT *, " + " + ".join(f"coalesce({s}, 0)" for s in _SECTORS) + " AS net_delta, " + " + ".join(f"least({s}, 0)" for s in _SECTORS) + " AS neg FROM e), k AS (SELECT * FROM s WHERE net_delta > 0 AND neg < 0 ORDER BY round(abs(neg), 4) DESC, round(net_delta, 4) DESC, geo_id LIMIT 1)",
+@query("waterfall_q5_negative_offsets", sql("county", extra="e AS (SELECT geo_level, geo_id, geo_name, " + ", ".join(f"max(CASE WHEN year = 2000 THEN {s} END) - max(CASE WHEN year = 1996 THEN {s} END) AS {s}" for s in _SECTORS) + f" FROM g JOIN cx USING (geo_id) WHERE cbsa_code = '10010' GROUP BY ALL), s AS (SELECT *, " + " + ".join(f"coalesce({s}, 0)" for s in _SECTORS) + " AS net_delta, " + " + ".join(f"least({s}, 0)" for s in _SECTORS) + " AS neg FROM e), k AS (SELECT * FROM s WHERE net_delta > 0 AND neg < 0 ORDER BY round(abs(neg), 4) DESC, round(net_delta, 4) DESC, geo_id LIMIT 1)",
        body=" UNION ALL ".join(f"SELECT {P3}, net_delta, '{s}' AS component_id, '{a[0]}' AS component_label, {a[2]} AS sort_order, {s} AS component_delta FROM k" for s, a in _SECTORS.items())), real="net_delta component_delta", ints="sort_order", digits=4)
 def wf5(t):
-    return Q.negative_offsets(gold(t, "county"), cx(t), METRO, _SECTORS, 1996, 1998)
+    return Q.negative_offsets(gold(t, "county"), cx(t), "10010", _SECTORS, 1996, 2000)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog import standins as S
 from catalog.aggregates import flows
 from catalog.registry import query
+from terrapanel.operators.reshape import longer
 from terrapanel.plans import silver as P
 from terrapanel.plans.themes import THEMES
 
@@ -76,9 +77,14 @@ def _accounts(t):
     codes = t.spark.createDataFrame(_CODES, "table string, line_code int, metric_key string")
     per = F.col("year").alias("period")
     c = m.filter("geo_level = 'county'")
-    line = lambda df, k, v: df.select("geo_id", "geo_name", per, F.lit("CAINC1").alias("table"), F.lit(k).alias("line_code"), F.col(v).alias("value"))
-    stage = line(c, 1, "income_total").unionByName(line(c, 2, "pop_total")).unionByName(line(c, 9, "hu_total"))
-    state = line(m.filter("geo_level = 'region'"), 1, "income_total")
+    # line codes stay data, as in a landed file: one row per place, period and line
+    def lines(df, cols):
+        stacked = longer(df.select("geo_id", "geo_name", per, *cols), ["geo_id", "geo_name", "period"], list(cols), "src")
+        code = F.when(F.col("src") == "income_total", 1).when(F.col("src") == "pop_total", 2).otherwise(9)
+        return stacked.select("geo_id", "geo_name", "period", F.when(F.col("src").isNotNull(), "CAINC1").alias("table"), code.alias("line_code"), "value")
+
+    stage = lines(c, ["income_total", "pop_total", "hu_total"])
+    state = lines(m.filter("geo_level = 'region'"), ["income_total"])
     return P.accounts_long(stage, state, codes, S.county_cbsa(t), ["pi_total", "population"], {"pi_per_capita": ("pi_total", "population")})
 
 

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.functions.columns import classify
-from terrapanel.functions.nulls import asc_last, finite, ratio_or_null
+from terrapanel.functions.nulls import finite, ratio_or_null
 from terrapanel.operators import ranking as K
 from terrapanel.operators import series as T
 from terrapanel.operators.joins import complete_grid, complete_periods
@@ -188,13 +188,8 @@ def heatmap_table(df: DataFrame, variant: str, metrics: Mapping[str, str] | None
                            "highlight_flag": _flag(df, "highlight_flag")})
     group = {"geo_metric": ["metric_id"], "geo_period": ["metric_id", "period"], "metric_period": ["metric_id"]}[variant]
     if variant == "metric_period":
-        # a metric's periods for one place: a short series
-        w = Window.partitionBy(*group)
-        order = w.orderBy(asc_last("metric_value"))
-        known = F.count("metric_value").over(w)
-        tie = F.count(F.lit(1)).over(Window.partitionBy(*group, "metric_value"))
-        p = F.when(F.col("metric_value").isNotNull(), F.when(known > 1, (F.rank().over(order) + (tie - 1) / 2 - 1) / (known - 1) * 100).otherwise(50.0))
-        n = base.withColumn("normalized_value", p).withColumn("normalized_value", F.when(_higher(), F.col("normalized_value")).otherwise(100 - F.col("normalized_value")))
+        p = K.percentile_0_100(base, group, "metric_value", ["geo_id", "period"], "normalized_value")
+        n = p.withColumn("normalized_value", F.when(_higher(), F.col("normalized_value")).otherwise(100 - F.col("normalized_value")))
         cells = n.select(F.col("metric_id").alias("row_id"), F.col("metric_label").alias("row_label"), F.col("period").alias("column_id"), "metric_value", "normalized_value", "highlight_flag")
         dims = {"column_id": list(periods)}
     else:
