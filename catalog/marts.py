@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog import standins as S
 from catalog.registry import query
 from terrapanel.plans import marts as M
+from terrapanel.session import store
 
 # Silver column -> expression over the stand-in mart, valid in both engines.
 SILVER = {
@@ -44,9 +45,11 @@ SILVER = {
 _SILVER_SQL = "silver AS (SELECT geo_level, geo_id, geo_name, year, " + ", ".join(f"{e} AS {c}" for c, e in SILVER.items()) + " FROM mart)"
 
 
-def silver(t, *levels, cols):
+def silver(t, *levels, cols, stored=True):
+    """Silver columns; written once when a mart reads them several times."""
     m = S.mart(t, *levels)
-    return m.select(*S.KEYS, *[F.expr(SILVER[c]).alias(c) for c in cols])
+    out = m.select(*S.KEYS, *[F.expr(SILVER[c]).alias(c) for c in cols])
+    return store(out) if stored else out
 
 
 def sql(*levels, body, extra=""):
@@ -159,7 +162,7 @@ SELECT {K4}, {', '.join(_MIG)}, 1 - pct_same_house AS mobility_rate, pct_moved_s
   pop_foreign_born_citizen / pop_nativity_total AS pct_foreign_born_citizen, pop_foreign_born_noncitizen / pop_nativity_total AS pct_foreign_born_noncitizen, NULL AS irs_inflow_total, NULL AS irs_outflow_total, NULL AS irs_net_migration, NULL AS irs_net_migration_rate, NULL AS irs_migration_churn FROM silver"""),
        real=" ".join(_MIG) + " mobility_rate pct_moved_domestic migration_churn migration_churn_count pct_foreign_born_citizen pct_foreign_born_noncitizen irs_inflow_total irs_outflow_total irs_net_migration irs_net_migration_rate irs_migration_churn", ints="year")
 def mt07(t):
-    return M.migration_mart(silver(t, "county", "cbsa", cols=_MIG))
+    return M.migration_mart(silver(t, "county", "cbsa", cols=_MIG, stored=False))
 
 
 @query("mt08_transport_mart", sql("tract", extra="""tc AS (SELECT s.*, x.cbsa_code, x.cbsa_name FROM silver s JOIN tract_cbsa x ON s.geo_id = x.tract_geoid),

@@ -11,6 +11,7 @@ from terrapanel.operators.series import growth
 from terrapanel.plans import marts as M
 from terrapanel.plans import scoring as P
 from terrapanel.plans import zones as Z
+from terrapanel.session import store
 
 G = lambda c, h: GROWTH(c, h).replace("geo_level, geo_id", "geo_id")
 
@@ -28,6 +29,7 @@ def metro_features(t):
         F.col("county_geoid").alias("cbsa_code"), F.col("s_name").alias("cbsa_name"), F.col("census_region").alias("census_division"),
         F.when(F.col("s_suppkey") % 3 == 0, "Micro Area").otherwise("Metro Area").alias("cbsa_type"))
     cols = ["pop_total", "pop_growth_3yr", "pop_growth_5yr", "median_gross_rent", "median_home_value", "pct_commute_wfh", "mean_travel_time"]
+    m = store(m.select("geo_id", "year", *cols, "permits"))
     code = F.col("geo_id").alias("cbsa_code")
     return P.cbsa_features(meta, m.select(code, "year", *cols), m.select(code, "year", F.col("permits").alias("total_units")))
 
@@ -64,8 +66,10 @@ TF_REAL = "pop_total pop_growth_3yr pop_growth_5yr median_hh_income median_gross
 def features(t):
     m = growth(S.mart(t, "tract"), ["geo_level", "geo_id"], "year", "pop_total", (3, 5), prefix="pop", cagr=())
     m = m.withColumns({"median_gross_rent": F.expr(_RENT), "median_home_value": F.expr(_VAL)})
+    m = store(m.filter("year = 2000").select("geo_id", "year", "pop_total", "pop_growth_3yr", "pop_growth_5yr", "median_hh_income", "median_gross_rent",
+                                                   "median_home_value", "pct_commute_wfh", "mean_travel_time", "land_area_sqmi"))
     tracts = S.tract_cbsa(t).select("tract_geoid", F.col("cbsa_code").alias("county_geoid"), "cbsa_code").join(
-        m.filter("year = 2000").select(F.col("geo_id").alias("tract_geoid"), "land_area_sqmi"), "tract_geoid")
+        m.select(F.col("geo_id").alias("tract_geoid"), "land_area_sqmi"), "tract_geoid")
     metrics = m.select(F.col("geo_id").alias("tract_geoid"), "year", "pop_total", "pop_growth_3yr", "pop_growth_5yr", "median_hh_income", "median_gross_rent",
                        "median_home_value", "pct_commute_wfh", "mean_travel_time")
     permits = S.mart(t, "cbsa").select(F.col("geo_id").alias("county_geoid"), "year", F.col("permits").alias("total_units"))

@@ -50,6 +50,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Like `cut_lineage`, for wide tables that later steps read in parts.
+
+    Parquet in the shared folder: each later pass reads only its own columns,
+    and the file sizes tell Spark which side of a join is small.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, "store")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder beside the checkpoints, reachable from every executor."""
     _checkpoint_dir_ready(spark)
