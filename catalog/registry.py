@@ -4,37 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def _round(c: Column, digits: int) -> Column:
-    """Round half away from zero in binary arithmetic.
+def _round(name: str, digits: int) -> str:
+    """SQL text rounding half away from zero in binary arithmetic.
 
     Spark's `round` works on the decimal text of a double; the SQL side rounds
     the scaled binary value. They differ where the text ends in an exact 5.
     """
-    y = F.abs(c) * F.lit(10.0 ** digits)
-    whole = F.floor(y).cast("double")
-    up = whole + F.when(y - whole >= 0.5, 1.0).otherwise(0.0)
-    return F.when(y < 4.0e15, F.signum(c) * up / F.lit(10.0 ** digits) + 0.0).otherwise(c)
+    c, one = f"CAST({name} AS DOUBLE)", f"1e{digits}"
+    y = f"(abs({c}) * {one})"
+    up = f"(floor({y}) + CASE WHEN {y} - floor({y}) >= 5e-1 THEN 1e0 ELSE 0e0 END)"
+    return f"CASE WHEN {y} < 4e15 THEN signum({c}) * {up} / {one} + 0e0 ELSE {c} END"
 
 
 def rounded(df: DataFrame, digits: int) -> DataFrame:
     """Round doubles and widen integers so results compare across engines."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        name = f"`{f.name}`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = _round(c.cast("double"), digits)
+            name = _round(name, digits)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
-            c = c.cast("bigint")
-        out.append(c.alias(f.name))
-    return df.select(*out)
+            name = f"CAST({name} AS BIGINT)"
+        out.append(f"{name} AS `{f.name}`")
+    return df.selectExpr(*out)
 
 
 def query(name: str, sql: str | None = None, real: str = "", ints: str = "", digits: int = 6):
@@ -59,9 +58,11 @@ class Tables:
     """Lazy access to the supplied tables: `t.orders`, `t.lineitem`, ..."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.seen = spark, sf_dir, {}
 
     def __getattr__(self, table: str) -> DataFrame:
         if table.startswith("_"):
             raise AttributeError(table)
-        return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        if table not in self.seen:
+            self.seen[table] = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        return self.seen[table]

@@ -50,12 +50,8 @@ def multi_level_rollup(df: DataFrame, levels: Mapping[str, tuple[str | Column, s
                  as_col(n).cast("string").alias("geo_name")) for level, (i, n) in levels.items()])
     spread = df.withColumn("__at", F.explode(ancestors)).filter(F.col("__at.geo_id").isNotNull())
     spread = spread.drop("geo_level", "geo_id", "geo_name").select("*", "__at.*").drop("__at")
-    return spread.groupBy("geo_level", "geo_id", *keys).agg(F.max("geo_name").alias("geo_name"), *aggs).select(
-        "geo_level", "geo_id", "geo_name", *keys, *[c for c in _names(spread, keys, aggs)])
-
-
-def _names(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> list[str]:
-    return df.groupBy(*keys).agg(*aggs).columns[len(keys):] if keys else df.agg(*aggs).columns
+    out = spread.groupBy("geo_level", "geo_id", *keys).agg(F.max("geo_name").alias("geo_name"), *aggs)
+    return out.select("geo_level", "geo_id", "geo_name", *keys, *out.columns[len(keys) + 3:])
 
 
 def densities(pop: str, area: str) -> list[Column]:
