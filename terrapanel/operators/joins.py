@@ -118,6 +118,12 @@ def nearest_by_size(df: DataFrame, target: str, id_col: str, size: str, k: int,
     return gap.orderBy(asc_last("size_gap"), asc_last(id_col)).limit(k)
 
 
+def _entities(df: DataFrame, keys: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    if not carry:
+        return df.select(*keys).distinct()
+    return df.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carry])
+
+
 def complete_periods(df: DataFrame, keys: Sequence[str], time: str, carry: Sequence[str] = ()) -> DataFrame:
     """One row per entity and period over the whole span, gaps as NULL.
 
@@ -125,14 +131,14 @@ def complete_periods(df: DataFrame, keys: Sequence[str], time: str, carry: Seque
     paired up across entities.
     """
     span = df.select(F.struct(F.min(time).alias("lo"), F.max(time).alias("hi"))).scalar()
-    entities = df.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carry]).withColumn("__span", span)
+    entities = _entities(df, keys, carry).withColumn("__span", span)
     grid = entities.withColumn(time, F.explode(F.sequence("__span.lo", "__span.hi"))).drop("__span")
     return grid.join(df.drop(*carry), [*keys, time], "left")
 
 
 def complete_grid(df: DataFrame, keys: Sequence[str], dims: Mapping[str, Sequence], carry: Sequence[str] = ()) -> DataFrame:
     """One row per entity and combination of the listed dimension values."""
-    grid = df.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carry])
+    grid = _entities(df, keys, carry)
     for name, values in dims.items():
         grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     return grid.join(df.drop(*carry), [*keys, *dims], "left")
