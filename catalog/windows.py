@@ -8,14 +8,16 @@ from terrapanel.operators import ranking as K
 from terrapanel.operators import select as L
 from terrapanel.operators import series as T
 from terrapanel.operators import stats
+from terrapanel.session import store
 
 MART = lambda body, *lv, extra="": S.sql_mart(*(lv or ("county",)), body=body, extra=extra)
 KEYS = ["geo_level", "geo_id"]
 
 
 def tract_year(t, year=1999):
-    """Tract rows of one year with their metro and region."""
-    return S.mart(t, "tract").filter(F.col("year") == year).join(S.tract_cbsa(t), F.col("geo_id") == F.col("tract_geoid")).drop("tract_geoid")
+    """Tract rows of one year with their metro and region, written once."""
+    df = S.mart(t, "tract").filter(F.col("year") == year).join(S.tract_cbsa(t), F.col("geo_id") == F.col("tract_geoid")).drop("tract_geoid")
+    return store(df.select("geo_id", "geo_name", "cbsa_code", "census_region", "pop_total", "hu_total", "income_pc", "vacancy_rate"))
 
 
 TRACT = lambda body: MART(body, "tract", extra="ty AS (SELECT * FROM mart JOIN tract_cbsa ON geo_id = tract_geoid WHERE year = 1999)")

@@ -12,6 +12,11 @@ later steps read that copy.
 
 `order` must be total: end it with columns that identify a row, so that equal
 values can be spread over partitions as well.
+
+A frame that Spark's own statistics put below `spark.terrapanel.windowBytes`
+(64 MB) cannot hold a group too large for one task; it takes a plain window and
+stays lazy. Estimates after joins are high rather than low, and an unknown size
+counts as large.
 """
 
 from __future__ import annotations
@@ -27,6 +32,15 @@ from terrapanel.session import cut_lineage
 
 _SEG, _POS, _BEFORE, _FIRST = "__seg", "__pos", "__before", "__first"
 _SCRATCH = (_SEG, _POS, _BEFORE, _FIRST)
+WINDOW_BYTES = 64 << 20
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    """Whether the whole frame is estimated to be small enough for one task."""
+    limit = int(df.sparkSession.conf.get("spark.terrapanel.windowBytes", str(WINDOW_BYTES)))
+    if limit <= 0:
+        return False
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
 
 
 def _place(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -70,6 +84,9 @@ def _numbered(placed: DataFrame, group: Sequence[str], rn: str, n: str) -> DataF
 
 def row_numbers(df: DataFrame, group: Sequence[str], order: Sequence[Column], rn: str = "rn", n: str = "n") -> DataFrame:
     """`row_number()` and group size for groups of any size (`group` may be empty)."""
+    if fits_one_task(df):
+        w = Window.partitionBy(*group)
+        return df.withColumns({rn: F.row_number().over(w.orderBy(*order)).cast("bigint"), n: F.count(F.lit(1)).over(w)})
     return _numbered(_place(df, group, order), group, rn, n).drop(_SEG, _POS)
 
 
@@ -79,6 +96,13 @@ def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[Column], s
 
     Adds `<name>` and, with `totals`, `<name>_total` (the group's whole sum).
     """
+    if fits_one_task(df):
+        w = Window.partitionBy(*group)
+        o = w.orderBy(*order)
+        new = {rn: F.row_number().over(o).cast("bigint")} if rn else {}
+        new |= {name: F.sum(e).over(o.rowsBetween(Window.unboundedPreceding, 0)) for name, e in sums.items()}
+        new |= {f"{name}_total": F.sum(e).over(w) for name, e in sums.items()} if totals else {}
+        return df.withColumns(new)
     placed = _place(df, group, order)
     local = Window.partitionBy(_SEG, *group).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
     rows = null_safe_join(placed, _offsets(placed, group, sums), [*group, _SEG])
@@ -105,7 +129,16 @@ def ranks(df: DataFrame, group: Sequence[str], value: str, ids: Sequence[str], *
     if not keep_nulls:
         work = df.withColumn("__known", F.col(value).isNotNull())
         part.append("__known")
-    order = [desc_last(value) if descending else asc_last(value), *[asc_last(i) for i in ids]]
+    first = desc_last(value) if descending else asc_last(value)
+    order = [first, *[asc_last(i) for i in ids]]
+    if fits_one_task(work):
+        w = Window.partitionBy(*part)
+        new = {"__rn": F.row_number().over(w.orderBy(*order)), "__rank": F.rank().over(w.orderBy(first)),
+               "__ties": F.count(F.lit(1)).over(Window.partitionBy(*part, value)), "__n": F.count(F.lit(1)).over(w)}
+        if dense:
+            new["__dense"] = F.dense_rank().over(w.orderBy(first))
+        rows = work.withColumns({c: e.cast("bigint") for c, e in new.items()})
+        return rows if keep_nulls else _mask(rows, list(new))
     placed = _place(work, part, order)
     rows = _numbered(placed, part, "__rn", "__n")
 
@@ -132,16 +165,18 @@ def ranks(df: DataFrame, group: Sequence[str], value: str, ids: Sequence[str], *
         "__rank": F.coalesce("__rank_x", "__rank"), "__ties": F.coalesce("__ties_x", "__ties")}).drop("__rank_x", "__ties_x")
 
     if dense:
-        first = F.when(F.col("__rn") == F.col("__rank"), 1).otherwise(0)
-        rows = rows.withColumn("__first_of_run", first)
+        rows = rows.withColumn("__first_of_run", F.when(F.col("__rn") == F.col("__rank"), 1).otherwise(0))
         offs = _offsets(rows, part, {"d": F.col("__first_of_run")}).select(*part, _SEG, "__o_d")
         local = Window.partitionBy(_SEG, *part).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
         rows = null_safe_join(rows, offs, [*part, _SEG]).withColumn(
             "__dense", F.col("__o_d") + F.sum("__first_of_run").over(local)).drop("__o_d", "__first_of_run")
-    if not keep_nulls:
-        masked = ["__rn", "__rank", "__ties", "__n"] + (["__dense"] if dense else [])
-        rows = rows.withColumns({c: F.when(F.col("__known"), F.col(c)) for c in masked}).drop("__known")
-    return rows.drop(_SEG, _POS)
+    rows = rows.drop(_SEG, _POS)
+    return rows if keep_nulls else _mask(rows, ["__rn", "__rank", "__ties", "__n"] + (["__dense"] if dense else []))
+
+
+def _mask(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """NULL ranks for rows without a value."""
+    return rows.withColumns({c: F.when(F.col("__known"), F.col(c)) for c in cols}).drop("__known")
 
 
 def drop_rank_columns(df: DataFrame) -> DataFrame:

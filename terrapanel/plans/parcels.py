@@ -15,7 +15,7 @@ from terrapanel.operators.quality import validation_row, validation_suite
 from terrapanel.operators.ranking import percentiles_of
 from terrapanel.operators.select import latest_per_key
 from terrapanel.operators.stats import winsorize
-from terrapanel.session import cut_lineage
+from terrapanel.session import store
 
 SQFT_PER_SQMI = 27878400.0
 
@@ -110,7 +110,7 @@ def retail_intensity(assigned: DataFrame, tracts: DataFrame) -> DataFrame:
     per = assigned.groupBy("tract_geoid", "parcel_uid").agg(F.sum("parcel_area_sqmi").alias("a"))
     agg = per.groupBy("tract_geoid").agg(F.count(F.lit(1)).alias("retail_parcel_count"), F.coalesce(F.sum("a"), F.lit(0.0)).alias("retail_area"))
     out = zero_filled_right(agg, tracts.select("tract_geoid", "tract_land_area_sqmi"), ["tract_geoid"], ["retail_parcel_count", "retail_area"])
-    out = cut_lineage(out.withColumn("retail_area_density", safe_ratio("retail_area", "tract_land_area_sqmi")))
+    out = store(out.withColumn("retail_area_density", safe_ratio("retail_area", "tract_land_area_sqmi")))
     out = percentiles_of(out, ["tract_geoid"], [], {"retail_parcel_count": "pctl_tract_retail_parcel_count",
                                                     "retail_area_density": "pctl_tract_retail_area_density"}, fill=0.5)
     return out.withColumn("local_retail_context_score", 0.5 * F.col("pctl_tract_retail_parcel_count") + 0.5 * F.col("pctl_tract_retail_area_density"))
@@ -139,7 +139,7 @@ def parcel_shortlist(assigned: DataFrame, parcels: DataFrame, tract_zone: DataFr
     p = p.join(parcels, "parcel_uid").join(intensity.select("tract_geoid", "local_retail_context_score"), "tract_geoid", "left")
     p = p.join(quality.select("zone_id", "mean_tract_score", "zone_quality_score"), "zone_id", "left")
     sqft = F.col("parcel_area_sqmi") * SQFT_PER_SQMI
-    p = cut_lineage(p.withColumn("assessed_value_psf", F.when((F.col("just_value") > 0) & (sqft >= 1000), F.col("just_value") / sqft)))
+    p = store(p.withColumn("assessed_value_psf", F.when((F.col("just_value") > 0) & (sqft >= 1000), F.col("just_value") / sqft)))
     p = winsorize(p, "assessed_value_psf", 0.05, 0.95, out="assessed_value_psf_winsorized").withColumnRenamed("bound_flag", "winsor_flag")
     p = p.withColumn("sale_recency_days", days_since("last_sale_date", as_of)).withColumn("__recent", -F.col("sale_recency_days"))
     p = percentiles_of(p, ["parcel_uid"], [], {"assessed_value_psf_winsorized": "pctl_assessed_value_psf", "parcel_area_sqmi": "pctl_parcel_area",

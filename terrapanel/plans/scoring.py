@@ -2,7 +2,7 @@
 
 The market (`cbsa_code`) is a grouping key throughout, so all markets are
 scored by one job. Feature rows are far fewer than the records behind them and
-feed several ordered passes, so they are written once (`cut_lineage`). Ranks and quantiles go through the ordered operators, so a
+feed several ordered passes, so they are written once (`store`). Ranks and quantiles go through the ordered operators, so a
 market, or the whole nation, may be arbitrarily large.
 """
 
@@ -21,7 +21,7 @@ from terrapanel.operators.ranking import ntile, percentiles_of, rank_metrics, to
 from terrapanel.operators.reshape import longer
 from terrapanel.operators.series import rolling_mean
 from terrapanel.operators.stats import impute_median, quantile_tiers, rescale_0_100, sd_tiers, zscore
-from terrapanel.session import cut_lineage
+from terrapanel.session import store
 
 # Metrics of the metro table and whether larger is better.
 CBSA_METRICS = {
@@ -54,7 +54,7 @@ def cbsa_features(meta: DataFrame, panel: DataFrame, permits: DataFrame) -> Data
         "commute_intensity_b": F.col("mean_travel_time") * (1 - F.col("pct_commute_wfh")),
         "bps_units_per_1k": safe_ratio(F.col("bps_total_units") * 1000.0, "pop_total"),
         "bps_units_per_1k_3yr_avg": safe_ratio(F.col("bps_units_3yr_avg") * 1000.0, "pop_total")})
-    f = cut_lineage(f)
+    f = store(f)
     ranks = rank_metrics(f, ["cbsa_code", "year"], {"national": ["year", "cbsa_type"], "region": ["census_division", "year", "cbsa_type"]}, CBSA_METRICS)
     return f.join(ranks, ["cbsa_code", "year"])
 
@@ -72,7 +72,7 @@ def tract_features(tracts: DataFrame, metrics: DataFrame, permits: DataFrame, ye
         "commute_intensity_b": F.col("mean_travel_time") * (1 - F.col("pct_commute_wfh")),
         "units_per_1k_3yr": safe_ratio(F.col("total_units_3yr_avg") * 1000.0, "pop_total"),
         "pop_density": safe_ratio("pop_total", "land_area_sqmi")})
-    f = cut_lineage(f)
+    f = store(f)
     f = percentiles_of(f, ["tract_geoid"], ["cbsa_code"], {
         "pop_growth_3yr": "pop_growth_pctl", "median_hh_income": "income_pctl", "median_gross_rent": "rent_pctl",
         "median_home_value": "value_pctl", "pop_density": "density_pctl"})
@@ -87,7 +87,7 @@ def _scored(features: DataFrame) -> DataFrame:
         "cbsa_code", "tract_geoid", "pop_growth_3yr", F.col("units_per_1k_3yr").alias("permits_per_1k_3yr"), F.col("pop_density").alias("density"),
         F.col("price_proxy_pctl").alias("price_proxy"), F.col("commute_intensity_b").alias("commute_intensity"),
         F.col("median_hh_income").alias("median_household_income"), "pop_growth_pctl", "price_proxy_pctl", "density_pctl")
-    f = cut_lineage(f)
+    f = store(f)
     f = impute_median(f, ["cbsa_code"], {c: f"{o}_scoring" for c, o in SCORING_INPUTS.items()})
     f = zscore(f, ["cbsa_code"], {f"{o}_scoring": f"z_{o}" for o in SCORING_INPUTS.values()})
     f = f.withColumns({"z_density_inv": -F.col("z_density"), "z_price_inv": -F.col("z_price")})
@@ -102,7 +102,7 @@ def tract_models(features: DataFrame) -> DataFrame:
     Models are stacked so that two ordered passes give all eight ranks. A tract
     outside any market has no national rank but keeps its place in the count.
     """
-    f = cut_lineage(_scored(features))
+    f = store(_scored(features))
     long = longer(f, ["cbsa_code", "tract_geoid"], [f"score_{m}" for m in MODELS], "model", "score")
     order = [desc_last("score"), asc_last("tract_geoid")]
     long = row_numbers(long, ["model", "cbsa_code"], order, "rank_cbsa", "__n").drop("__n")
@@ -147,7 +147,7 @@ def tract_scores(features: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 
     `group` scores each market on its own; empty scores all tracts together.
     """
-    features = cut_lineage(features)
+    features = store(features)
     f = features.withColumns({f"{t}_raw": F.col(c).cast("double") * s for t, (c, s, _) in V1_TERMS.items()})
     f = impute_median(f, group, {f"{t}_raw": f"{t}_scoring" for t in V1_TERMS})
     f = zscore(f, group, {f"{t}_scoring": f"z_{t}" for t in V1_TERMS})
