@@ -225,7 +225,7 @@ def mt11(t):
     return district_table(t)
 
 
-@query("mt10_school_district_mart", S.sql_mart("tract", extra=_DIST_SQL + """,
+_SCORED_SQL = _DIST_SQL + """,
 acs AS (SELECT substr(geo_id, 5, 7) AS nces_district_id, year, population, child_poverty_rate, CASE WHEN l > 0 THEN (population - l) / l END AS population_growth_5yr FROM (SELECT geo_id, year, pop_total AS population, CASE WHEN hu_total % 8 <> 0 THEN vacancy_rate END AS child_poverty_rate, lag(pop_total, 5) OVER (PARTITION BY geo_id ORDER BY year) AS l FROM mart)),
 j AS (SELECT d.*, population, child_poverty_rate, population_growth_5yr, round(title_1_allocations / enrollment, 2) AS allocations_per_student FROM districts d JOIN acs USING (nces_district_id) WHERE year = (SELECT max(year) FROM mart)),
 r AS (SELECT *, percent_rank() OVER (ORDER BY enrollment) AS enrollment_pct_rank, percent_rank() OVER (ORDER BY allocations_per_student NULLS LAST) AS student_allocation_pct_rank, percent_rank() OVER (ORDER BY child_poverty_rate NULLS LAST) AS child_poverty_pct_rank,
@@ -233,7 +233,10 @@ r AS (SELECT *, percent_rank() OVER (ORDER BY enrollment) AS enrollment_pct_rank
   CASE WHEN population_growth_5yr IS NOT NULL THEN percent_rank() OVER (PARTITION BY population_growth_5yr IS NULL ORDER BY population_growth_5yr) END AS population_growth_pct_rank,
   CASE WHEN population_growth_5yr IS NOT NULL THEN ntile(4) OVER (PARTITION BY population_growth_5yr IS NULL ORDER BY population_growth_5yr, nces_district_id) END AS pop_growth_quartile FROM j),
 s AS (SELECT *, 100 * (0.3 * coalesce(enrollment_pct_rank, 0) + 0.3 * coalesce(student_allocation_pct_rank, 0) + 0.2 * coalesce(economic_disadvantaged_pct_rank, 0) + 0.2 * coalesce(child_poverty_pct_rank, 0)) / (0.3 + 0.3 + CASE WHEN economic_disadvantaged_pct_rank IS NULL THEN 0 ELSE 0.2 END + 0.2) AS lead_score FROM r),
-b AS (SELECT *, lead_score + CASE pop_growth_quartile WHEN 1 THEN -5 WHEN 3 THEN 2 WHEN 4 THEN 5 ELSE 0 END AS lead_score_growth_boost FROM s)""",
+b AS (SELECT *, lead_score + CASE pop_growth_quartile WHEN 1 THEN -5 WHEN 3 THEN 2 WHEN 4 THEN 5 ELSE 0 END AS lead_score_growth_boost FROM s)"""
+
+
+@query("mt10_school_district_mart", S.sql_mart("tract", extra=_SCORED_SQL,
        body="SELECT *, rank() OVER (ORDER BY round(lead_score, 9) DESC) AS lead_score_rank, rank() OVER (ORDER BY round(lead_score_growth_boost, 9) DESC) AS lead_score_growth_boost_rank FROM b"),
        real="avg_school_enrollment enrollment title_1_allocations not_economically_disadvantaged_percent economically_disadvantaged_percent population child_poverty_rate population_growth_5yr allocations_per_student enrollment_pct_rank student_allocation_pct_rank child_poverty_pct_rank economic_disadvantaged_pct_rank population_growth_pct_rank lead_score lead_score_growth_boost")
 def mt10(t):

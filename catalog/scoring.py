@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catalog import standins as S
 from catalog.graphs import CC, REACH
 from catalog.joins import square
-from catalog.marts import _DIST_SQL, GROWTH, district_table
+from catalog.marts import _DIST_SQL, _SCORED_SQL, GROWTH, district_table
 from catalog.registry import query
 from terrapanel.operators.series import growth
 from terrapanel.plans import marts as M
@@ -232,7 +232,11 @@ def mt42(t):
     return P.radar_long(district_table(t), ["nces_district_id"], {"enrollment": True, "title_1_allocations": False})
 
 
-@query("mt42_top_districts")
+@query("mt42_top_districts", S.sql_mart("tract", extra=_SCORED_SQL + """,
+t AS (SELECT * FROM b ORDER BY round(lead_score, 9) DESC, nces_district_id LIMIT 25), q AS (SELECT quantile_cont(allocations_per_student, 0.75) AS qa, quantile_cont(enrollment, 0.75) AS qe, quantile_cont(child_poverty_rate, 0.75) AS qp FROM t)""", body="""
+SELECT nces_district_id, lead_score, CASE pop_growth_quartile WHEN 4 THEN 'High growth' WHEN 3 THEN 'Moderate growth' WHEN 1 THEN 'Declining' ELSE 'Stable' END AS growth_label,
+  CASE WHEN allocations_per_student >= qa AND economically_disadvantaged_percent / 100 >= 0.6 THEN 'High Title I funding and high student need' WHEN enrollment >= qe THEN 'Large district with meaningful contract scale'
+    WHEN child_poverty_rate >= qp THEN 'High community need aligned with federal funding' WHEN pop_growth_quartile = 4 THEN 'Strong growth outlook with solid funding base' ELSE 'Balanced mix of scale, funding, and need' END AS why FROM t, q"""), real="lead_score")
 def mt42_top(t):
     acs = S.mart(t, "tract").select("geo_level", F.substring("geo_id", 5, 7).alias("geo_id"), "geo_name", "year", F.col("pop_total").alias("population"),
                                     F.when(F.col("hu_total") % 8 != 0, F.col("vacancy_rate")).alias("child_poverty_rate"))

@@ -40,7 +40,10 @@ def fits_one_task(df: DataFrame) -> bool:
     limit = int(df.sparkSession.conf.get("spark.terrapanel.windowBytes", str(WINDOW_BYTES)))
     if limit <= 0:
         return False
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
+    except ValueError:  # estimates multiply along joins and can outgrow what Python parses
+        return False
 
 
 def _place(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -17,6 +17,7 @@ from terrapanel.operators.joins import PANEL_KEYS, hierarchy_backfill, join_on_s
 from terrapanel.operators.ranking import ntile, percent_rank, percentiles_of, rank_by
 from terrapanel.operators.rollup import dedupe_max, densities, multi_level_rollup
 from terrapanel.operators.series import growth, growth_many, level_change
+from terrapanel.session import store
 
 KEYS = ["geo_level", "geo_id", "geo_name", "year"]
 ENTITY = ["geo_level", "geo_id"]
@@ -229,6 +230,7 @@ def school_district_mart(districts: DataFrame, acs: DataFrame, district_id: str
     a = a.withColumnRenamed("geo_id", district_id).filter(F.col("year") == a.select(F.max("year")).scalar()).drop("geo_level", "geo_name", "year")
     j = districts.withColumn("allocations_per_student", F.round(ratio_or_null("title_1_allocations", "enrollment"), 2)).join(a, district_id)
     ids = [district_id]
+    j = store(j)  # several ordered steps follow
     j = percent_rank(j, [], "enrollment", ids, "enrollment_pct_rank")
     j = percent_rank(j, [], "allocations_per_student", ids, "student_allocation_pct_rank")
     j = percent_rank(j, [], "child_poverty_rate", ids, "child_poverty_pct_rank")
@@ -255,7 +257,7 @@ def growth_study(panel: DataFrame, permits: DataFrame, meta: DataFrame, metric:
     from terrapanel.operators.series import rolling_mean
     p = rolling_mean(p, ENTITY, "year", "units_per_1k", 5, "units_per_1k_5y_avg", strict=True)
     last = p.filter((F.col("year") == p.select(F.max("year")).scalar()) & F.col(metric).isNotNull()).join(meta, "geo_id")
-    last = last.withColumn("in_region", F.col("region") == region)
+    last = store(last.withColumn("in_region", F.col("region") == region))
     ids = ["geo_id"]
     for name, group in (("nat_all", []), ("nat_in_type", ["cbsa_type"]), ("reg_in_type", ["cbsa_type", "in_region"])):
         last = rank_by(last, group, metric, ids, f"{name}_rank", method="min")
@@ -295,6 +297,7 @@ def real_income(income: DataFrame, cbsa_rpp: DataFrame, state_rpp: DataFrame, co
     i = i.withColumn("rpp_all_items", F.coalesce("__c", "__s")).drop("__c", "__s")
     i = i.withColumn("real_pc_income", ratio_or_null("pi_per_capita", F.col("rpp_all_items") / 100))
     i = i.withColumn("pc_real_change", ratio_or_null(F.col("real_pc_income") - F.col("pi_per_capita"), "pi_per_capita"))
+    i = store(i)
     g, ids = ["cbsa_type", "period"], ["geo_id"]
     i = rank_by(i, g, "rpp_all_items", ids, "lowest_rpp_rank", method="min", descending=False)
     i = rank_by(i, g, "pi_per_capita", ids, "nominal_pc_income_rank", method="min")
