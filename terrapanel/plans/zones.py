@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from terrapanel.operators.graph import contiguity_zones, distance_clusters, order_zones, zone_summary
 from terrapanel.operators.spatial import adjacency_edges, zone_areas
-from terrapanel.session import cut_lineage
+from terrapanel.session import cut_lineage, store
 
 
 def zone_candidates(scores: DataFrame, seeds: DataFrame, tract: str = "tract_geoid") -> DataFrame:
@@ -27,7 +27,7 @@ def contiguity_zone_table(candidates: DataFrame, polys: DataFrame, tract: str =
 def cluster_zone_table(candidates: DataFrame, centroids: DataFrame, eps: float, min_pts: int = 2, policy: str = "nearest_core",
                        tract: str = "tract_geoid") -> tuple[DataFrame, DataFrame]:
     """(tract assignment, cluster summary) for candidates linked by distance."""
-    pts = candidates.join(centroids.select(tract, "x", "y"), tract)
+    pts = store(candidates.join(centroids.select(tract, "x", "y"), tract))
     c = cut_lineage(distance_clusters(pts, tract, "x", "y", eps, min_pts, policy))
     order = order_zones(c, "cluster_raw_id", "tract_score", "cluster_", "Cluster Zone ").withColumnsRenamed(
         {"zone_id": "cluster_id", "zone_label": "cluster_label", "zone_order": "cluster_order"})

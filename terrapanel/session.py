@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # identifiers with leading zeros stay text when they name partitions
+    "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
 }
 
 

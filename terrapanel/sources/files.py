@@ -79,9 +79,14 @@ def with_build_metadata(df: DataFrame, **kv: str) -> DataFrame:
     return df.withColumns({k: F.lit(v) for k, v in kv.items()})
 
 
-def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Warehouse table: layer.name under a root folder."""
-    return spark.read.parquet(f"{root}/{name.replace('.', '/')}")
+def table(spark: SparkSession, root: str, name: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """Warehouse table: layer.name under a root folder.
+
+    Pass a schema when a partition column holds identifiers with leading zeros
+    and the session infers partition types (`build_session` turns that off).
+    """
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(f"{root}/{name.replace('.', '/')}")
 
 
 def publish(df: DataFrame, root: str, name: str, partition_by: Sequence[str] = ()) -> str:
