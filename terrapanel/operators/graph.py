@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from terrapanel.functions.nulls import asc_last, desc_last, safe_weighted_mean
 from terrapanel.operators.ordered import row_numbers
 from terrapanel.operators.rollup import group_summary
-from terrapanel.operators.spatial import assign_nearest, linked_cells
+from terrapanel.operators.spatial import assign_nearest, distance_components
 from terrapanel.session import cut_lineage
 
 
@@ -93,9 +93,7 @@ def distance_clusters(points: DataFrame, id_col: str, x: str, y: str, eps: float
     Components smaller than `min_pts` join the component with the nearest mean
     point (policy "nearest_core") or stay on their own ("own").
     """
-    cells, links = linked_cells(points, id_col, x, y, eps, connected_components)
-    comp = connected_components(cells.select("cell").distinct(), links, "cell", "src", "dst", "cell_comp")
-    labelled = cells.join(comp, "cell").select(id_col, "cell_comp")
+    labelled = distance_components(points, id_col, x, y, eps, connected_components)
     ids = labelled.groupBy("cell_comp").agg(F.min(id_col).alias("component"), F.count(F.lit(1)).alias("component_size"))
     done = cut_lineage(points.join(labelled, id_col).join(ids, "cell_comp").drop("cell_comp"))
     if policy == "own":

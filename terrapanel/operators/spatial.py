@@ -89,18 +89,17 @@ def within_distance(points: DataFrame, id_col: str, x: str, y: str, eps: float)
         "src", "dst", F.sqrt("d2").alias("distance"))
 
 
-def linked_cells(points: DataFrame, id_col: str, x: str, y: str, eps: float,
-                 components: Callable[..., DataFrame], fine: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Reduce "within eps" connectivity of points to a graph of grid cells.
+def distance_components(points: DataFrame, id_col: str, x: str, y: str, eps: float,
+                        components: Callable[..., DataFrame], fine: int = 8) -> DataFrame:
+    """Label points connected by steps of at most eps (`cell_comp`), over a graph
+    of grid cells.
 
     Cells have diagonal eps, so points of one cell are always linked. Two cells
     are linked if any pair of their points is close enough. That is first
     decided by one representative per fine sub-cell (at most fine^2 per cell,
     however dense). Only sub-cell pairs that are still open *and* join two
-    different components are then compared point by point. Exact, and dense
-    areas never produce all pairs.
-
-    Returns (points with `cell`, links src/dst between cells).
+    different components are then compared point by point; links found there
+    join whole components. Exact, and dense areas never produce all pairs.
     """
     side = eps / 2 ** 0.5
     sub = side / fine
@@ -123,19 +122,19 @@ def linked_cells(points: DataFrame, id_col: str, x: str, y: str, eps: float,
     near = pairs.filter(gap_x ** 2 + gap_y ** 2 <= eps * eps).withColumn("sure", reps <= eps * eps)
     near = cut_lineage(near.select("a_cell", "b_cell", "a_sx", "a_sy", "b_sx", "b_sy", "sure"))
     sure = near.filter("sure").select(F.col("a_cell").alias("src"), F.col("b_cell").alias("dst")).distinct()
-    open_pairs = near.filter("not sure")
-    if not open_pairs.isEmpty():
-        comp = cut_lineage(components(p.select("cell").distinct(), sure, "cell", "src", "dst", "comp"))
-        left, right = comp.select(F.col("cell").alias("a_cell"), F.col("comp").alias("a_comp")), comp.select(
-            F.col("cell").alias("b_cell"), F.col("comp").alias("b_comp"))
-        open_pairs = open_pairs.join(left, "a_cell").join(right, "b_cell").filter("a_comp <> b_comp")
-        pa = p.select(F.col("sx").alias("a_sx"), F.col("sy").alias("a_sy"), F.col("px").alias("ax"), F.col("py").alias("ay"))
-        pb = p.select(F.col("sx").alias("b_sx"), F.col("sy").alias("b_sy"), F.col("px").alias("bx"), F.col("py").alias("by"))
-        d2 = (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2
-        exact = open_pairs.join(pa, ["a_sx", "a_sy"]).join(pb, ["b_sx", "b_sy"]).filter(d2 <= eps * eps).select(
-            F.col("a_cell").alias("src"), F.col("b_cell").alias("dst")).distinct()
-        sure = sure.unionByName(exact)
-    return p.select(id_col, "cell"), sure
+    comp = cut_lineage(components(p.select("cell").distinct(), sure, "cell", "src", "dst", "comp"))
+    left = comp.select(F.col("cell").alias("a_cell"), F.col("comp").alias("a_comp"))
+    right = comp.select(F.col("cell").alias("b_cell"), F.col("comp").alias("b_comp"))
+    open_pairs = near.filter("not sure").join(left, "a_cell").join(right, "b_cell").filter("a_comp <> b_comp")
+    pa = p.select(F.col("sx").alias("a_sx"), F.col("sy").alias("a_sy"), F.col("px").alias("ax"), F.col("py").alias("ay"))
+    pb = p.select(F.col("sx").alias("b_sx"), F.col("sy").alias("b_sy"), F.col("px").alias("bx"), F.col("py").alias("by"))
+    d2 = (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2
+    links = cut_lineage(open_pairs.join(pa, ["a_sx", "a_sy"]).join(pb, ["b_sx", "b_sy"]).filter(d2 <= eps * eps).select(
+        F.col("a_comp").alias("src"), F.col("b_comp").alias("dst")).distinct())
+    if not links.isEmpty():
+        merged = components(comp.select("comp").distinct(), links, "comp", "src", "dst", "whole")
+        comp = comp.join(merged, "comp").select("cell", F.col("whole").alias("comp"))
+    return p.select(id_col, "cell").join(comp, "cell").select(id_col, F.col("comp").alias("cell_comp"))
 
 
 def inside_ring(px: Column, py: Column, ring: Column) -> Column:
