@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from terrapanel.llm import byte_bpe, packing
 from terrapanel.llm.exact_dedup import exact_duplicates
 
 
@@ -11,6 +14,19 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of every whole text and the bytes they decode to, as digests."""
+    how = {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    tokens = byte_bpe.encode(_table(spark, sf, "documents"), **how)
+    both = byte_bpe.decode(tokens.withColumn("ids_sha256", F.sha2("ids", 256)), text=False, **how)
+    return both.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequences of at most 4096 tokens."""
+    return packing.pack(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
 def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     return exact_duplicates(_table(spark, sf, "documents"), keep="largest")
@@ -21,6 +37,8 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
 }
 ORACLE = {
