@@ -23,10 +23,9 @@ from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer
 from tokenizers import models, pre_tokenizers
 
-from terrapanel.llm.common import text_or_empty
+from terrapanel.llm.common import map_arrow, slices, text_or_empty
 
-ROWS = 1024  # rows handled at a time
-CACHE = 400_000  # matches a worker remembers; it starts again when full, which changes no result
+CACHE = 150_000  # matches a worker remembers; it starts again when full, which changes no result
 
 
 @lru_cache(1)
@@ -55,6 +54,24 @@ def build_tokenizer(ranks: dict[bytes, int], pattern: str) -> Tokenizer:
     return t
 
 
+@lru_cache(2)
+def byte_table(path: str) -> list[bytes]:
+    """The bytes of each id; none for ids that the file leaves out."""
+    ranks = read_ranks(path)
+    table = [b""] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        table[i] = token
+    return table
+
+
+def decode_ids(ids: bytes, table: list[bytes]) -> bytes:
+    """The bytes that packed ids stand for; ids outside the vocabulary stand for none."""
+    own = np.frombuffer(ids, "<u4")
+    if own.size and int(own.max()) >= len(table):
+        own = own[own < len(table)]
+    return b"".join(map(table.__getitem__, own.tolist()))
+
+
 class Encoder:
     """Ids of texts as packed little-endian unsigned 32-bit integers."""
 
@@ -63,12 +80,7 @@ class Encoder:
         self.tokenizer = build_tokenizer(ranks, pattern)
         self.find = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
-        chars = {c: b for b, c in enumerate(byte_characters())}
-        size = max(ranks.values()) + 1
-        self.bytes = [b""] * size
-        for spelled, i in self.tokenizer.get_vocab().items():  # the byte table, reversed
-            self.bytes[i] = bytes(chars[c] for c in spelled)
-        self.lengths = np.array([len(b) for b in self.bytes], np.int64)
+        self.lengths = np.array([len(b) for b in byte_table(path)], np.int64)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known, split = self.known, [self.find(t) for t in texts]
@@ -80,14 +92,6 @@ class Encoder:
             known[m] = np.array(e.ids, "<u4").tobytes()
         return [b"".join(map(known.__getitem__, found)) for found in split]
 
-    def decode(self, ids: bytes) -> bytes:
-        """Ids outside the vocabulary stand for no bytes."""
-        own = np.frombuffer(ids, "<u4")
-        table, size = self.bytes, len(self.bytes)
-        if own.size and int(own.max()) >= size:
-            own = own[own < size]
-        return b"".join(map(table.__getitem__, own.tolist()))
-
     def offsets(self, text: str, ids: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first byte, first character, end character) of each token.
 
@@ -109,8 +113,7 @@ def encoder(path: str, pattern: str) -> Encoder:
 def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, offsets: bool) -> Iterator[pa.RecordBatch]:
     enc = encoder(path, pattern)
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            part = batch.slice(at, ROWS)
+        for part in slices(batch, 1):
             texts = part.column(1).to_pylist()
             ids = enc.encode(texts)
             out = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
@@ -135,23 +138,22 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     fields = [T.StructField("id", own.schema["id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
     if offsets:
         fields += [T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("byte_start", "char_start", "char_end")]
-    out = own.mapInArrow(partial(_encode, path=ranks_path, pattern=pattern, offsets=offsets), T.StructType(fields))
+    out = map_arrow(own, partial(_encode, path=ranks_path, pattern=pattern, offsets=offsets), T.StructType(fields))
     return out.withColumnRenamed("id", id_col)
 
 
-def _decode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, text: bool) -> Iterator[pa.RecordBatch]:
-    enc = encoder(path, pattern)
+def _decode(batches: Iterator[pa.RecordBatch], path: str, text: bool) -> Iterator[pa.RecordBatch]:
+    table = byte_table(path)
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            part = batch.slice(at, ROWS)
-            raw = [enc.decode(x or b"") for x in part.column(batch.num_columns - 1).to_pylist()]
+        for part in slices(batch, batch.num_columns - 1):
+            raw = [decode_ids(x or b"", table) for x in part.column(batch.num_columns - 1).to_pylist()]
             out = [*part.columns[:-1], pa.array(raw, pa.binary())]
             if text:  # whole texts are put together first, so characters split between tokens are whole again
                 out[-1] = pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())
             yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[:-1], "decoded"])
 
 
-def decode(tokens: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", text: bool = True) -> DataFrame:
+def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "ids", text: bool = True) -> DataFrame:
     """`tokens` with `ids_col` replaced by `decoded`: the text, or with text=False its bytes.
 
     Ids cut in the middle of a character leave a replacement character in the
@@ -161,5 +163,5 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids
     # packed under plain names for the batches: the caller's may clash with `decoded`
     own = tokens.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], F.col(f"`{ids_col}`").alias("ids"))
     schema = T.StructType([*own.schema.fields[:-1], T.StructField("decoded", T.StringType() if text else T.BinaryType())])
-    out = own.mapInArrow(partial(_decode, path=ranks_path, pattern=pattern, text=text), schema)
+    out = map_arrow(own, partial(_decode, path=ranks_path, text=text), schema)
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], "decoded")

@@ -2,14 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import tempfile
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrapanel.session import store
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="terrapanel-")) / "terrapanel.zip"  # Spark's file server hands it out
+        with zipfile.ZipFile(archive, "w") as z:
+            for file in sorted(package.rglob("*.py")):
+                z.write(file, file.relative_to(package.parent))
+        sc.addPyFile(str(archive))
+        _shipped.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema: T.StructType | str) -> DataFrame:
+    """`df.mapInArrow`, for functions of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def text_or_empty(col: str) -> Column:
     """The text as a string, NULL as the empty text."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
@@ -30,4 +59,37 @@ def packed(df: DataFrame, *cols: Column) -> DataFrame:
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("__row"), *cols)
 
 
-__all__ = ["let", "packed", "same", "store", "text_or_empty"]
+def text_key(col: str) -> Column:
+    """128 bits of the whole text's SHA-256; NULL counts as empty."""
+    return F.unhex(F.substring(F.sha2(text_or_empty(f"`{col}`"), 256), 1, 32))
+
+
+def keep_decided(docs: DataFrame, id_col: str, text_col: str, decided: DataFrame) -> DataFrame:
+    """The rows of `docs` that `decided` (id, key, kept; a row for each of them) keeps.
+
+    Rows are found by id and text. Of rows that repeat both, as many stay as
+    were kept, one at most; they differ in nothing that was compared.
+    """
+    gone = decided.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(
+        F.min("kept").alias("__all"), F.max("kept").alias("__one")).filter("NOT __all")
+    rows = packed(docs, docs[f"`{id_col}`"].alias("__doc"), text_key(text_col).alias("__own"))
+    rows = rows.join(gone, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left")
+    once = rows.filter("__one").groupBy("__doc", "__own").agg(F.first("__row").alias("__row"))
+    return rows.filter("__one IS NULL").select("__row.*").unionByName(once.select("__row.*"))
+
+
+SLICE = 1_000_000  # bytes of text a worker handles at a time
+
+
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of `batch` with about SLICE bytes in column `text`; a longer text is a slice of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    at = 0
+    while at < batch.num_rows:
+        most = (size[at - 1] if at else 0) + SLICE
+        end = max(at + 1, int(np.searchsorted(size, most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+__all__ = ["keep_decided", "let", "map_arrow", "packed", "same", "ship", "slices", "store", "text_key", "text_or_empty"]

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.llm.common import packed, store, text_or_empty
+from terrapanel.llm.common import keep_decided, store, text_or_empty
 
 _KEY = ["sha", "bytes", "check"]
 
@@ -54,6 +54,13 @@ def merge_runs(rows: DataFrame, keep: str = "smallest", fan_in: int = 8) -> tupl
     return first, level
 
 
+def _decided(docs: DataFrame, id_col: str, text_col: str, keep: str, fan_in: int) -> DataFrame:
+    rows = digest_rows(docs, id_col, text_col)
+    first, last = merge_runs(rows, keep, fan_in)
+    back = first.select("run", *_KEY).join(last.select(*_KEY, F.col("keep").alias("best"), "n"), _KEY)
+    return rows.join(back, ["run", *_KEY]).select("id", "sha", "n", F.col("best.id").alias("keep_id"), (F.col("uid") == F.col("best.uid")).alias("kept"))
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest",
                      fan_in: int = 8) -> DataFrame:
     """One row for each document: id, keep_id, group_size, kept, text_sha256.
@@ -62,23 +69,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Exactly one row of each group has `kept`, also where rows repeat an id.
     Other columns of `docs` are not read. An empty table gives no rows.
     """
-    rows = digest_rows(docs, id_col, text_col)
-    first, last = merge_runs(rows, keep, fan_in)
-    back = first.select("run", *_KEY).join(last.select(*_KEY, "keep", "n"), _KEY)
-    out = rows.join(back, ["run", *_KEY])
-    return out.select(
-        F.col("id").alias(id_col), F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"),
-        (F.col("uid") == F.col("keep.uid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return _decided(docs, id_col, text_col, keep, fan_in).select(
+        F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest",
                           fan_in: int = 8) -> DataFrame:
     """`docs` with one row of each group of equal texts, all its columns unchanged."""
-    found = exact_duplicates(docs, id_col, text_col, keep, fan_in)
-    dropped = found.groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).agg(
-        F.sum((~F.col("kept")).cast("int")).alias("__gone"), F.max("kept").alias("__once")).filter("__gone > 0")
-    rows = packed(docs, F.col(f"`{id_col}`").alias("__doc"), F.sha2(text_or_empty(f"`{text_col}`"), 256).alias("__digest"))
-    rows = rows.join(dropped, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left")
-    # of rows that repeat both id and text one is taken; it may be any, they differ in no column that was compared
-    once = rows.filter("__once").groupBy("__doc", "__digest").agg(F.first("__row").alias("__row"))
-    return rows.filter("__gone IS NULL").select("__row.*").unionByName(once.select("__row.*"))
+    decided = _decided(docs, id_col, text_col, keep, fan_in)
+    return keep_decided(docs, id_col, text_col, decided.select("id", F.substring("sha", 1, 16).alias("key"), "kept"))

@@ -26,10 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from terrapanel.llm.common import store, text_or_empty
+from terrapanel.llm.common import map_arrow, slices, store, text_or_empty
 
-ROWS = 1024  # rows handled at a time
-CACHE = 400_000  # words a worker remembers; it starts again when full, which changes no result
+CACHE = 200_000  # words a worker remembers; it starts again when full, which changes no result
 RUNS_BROADCAST = 200_000  # a plan of at most so many runs (about 10 MB) is broadcast, a longer one is joined by shuffle
 
 PLAN_SCHEMA = "length int, first long, last long, each long, bin long, at long"
@@ -144,8 +143,7 @@ def encode_words(texts: list[str], path: str) -> list[bytes]:
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            part = batch.slice(at, ROWS)
+        for part in slices(batch, 1):
             row, piece, start, length, crc = [], [], [], [], []
             for r, ids in enumerate(encode_words(part.column(1).to_pylist(), path)):
                 ids += end
@@ -167,7 +165,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_i
     own = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(f"`{text_col}`").alias("text"))
     schema = T.StructType([T.StructField("id", own.schema["id"].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
                            T.StructField("length", T.IntegerType()), T.StructField("ids_crc32", T.LongType())])
-    return own.mapInArrow(partial(_pieces, path=tokenizer_path, capacity=capacity, end_id=end_id), schema)
+    return map_arrow(own, partial(_pieces, path=tokenizer_path, capacity=capacity, end_id=end_id), schema)
 
 
 def assign_bins(pieces: DataFrame, capacity: int, order: list[str]) -> DataFrame:

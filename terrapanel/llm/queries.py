@@ -6,8 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import byte_bpe, packing
+from terrapanel.llm import byte_bpe, packing, topk, toxicity, warc
+from terrapanel.llm.common import text_or_empty
 from terrapanel.llm.exact_dedup import exact_duplicates
+from terrapanel.llm.near_dedup import near_duplicates
+from terrapanel.session import shared_folder
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -16,12 +19,38 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def op1_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of every whole text and the bytes they decode to, as digests."""
-    how = {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
-    tokens = byte_bpe.encode(_table(spark, sf, "documents"), **how)
-    both = byte_bpe.decode(tokens.withColumn("ids_sha256", F.sha2("ids", 256)), text=False, **how)
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokens = byte_bpe.encode(_table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN)
+    both = byte_bpe.decode(tokens.withColumn("ids_sha256", F.sha2("ids", 256)), ranks, text=False)
     return both.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all documents by a model of four fifths of the labels."""
+    docs = _table(spark, sf, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.train(docs, _table(spark, sf, "labels").filter(~held_out))
+    scored = docs.select("doc_id", toxicity.score_column(model, text_or_empty("text")).alias("t"))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "t.score",
+                         (F.col("t.score") >= 0.5).cast("int").alias("predicted"), "t.toxic_sentences")
+
+
+def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page written to WARC archives and read back from them."""
+    pages, path = _table(spark, sf, "pages"), shared_folder(spark, "warc")
+    warc.write_archives(pages, path)
+    key = pages.schema["page_id"].dataType
+    return warc.read_archives(spark, path, payload=False).filter("gap IS NULL").select(
+        F.col("key").cast(key).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(key).alias("refers_to"))
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, sha256(h) AS payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f"""
+
+
 def op5_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Sequences of at most 4096 tokens."""
     return packing.pack(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
@@ -36,11 +65,34 @@ OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 
+def op9_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Classes of documents whose five-word shingles are at least 0.8 alike."""
+    return near_duplicates(_table(spark, sf, "documents"), words=5, similarity=0.8)
+
+
+def op10_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    """The five best inner products for every fiftieth vector."""
+    return topk.top_k(_table(spark, sf, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+OP10_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e))
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)"""
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_toxicity": op3_toxicity,
+    "op4_warc": op4_warc,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_exact_top_k": op10_exact_top_k,
 }
 ORACLE = {
+    "op4_warc": OP4_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op10_exact_top_k": OP10_SQL,
 }
