@@ -15,6 +15,9 @@ largest first, go to the bin with the smallest gap that takes them.
 from __future__ import annotations
 
 import bisect
+import json
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -26,9 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from terrapanel.llm.byte_bpe import byte_characters
 from terrapanel.llm.common import map_arrow, slices, store, text_or_empty
 
-CACHE = 200_000  # words a worker remembers; it starts again when full, which changes no result
+CACHE = 600_000  # words a worker remembers; it starts again when full, which changes no result
 RUNS_BROADCAST = 200_000  # a plan of at most so many runs (about 10 MB) is broadcast, a longer one is joined by shuffle
 
 PLAN_SCHEMA = "length int, first long, last long, each long, bin long, at long"
@@ -116,11 +120,57 @@ def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, in
     return runs, bins
 
 
+# the normaliser and splitter that `_Words` takes apart itself, as a tokenizer file states them; fixed values
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+# the same split for texts of these characters, which normalisation only turns to lower case
+_PLAIN = re.compile("[!-~\u00c0-\u00ff]+")
+_PLAIN_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+class _Words(dict):
+    """Packed ids of words, filled as they are met.
+
+    A word of plain characters is split here and each new part given to the
+    model, where the tokenizer file has the splitter above; other words, and
+    all words of other tokenizers, are encoded as they are.
+    """
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their spelling in a text is ordinary text
+        stated = json.loads(self.tokenizer.to_str())
+        steps = (stated["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.plain = (stated["normalizer"] == _NORMALIZER and steps[0].get("pattern") == {"Regex": _SPLIT} and steps[0].get("invert") is True
+                      and [x["type"] for x in steps] == ["Split", "ByteLevel"] and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"])
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, text: str) -> bytes:
+        if text not in self.parts:
+            if len(self.parts) >= CACHE:
+                self.parts.clear()
+            spelled = text if text.isascii() else "".join(map(byte_characters().__getitem__, text.encode()))
+            ids = [x.id for x in self.tokenizer.model.tokenize(spelled)]
+            self.parts[text] = struct.pack(f"<{len(ids)}I", *ids)
+        return self.parts[text]
+
+    def __missing__(self, word: str) -> bytes:
+        if self.plain and _PLAIN.fullmatch(word):
+            out = b"".join(map(self.part, _PLAIN_SPLIT.findall(word.lower())))
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = out
+        return out
+
+
 @lru_cache(2)
-def _tokenizer(path: str) -> tuple[Tokenizer, dict[str, bytes]]:
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their spelling in a text is ordinary text
-    return t, {"": b""}
+def _words(path: str) -> _Words:
+    return _Words(path)
 
 
 def encode_words(texts: list[str], path: str) -> list[bytes]:
@@ -129,15 +179,8 @@ def encode_words(texts: list[str], path: str) -> list[bytes]:
     Its ids of a text are those of the parts between spaces and line feeds, one
     after the other, so each distinct part is tokenised once.
     """
-    t, known = _tokenizer(path)
-    split = [x.replace("\n", " ").split(" ") for x in texts]
-    new = list({w for words in split for w in words if w not in known})
-    if len(known) + len(new) > CACHE:
-        known.clear()
-        new = list({w for words in split for w in words})
-    for w, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False)):
-        known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+    known = _words(path).__getitem__
+    return [b"".join(map(known, text.replace("\n", " ").split(" "))) for text in texts]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
