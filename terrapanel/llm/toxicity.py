@@ -154,9 +154,9 @@ def fit_noisy_or(toxic: np.ndarray, plain: np.ndarray, features: list[np.ndarray
         z = b + np.bincount(sentence_of, w[f], len(size))
         p = 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
         p0 = 1.0 / (1.0 + np.exp(-b))
-        all_clean = np.bincount(doc_of, -np.logaddexp(0.0, z), n) - plain * np.logaddexp(0.0, b)
+        all_clean = np.bincount(doc_of, -np.logaddexp(0.0, z), n) - plain * np.logaddexp(0.0, b)  # log probability
         # slope of the loss by each sentence's z is pull * p
-        pull = np.where(y, -1.0 / np.maximum(np.expm1(-np.minimum(all_clean, -1e-9)), 1e-9), 1.0)
+        pull = np.where(y, -1.0 / np.maximum(np.expm1(np.clip(-all_clean, 1e-9, 600.0)), 1e-9), 1.0)
         slope = pull[doc_of] * p
         g = np.append(np.bincount(f, slope[sentence_of], n_features) + ridge * w, slope.sum() + (pull * plain).sum() * p0) / n
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
