@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import byte_bpe, packing, topk, toxicity, warc
+from terrapanel.llm import byte_bpe, packing, pii, topk, toxicity, url_filter, warc
 from terrapanel.llm.common import text_or_empty
 from terrapanel.llm.exact_dedup import exact_duplicates
 from terrapanel.llm.near_dedup import near_duplicates
@@ -25,6 +25,13 @@ def op1_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in all documents."""
+    found = pii.find_pii(_table(spark, sf, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", pii.base_digest(F.col("base")).alias("base_sha256"),
+                        pii.spans_text(F.col("spans")).alias("spans"), "n_added")
+
+
 def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of all documents by a model of four fifths of the labels."""
     docs = _table(spark, sf, "documents")
@@ -56,6 +63,15 @@ def op5_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+RULES = [url_filter.Rule("allow", "com/"), url_filter.Rule("block", "example.com/en/"), url_filter.Rule("allow", "www.example.com/en/"),
+         url_filter.Rule("block", "net/es/"), url_filter.Rule("block", "net/fr/")]
+
+
+def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page's url judged by rules, else by its host's place in the link graph."""
+    return url_filter.judge(_table(spark, sf, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     return exact_duplicates(_table(spark, sf, "documents"), keep="largest")
@@ -84,9 +100,11 @@ SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FRO
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_pii": op2_pii,
     "op3_toxicity": op3_toxicity,
     "op4_warc": op4_warc,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_url_filter": op6_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_exact_top_k": op10_exact_top_k,
