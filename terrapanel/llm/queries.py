@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import byte_bpe, packing, pii, topk, toxicity, url_filter, warc
+from terrapanel.llm import byte_bpe, packing, pii, secret_scan, topk, toxicity, url_filter, warc
 from terrapanel.llm.common import text_or_empty
 from terrapanel.llm.exact_dedup import exact_duplicates
 from terrapanel.llm.near_dedup import near_duplicates
@@ -72,6 +72,11 @@ def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Every token-like string of all documents with the probability that it is a secret."""
+    return secret_scan.scan(_table(spark, sf, "documents"), path_col="source")
+
+
 def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     return exact_duplicates(_table(spark, sf, "documents"), keep="largest")
@@ -105,6 +110,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_url_filter": op6_url_filter,
+    "op7_secret_scan": op7_secret_scan,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_exact_top_k": op10_exact_top_k,
