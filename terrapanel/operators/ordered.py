@@ -13,10 +13,9 @@ later steps read that copy.
 `order` must be total: end it with columns that identify a row, so that equal
 values can be spread over partitions as well.
 
-A frame that Spark's own statistics put below `spark.terrapanel.windowBytes`
-(64 MB) cannot hold a group too large for one task; it takes a plain window and
-stays lazy. Estimates after joins are high rather than low, and an unknown size
-counts as large.
+After the range shuffle every step is keyed by (partition, group): rows are
+hashed once by that key, and windows, offsets and runs of equal values all use
+the same partitioning. What is joined to the rows is one small table.
 """
 
 from __future__ import annotations
@@ -27,27 +26,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrapanel.functions.nulls import asc_last, desc_last, null_safe_join
+from terrapanel.functions.nulls import asc_last, desc_last
 from terrapanel.session import cut_lineage
 
-_SEG, _POS, _BEFORE, _FIRST = "__seg", "__pos", "__before", "__first"
-_SCRATCH = (_SEG, _POS, _BEFORE, _FIRST)
-WINDOW_BYTES = 64 << 20
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    """Whether the whole frame is estimated to be small enough for one task."""
-    limit = int(df.sparkSession.conf.get("spark.terrapanel.windowBytes", str(WINDOW_BYTES)))
-    if limit <= 0:
-        return False
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
-    except ValueError:  # estimates multiply along joins and can outgrow what Python parses
-        return False
+_SEG, _GRP, _POS, _BEFORE, _FIRST, _ALL = "__seg", "__g", "__pos", "__before", "__first", "__grp"
+_KEY = [_SEG, _GRP]
+_SCRATCH = (*_KEY, _POS, _BEFORE, _FIRST, _ALL)
 
 
 def _place(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Range-partition and sort by (group, order); number rows within partitions."""
+    """Range-partition and sort by (group, order); number rows within partitions.
+
+    The group's columns also make one struct, whose comparison takes NULLs as equal.
+    """
     keys = [F.col(g).asc_nulls_last() for g in group] + list(order)
     placed = (
         df.repartitionByRange(*keys)
@@ -55,42 +46,38 @@ def _place(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> Data
         .withColumn(_POS, F.monotonically_increasing_id())
         # the id holds the partition number in its upper 31 bits
         .withColumn(_SEG, F.shiftright(_POS, 33))
+        .withColumn(_GRP, F.struct(*[F.col(g).alias(f"g{k}") for k, g in enumerate(group)] or [F.lit(0).alias("g0")]))
     )
     return cut_lineage(placed)
 
 
-def _offsets(placed: DataFrame, group: Sequence[str], sums: dict[str, Column] | None = None) -> DataFrame:
-    """Per (group, partition): rows and sums that come before it in the group."""
+def _offsets(placed: DataFrame, sums: dict[str, Column] | None = None, extra: Sequence[Column] = ()) -> DataFrame:
+    """Per (partition, group): rows and sums that come before it in the group, and `extra` aggregates."""
     sums = sums or {}
-    seg = placed.groupBy(*group, _SEG).agg(
+    seg = placed.groupBy(*_KEY).agg(
         F.count(F.lit(1)).alias("__c"),
         F.min(_POS).alias(_FIRST),
-        *[F.sum(e).alias(f"__s_{name}") for name, e in sums.items()],
+        *[F.sum(e).alias(f"__s_{name}") for name, e in sums.items()], *extra,
     )
     # at most one row per partition and group: a bounded window
-    prior = Window.partitionBy(*group).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
-    out = {_BEFORE: F.coalesce(F.sum("__c").over(prior), F.lit(0)), "__grp": F.sum("__c").over(whole)}
+    prior = Window.partitionBy(_GRP).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(_GRP)
+    out = {_BEFORE: F.coalesce(F.sum("__c").over(prior), F.lit(0)), _ALL: F.sum("__c").over(whole)}
     for name in sums:
         out[f"__o_{name}"] = F.coalesce(F.sum(f"__s_{name}").over(prior), F.lit(0))
         out[f"__t_{name}"] = F.sum(f"__s_{name}").over(whole)
     return seg.withColumns(out).drop("__c", *[f"__s_{name}" for name in sums])
 
 
-def _numbered(placed: DataFrame, group: Sequence[str], rn: str, n: str) -> DataFrame:
-    """Attach the exact position in the group and the group's size."""
-    rows = null_safe_join(placed, _offsets(placed, group), [*group, _SEG])
-    return rows.withColumns(
-        {rn: (F.col(_BEFORE) + F.col(_POS) - F.col(_FIRST) + 1).cast("bigint"), n: F.col("__grp").cast("bigint")}
-    ).drop("__grp", _BEFORE, _FIRST)
+def _position() -> Column:
+    return (F.col(_BEFORE) + F.col(_POS) - F.col(_FIRST) + 1).cast("bigint")
 
 
 def row_numbers(df: DataFrame, group: Sequence[str], order: Sequence[Column], rn: str = "rn", n: str = "n") -> DataFrame:
     """`row_number()` and group size for groups of any size (`group` may be empty)."""
-    if fits_one_task(df):
-        w = Window.partitionBy(*group)
-        return df.withColumns({rn: F.row_number().over(w.orderBy(*order)).cast("bigint"), n: F.count(F.lit(1)).over(w)})
-    return _numbered(_place(df, group, order), group, rn, n).drop(_SEG, _POS)
+    placed = _place(df, group, order)
+    rows = placed.join(_offsets(placed), _KEY)
+    return rows.withColumns({rn: _position(), n: F.col(_ALL).cast("bigint")}).drop(*_SCRATCH)
 
 
 def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[Column], sums: dict[str, Column],
@@ -99,23 +86,16 @@ def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[Column], s
 
     Adds `<name>` and, with `totals`, `<name>_total` (the group's whole sum).
     """
-    if fits_one_task(df):
-        w = Window.partitionBy(*group)
-        o = w.orderBy(*order)
-        new = {rn: F.row_number().over(o).cast("bigint")} if rn else {}
-        new |= {name: F.sum(e).over(o.rowsBetween(Window.unboundedPreceding, 0)) for name, e in sums.items()}
-        new |= {f"{name}_total": F.sum(e).over(w) for name, e in sums.items()} if totals else {}
-        return df.withColumns(new)
     placed = _place(df, group, order)
-    local = Window.partitionBy(_SEG, *group).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
-    rows = null_safe_join(placed, _offsets(placed, group, sums), [*group, _SEG])
-    if rn:
-        rows = rows.withColumn(rn, (F.col(_BEFORE) + F.col(_POS) - F.col(_FIRST) + 1).cast("bigint"))
-    out = {name: F.col(f"__o_{name}") + F.sum(e).over(local) for name, e in sums.items()}
+    local = Window.partitionBy(*_KEY).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
+    rows = placed.repartition(*_KEY).withColumns({f"__l_{name}": F.sum(e).over(local) for name, e in sums.items()})
+    rows = rows.join(_offsets(placed, sums), _KEY)
+    out = {rn: _position()} if rn else {}
+    out |= {name: F.col(f"__o_{name}") + F.col(f"__l_{name}") for name in sums}
     if totals:
-        out.update({f"{name}_total": F.col(f"__t_{name}") for name in sums})
-    drop = [f"__{p}_{name}" for name in sums for p in "ot"]
-    return rows.withColumns(out).drop("__grp", *drop, *_SCRATCH)
+        out |= {f"{name}_total": F.col(f"__t_{name}") for name in sums}
+    drop = [f"__{p}_{name}" for name in sums for p in "otl"]
+    return rows.withColumns(out).drop(*drop, *_SCRATCH)
 
 
 def ranks(df: DataFrame, group: Sequence[str], value: str, ids: Sequence[str], *, descending: bool = False,
@@ -133,50 +113,50 @@ def ranks(df: DataFrame, group: Sequence[str], value: str, ids: Sequence[str], *
         work = df.withColumn("__known", F.col(value).isNotNull())
         part.append("__known")
     first = desc_last(value) if descending else asc_last(value)
-    order = [first, *[asc_last(i) for i in ids]]
-    if fits_one_task(work):
-        w = Window.partitionBy(*part)
-        new = {"__rn": F.row_number().over(w.orderBy(*order)), "__rank": F.rank().over(w.orderBy(first)),
-               "__ties": F.count(F.lit(1)).over(Window.partitionBy(*part, value)), "__n": F.count(F.lit(1)).over(w)}
-        if dense:
-            new["__dense"] = F.dense_rank().over(w.orderBy(first))
-        rows = work.withColumns({c: e.cast("bigint") for c, e in new.items()})
-        return rows if keep_nulls else _mask(rows, list(new))
-    placed = _place(work, part, order)
-    rows = _numbered(placed, part, "__rn", "__n")
-
-    # Runs of equal values: first position and length, inside each partition.
-    run = Window.partitionBy(_SEG, *part, value)
-    rows = rows.withColumns({"__rank": F.min("__rn").over(run), "__ties": F.count(F.lit(1)).over(run)})
-
-    # A run can cross partitions only through values at a partition's edge;
-    # there are at most two of those per (partition, group).
-    edges = placed.groupBy(*part, _SEG).agg(
-        F.min_by(F.struct(value), _POS).alias("__a"), F.max_by(F.struct(value), _POS).alias("__z"))
-    edges = edges.select(*part, _SEG, F.explode(F.array_distinct(F.array("__a", "__z"))).alias("__e")).select(
-        *part, _SEG, F.col(f"__e.{value}").alias(value))
-    crossing = edges.withColumn("__k", F.count(F.lit(1)).over(Window.partitionBy(*part, value))).filter("__k > 1")
-    seg_counts = null_safe_join(placed, crossing.drop("__k"), [*part, _SEG, value]).groupBy(*part, _SEG, value).agg(
-        F.count(F.lit(1)).alias("__c"), F.min(_POS).alias("__p"))
-    offs = _offsets(placed, part).select(*part, _SEG, _BEFORE, _FIRST)
-    starts = null_safe_join(seg_counts, offs, [*part, _SEG]).withColumn(
-        "__start", F.col(_BEFORE) + F.col("__p") - F.col(_FIRST) + 1)
-    across = Window.partitionBy(*part, value)
-    fixed = starts.select(*part, _SEG, value, F.min("__start").over(across).alias("__rank_x"),
-                          F.sum("__c").over(across).alias("__ties_x"))
-    rows = null_safe_join(rows, fixed, [*part, _SEG, value], "left").withColumns({
-        "__rank": F.coalesce("__rank_x", "__rank"), "__ties": F.coalesce("__ties_x", "__ties")}).drop("__rank_x", "__ties_x")
+    placed = _place(work, part, [first, *[asc_last(i) for i in ids]])
+
+    # Runs of equal values inside each partition. A run can go on in other
+    # partitions only through a partition's first and last value.
+    run = Window.partitionBy(*_KEY, value)
+    rows = placed.repartition(*_KEY).withColumns({"__from": F.min(_POS).over(run), "__run": F.count(F.lit(1)).over(run)})
+    rows = rows.join(_edges(rows, value), _KEY)
+    at_first, at_last = (F.col(value).eqNullSafe(F.col(f"{e}.v")) for e in ("__a", "__z"))
+    place = F.col(_BEFORE) - F.col(_FIRST) + 1
+    rows = rows.withColumns({
+        "__rn": _position(), "__n": F.col(_ALL).cast("bigint"),
+        "__rank": F.when(at_first, F.col("__a.rank")).when(at_last, F.col("__z.rank")).otherwise(place + F.col("__from")).cast("bigint"),
+        "__ties": F.when(at_first, F.col("__a.ties")).when(at_last, F.col("__z.ties")).otherwise(F.col("__run")).cast("bigint"),
+    }).drop("__from", "__run", "__a", "__z", _BEFORE, _FIRST, _ALL)
 
     if dense:
         rows = rows.withColumn("__first_of_run", F.when(F.col("__rn") == F.col("__rank"), 1).otherwise(0))
-        offs = _offsets(rows, part, {"d": F.col("__first_of_run")}).select(*part, _SEG, "__o_d")
-        local = Window.partitionBy(_SEG, *part).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
-        rows = null_safe_join(rows, offs, [*part, _SEG]).withColumn(
-            "__dense", F.col("__o_d") + F.sum("__first_of_run").over(local)).drop("__o_d", "__first_of_run")
-    rows = rows.drop(_SEG, _POS)
+        offs = _offsets(rows, {"d": F.col("__first_of_run")}).select(*_KEY, "__o_d")
+        local = Window.partitionBy(*_KEY).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("__l_d", F.sum("__first_of_run").over(local)).join(offs, _KEY).withColumn(
+            "__dense", F.col("__o_d") + F.col("__l_d")).drop("__o_d", "__l_d", "__first_of_run")
+    rows = rows.drop(*_KEY, _POS)
     return rows if keep_nulls else _mask(rows, ["__rn", "__rank", "__ties", "__n"] + (["__dense"] if dense else []))
 
 
+def _edges(rows: DataFrame, value: str) -> DataFrame:
+    """Offsets per (partition, group), with its first and last value (`__a`, `__z`) and their ranks and ties in the group.
+
+    `rows` carry the first position `__from` and length `__run` of their run.
+    After the first aggregation there are two rows at most per partition and group.
+    """
+    end = F.struct(F.col(value).alias("v"), "__from", "__run")
+    base = _offsets(rows, extra=[F.min_by(end, _POS).alias("__a"), F.max_by(end, _POS).alias("__z")])
+    ends = base.select(*_KEY, (F.col(_BEFORE) - F.col(_FIRST) + 1).alias("__place"), F.explode(F.array_distinct(F.array("__a", "__z"))).alias("__e"))
+    across = Window.partitionBy(_GRP, "__e.v")
+    known = ends.select(*_KEY, F.struct(
+        F.col("__e.v").alias("v"), F.min(F.col("__place") + F.col("__e.__from")).over(across).alias("rank"),
+        F.sum("__e.__run").over(across).alias("ties")).alias("__k"))
+    both = base.join(known.groupBy(*_KEY).agg(F.collect_list("__k").alias("__ends")), _KEY)
+    for e in ("__a", "__z"):
+        both = both.withColumn(e, F.filter("__ends", lambda k: k["v"].eqNullSafe(F.col(f"{e}.v")))[0])
+    return both.drop("__ends")
+
+
 def _mask(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
     """NULL ranks for rows without a value."""
     return rows.withColumns({c: F.when(F.col("__known"), F.col(c)) for c in cols}).drop("__known")

@@ -18,14 +18,6 @@ def spark():
     return s
 
 
-@pytest.fixture(params=["split", "window"])
-def both_ways(request, spark):
-    """Run a test with ordered operators split over partitions and with plain windows."""
-    spark.conf.set("spark.terrapanel.windowBytes", "0" if request.param == "split" else str(1 << 62))
-    yield request.param
-    spark.conf.unset("spark.terrapanel.windowBytes")
-
-
 @pytest.fixture
 def frame(spark):
     return lambda rows, schema: spark.createDataFrame(rows, schema)

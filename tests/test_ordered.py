@@ -15,9 +15,6 @@ from terrapanel.operators import ordered as O
 from terrapanel.operators import ranking as K
 
 
-pytestmark = pytest.mark.usefixtures("both_ways")
-
-
 def rows(n=1200, seed=3):
     rnd = random.Random(seed)
     out = []
