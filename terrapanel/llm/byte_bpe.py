@@ -11,6 +11,7 @@ merges never cross a match.
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -25,7 +26,7 @@ from tokenizers import models, pre_tokenizers
 
 from terrapanel.llm.common import map_arrow, slices, text_or_empty
 
-CACHE = 150_000  # matches a worker remembers; it starts again when full, which changes no result
+CACHE = 300_000  # matches a worker remembers; it starts again when full, which changes no result
 
 
 @lru_cache(1)
@@ -72,25 +73,25 @@ def decode_ids(ids: bytes, table: list[bytes]) -> bytes:
     return b"".join(map(table.__getitem__, own.tolist()))
 
 
-class Encoder:
-    """Ids of texts as packed little-endian unsigned 32-bit integers."""
+class Encoder(dict):
+    """Ids of texts as packed little-endian unsigned 32-bit integers; keeps those of each match of the pattern it has met."""
 
     def __init__(self, path: str, pattern: str):
-        ranks = read_ranks(path)
-        self.tokenizer = build_tokenizer(ranks, pattern)
+        super().__init__()
+        self.model = build_tokenizer(read_ranks(path), pattern).model
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
         self.lengths = np.array([len(b) for b in byte_table(path)], np.int64)
 
+    def __missing__(self, match: str) -> bytes:
+        # a match is what the tokenizer's splitter hands to its model, once spelled in byte characters
+        ids = [t.id for t in self.model.tokenize("".join(map(byte_characters().__getitem__, match.encode())))]
+        if len(self) >= CACHE:
+            self.clear()
+        out = self[match] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        known, split = self.known, [self.find(t) for t in texts]
-        new = list({m for found in split for m in found if m not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list({m for found in split for m in found})
-        for m, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[m] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, found)) for found in split]
+        return [b"".join(map(self.__getitem__, self.find(t))) for t in texts]
 
     def offsets(self, text: str, ids: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first byte, first character, end character) of each token.

@@ -10,11 +10,13 @@ only so many are thrown as the document's total weight needs to fill every
 coordinate, so a long document throws few darts at each shingle.
 
 Documents whose signatures agree on all coordinates of a band meet in a bucket.
-Within a bucket members are not compared pair by pair: a few leaders are
-compared with the members outside their own class, links that hold are merged
-into classes, and the next round takes twice as many leaders in buckets that
-still hold several classes, until every two members of different classes have
-been compared. A bucket of near copies is settled by its first leader.
+Within a bucket members are not compared pair by pair. First one leader, the
+member with most company in all its buckets, is compared with the others;
+links that hold are merged into classes, which settles groups of near copies.
+In buckets that still hold several classes, a bound from the shingles that no
+other open document has rules most pairs out: they count in the union of any
+pair and never in its overlap. Pairs that the bound leaves are compared in
+rounds of growing size, until none is left between different classes.
 Similarity is exact, from the shingle sets.
 """
 
@@ -186,27 +188,59 @@ def _elements(batches: Iterator[pa.RecordBatch], words: int, counted: bool) -> I
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int64()))], ["uid", "elements"])
 
 
-def _new_pairs(members: DataFrame, classes: DataFrame | None, leaders: int) -> tuple[DataFrame, DataFrame | None]:
-    """(pairs, open buckets): pairs (a, b) of a leader and a member of another class that share a bucket.
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): each bucket's leader, the member whose buckets have most members, with every other member."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    company = members.join(sizes, "bucket").groupBy("uid").agg(F.sum("n").alias("company"))
+    lead = members.join(company, "uid").groupBy("bucket").agg(F.max_by(F.col("uid"), F.struct("company", -F.col("uid"))).alias("lead"))
+    pairs = members.join(lead, "bucket").filter("uid <> lead")
+    return pairs.select(F.least("lead", "uid").alias("a"), F.greatest("lead", "uid").alias("b")).distinct()
 
-    At first every document is a class and a bucket's leader is its smallest
-    member. Later only buckets with several classes count, and leaders are the
-    smallest `leaders` members outside the class that has most members there.
-    """
-    if classes is None:
-        lead = members.groupBy("bucket").agg(F.min("uid").alias("a"))
-        pairs = members.join(lead, "bucket").filter("uid <> a").select("a", F.col("uid").alias("b"))
-        return pairs.distinct(), None
+
+def _open_members(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(uid, bucket, class, main): members of buckets with several classes; `main` is the class with most members there."""
     rows = members.join(classes, "uid")
     sizes = rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
-    buckets = sizes.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("classes"), F.sum("n").alias("all"), F.max(F.struct("n", "class")).alias("top")).filter("classes > 1")
-    rows = rows.join(buckets.select("bucket", F.col("top.class").alias("main")), "bucket")
+    buckets = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "class")).alias("top")).filter("classes > 1")
+    return rows.join(buckets.select("bucket", F.col("top.class").alias("main")), "bucket")
+
+
+def _room(open_: DataFrame, elements: DataFrame) -> DataFrame:
+    """(uid, own, shared): how many of a document's shingles no other open document has, and how many some have."""
+    docs = elements.join(open_.select("uid").distinct(), "uid", "left_semi")
+    each = docs.select("uid", F.explode("elements").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid"))
+    own = each.filter("n = 1").groupBy("uid").agg(F.count(F.lit(1)).alias("own"))
+    sized = docs.select("uid", F.size("elements").alias("size")).join(own, "uid", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    return sized.select("uid", "own", (F.col("size") - F.col("own")).alias("shared"))
+
+
+def _further_pairs(open_: DataFrame, room: DataFrame, similarity: float, leaders: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, most): pairs of a leader and a member of another class whose similarity the bound allows to suffice.
+
+    Leaders are the smallest `leaders` members of a bucket outside its main
+    class that could be linked with anything; `most` is how many it has at most.
+    """
+    rows = open_.join(room, "uid")
+    able = F.col("shared") >= similarity * (F.col("shared") + F.col("own"))
+    rows = rows.filter(able)
+    outside = rows.filter("class <> main")
     nth = F.row_number().over(Window.partitionBy("bucket").orderBy("uid"))
-    lead = rows.filter("class <> main").withColumn("nth", nth).filter(F.col("nth") <= leaders).select(
-        "bucket", F.col("uid").alias("lead"), F.col("class").alias("lead_class"))
-    pairs = rows.join(lead, "bucket").filter("class <> lead_class").select(F.least("lead", "uid").alias("a"), F.greatest("lead", "uid").alias("b"))
-    return pairs.distinct(), buckets.agg(F.max(F.col("all") - F.col("top.n")).alias("most"))
+    lead = outside.withColumn("nth", nth).filter(F.col("nth") <= leaders).select(
+        "bucket", F.col("uid").alias("lead"), F.col("class").alias("lead_class"), F.col("own").alias("lead_own"), F.col("shared").alias("lead_shared"))
+    union = F.col("own") + F.col("lead_own") + F.greatest("shared", "lead_shared")
+    fits = (rows["class"] != F.col("lead_class")) & (F.least("shared", "lead_shared") >= similarity * union)
+    pairs = rows.join(lead, (rows["bucket"] == lead["bucket"]) & fits).select(F.least("lead", "uid").alias("a"), F.greatest("lead", "uid").alias("b"))
+    most = outside.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"))
+    return pairs.distinct(), most
+
+
+def _merge(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """`classes` (uid, class) with the classes that `links` (a, b) connect made one, named by the smallest."""
+    a, b = classes.withColumnsRenamed({"uid": "a", "class": "class_a"}), classes.withColumnsRenamed({"uid": "b", "class": "class_b"})
+    edges = store(links.join(a, "a").join(b, "b").filter("class_a <> class_b").select("class_a", "class_b").distinct())
+    ends = edges.select(F.col("class_a").alias("class")).unionByName(edges.select(F.col("class_b").alias("class"))).distinct()
+    whole = connected_components(ends, edges, "class", "class_a", "class_b", "whole")
+    return store(classes.join(whole, "class", "left").select("uid", F.coalesce("whole", "class").alias("class")))
 
 
 def _links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -261,27 +295,26 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int = 5, simila
     elements = store(map_arrow(texts, partial(_elements, words=words, counted=counted), "uid long, elements array<long>").groupBy("uid").agg(
         F.first("elements").alias("elements")))
 
-    vertices = elements.select("uid")
-    classes, links, done, leaders = None, None, None, 1
+    classes = elements.select("uid", F.col("uid").alias("class"))
+    done = store(_first_pairs(members))
+    found = store(_links(done, elements, similarity))
+    classes = _merge(classes, found)
+    leaders = 16
     while True:
-        pairs, most = _new_pairs(members, classes, leaders)
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = store(pairs)
+        open_ = store(_open_members(members, classes))
+        if open_.isEmpty():
+            break
+        pairs, most = _further_pairs(open_, store(_room(open_, elements)), similarity, leaders)
+        pairs = store(pairs.join(done, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            done = pairs if done is None else done.unionByName(pairs)
+            done = done.unionByName(pairs)
             found = store(_links(pairs, elements, similarity))
-            links = found if links is None else links.unionByName(found)
-            if classes is None or not found.isEmpty():
-                classes = store(connected_components(vertices, links, "uid", "a", "b", "class"))
-        elif most is None or (most.first()[0] or 0) <= leaders:
+            if not found.isEmpty():
+                classes = _merge(classes, found)
+        elif (most.first()[0] or 0) <= leaders:
             break
-        leaders *= 2
-
-    if classes is None:
-        labelled = sets.withColumn("class", F.col("rep"))
-    else:
-        labelled = sets.join(classes.withColumnRenamed("uid", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+        leaders *= 16
+    labelled = sets.join(classes.withColumnRenamed("uid", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
     whole = labelled.groupBy("class").agg(F.min("best").alias("keep"), F.sum("n").alias("class_size"))
     by_set = labelled.select("set", "class").join(whole, "class").select("set", "keep", "class_size")
     return signed.join(by_set, "set").select(
