@@ -1,0 +1,78 @@
+"""Secret scan: held-out findings, features, redaction."""
+
+import random
+import string
+
+import pytest
+from pyspark.sql import functions as F
+
+from terrapanel.llm import secret_scan as S
+
+
+def hexes(rnd, n=40):
+    return "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rnd = random.Random(5)
+    rows, spots = [], []
+    letters = string.ascii_letters + string.digits
+    for k in range(240):
+        kind = k % 6
+        v = {0: hexes(rnd), 1: "".join(rnd.choice(letters) for _ in range(32)) + "7", 2: hexes(rnd), 3: str(rnd.randrange(10**15, 10**16)), 4: "internationalworkpagesystem2", 5: "AKIA" + "".join(rnd.choice(string.ascii_uppercase + "234567") for _ in range(15)) + "7"}[kind]
+        lead = {0: 'token = "', 1: "api_key: '", 2: "commit ", 3: "number ", 4: "see ", 5: "id "}[kind]
+        text = f"some words é😀 {lead}{v}\" and more"
+        rows.append((k, text))
+        if kind in (0, 1, 5):
+            spots.append((k, text.index(v), text.index(v) + len(v)))
+    return rows, spots
+
+
+def test_held_out_findings(spark, corpus):
+    """Trained on the certain findings of one half, judged on the other half."""
+    df = spark.createDataFrame(corpus[0], "doc_id long, text string")
+    seen = S.candidates(df.filter("doc_id % 12 < 6"))
+    labelled = seen.select("features", F.col("certain").alias("label"))
+    got = S.scan(df.filter("doc_id % 12 >= 6"), labelled=labelled)
+    assert {(r.doc_id, r.start, r.end) for r in got.filter("is_secret").collect()} == {s for s in corpus[1] if s[0] % 12 >= 6}
+
+
+def test_every_candidate_is_reported_in_place(spark, corpus):
+    df = spark.createDataFrame(corpus[0], "doc_id long, text string")
+    text = dict(corpus[0])
+    got = S.scan(df).collect()
+    assert len(got) == len(text) and all(0 <= r.score <= 1 for r in got)
+    assert all(len(text[r.doc_id][r.start:r.end]) >= 16 and " " not in text[r.doc_id][r.start:r.end] for r in got)
+
+
+def test_redaction_keeps_everything_else(spark, corpus):
+    df = spark.createDataFrame([(i, t, len(t), "end") for i, t in corpus[0]], "doc_id long, text string, n_chars int, end string")
+    got = {r.doc_id: r for r in S.redact(df, length_col="n_chars").collect()}
+    for i, t in corpus[0]:
+        spots = [s for s in corpus[1] if s[0] == i]
+        want = t[:spots[0][1]] + S.MARK + t[spots[0][2]:] if spots else t
+        assert (got[i].text, got[i].n_chars, got[i].end) == (want, len(want), "end")
+
+
+def test_several_secrets_in_one_text(spark):
+    rnd = random.Random(8)
+    a, b = hexes(rnd), hexes(rnd)
+    text = f'token = "{a}" é token = "{b}" tail token = "{a}"'
+    df = spark.createDataFrame([(1, text), (1, text), (2, "number 1234567890123456")], "doc_id long, text string")
+    got = sorted(r.text for r in S.redact(df).collect())
+    assert got == ["number 1234567890123456"] + 2 * [f'token = "{S.MARK}" é token = "{S.MARK}" tail token = "{S.MARK}"']
+
+
+def test_one_label_or_none(spark):
+    one = spark.createDataFrame([(1, "number 1234567890123456 here")], "doc_id long, text string")
+    assert [r.is_secret for r in S.scan(one).collect()] == [False]
+    odd = spark.createDataFrame([(1, "abcdefgh1jklmnopqrstu")], "doc_id long, text string")
+    assert [r.is_secret for r in S.scan(odd).collect()] == [False]
+
+
+def test_hard_rows_and_empty_table(hard, empty):
+    assert S.scan(hard).count() == 0 and S.scan(empty).count() == 0
+    got = S.redact(hard, length_col="n_chars")
+    assert got.columns == hard.columns and sorted(map(str, got.collect())) == sorted(map(str, hard.collect()))
+    assert S.redact(empty).count() == 0
