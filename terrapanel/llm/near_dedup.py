@@ -13,11 +13,13 @@ Documents whose signatures agree on all coordinates of a band meet in a bucket.
 Within a bucket members are not compared pair by pair. First one leader, the
 member with most company in all its buckets, is compared with the others;
 links that hold are merged into classes, which settles groups of near copies.
-In buckets that still hold several classes, a bound from the shingles that no
-other open document has rules most pairs out: they count in the union of any
-pair and never in its overlap. Pairs that the bound leaves are compared in
-rounds of growing size, until none is left between different classes.
-Similarity is exact, from the shingle sets.
+Where buckets still hold several classes, the shingles of their documents are
+split into rare ones, which a few of them have, and common ones. Documents of
+different classes that share a rare shingle are compared. Any others can only
+be alike if their common shingles alone reach: rare ones then count in the
+union and not in the overlap. The pairs of a bucket that this bound leaves are
+compared in rounds of growing size. So no link between different texts of a
+bucket is lost. Similarity is exact, from the shingle sets.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ from terrapanel.operators.graph import connected_components
 
 CACHE = 300_000  # words a worker remembers; it starts again when full, which changes no result
 FIRST_TIME = 2.0**-12  # end of the first interval of time
+RARE = 8  # a shingle of at most so many open documents is rare; any number gives the same classes
 MOST_DARTS = 24  # no cell is expected to hold more than 1 dart; more than this has probability below 1e-24
 
 _WORD = re.compile(r"\w+")
@@ -205,17 +208,31 @@ def _open_members(members: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(buckets.select("bucket", F.col("top.class").alias("main")), "bucket")
 
 
-def _room(open_: DataFrame, elements: DataFrame) -> DataFrame:
-    """(uid, own, shared): how many of a document's shingles no other open document has, and how many some have."""
-    docs = elements.join(open_.select("uid").distinct(), "uid", "left_semi")
-    each = docs.select("uid", F.explode("elements").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid"))
-    own = each.filter("n = 1").groupBy("uid").agg(F.count(F.lit(1)).alias("own"))
-    sized = docs.select("uid", F.size("elements").alias("size")).join(own, "uid", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    return sized.select("uid", "own", (F.col("size") - F.col("own")).alias("shared"))
+def _rare_shingles(docs: DataFrame, elements: DataFrame) -> DataFrame:
+    """(uid, e, n): the shingles of `docs` (uid) that at most RARE of them have, with how many do."""
+    own = elements.join(docs, "uid", "left_semi").select("uid", F.explode("elements").alias("e"))
+    counts = own.groupBy("e").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= RARE)
+    return store(own.join(counts, "e").select("uid", "e", F.col("n").cast("int").alias("n")))
+
+
+def _room(docs: DataFrame, elements: DataFrame, rare: DataFrame) -> DataFrame:
+    """(uid, own, shared): how many rare and how many common shingles a document has."""
+    own = rare.groupBy("uid").agg(F.count(F.lit(1)).alias("own"))
+    sized = elements.join(docs, "uid", "left_semi").select("uid", F.size("elements").alias("size")).join(own, "uid", "left")
+    return store(sized.select("uid", F.coalesce("own", F.lit(0)).alias("own"), (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared")))
+
+
+def _rare_pairs(rare: DataFrame, room: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): documents of different classes that share a rare shingle and are not too different in size."""
+    rows = rare.filter("n > 1").join(classes, "uid").join(room.select("uid", (F.col("own") + F.col("shared")).alias("size")), "uid")
+    a = rows.select("e", F.col("uid").alias("a"), F.col("class").alias("class_a"), F.col("size").alias("size_a"))
+    b = rows.select("e", F.col("uid").alias("b"), F.col("class").alias("class_b"), F.col("size").alias("size_b"))
+    fits = (F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_b")) & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
+    return a.join(b, (a["e"] == b["e"]) & fits).select("a", "b").distinct()
 
 
 def _further_pairs(open_: DataFrame, room: DataFrame, similarity: float, leaders: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, most): pairs of a leader and a member of another class whose similarity the bound allows to suffice.
+    """(pairs, most): pairs of a leader and a member of another class that can be alike though they share no rare shingle.
 
     Leaders are the smallest `leaders` members of a bucket outside its main
     class that could be linked with anything; `most` is how many it has at most.
@@ -299,20 +316,26 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int = 5, simila
     done = store(_first_pairs(members))
     found = store(_links(done, elements, similarity))
     classes = _merge(classes, found)
-    leaders = 16
+    leaders, room = 64, None
     while True:
         open_ = store(_open_members(members, classes))
         if open_.isEmpty():
             break
-        pairs, most = _further_pairs(open_, store(_room(open_, elements)), similarity, leaders)
+        first = room is None
+        if first:
+            ids = open_.select("uid").distinct()
+            rare = _rare_shingles(ids, elements)
+            room = _room(ids, elements, rare)
+        pairs, most = _further_pairs(open_, room, similarity, leaders)
+        if first:
+            pairs = pairs.unionByName(_rare_pairs(rare, room, classes, similarity)).distinct()
         pairs = store(pairs.join(done, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            done = done.unionByName(pairs)
-            found = store(_links(pairs, elements, similarity))
-            if not found.isEmpty():
-                classes = _merge(classes, found)
-        elif (most.first()[0] or 0) <= leaders:
+        found = store(_links(pairs, elements, similarity))
+        if not found.isEmpty():
+            classes = _merge(classes, found)
+        if (most.first()[0] or 0) <= leaders:  # all pairs that can be alike have been compared
             break
+        done = done.unionByName(pairs)
         leaders *= 16
     labelled = sets.join(classes.withColumnRenamed("uid", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
     whole = labelled.groupBy("class").agg(F.min("best").alias("keep"), F.sum("n").alias("class_size"))

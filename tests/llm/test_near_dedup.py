@@ -88,7 +88,7 @@ def test_first_pairs_grow_with_the_members(spark):
     assert N._first_pairs(members).count() <= 2 * 401
 
 
-def test_bound_rules_out_only_what_cannot_be_alike(spark):
+def test_only_what_can_be_alike_is_compared(spark):
     """Near copies with many edits of their own are not compared with each other; a pair that shares its edits is."""
     rnd = random.Random(2)
     base = [f"w{rnd.randrange(5000)}" for _ in range(150)]
@@ -96,7 +96,10 @@ def test_bound_rules_out_only_what_cannot_be_alike(spark):
     rows = [" ".join(edited(rnd, base, 5)) for _ in range(60)] + [" ".join(base), " ".join(pair), " ".join(edited(rnd, pair, 1))]
     elements = spark.createDataFrame([(k, N.shingles(t, 5)[0].view(np.int64).tolist()) for k, t in enumerate(rows)], "uid long, elements array<long>")
     open_ = spark.range(len(rows)).selectExpr("id AS uid", "1L AS bucket", "id AS class", "60L AS main")
-    pairs, most = N._further_pairs(open_, N._room(open_, elements), 0.8, 1000)
+    rare = N._rare_shingles(open_.select("uid"), elements)
+    room = N._room(open_.select("uid"), elements, rare)
+    pairs, most = N._further_pairs(open_, room, 0.8, 1000)
+    pairs = pairs.unionByName(N._rare_pairs(rare, room, open_.select("uid", "class"), 0.8))
     sets = [shingle_set(t) for t in rows]
     alike = {(j, i) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     got = {(r.a, r.b) for r in pairs.collect()}
