@@ -144,11 +144,11 @@ def ag15(t):
 
 
 @query("ag16_benchmark_summary", MART("""
-SELECT 'target' AS scope, avg(income_pc) AS income_pc, avg(vacancy_rate) AS vacancy_rate FROM mart WHERE year = 1999 AND geo_id = '000000003'
-UNION ALL SELECT census_region, sum(income_pc * pop_total) / sum(pop_total), sum(vacancy_rate * pop_total) / sum(pop_total) FROM mart JOIN county_cbsa ON geo_id = county_geoid WHERE year = 1999 GROUP BY census_region
-UNION ALL SELECT 'us', avg(income_pc), avg(vacancy_rate) FROM mart WHERE year = 1999"""), real="income_pc vacancy_rate")
+SELECT 'target' AS scope, avg(income_pc) AS income_pc, avg(vacancy_rate) AS vacancy_rate FROM mart WHERE geo_id = '000000003'
+UNION ALL SELECT census_region, sum(income_pc * pop_total) / sum(pop_total), sum(vacancy_rate * pop_total) / sum(pop_total) FROM mart JOIN county_cbsa ON geo_id = county_geoid GROUP BY census_region
+UNION ALL SELECT 'us', avg(income_pc), avg(vacancy_rate) FROM mart"""), real="income_pc vacancy_rate")
 def ag16(t):
-    df, cols = county_geo(t).filter("year = 1999"), ["income_pc", "vacancy_rate"]
+    df, cols = county_geo(t), ["income_pc", "vacancy_rate"]
     target = R.benchmark_summary(df.filter("geo_id = '000000003'"), [], cols).select(F.lit("target").alias("scope"), *cols)
     region = R.benchmark_summary(df, ["census_region"], cols, "weighted", "pop_total").withColumnRenamed("census_region", "scope")
     us = R.benchmark_summary(df, [], cols).select(F.lit("us").alias("scope"), *cols)
@@ -156,13 +156,13 @@ def ag16(t):
 
 
 @query("ag17_benchmark_bundle_index", MART("""
-, l AS (SELECT census_region, geo_id, pop_total, 'income_pc' AS metric, income_pc AS value FROM mart JOIN county_cbsa ON geo_id = county_geoid WHERE year = 1999
-  UNION ALL SELECT census_region, geo_id, pop_total, 'vacancy_rate', vacancy_rate FROM mart JOIN county_cbsa ON geo_id = county_geoid WHERE year = 1999),
+, l AS (SELECT census_region, geo_id, pop_total, 'income_pc' AS metric, income_pc AS value FROM mart JOIN county_cbsa ON geo_id = county_geoid
+  UNION ALL SELECT census_region, geo_id, pop_total, 'vacancy_rate', vacancy_rate FROM mart JOIN county_cbsa ON geo_id = county_geoid),
 b AS (SELECT census_region, metric, avg(value) AS bench_mean, sum(value * pop_total) / sum(pop_total) AS bench_weighted, median(value) AS bench_median FROM l GROUP BY ALL)
 SELECT census_region, metric, geo_id, value, bench_mean, bench_weighted, bench_median, 100 * value / nullif(bench_median, 0) AS index_vs_median FROM l JOIN b USING (census_region, metric)""").replace("\n, l AS", ", l AS"),
        real="value bench_mean bench_weighted bench_median index_vs_median")
 def ag17(t):
-    df = county_geo(t).filter("year = 1999")
+    df = county_geo(t)
     b = R.benchmark_bundle(df, ["census_region"], ["income_pc", "vacancy_rate"], "pop_total")
     long = df.select("census_region", "geo_id", "income_pc", "vacancy_rate").unpivot(["census_region", "geo_id"], ["income_pc", "vacancy_rate"], "metric", "value")
     return long.join(b, ["census_region", "metric"]).withColumn("index_vs_median", F.try_divide(F.lit(100.0) * F.col("value"), F.col("bench_median")))
@@ -200,9 +200,9 @@ def ag18s(t):
 
 @query("ag19_group_stats_joined_back", MART("""
 SELECT geo_id, census_region, vacancy_rate, median(vacancy_rate) OVER (PARTITION BY census_region) AS group_median, count(*) OVER (PARTITION BY census_region) AS group_n
-FROM mart JOIN county_cbsa ON geo_id = county_geoid WHERE year = 1999"""), real="vacancy_rate group_median")
+FROM mart JOIN county_cbsa ON geo_id = county_geoid"""), real="vacancy_rate group_median")
 def ag19(t):
-    df = county_geo(t).filter("year = 1999").select("geo_id", "census_region", "vacancy_rate")
+    df = county_geo(t).select("geo_id", "census_region", "vacancy_rate")
     g = R.group_summary(df, ["census_region"], medians={"group_median": "vacancy_rate"}, aggs=[F.count("vacancy_rate").alias("group_n")])
     return df.join(g, "census_region")
 
@@ -251,10 +251,10 @@ def ag23(t):
 
 @query("ag24_zone_rollup", MART("""
 SELECT census_region, count(*) AS tracts, sum(pop_total) AS total_population, sum(income_pc * pop_total) / sum(pop_total) AS income_pc_wtd, avg(pct_ba_plus) AS mean_pct_ba_plus, median(vacancy_rate) AS vacancy_rate_median
-FROM mart JOIN tract_cbsa ON geo_id = tract_geoid WHERE year = 1999 GROUP BY census_region""", "tract"), real="total_population income_pc_wtd mean_pct_ba_plus vacancy_rate_median")
+FROM mart JOIN tract_cbsa ON geo_id = tract_geoid GROUP BY census_region""", "tract"), real="total_population income_pc_wtd mean_pct_ba_plus vacancy_rate_median")
 def ag24(t):
     from terrapanel.operators.graph import zone_summary
-    df = S.mart(t, "tract").filter("year = 1999").join(S.tract_cbsa(t), F.col("geo_id") == F.col("tract_geoid"))
+    df = S.mart(t, "tract").join(S.tract_cbsa(t), F.col("geo_id") == F.col("tract_geoid"))
     return zone_summary(df, ["census_region"], "pop_total", ["income_pc"], ["vacancy_rate"], "pct_ba_plus")
 
 

@@ -6,12 +6,17 @@ from catalog import standins as S
 from catalog.registry import query
 from terrapanel.plans import charts as C
 
-TRACT = lambda body, extra="": S.sql_mart("tract", extra="ty AS (SELECT m.*, x.census_region, x.cbsa_code FROM mart m JOIN tract_cbsa x ON geo_id = tract_geoid WHERE year = 1999)" + (", " + extra if extra else ""), body=body)
+TRACT = lambda body, extra="": S.sql_mart("tract", extra="ty AS (SELECT m.* REPLACE (m.geo_id || '-' || CAST(m.year AS INTEGER) AS geo_id), x.census_region, x.cbsa_code || '-' || CAST(m.year AS INTEGER) AS cbsa_code FROM mart m JOIN tract_cbsa x ON m.geo_id = x.tract_geoid)" + (", " + extra if extra else ""), body=body)
 COUNTY = lambda body, extra="": S.sql_mart("county", extra=extra, body=body)
 
 
-def places(t, year=1999):
-    return S.mart(t, "tract").filter(F.col("year") == year).join(S.tract_cbsa(t), F.col("geo_id") == F.col("tract_geoid")).drop("tract_geoid")
+def yearly(df, *cols):
+    return df.withColumns({c: F.concat_ws("-", c, F.col("year").cast("int").cast("string")) for c in cols})
+
+
+def places(t):
+    """Every tract in every year, with its metro in that year."""
+    return yearly(S.mart(t, "tract").join(S.tract_cbsa(t), F.col("geo_id") == F.col("tract_geoid")).drop("tract_geoid"), "geo_id", "cbsa_code")
 
 
 def long_metric(t, value="income_pc", level="county"):
@@ -37,10 +42,10 @@ def ch01r(t):
     return C.line(df, "rolling", rolling_k=3).select("geo_id", "geo_name", "period", "metric_value", "plot_value")
 
 
-@query("ch02_ranked_bar", TRACT("SELECT geo_id, income_pc AS metric_value, overall_rank, row_number() OVER (ORDER BY overall_rank) AS display_order, true AS truncated_flag FROM (SELECT *, row_number() OVER (ORDER BY income_pc DESC, geo_name, geo_id) AS overall_rank FROM ty) WHERE overall_rank <= 12 OR geo_id IN ('00000000010', '00000000020')"), real="metric_value")
+@query("ch02_ranked_bar", TRACT("SELECT geo_id, income_pc AS metric_value, overall_rank, row_number() OVER (ORDER BY overall_rank) AS display_order, true AS truncated_flag FROM (SELECT *, row_number() OVER (ORDER BY income_pc DESC, geo_name, geo_id) AS overall_rank FROM ty) WHERE overall_rank <= 12 OR geo_id IN ('00000000010-1999', '00000000020-1999')"), real="metric_value")
 def ch02(t):
     df = places(t).withColumn("metric_value", F.col("income_pc"))
-    return C.bar(df, top_n=12, include=["00000000010", "00000000020"]).select("geo_id", "metric_value", "overall_rank", "display_order", "truncated_flag")
+    return C.bar(df, top_n=12, include=["00000000010-1999", "00000000020-1999"]).select("geo_id", "metric_value", "overall_rank", "display_order", "truncated_flag")
 
 
 @query("ch02_bottom_bar", TRACT("SELECT geo_id, overall_rank, row_number() OVER (ORDER BY overall_rank) AS display_order FROM (SELECT *, count(*) OVER () - row_number() OVER (ORDER BY income_pc, geo_name, geo_id) + 1 AS overall_rank, row_number() OVER (ORDER BY income_pc, geo_name, geo_id) AS b FROM ty) WHERE b <= 9"))
@@ -130,10 +135,10 @@ def ch11(t):
 
 
 @query("ch12_waterfall", COUNTY("""SELECT geo_id, sort_order, component_label, v AS component_value, c - v AS start_value, c AS end_value, v / nullif(t, 0) AS share_of_total, false AS is_total FROM (SELECT *, sum(v) OVER (PARTITION BY geo_id ORDER BY sort_order ROWS UNBOUNDED PRECEDING) AS c, sum(v) OVER (PARTITION BY geo_id) AS t FROM l)
-UNION ALL SELECT geo_id, 4, 'Population', sum(v), 0, sum(v), 1, true FROM l GROUP BY geo_id""", "l AS (SELECT geo_id, 1 AS sort_order, 'A' AS component_label, race_a AS v FROM mart WHERE year = 1999 UNION ALL SELECT geo_id, 2, 'N', race_n FROM mart WHERE year = 1999 UNION ALL SELECT geo_id, 3, 'R', -race_r FROM mart WHERE year = 1999)"),
+UNION ALL SELECT geo_id, 4, 'Population', sum(v), 0, sum(v), 1, true FROM l GROUP BY geo_id""", "my AS (SELECT * REPLACE (geo_id || '-' || CAST(year AS INTEGER) AS geo_id) FROM mart), l AS (SELECT geo_id, 1 AS sort_order, 'A' AS component_label, race_a AS v FROM my UNION ALL SELECT geo_id, 2, 'N', race_n FROM my UNION ALL SELECT geo_id, 3, 'R', -race_r FROM my)"),
        real="component_value start_value end_value share_of_total", ints="sort_order")
 def ch12(t):
-    m = S.mart(t, "county").filter("year = 1999")
+    m = yearly(S.mart(t, "county"), "geo_id")
     one = lambda k, lb, e: m.select("geo_level", "geo_id", "geo_name", F.lit("1999").alias("time_window"), F.lit(k).alias("sort_order"), F.lit(lb).alias("component_label"), e.alias("component_value"))
     df = one(1, "A", F.col("race_a")).unionByName(one(2, "N", F.col("race_n"))).unionByName(one(3, "R", -F.col("race_r")))
     return C.waterfall(df, total_label="Population").select("geo_id", "sort_order", "component_label", "component_value", "start_value", "end_value", "share_of_total", "is_total")
@@ -153,9 +158,9 @@ def ch14(t):
     return C.bivariate_choropleth(df, 3, ["census_region"]).select("geo_id", "x_bin", "y_bin", "bivar_class")
 
 
-@query("ch15_highlight_context", TRACT("SELECT geo_id, CASE WHEN cbsa_code = '10003' THEN 'Highlighted geography' WHEN census_region = 'ASIA' THEN 'Neighbor context' ELSE 'Background context' END AS focus_role FROM ty"))
+@query("ch15_highlight_context", TRACT("SELECT geo_id, CASE WHEN cbsa_code = '10003-1999' THEN 'Highlighted geography' WHEN census_region = 'ASIA' THEN 'Neighbor context' ELSE 'Background context' END AS focus_role FROM ty"))
 def ch15(t):
-    df = places(t).withColumns({"highlight_flag": F.when(F.col("cbsa_code") == "10003", "yes"), "neighbor_flag": (F.col("census_region") == "ASIA").cast("int")})
+    df = places(t).withColumns({"highlight_flag": F.when(F.col("cbsa_code") == "10003-1999", "yes"), "neighbor_flag": (F.col("census_region") == "ASIA").cast("int")})
     return C.highlight_context(df).select("geo_id", "focus_role")
 
 

@@ -52,8 +52,16 @@ def gr03(t):
     return out.select("id", "component", "component_size", "cluster_raw_id")
 
 
-@query("gr04_kmeans_peer_groups")
+@query("gr04_kmeans_peer_groups", S.sql_mart("tract", body="""
+SELECT count(*) AS rows_in, count(*) AS rows_assigned, 5 AS groups, count(*) AS rows_in_groups, avg(income_pc) AS income_pc, avg(vacancy_rate) AS vacancy_rate, avg(pct_ba_plus) AS pct_ba_plus
+FROM mart WHERE income_pc IS NOT NULL AND vacancy_rate IS NOT NULL AND pct_ba_plus IS NOT NULL"""), real="income_pc vacancy_rate pct_ba_plus", ints="groups")
 def gr04(t):
-    df = S.mart(t, "tract").filter("year = 1999")
-    assign, profile = GR.kmeans_peers(df, ["geo_id"], ["income_pc", "vacancy_rate", "pct_ba_plus"], 5)
-    return assign.join(profile, "peer_group")
+    """What does not depend on the random start: every row has a group, and the profile adds up to the whole."""
+    df = S.mart(t, "tract").withColumn("geo_id", F.concat_ws("-", "geo_id", F.col("year").cast("int").cast("string")))
+    cols = ["income_pc", "vacancy_rate", "pct_ba_plus"]
+    assign, profile = GR.kmeans_peers(df, ["geo_id"], cols, 5)
+    n, whole = F.col("n"), F.sum("n")
+    groups = profile.agg(F.count(F.lit(1)).alias("groups"), whole.alias("rows_in_groups"), *[(F.sum(F.col(f"mean_{c}") * n) / whole).alias(c) for c in cols])
+    given = df.dropna(subset=cols).select(F.count(F.lit(1))).scalar()
+    assigned = assign.select(F.count("peer_group")).scalar()
+    return groups.withColumns({"rows_in": given, "rows_assigned": assigned})

@@ -89,13 +89,18 @@ def jn05(t):
 
 
 @query("jn06_normalised_text_key", """
-SELECT n_nationkey, n_name, count(c_custkey) AS n FROM nation LEFT JOIN customer
-  ON regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') = 'nation' || c_nationkey GROUP BY ALL""", ints="n_nationkey")
+WITH ref AS (SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey + 100, 'nation-' || n_nationkey FROM nation WHERE n_nationkey < 5),
+k AS (SELECT regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS key, min(n_nationkey) AS n_nationkey, count(*) AS rows FROM ref GROUP BY ALL)
+SELECT CASE WHEN rows = 1 THEN n_nationkey END AS n_nationkey, CASE WHEN rows IS NULL THEN 'none' WHEN rows = 1 THEN 'matched' ELSE 'ambiguous' END AS match_status, count(*) AS n
+FROM customer LEFT JOIN k ON key = 'nation' || CASE WHEN c_custkey % 7 = 0 THEN 99 ELSE c_nationkey END GROUP BY ALL""", ints="n_nationkey")
 def jn06(t):
-    c = t.customer.select("c_custkey", F.concat(F.lit("Nation. "), F.col("c_nationkey").cast("string")).alias("typed"))
-    ref = t.nation.select("n_nationkey", "n_name")
+    key = F.when(F.col("c_custkey") % 7 == 0, 99).otherwise(F.col("c_nationkey"))
+    c = t.customer.select("c_custkey", F.concat(F.lit("Nation. "), key.cast("string")).alias("typed"))
+    # two spellings of the first five nations, so that their names match more than one row
+    more = t.nation.filter("n_nationkey < 5").select(F.col("n_nationkey") + 100, F.concat(F.lit("nation-"), F.col("n_nationkey").cast("string")))
+    ref = t.nation.select("n_nationkey", "n_name").union(more)
     out = J.match_names(c, ref, "typed", "n_name", ["n_nationkey", "n_name"])
-    return ref.join(out.groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("n")), "n_nationkey", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.groupBy("n_nationkey", "match_status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("jn07_semi_join", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
@@ -144,12 +149,13 @@ def jn12(t):
 
 
 @query("jn13_peer_pool", MART("""
-SELECT m.geo_id, m.pop_total, x.census_region FROM mart m JOIN county_cbsa x ON m.geo_id = x.county_geoid,
+SELECT m.geo_id || '-' || CAST(m.year AS INTEGER) AS geo_id, m.pop_total, x.census_region FROM mart m JOIN county_cbsa x ON m.geo_id = x.county_geoid,
   (SELECT pop_total AS p, census_region AS r FROM mart JOIN county_cbsa ON geo_id = county_geoid WHERE geo_id = '000000007' AND year = 1998) t
-WHERE m.year = 1998 AND m.geo_id <> '000000007' AND x.census_region = t.r AND m.pop_total BETWEEN t.p * 0.8 AND t.p * 1.2"""), real="pop_total")
+WHERE m.geo_id || '-' || CAST(m.year AS INTEGER) <> '000000007-1998' AND x.census_region = t.r AND m.pop_total BETWEEN t.p * 0.8 AND t.p * 1.2"""), real="pop_total")
 def jn13(t):
-    m = S.mart(t, "county").filter("year = 1998").join(S.county_cbsa(t), F.col("geo_id") == F.col("county_geoid"))
-    return J.peer_pool(m, "000000007", "geo_id", "census_region", "pop_total", 0.8, 1.2).select("geo_id", "pop_total", "census_region")
+    m = S.mart(t, "county").join(S.county_cbsa(t), F.col("geo_id") == F.col("county_geoid"))
+    m = m.withColumn("geo_id", F.concat_ws("-", "geo_id", F.col("year").cast("int").cast("string")))
+    return J.peer_pool(m, "000000007-1998", "geo_id", "census_region", "pop_total", 0.8, 1.2).select("geo_id", "pop_total", "census_region")
 
 
 @query("jn14_polygon_adjacency", f"""

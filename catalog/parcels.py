@@ -11,7 +11,7 @@ from terrapanel.plans import parcels as P
 
 # ---- parcels: parts sold through suppliers play parcels in counties -------
 
-_RAW = """raw AS (SELECT CASE WHEN l_partkey % 4 = 0 THEN ' fl' ELSE 'FL ' END AS state, 'Nation ' || s_nationkey || ' county' AS county_name, CAST(s_nationkey AS VARCHAR) AS county_code, 'co_' || s_nationkey AS county_tag, l_orderkey || '-' || l_partkey || '-' || l_suppkey AS join_key, l_partkey, p_size AS use_code, l_extendedprice AS just_value, l_shipdate FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1),
+_RAW = """raw AS (SELECT CASE WHEN l_partkey % 4 = 0 THEN ' fl' ELSE 'FL ' END AS state, 'Nation ' || s_nationkey || ' county' AS county_name, CAST(s_nationkey AS VARCHAR) AS county_code, 'co_' || s_nationkey AS county_tag, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS join_key, l_partkey, p_size AS use_code, l_extendedprice AS just_value, l_shipdate FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey),
 mk AS (SELECT CASE WHEN n_regionkey < 2 THEN 'north' ELSE 'south' END AS market_key, CAST(10000 + n_nationkey AS VARCHAR) AS cbsa_code, 'FL' AS state_abbr, lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS county_geoid, 'NATION-' || n_nationkey AS county_name, 'nation' || n_nationkey AS key FROM nation WHERE n_nationkey % 6 <> 5),
 lu AS (SELECT lpad(CAST(p_size AS VARCHAR), 3, '0') AS code, 'cat_' || (p_size % 4) AS category, p_size % 4 = 0 AS retail_flag, CASE WHEN p_size % 8 = 0 THEN 'store' END AS retail_subtype FROM (SELECT DISTINCT p_size FROM part WHERE p_size <= 40)),
 pc AS (SELECT mk.market_key, mk.cbsa_code, mk.county_geoid, raw.county_tag, raw.county_code || '::' || join_key AS parcel_uid, join_key, lpad(CAST(use_code AS VARCHAR), 3, '0') AS land_use_code, just_value, CASE WHEN month(l_shipdate) + l_partkey % 3 <= 12 THEN make_date(year(l_shipdate), month(l_shipdate) + CAST(l_partkey % 3 AS INTEGER), 1) END AS last_sale_date, raw.county_code = '0' AS qa_zero_county, lu.category AS land_use_category, coalesce(lu.retail_flag, false) AS retail_flag, CASE WHEN lu.retail_flag AND lu.retail_subtype IS NULL THEN 'retail_uncategorized' ELSE lu.retail_subtype END AS retail_subtype, CASE WHEN lu.retail_flag THEN 'Retail parcel' ELSE 'Residential/other parcel' END AS parcel_segment, l_partkey
@@ -19,11 +19,11 @@ pc AS (SELECT mk.market_key, mk.cbsa_code, mk.county_geoid, raw.county_tag, raw.
 
 
 def _raw(t):
-    j = t.lineitem.filter("l_linenumber = 1").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    j = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     nk = F.col("s_nationkey").cast("string")
     return j.select(
         F.when(F.col("l_partkey") % 4 == 0, " fl").otherwise("FL ").alias("state"), F.concat(F.lit("Nation "), nk, F.lit(" county")).alias("county_name"),
-        nk.alias("county_code"), F.concat(F.lit("co_"), nk).alias("county_tag"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey").alias("join_key"), "l_partkey",
+        nk.alias("county_code"), F.concat(F.lit("co_"), nk).alias("county_tag"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("join_key"), "l_partkey",
         F.col("p_size").alias("use_code"), F.col("l_extendedprice").alias("just_value"), F.year("l_shipdate").alias("sale_yr1"),
         (F.month("l_shipdate") + F.col("l_partkey") % 3).alias("sale_mo1"), F.lit("").alias("census_block_id"))
 
@@ -67,6 +67,18 @@ def _log(t):
         F.col("ts").alias("load_completed_at"), F.col("ts").alias("generated_at"))
 
 
+@query("mt31_parcel_cleanup", """
+WITH r AS (SELECT CASE WHEN l_orderkey % 7 <> 0 THEN upper('p' || (l_orderkey % 5000)) END AS parcel_id, CASE WHEN l_orderkey % 21 <> 0 THEN upper('a' || l_partkey) END AS alt_key, l_extendedprice AS just_value, CAST(year(l_shipdate) AS BIGINT) AS sale_yr1, lpad(CAST(l_linenumber AS VARCHAR), 2, '0') AS sale_qual_code, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey * 100 + l_suppkey % 100 AS line FROM lineitem),
+k AS (SELECT *, coalesce(parcel_id, alt_key) AS join_key FROM r)
+SELECT join_key, parcel_id, alt_key, just_value, sale_yr1, sale_qual_code FROM k QUALIFY join_key IS NULL OR row_number() OVER (PARTITION BY join_key ORDER BY line) = 1""", real="just_value")
+def mt31c(t):
+    o = F.col("l_orderkey")
+    raw = t.lineitem.select(
+        F.when(o % 7 != 0, F.concat(F.lit(" p"), (o % 5000).cast("string"))).alias("PARCELID"), F.when(o % 21 != 0, F.concat(F.lit("a"), F.col("l_partkey").cast("string"), F.lit(" "))).alias("altkey"),
+        F.concat(F.lit("$"), F.col("l_extendedprice").cast("string")).alias("jv"), F.year("l_shipdate").alias("sale_year1"), F.col("l_linenumber").alias("qual_cd1"), ((o * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey") * 100 + F.col("l_suppkey") % 100).alias("line"))
+    return P.parcel_cleanup(raw, "line").select("join_key", "parcel_id", "alt_key", "just_value", "sale_yr1", "sale_qual_code")
+
+
 @query("mt30_parcel_lineage", f"WITH {_RAW}, {_LOG} SELECT * FROM ln", real="unmatched_rate")
 def mt30(t):
     out = P.parcel_lineage(_counties(t), _log(t), parcels(t))

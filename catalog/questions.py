@@ -423,9 +423,9 @@ def sym1(t):
     return Q.symbols(gold(t, "county"), cx(t), "symbol_population_concentration", "county", "pop_total", "region", 0.98, F.col("region") != "AFRICA")
 
 
-@query("symbol_q2_county_permit_majority", sql("county", extra="b AS (SELECT *, sum(permits) OVER (ORDER BY permits DESC, geo_name, geo_id ROWS UNBOUNDED PRECEDING) / sum(permits) OVER () AS cs FROM g WHERE permits > 0 AND year = 2000)", body=f"SELECT 'symbol_permit_majority' AS question_id, {P3}, permits AS size_value, cs AS cumulative_share, CASE WHEN cs <= 0.5 THEN 'Top places to 50% of units' ELSE 'Remaining places' END AS color_group, cs <= 0.5 AS highlight_flag, cs <= 0.25 AS label_flag FROM b"), real="size_value cumulative_share")
+@query("symbol_q2_county_permit_majority", sql("county", extra="b AS (SELECT *, sum(permits) OVER (ORDER BY permits DESC, geo_name, geo_id ROWS UNBOUNDED PRECEDING) / sum(permits) OVER () AS cs FROM g WHERE permits > 0 AND year = (SELECT max(year) FROM g WHERE permits IS NOT NULL))", body=f"SELECT 'symbol_permit_majority' AS question_id, {P3}, permits AS size_value, cs AS cumulative_share, CASE WHEN cs <= 0.5 THEN 'Top places to 50% of units' ELSE 'Remaining places' END AS color_group, cs <= 0.5 AS highlight_flag, cs <= 0.25 AS label_flag FROM b"), real="size_value cumulative_share")
 def sym2(t):
-    return Q.majority(gold(t, "county").filter("year <= 2000"))
+    return Q.majority(gold(t, "county"))
 
 
 @query("symbol_q3_largest_zctas", sql("county", extra="w AS (SELECT lpad(CAST(l_suppkey AS VARCHAR), 9, '0') AS geo_id, sum(q * (l_partkey % 360 - 180)) / sum(q) AS lon, sum(q * (l_partkey % 180 - 90)) / sum(q) AS lat FROM (SELECT l_suppkey, l_partkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS q FROM lineitem GROUP BY ALL) GROUP BY l_suppkey)", body=f"SELECT 'symbol_largest_zctas' AS question_id, {P3}, pop_total AS size_value, lon, lat, pop_total >= quantile_cont(pop_total, 0.85) OVER () AS label_flag FROM gl JOIN w USING (geo_id)"), real="size_value lon lat")

@@ -23,11 +23,18 @@ _CF = f"""f0 AS (SELECT m.geo_id AS cbsa_code, m.geo_name AS cbsa_name, CASE WHE
 f AS (SELECT *, mean_travel_time * (1 - pct_commute_wfh) AS commute_intensity_b, bps_total_units * 1000 / pop_total AS bps_units_per_1k, bps_units_3yr_avg * 1000 / pop_total AS bps_units_per_1k_3yr_avg FROM f0)"""
 
 
-def metro_features(t):
+# nations play metros that no panel row describes
+_CF_ALL = _CF.replace("FROM f0)", "FROM f1)").replace("f AS (SELECT *,", "f1 AS (SELECT * FROM f0 UNION ALL BY NAME SELECT 'N' || n_nationkey AS cbsa_code, n_name AS cbsa_name, 'Metro Area' AS cbsa_type, 'ASIA' AS census_division FROM nation),\nf AS (SELECT *,")
+
+
+def metro_features(t, more_metros=False):
     m = growth(S.mart(t, "county"), ["geo_level", "geo_id"], "year", "pop_total", (3, 5), prefix="pop", cagr=())
     meta = S.county_cbsa(t).join(t.supplier, F.col("county_geoid") == F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).select(
         F.col("county_geoid").alias("cbsa_code"), F.col("s_name").alias("cbsa_name"), F.col("census_region").alias("census_division"),
         F.when(F.col("s_suppkey") % 3 == 0, "Micro Area").otherwise("Metro Area").alias("cbsa_type"))
+    if more_metros:
+        meta = meta.unionByName(t.nation.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("cbsa_code"), F.col("n_name").alias("cbsa_name"),
+                                                F.lit("ASIA").alias("census_division"), F.lit("Metro Area").alias("cbsa_type")))
     cols = ["pop_total", "pop_growth_3yr", "pop_growth_5yr", "median_gross_rent", "median_home_value", "pct_commute_wfh", "mean_travel_time"]
     m = store(m.select("geo_id", "year", *cols, "permits"))
     code = F.col("geo_id").alias("cbsa_code")
@@ -40,11 +47,11 @@ def _cf_rank(m, up):
     return one("national", "year, cbsa_type") + ", " + one("region", "census_division, year, cbsa_type")
 
 
-@query("mt22_metro_features", S.sql_mart("county", extra=_CF, body="SELECT *, " + ", ".join(_cf_rank(m, up) for m, up in P.CBSA_METRICS.items()) + " FROM f"),
+@query("mt22_metro_features", S.sql_mart("county", extra=_CF_ALL, body="SELECT *, " + ", ".join(_cf_rank(m, up) for m, up in P.CBSA_METRICS.items()) + " FROM f"),
        real="pop_total pop_growth_3yr pop_growth_5yr median_gross_rent median_home_value pct_commute_wfh mean_travel_time bps_total_units bps_units_3yr_avg commute_intensity_b bps_units_per_1k bps_units_per_1k_3yr_avg "
        + " ".join(f"{s}_{m}_pctl" for m in _CF_METRICS for s in ("national", "region")), ints="year")
 def mt22(t):
-    return metro_features(t)
+    return metro_features(t, more_metros=True)
 
 
 # ---- tract features: customers play the tracts, nations counties and metros -
@@ -196,13 +203,18 @@ def mt28_clusters(t):
 
 # ---- screens --------------------------------------------------------------
 
-_Z3 = "z AS (SELECT geo_id, " + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS z_{c}" for c in ("income_pc", "vacancy_rate", "pct_ba_plus")) + " FROM mart WHERE year = 1999)"
+_Z3 = "z AS (SELECT geo_id, " + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS z_{c}" for c in ("income_pc", "vacancy_rate", "pct_ba_plus")) + " FROM (SELECT * REPLACE (geo_id || '-' || CAST(year AS INTEGER) AS geo_id) FROM mart))"
+
+
+def _yearly(t):
+    """Every tract in every year as a place of its own."""
+    return S.mart(t, "tract").withColumn("geo_id", F.concat_ws("-", "geo_id", F.col("year").cast("int").cast("string")))
 
 
 def _zframe(t):
     from terrapanel.operators.stats import zscore
     cols = {c: f"z_{c}" for c in ("income_pc", "vacancy_rate", "pct_ba_plus")}
-    return zscore(S.mart(t, "tract").filter("year = 1999").select("geo_id", *cols), [], cols).select("geo_id", *cols.values())
+    return zscore(_yearly(t).select("geo_id", *cols), [], cols).select("geo_id", *cols.values())
 
 
 @query("mt37_overheat_gap", S.sql_mart("tract", extra=_Z3 + ", g AS (SELECT *, z_income_pc + z_vacancy_rate AS overheating_score, z_pct_ba_plus - 0.5 * z_vacancy_rate AS support_score, z_income_pc + z_vacancy_rate - (z_pct_ba_plus - 0.5 * z_vacancy_rate) AS overheat_gap FROM z)", body="""
@@ -219,10 +231,10 @@ def mt37i(t):
     return P.investment_index(_zframe(t), {"z_income_pc": 0.5, "z_pct_ba_plus": 0.3, "z_vacancy_rate": -0.2}, ["geo_id"])
 
 
-@query("mt39_sweet_spot_screen", S.sql_mart("tract", extra="p AS (SELECT geo_id, percent_rank() OVER (ORDER BY income_pc) AS income_pc_pctl, percent_rank() OVER (ORDER BY vacancy_rate DESC) AS vacancy_rate_pctl FROM mart WHERE year = 1999)", body="""
+@query("mt39_sweet_spot_screen", S.sql_mart("tract", extra="p AS (SELECT geo_id, percent_rank() OVER (ORDER BY income_pc) AS income_pc_pctl, percent_rank() OVER (ORDER BY vacancy_rate DESC) AS vacancy_rate_pctl FROM (SELECT * REPLACE (geo_id || '-' || CAST(year AS INTEGER) AS geo_id) FROM mart))", body="""
 SELECT *, (income_pc_pctl + vacancy_rate_pctl) / 2 AS screen_score FROM p ORDER BY round((income_pc_pctl + vacancy_rate_pctl) / 2, 9) DESC, geo_id LIMIT 40"""), real="income_pc_pctl vacancy_rate_pctl screen_score")
 def mt39(t):
-    df = S.mart(t, "tract").filter("year = 1999").select("geo_id", "income_pc", "vacancy_rate")
+    df = _yearly(t).select("geo_id", "income_pc", "vacancy_rate")
     return P.percentile_screen(df, ["geo_id"], {"income_pc": True, "vacancy_rate": False}, 40).select("geo_id", "income_pc_pctl", "vacancy_rate_pctl", "screen_score")
 
 

@@ -178,7 +178,7 @@ SELECT s_nationkey AS state, d AS date, year(d) AS year, month(d) AS month, v AS
 def mt19(t):
     wide = t.supplier.groupBy(F.col("s_nationkey").alias("state")).agg(
         F.sum("s_acctbal").alias("x2010_12_31"), F.max("s_acctbal").alias("x2011_01_31"), F.min("s_acctbal").alias("x2012_02_29"))
-    return P.index_long(wide, ["state"]).select("state", "date", "year", "month", "zhvi")
+    return P.index_long(wide, ["state"], after=2010).select("state", "date", "year", "month", "zhvi")
 
 
 # ---- flows and crosswalks -------------------------------------------------
@@ -230,6 +230,81 @@ def mt21z(t):
     return P.zip_crosswalk(p, "supp_id")
 
 
+_Z = "lpad(CAST({} AS VARCHAR), {}, '0')"
+
+
+@query("mt20_state_flows", _FLOW_SQL + f"""
+SELECT 'State' AS geo_level, '2001_' || {_Z.format('o + 1', 2)} || '_' || {_Z.format('d + 1', 2)} AS flow_id, 2001 AS year, {_Z.format('o + 1', 2)} AS origin_geo_id, {_Z.format('d + 1', 2)} AS dest_geo_id, CASE WHEN n % 4 <> 0 THEN n END AS n_returns, q AS n_people, n AS agi_thousands, n * 1000 AS agi, a.n_name AS origin_state_abbr, b.n_name AS dest_state_abbr
+FROM f LEFT JOIN nation a ON a.n_nationkey = o AND o % 5 <> 0 LEFT JOIN nation b ON b.n_nationkey = d AND d % 5 <> 0 WHERE o <> d""", real="n_returns n_people agi_thousands agi", ints="year")
+def mt20st(t):
+    states = t.nation.filter("n_nationkey % 5 <> 0").select(F.lpad((F.col("n_nationkey") + 1).cast("string"), 2, "0").alias("state_fip"), F.col("n_name").alias("state_abbr"))
+    return P.state_flows(_raw_flows(t), states)
+
+
+def _pair(table, key, target, width, digits):
+    """SQL of a ZIP crosswalk with published weights."""
+    return (f"SELECT {_Z.format('l_partkey', 5)} AS zip_geoid, {_Z.format(target, width)} AS {key}, CAST(round(avg(l_discount), 4) AS DOUBLE) AS rel_weight_pop, CAST(round(avg(l_tax), 4) AS DOUBLE) AS rel_weight_bus, count(*) AS rel_weight_hu, 2025 AS vintage, '{table}' AS source "
+            f"FROM lineitem GROUP BY l_partkey, {target}")
+
+
+def _zip_pairs(t, target):
+    return t.lineitem.groupBy(F.col("l_partkey").alias("ZIP"), F.expr(target).alias("AREA")).agg(
+        F.round(F.avg("l_discount"), 4).alias("RES_RATIO"), F.round(F.avg("l_tax"), 4).alias("BUS_RATIO"), F.count(F.lit(1)).alias("TOT_RATIO"))
+
+
+def _zip_query(name, key, width, sql_target, target):
+    @query(name, _pair(name, key, sql_target, width, 4), real="rel_weight_pop rel_weight_bus rel_weight_hu", ints="vintage", digits=3)
+    def run(t):
+        cols = {"zip_geoid": "ZIP", key: "AREA", "rel_weight_pop": "RES_RATIO", "rel_weight_bus": "BUS_RATIO", "rel_weight_hu": "TOT_RATIO"}
+        out = P.code_crosswalk(_zip_pairs(t, target), cols, {"zip_geoid": 5, key: width}, ["zip_geoid"], vintage=2025, source=name)
+        return out.withColumn("rel_weight_hu", F.col("rel_weight_hu").cast("double"))
+
+
+_zip_query("mt21_zcta_county", "county_geoid", 5, "l_suppkey", "l_suppkey")
+_zip_query("mt21_zcta_cbsa", "cbsa_geoid", 5, "l_suppkey % 50", "l_suppkey % 50")
+_zip_query("mt21_zcta_tract", "tract_geoid", 11, "l_orderkey % 400", "l_orderkey % 400")
+
+
+@query("mt21_cbsa_primary_city", f"""
+SELECT {_Z.format('c_nationkey', 5)} AS cbsa_code, CASE WHEN c_custkey % 9 <> 0 THEN c_name END AS cbsa_name, c_mktsegment AS cbsa_type, 'city ' || c_custkey AS primary_city, {_Z.format('c_nationkey', 2)} AS state_fips, {_Z.format('c_custkey', 5)} AS place_fips, 2023 AS vintage, 'delineation' AS source FROM customer WHERE c_custkey % 9 <> 0""", ints="vintage")
+def mt21p(t):
+    raw = t.customer.withColumns({"title": F.when(F.col("c_custkey") % 9 != 0, F.col("c_name")), "city": F.concat(F.lit("city "), F.col("c_custkey").cast("string"))})
+    cols = {"cbsa_code": "c_nationkey", "cbsa_name": "title", "cbsa_type": "c_mktsegment", "primary_city": "city", "state_fips": "c_nationkey", "place_fips": "c_custkey"}
+    return P.code_crosswalk(raw, cols, {"cbsa_code": 5, "state_fips": 2, "place_fips": 5}, ["cbsa_name"], vintage=2023, source="delineation")
+
+
+@query("mt21_tract_county", f"""
+SELECT {_Z.format('n_regionkey', 2)} AS state_fip, {_Z.format('c_nationkey', 3)} AS county_fip, {_Z.format('c_custkey', 6)} AS tract_fip, {_Z.format('c_custkey', 11)} AS tract_geoid, c_name AS tract_name, n_name AS county_name, 2023 AS vintage, 'boundaries' AS source FROM customer JOIN nation ON c_nationkey = n_nationkey""", ints="vintage")
+def mt21t(t):
+    raw = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    cols = {"state_fip": "n_regionkey", "county_fip": "c_nationkey", "tract_fip": "c_custkey", "tract_geoid": "c_custkey", "tract_name": "c_name", "county_name": "n_name"}
+    return P.code_crosswalk(raw, cols, {"state_fip": 2, "county_fip": 3, "tract_fip": 6, "tract_geoid": 11}, vintage=2023, source="boundaries")
+
+
+@query("mt21_county_state", f"""
+SELECT {_Z.format('s_nationkey', 2)} AS state_fip, {_Z.format('s_suppkey', 3)} AS county_fip, s_name AS county_name, n_name AS state_abbr, 2023 AS vintage, 'boundaries' AS source FROM supplier JOIN nation ON s_nationkey = n_nationkey""", ints="vintage")
+def mt21s(t):
+    raw = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    return P.code_crosswalk(raw, {"state_fip": "s_nationkey", "county_fip": "s_suppkey", "county_name": "s_name", "state_abbr": "n_name"}, {"state_fip": 2, "county_fip": 3}, vintage=2023, source="boundaries")
+
+
+@query("mt21_cbsa_state", """
+SELECT CAST(c_custkey % 40 AS VARCHAR) AS cbsa_code, 'metro ' || (c_custkey % 40) AS cbsa_name, CAST(c_nationkey AS VARCHAR) AS state_fips, n_name AS state_name, count(*) AS counties, 'derived' AS source FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""")
+def mt21cs(t):
+    k = (F.col("c_custkey") % 40).cast("string")
+    x = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        k.alias("cbsa_code"), F.concat(F.lit("metro "), k).alias("cbsa_name"), F.col("c_nationkey").cast("string").alias("state_fips"), F.col("n_name").alias("state_name"))
+    return P.cbsa_state_crosswalk(x, source="derived")
+
+
+@query("mt21_state_region", """
+SELECT n_nationkey AS state_fips, n_name AS state_name, r_name AS census_region, 'division ' || (n_regionkey % 3) AS census_division, 'dimension' AS source FROM nation LEFT JOIN region ON n_regionkey = r_regionkey""", ints="state_fips")
+def mt21r(t):
+    regions = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_nationkey").alias("state_fips"), F.col("r_name").alias("census_region"), F.concat(F.lit("division "), (F.col("n_regionkey") % 3).cast("string")).alias("census_division"))
+    return P.state_region_crosswalk(t.nation.select(F.col("n_nationkey").alias("state_fips"), F.col("n_name").alias("state_name")), regions.unionByName(regions), source="dimension")
+
+
 @query("mt40_table_catalog", S.sql_mart("county", "cbsa", "region", body="""
 SELECT 'place_mart' AS table_name, 'demographics' AS topic, count(*) AS row_count, 5 AS col_count, 0 AS rows_no_year, min(year) AS min_year, max(year) AS max_year, 'cbsa, county, region' AS geo_levels FROM mart
 UNION ALL SELECT 'region_mart', 'other', count(*), 6, 0, min(year), max(year), 'region' FROM mart WHERE geo_level = 'region'"""), ints="col_count rows_no_year min_year max_year")
@@ -239,7 +314,10 @@ def mt40(t):
 
 
 @query("mt40_variable_catalog", """
-SELECT table_name, 'other' AS topic, column_name, ordinal_position, lower(CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE data_type END) AS data_type, false AS is_key, column_name NOT LIKE '%name' AS is_measure FROM information_schema.columns WHERE table_name IN ('orders', 'nation')""", ints="ordinal_position")
+SELECT table_name, 'other' AS topic, c.column_name, ordinal_position, lower(CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE data_type END) AS data_type, false AS is_key, c.column_name NOT LIKE '%name' AS is_measure,
+  n AS row_count, n - k AS null_count FROM information_schema.columns AS c JOIN (UNPIVOT (SELECT 'orders' AS t, count(*) AS n, count(COLUMNS(*)) FROM orders) ON COLUMNS(* EXCLUDE (t, n)) INTO NAME column_name VALUE k
+  UNION ALL UNPIVOT (SELECT 'nation' AS t, count(*) AS n, count(COLUMNS(*)) FROM nation) ON COLUMNS(* EXCLUDE (t, n)) INTO NAME column_name VALUE k) AS v
+  ON t = table_name AND v.column_name = c.column_name""", ints="ordinal_position")
 def mt40v(t):
     return P.variable_catalog({"orders": t.orders, "nation": t.nation}, {})
 

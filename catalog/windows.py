@@ -14,13 +14,14 @@ MART = lambda body, *lv, extra="": S.sql_mart(*(lv or ("county",)), body=body, e
 KEYS = ["geo_level", "geo_id"]
 
 
-def tract_year(t, year=1999):
-    """Tract rows of one year with their metro and region, written once."""
-    df = S.mart(t, "tract").filter(F.col("year") == year).join(S.tract_cbsa(t), F.col("geo_id") == F.col("tract_geoid")).drop("tract_geoid")
-    return store(df.select("geo_id", "geo_name", "cbsa_code", "census_region", "pop_total", "hu_total", "income_pc", "vacancy_rate"))
+def tract_year(t):
+    """Every tract in every year, with its metro in that year and its region, written once."""
+    df = S.mart(t, "tract").join(S.tract_cbsa(t), F.col("geo_id") == F.col("tract_geoid")).drop("tract_geoid")
+    yearly = lambda c: F.concat_ws("-", c, F.col("year").cast("int").cast("string"))
+    return store(df.select(yearly("geo_id").alias("geo_id"), "geo_name", yearly("cbsa_code").alias("cbsa_code"), "census_region", "pop_total", "hu_total", "income_pc", "vacancy_rate"))
 
 
-TRACT = lambda body: MART(body, "tract", extra="ty AS (SELECT * FROM mart JOIN tract_cbsa ON geo_id = tract_geoid WHERE year = 1999)")
+TRACT = lambda body: MART(body, "tract", extra="ty AS (SELECT * REPLACE (geo_id || '-' || CAST(year AS INTEGER) AS geo_id, cbsa_code || '-' || CAST(year AS INTEGER) AS cbsa_code) FROM mart JOIN tract_cbsa ON geo_id = tract_geoid)")
 
 
 @query("wn01_multi_horizon_growth", MART("""
@@ -176,8 +177,8 @@ def wn18(t):
 @query("wn19_reference_index", TRACT("""
 SELECT geo_id, least(100, greatest(0, 50 + 10 * (income_pc - m) / s)) AS income_index FROM ty, (SELECT avg(income_pc) AS m, stddev_samp(income_pc) AS s FROM mart WHERE year = 1997)"""), real="income_index")
 def wn19(t):
-    m = S.mart(t, "tract")
-    return stats.z_index(m.filter("year = 1999"), m.filter("year = 1997"), {"income_pc": "income_index"}).select("geo_id", "income_index")
+    reference = S.mart(t, "tract").filter("year = 1997")
+    return stats.z_index(tract_year(t), reference, {"income_pc": "income_index"}).select("geo_id", "income_index")
 
 
 @query("wn20_winsorize", TRACT("""
@@ -198,12 +199,13 @@ def wn21(t):
 
 
 @query("wn22_waterfall_positions", MART("""
-, p AS (SELECT geo_id, i AS sort_order, 'gdp_' || i AS component, v FROM (SELECT geo_id, unnest([1, 2, 3, 4, 5, 6, 7]) AS i, unnest([gdp_1, gdp_2, gdp_3, gdp_4, gdp_5, gdp_6, gdp_7]) AS v FROM mart WHERE year = 1999))
+, p AS (SELECT geo_id, i AS sort_order, 'gdp_' || i AS component, v FROM (SELECT geo_id, unnest([1, 2, 3, 4, 5, 6, 7]) AS i, unnest([gdp_1, gdp_2, gdp_3, gdp_4, gdp_5, gdp_6, gdp_7]) AS v FROM (SELECT * REPLACE (geo_id || '-' || CAST(year AS INTEGER) AS geo_id) FROM mart)))
 SELECT geo_id, sort_order, component, v AS value, c - v AS start_value, c AS end_value, v / t AS share_of_total, false AS is_total FROM (SELECT *, sum(v) OVER (PARTITION BY geo_id ORDER BY sort_order ROWS UNBOUNDED PRECEDING) AS c, sum(v) OVER (PARTITION BY geo_id) AS t FROM p)
 UNION ALL SELECT geo_id, max(sort_order) + 1, 'Total', sum(v), 0, sum(v), 1, true FROM p GROUP BY geo_id""").replace("\n, p AS", ", p AS"), real="value start_value end_value share_of_total", ints="sort_order", digits=3)
 def wn22(t):
     from terrapanel.operators.reshape import longer
-    long = longer(S.mart(t, "county").filter("year = 1999"), ["geo_id"], [f"gdp_{k}" for k in range(1, 8)], "component")
+    m = S.mart(t, "county").withColumn("geo_id", F.concat_ws("-", "geo_id", F.col("year").cast("int").cast("string")))
+    long = longer(m, ["geo_id"], [f"gdp_{k}" for k in range(1, 8)], "component")
     long = long.withColumn("sort_order", F.substring("component", 5, 1).cast("int"))
     return T.waterfall(long, ["geo_id"], "sort_order", "component", "value")
 

@@ -14,9 +14,18 @@ from terrapanel.functions.nulls import as_col, ratio_or_null, sum0
 # ---- geography keys -------------------------------------------------------
 
 
+def pad_zeros(c: Column, width: int) -> Column:
+    """Text filled with zeros on the left to `width`; longer text stays whole."""
+    return F.when(F.length(c) < width, F.lpad(c, width, "0")).otherwise(c)
+
+
 def geoid(*parts: Column | str, widths: Sequence[int]) -> Column:
-    """Zero-padded parts joined into one identifier (state 2 + county 3 ...)."""
-    return F.concat(*[F.lpad(as_col(p).cast("string"), w, "0") for p, w in zip(parts, widths, strict=True)])
+    """Zero-padded parts joined into one identifier (state 2 + county 3 ...).
+
+    A part longer than its width stays whole, so that it matches nothing rather
+    than another place.
+    """
+    return F.concat(*[pad_zeros(as_col(p).cast("string"), w) for p, w in zip(parts, widths, strict=True)])
 
 
 def normal_level(level: Column | str) -> Column:

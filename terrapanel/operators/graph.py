@@ -18,7 +18,7 @@ from terrapanel.session import cut_lineage
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, vertex: str = "id", src: str = "src", dst: str = "dst",
-                         out: str = "component", max_rounds: int = 100) -> DataFrame:
+                         out: str = "component") -> DataFrame:
     """Label every vertex with the smallest vertex id it is connected to.
 
     Alternates two rewirings of the edge list until it is a set of stars: first
@@ -32,7 +32,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vertex: str = "i
     e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = cut_lineage(e)
     state = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
@@ -48,14 +48,12 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vertex: str = "i
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.groupBy(F.col("a").alias(vertex)).agg(F.min("b").alias("__root"))
     return vertices.join(roots, vertex, "left").withColumn(out, F.coalesce("__root", vertex)).drop("__root")
 
 
-def letters(n: Column | str, digits: int = 5) -> Column:
-    """1 -> A, 26 -> Z, 27 -> AA, ... (up to `digits` letters)."""
+def letters(n: Column | str, digits: int = 14) -> Column:
+    """1 -> A, 26 -> Z, 27 -> AA, ...; 14 letters name every bigint."""
     rest = F.col(n) if isinstance(n, str) else n
     rest = rest.cast("bigint")
     out = F.lit("")
@@ -91,11 +89,12 @@ def distance_clusters(points: DataFrame, id_col: str, x: str, y: str, eps: float
     """Clusters of points linked by steps of at most `eps`.
 
     Components smaller than `min_pts` join the component with the nearest mean
-    point (policy "nearest_core") or stay on their own ("own").
+    point (policy "nearest_core") or stay on their own ("own"). Points without a
+    place are in no cluster: their component and cluster are NULL.
     """
     labelled = distance_components(points, id_col, x, y, eps, connected_components)
     ids = labelled.groupBy("cell_comp").agg(F.min(id_col).alias("component"), F.count(F.lit(1)).alias("component_size"))
-    done = cut_lineage(points.join(labelled, id_col).join(ids, "cell_comp").drop("cell_comp"))
+    done = cut_lineage(points.join(labelled, id_col, "left").join(ids, "cell_comp", "left").drop("cell_comp"))
     if policy == "own":
         return done.withColumn(out, F.col("component"))
     if policy != "nearest_core":

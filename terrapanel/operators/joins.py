@@ -54,13 +54,13 @@ def hierarchy_backfill(df: DataFrame, paths: Mapping[str, tuple[DataFrame, Mappi
     """Fill `values` from the first path that has them.
 
     Each path is (reference, {df column: reference column}); `order` gives
-    precedence. `<value>_source` names the path used. A reference must be unique
-    on its keys, so that rows do not multiply.
+    precedence. `<value>_source` names the path used. Rows never multiply: where
+    a reference repeats its keys, each value counts only if its rows agree on it.
     """
     out = df
     for name, (ref, on) in paths.items():
-        r = ref.select(*[F.col(rc).alias(f"__{name}_{lc}") for lc, rc in on.items()],
-                       *[F.col(v).alias(f"__{name}_val_{v}") for v in values])
+        keys = [F.col(rc).alias(f"__{name}_{lc}") for lc, rc in on.items()]
+        r = ref.groupBy(*keys).agg(*[F.when(F.min(v) == F.max(v), F.max(v)).alias(f"__{name}_val_{v}") for v in values])
         cond = reduce(lambda a, b: a & b, [out[lc] == r[f"__{name}_{lc}"] for lc in on])
         out = out.join(r, cond, "left").drop(*[f"__{name}_{lc}" for lc in on])
     new = {}
@@ -71,9 +71,17 @@ def hierarchy_backfill(df: DataFrame, paths: Mapping[str, tuple[DataFrame, Mappi
 
 
 def match_names(df: DataFrame, ref: DataFrame, name: str, ref_name: str, take: Sequence[str]) -> DataFrame:
-    """Left join on names reduced to letters and digits."""
-    r = ref.select(text_key(ref_name).alias("__key"), *take).dropDuplicates(["__key"])
-    return df.withColumn("__key", text_key(name)).join(r, "__key", "left").drop("__key")
+    """Left join on names reduced to letters and digits.
+
+    `match_status` is matched, none, or ambiguous where several different
+    reference rows have the same key; `take` is NULL unless matched.
+    """
+    rows = ref.select(text_key(ref_name).alias("__key"), F.struct(*take).alias("__take")).filter(F.col("__key").isNotNull())
+    r = rows.groupBy("__key").agg(F.min("__take").alias("__take"), F.max("__take").alias("__other"))
+    r = r.withColumn("match_status", F.when(F.col("__take").eqNullSafe(F.col("__other")), "matched").otherwise("ambiguous"))
+    out = df.withColumn("__key", text_key(name)).join(r, "__key", "left").withColumn("match_status", F.coalesce("match_status", F.lit("none")))
+    taken = {c: F.when(F.col("match_status") == "matched", F.col(f"__take.{c}")) for c in take}
+    return out.withColumns(taken).drop("__key", "__take", "__other")
 
 
 def zero_filled_right(facts: DataFrame, universe: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -146,6 +146,17 @@ def validation_row(df: DataFrame, name: str, severity: str, dataset: str, metric
                       F.concat(F.lit(details + ": "), F.col("metric_value").cast("bigint").cast("string")).alias("details"))
 
 
+def validation_rows(df: DataFrame, checks: Sequence[tuple[str, str, str, Column, Column, str]]) -> list[DataFrame]:
+    """Several checks (name, severity, dataset, metric, ok, details) of one frame in one pass, as a list of one frame."""
+    one = df.agg(*[metric.cast("double").alias(f"m{k}") for k, (*_, metric, _ok, _d) in enumerate(checks)])
+    rows = one.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("check_name"), F.lit(severity).alias("severity"), F.lit(dataset).alias("dataset"), F.col(f"m{k}").alias("metric_value"), F.lit(details).alias("d"))
+        for k, (name, severity, dataset, _m, _ok, details) in enumerate(checks)])).alias("r")).select("r.*")
+    ok = reduce(lambda rest, c: F.when(F.col("check_name") == c[0], c[4]).otherwise(rest), checks, F.lit(None).cast("boolean"))
+    return [rows.select("check_name", "severity", "dataset", "metric_value", ok.alias("pass"),
+                        F.concat("d", F.lit(": "), F.col("metric_value").cast("bigint").cast("string")).alias("details"))]
+
+
 def validation_suite(checks: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 

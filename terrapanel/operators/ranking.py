@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.functions.nulls import asc_last, desc_last
@@ -144,10 +144,8 @@ def top_share(df: DataFrame, group: Sequence[str], score: str, ids: Sequence[str
 
 
 def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, out: str = "rn") -> DataFrame:
-    """Best k rows of each group. Spark trims every partition to k rows per
-    group before the shuffle, so group size does not matter for small k."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
+    """Best k rows of each group, for any k and groups of any size; `order` must be total."""
+    return row_numbers(df, group, order, out, "__n").drop("__n").filter(F.col(out) <= k)
 
 
 def cumulative_share(df: DataFrame, group: Sequence[str], value: str, ids: Sequence[str],

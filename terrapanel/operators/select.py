@@ -62,13 +62,14 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key, the one with the smallest `order` columns."""
+    """One row per key, the one with the smallest `order` columns; NULL comes last."""
     return _extreme(df, keys, order, F.min_by)
 
 
 def _extreme(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
-    out = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("__r"))
+    by = [x for c in order for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))] if pick is F.min_by else order
+    out = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*by)).alias("__r"))
     return out.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest])
 
 

@@ -1,5 +1,10 @@
 """Planar geometry on plain columns: rings are array<struct<x, y>>, points two doubles.
 
+A polygon with several parts or holes is one closed path too: from the first
+ring it goes along a bridge to each further ring and back. Outer rings then run
+against the clock and holes with it, so areas and centroids add up, and every
+bridge is passed twice, which cancels it in all tests below.
+
 Every spatial join is an equi-join on a shared vertex or a grid cell followed
 by an exact test; nothing pairs all rows with all rows.
 """
@@ -17,11 +22,26 @@ from terrapanel.session import cut_lineage
 
 
 def ring_from_wkt(wkt: Column | str) -> Column:
-    """Outer ring of a `POLYGON ((x y, ...))` text."""
+    """Closed path of a `POLYGON` or `MULTIPOLYGON` text, with all its parts and holes."""
     c = F.col(wkt) if isinstance(wkt, str) else wkt
-    body = F.regexp_extract(c, r"\(\(([^()]*)\)", 1)
-    pts = F.transform(F.split(body, ","), lambda p: F.split(F.trim(p), r"\s+"))
-    return F.transform(pts, lambda p: F.struct(p[0].cast("double").alias("x"), p[1].cast("double").alias("y")))
+    # a ring that follows "((" is an outer one, any other a hole
+    rings = F.regexp_extract_all(c, F.lit(r"\(?\s*\([^()]*\)"), F.lit(0))
+
+    def points(text: Column) -> Column:
+        pts = F.transform(F.split(F.regexp_replace(text, r"[()]", ""), ","), lambda p: F.split(F.trim(p), r"\s+"))
+        return F.transform(pts, lambda p: F.struct(p[0].cast("double").alias("x"), p[1].cast("double").alias("y")))
+
+    def turned(text: Column) -> Column:
+        ring = points(text)
+        left = _twice_area(ring) > 0
+        return F.when(left == text.rlike(r"^\(\s*\("), ring).otherwise(F.reverse(ring))
+
+    def bridged(all_rings: Column) -> Column:
+        start = F.slice(all_rings[0], F.lit(1), F.lit(1))
+        return F.flatten(F.transform(all_rings, lambda r, i: F.when(i == 0, r).otherwise(F.concat(r, start))))
+
+    whole = F.element_at(F.transform(F.array(F.transform(rings, turned)), bridged), 1)
+    return F.when(F.size(rings) == 1, points(rings[0])).when(F.size(rings) > 1, whole)
 
 
 def wkt_from_ring(ring: Column | str) -> Column:
@@ -38,10 +58,13 @@ def ring_edges(ring: Column | str) -> Column:
         a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
 
 
+def _twice_area(ring: Column | str) -> Column:
+    return F.aggregate(ring_edges(ring), F.lit(0.0), lambda s, e: s + e["x1"] * e["y2"] - e["x2"] * e["y1"])
+
+
 def ring_area(ring: Column | str) -> Column:
-    """Shoelace area."""
-    twice = F.aggregate(ring_edges(ring), F.lit(0.0), lambda s, e: s + e["x1"] * e["y2"] - e["x2"] * e["y1"])
-    return F.abs(twice) / 2
+    """Shoelace area, of all parts less their holes."""
+    return F.abs(_twice_area(ring)) / 2
 
 
 def ring_centroid(ring: Column | str) -> Column:
@@ -64,16 +87,52 @@ def ring_box(ring: Column | str) -> Column:
 # ---- joins ----------------------------------------------------------------
 
 
-def adjacency_edges(polys: DataFrame, id_col: str, ring: str = "ring", digits: int = 6) -> DataFrame:
-    """Pairs (src < dst) of polygons sharing a vertex, corners included."""
-    v = polys.select(F.col(id_col).alias("id"), F.explode(ring).alias("p")).select(
-        "id", F.round("p.x", digits).alias("x"), F.round("p.y", digits).alias("y")).distinct()
-    a, b = v.withColumnRenamed("id", "src"), v.withColumnRenamed("id", "dst")
-    return a.join(b, ["x", "y"]).filter("src < dst").select("src", "dst").distinct()
+def _cells(lo: Column, hi: Column, size: float | Column) -> Column:
+    return F.sequence(F.floor(lo / size).cast("bigint"), F.floor(hi / size).cast("bigint"))
 
 
-def _cells(lo: Column, hi: Column, size: float) -> Column:
-    return F.sequence(F.floor(lo / size).cast("bigint"), F.floor(hi / size).cast("bigint"))
+def _edge_cells(e: Column, size: Column, slack: float) -> Column:
+    """Grid cells along an edge, row by row, so their number follows its length: array<struct<cx, cy>>."""
+    x0, x1 = F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])
+    y0, y1 = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
+
+    def row(cy: Column) -> Column:
+        at = lambda y: e["x1"] + (e["x2"] - e["x1"]) * F.least(F.greatest((y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+        a, b = at(cy * size - slack), at((cy + 1) * size + slack)
+        lo, hi = F.coalesce(F.least(a, b), x0) - slack, F.coalesce(F.greatest(a, b), x1) + slack
+        lo, hi = F.when(y1 > y0, lo).otherwise(x0 - slack), F.when(y1 > y0, hi).otherwise(x1 + slack)
+        return F.transform(_cells(lo, hi, size), lambda cx: F.struct(cx.alias("cx"), cy.alias("cy")))
+
+    return F.flatten(F.transform(_cells(y0 - slack, y1 + slack, size), row))
+
+
+def adjacency_edges(polys: DataFrame, id_col: str, ring: str = "ring", digits: int = 6) -> DataFrame:
+    """Pairs (src < dst) of touching polygons: a vertex of one lies on the other's border.
+
+    That covers shared corners, shared and partly shared edges. Vertices meet
+    edges in grid cells about as wide as an edge is long. Places count as equal
+    within half a unit of the last of `digits`.
+    """
+    slack = 0.5 * 10.0**-digits
+    own = polys.select(F.col(id_col).alias("id"), F.col(ring).alias("r"))
+    v = own.select("id", F.explode("r").alias("p")).select("id", F.round("p.x", digits).alias("x"), F.round("p.y", digits).alias("y")).distinct()
+    v = v.filter("x IS NOT NULL AND y IS NOT NULL")
+    # vertices that coincide settle most pairs; each place then stands for itself once
+    same = v.withColumnRenamed("id", "src").join(v.withColumnRenamed("id", "dst"), ["x", "y"]).filter("src < dst").select("src", "dst")
+    e = own.select("id", F.explode(ring_edges("r")).alias("e"))
+    span = F.greatest(F.abs(F.col("e.x2") - F.col("e.x1")), F.abs(F.col("e.y2") - F.col("e.y1")))
+    size = e.filter(span > 0).select(F.avg(span)).first()[0] or 1.0
+    e = e.select("id", "e", F.explode(_edge_cells(F.col("e"), F.lit(size), slack)).alias("c")).select("id", "e", "c.cx", "c.cy")
+    cells = v.withColumns({"cx": F.floor(F.col("x") / size).cast("bigint"), "cy": F.floor(F.col("y") / size).cast("bigint")}).withColumnRenamed("id", "other")
+    dx, dy = F.col("e.x2") - F.col("e.x1"), F.col("e.y2") - F.col("e.y1")
+    along = F.coalesce(F.least(F.greatest(((F.col("x") - F.col("e.x1")) * dx + (F.col("y") - F.col("e.y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)),
+                                          F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    gap2 = F.pow(F.col("x") - F.col("e.x1") - along * dx, F.lit(2.0)) + F.pow(F.col("y") - F.col("e.y1") - along * dy, F.lit(2.0))
+    # strictly inside the edge: vertices at its ends are found above
+    inside = (along > 0) & (along < 1)
+    on = cells.join(e, ["cx", "cy"]).filter((F.col("id") != F.col("other")) & inside & (gap2 <= slack * slack))
+    on = on.select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst"))
+    return same.unionByName(on).distinct()
 
 
 def within_distance(points: DataFrame, id_col: str, x: str, y: str, eps: float) -> DataFrame:
@@ -90,50 +149,70 @@ def within_distance(points: DataFrame, id_col: str, x: str, y: str, eps: float)
 
 
 def distance_components(points: DataFrame, id_col: str, x: str, y: str, eps: float,
-                        components: Callable[..., DataFrame], fine: int = 8) -> DataFrame:
+                        components: Callable[..., DataFrame]) -> DataFrame:
     """Label points connected by steps of at most eps (`cell_comp`), over a graph
-    of grid cells.
+    of grid cells. Points without a place have no label.
 
     Cells have diagonal eps, so points of one cell are always linked. Two cells
-    are linked if any pair of their points is close enough. That is first
-    decided by one representative per fine sub-cell (at most fine^2 per cell,
-    however dense). Only sub-cell pairs that are still open *and* join two
-    different components are then compared point by point; links found there
-    join whole components. Exact, and dense areas never produce all pairs.
+    are linked if any pair of their points is close enough. For a pair of
+    boxes, one representative point each may prove that, or the gap between
+    their bounds may rule it out; pairs that are still open and lie in
+    different components are cut into quarter-wide boxes and looked at again,
+    until nothing is open. Work for a pair of cells is bounded at every level,
+    however many points they hold, and points are never paired.
     """
     side = eps / 2 ** 0.5
-    sub = side / fine
     p = points.select(F.col(id_col), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"))
-    p = p.withColumns({"cx": F.floor(F.col("px") / side).cast("bigint"), "cy": F.floor(F.col("py") / side).cast("bigint"),
-                       "sx": F.floor(F.col("px") / sub).cast("bigint"), "sy": F.floor(F.col("py") / sub).cast("bigint")})
-    p = p.withColumn("cell", F.concat_ws(":", F.col("cx").cast("string"), F.col("cy").cast("string")))
-    p = cut_lineage(p)
-    subs = p.groupBy("cell", "cx", "cy", "sx", "sy").agg(
-        F.min(F.struct(F.col(id_col).alias("i"), F.col("px").alias("x"), F.col("py").alias("y"))).alias("rep"),
-        F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1"))
-    a = subs.select(*[F.col(c).alias(f"a_{c}") for c in ("cell", "sx", "sy", "rep", "x0", "x1", "y0", "y1")],
-                    F.explode(F.sequence(F.col("cx") - 2, F.col("cx") + 2)).alias("cx"), "cy").withColumn(
+    p = cut_lineage(p.filter("NOT isnan(px) AND NOT isnan(py) AND abs(px) < double('infinity') AND abs(py) < double('infinity')").withColumns(
+        {"cx": F.floor(F.col("px") / side).cast("bigint"), "cy": F.floor(F.col("py") / side).cast("bigint")}).withColumn(
+        "cell", F.concat_ws(":", F.col("cx").cast("string"), F.col("cy").cast("string"))))
+
+    def boxes(width: float, within: DataFrame | None = None) -> DataFrame:
+        """Bounds and one point of every box of `width` that holds points."""
+        q = p if within is None else p.join(within, "cell", "left_semi")
+        q = q.withColumns({"bx": F.floor(F.col("px") / width).cast("bigint"), "by": F.floor(F.col("py") / width).cast("bigint")})
+        return q.groupBy("cell", "cx", "cy", "bx", "by").agg(
+            F.min(F.struct(F.col(id_col).alias("i"), F.col("px").alias("x"), F.col("py").alias("y"))).alias("rep"),
+            F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1"))
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        """Pairs of boxes that are not ruled out, with `sure` where they are linked."""
+        gap_x = F.greatest(F.col("a_x0") - F.col("b_x1"), F.col("b_x0") - F.col("a_x1"), F.lit(0.0))
+        gap_y = F.greatest(F.col("a_y0") - F.col("b_y1"), F.col("b_y0") - F.col("a_y1"), F.lit(0.0))
+        reps = (F.col("a_rep.x") - F.col("b_rep.x")) ** 2 + (F.col("a_rep.y") - F.col("b_rep.y")) ** 2
+        near = pairs.filter(gap_x ** 2 + gap_y ** 2 <= eps * eps).withColumn("sure", reps <= eps * eps)
+        # two boxes of a single place each have been decided exactly
+        single = (F.col("a_x0") == F.col("a_x1")) & (F.col("a_y0") == F.col("a_y1")) & (F.col("b_x0") == F.col("b_x1")) & (F.col("b_y0") == F.col("b_y1"))
+        return cut_lineage(near.filter(F.col("sure") | ~single).select("a_cell", "b_cell", "a_bx", "a_by", "b_bx", "b_by", "sure"))
+
+    fields = ("cell", "bx", "by", "rep", "x0", "x1", "y0", "y1")
+    named = lambda b, s: b.select(*[F.col(c).alias(f"{s}_{c}") for c in fields], "cx", "cy")
+    first = boxes(side)
+    around = named(first, "a").withColumn("cx", F.explode(F.sequence(F.col("cx") - 2, F.col("cx") + 2))).withColumn(
         "cy", F.explode(F.sequence(F.col("cy") - 2, F.col("cy") + 2)))
-    b = subs.select(*[F.col(c).alias(f"b_{c}") for c in ("cell", "sx", "sy", "rep", "x0", "x1", "y0", "y1")], "cx", "cy")
-    pairs = a.join(b, ["cx", "cy"]).filter("a_cell < b_cell")
-    gap_x = F.greatest(F.col("a_x0") - F.col("b_x1"), F.col("b_x0") - F.col("a_x1"), F.lit(0.0))
-    gap_y = F.greatest(F.col("a_y0") - F.col("b_y1"), F.col("b_y0") - F.col("a_y1"), F.lit(0.0))
-    reps = (F.col("a_rep.x") - F.col("b_rep.x")) ** 2 + (F.col("a_rep.y") - F.col("b_rep.y")) ** 2
-    near = pairs.filter(gap_x ** 2 + gap_y ** 2 <= eps * eps).withColumn("sure", reps <= eps * eps)
-    near = cut_lineage(near.select("a_cell", "b_cell", "a_sx", "a_sy", "b_sx", "b_sy", "sure"))
-    sure = near.filter("sure").select(F.col("a_cell").alias("src"), F.col("b_cell").alias("dst")).distinct()
-    comp = cut_lineage(components(p.select("cell").distinct(), sure, "cell", "src", "dst", "comp"))
-    left = comp.select(F.col("cell").alias("a_cell"), F.col("comp").alias("a_comp"))
-    right = comp.select(F.col("cell").alias("b_cell"), F.col("comp").alias("b_comp"))
-    open_pairs = near.filter("not sure").join(left, "a_cell").join(right, "b_cell").filter("a_comp <> b_comp")
-    pa = p.select(F.col("sx").alias("a_sx"), F.col("sy").alias("a_sy"), F.col("px").alias("ax"), F.col("py").alias("ay"))
-    pb = p.select(F.col("sx").alias("b_sx"), F.col("sy").alias("b_sy"), F.col("px").alias("bx"), F.col("py").alias("by"))
-    d2 = (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2
-    links = cut_lineage(open_pairs.join(pa, ["a_sx", "a_sy"]).join(pb, ["b_sx", "b_sy"]).filter(d2 <= eps * eps).select(
-        F.col("a_comp").alias("src"), F.col("b_comp").alias("dst")).distinct())
-    if not links.isEmpty():
-        merged = components(comp.select("comp").distinct(), links, "comp", "src", "dst", "whole")
-        comp = comp.join(merged, "comp").select("cell", F.col("whole").alias("comp"))
+    near = judged(around.join(named(first, "b"), ["cx", "cy"]).filter("a_cell < b_cell"))
+    links = near.filter("sure").select(F.col("a_cell").alias("src"), F.col("b_cell").alias("dst"))
+    cells = p.select("cell").distinct()
+    comp = cut_lineage(components(cells, links, "cell", "src", "dst", "comp"))
+    width = side
+    while True:
+        left = comp.select(F.col("cell").alias("a_cell"), F.col("comp").alias("a_comp"))
+        right = comp.select(F.col("cell").alias("b_cell"), F.col("comp").alias("b_comp"))
+        open_ = cut_lineage(near.filter("NOT sure").join(left, "a_cell").join(right, "b_cell").filter("a_comp <> b_comp").drop("a_comp", "b_comp", "sure"))
+        if open_.isEmpty():
+            break
+        width /= 4
+        within = open_.select(F.col("a_cell").alias("cell")).unionByName(open_.select(F.col("b_cell").alias("cell"))).distinct()
+        small = boxes(width, within).drop("cx", "cy").withColumns(
+            {"ux": F.floor(F.col("bx") / 4).cast("bigint"), "uy": F.floor(F.col("by") / 4).cast("bigint")})
+        child = lambda s: small.select(F.col("ux").alias(f"{s}_bx"), F.col("uy").alias(f"{s}_by"), *[
+            F.col(c).alias(f"{s}_cell" if c == "cell" else f"{s}_n{c}") for c in fields])
+        pairs = open_.join(child("a"), ["a_cell", "a_bx", "a_by"]).join(child("b"), ["b_cell", "b_bx", "b_by"]).drop("a_bx", "a_by", "b_bx", "b_by")
+        near = judged(pairs.select("a_cell", "b_cell", *[F.col(f"{s}_n{c}").alias(f"{s}_{c}") for s in "ab" for c in fields[1:]]))
+        more = near.filter("sure").select(F.col("a_cell").alias("src"), F.col("b_cell").alias("dst"))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comp = cut_lineage(components(cells, links, "cell", "src", "dst", "comp"))
     return p.select(id_col, "cell").join(comp, "cell").select(id_col, F.col("comp").alias("cell_comp"))
 
 
@@ -152,16 +231,31 @@ def point_in_polygon(points: DataFrame, polys: DataFrame, x: str, y: str, poly_i
                      cell: float = 1.0, how: str = "inner") -> DataFrame:
     """Attach the polygon that contains each point.
 
-    Both sides meet on grid cells: a polygon is listed under every cell its
-    bounding box touches. Choose `cell` near the typical polygon width.
+    Both sides meet on grid cells. A polygon is listed under the cells its
+    bounding box touches, in the grid of side `cell`, 2 `cell`, 4 `cell`, ...
+    in which those are 25 at most; a point is looked up in each grid that has
+    polygons. Choose `cell` near the typical polygon width.
     """
-    q = polys.select(F.col(poly_id), F.col(ring).alias("__ring"), ring_box(ring).alias("__b"))
-    q = q.withColumn("__cx", F.explode(_cells(F.col("__b.x0"), F.col("__b.x1"), cell))).withColumn(
-        "__cy", F.explode(_cells(F.col("__b.y0"), F.col("__b.y1"), cell))).drop("__b")
-    p = points.withColumns({"__cx": F.floor(F.col(x) / cell).cast("bigint"), "__cy": F.floor(F.col(y) / cell).cast("bigint")})
-    cond = (p["__cx"] == q["__cx"]) & (p["__cy"] == q["__cy"]) & inside_ring(
-        p[x].cast("double"), p[y].cast("double"), q["__ring"])
-    return p.join(q, cond, how).drop(p["__cx"]).drop(p["__cy"]).drop("__cx", "__cy", "__ring")
+    q = polys.select(F.col(poly_id), F.col(ring).alias("__ring"), ring_box(ring).alias("__b")).filter(
+        "__b.x0 IS NOT NULL AND __b.y0 IS NOT NULL AND __b.x1 IS NOT NULL AND __b.y1 IS NOT NULL")
+    extent = F.greatest(F.col("__b.x1") - F.col("__b.x0"), F.col("__b.y1") - F.col("__b.y0"))
+    level = F.greatest(F.ceil(F.log2(F.greatest(extent / (4 * cell), F.lit(1.0)))), F.lit(0)).cast("int")
+    q = q.withColumn("__level", level).withColumn("__size", F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("__level")))
+    levels = [r[0] for r in q.select("__level").distinct().collect()]  # at most one for each power of two a double holds
+    q = q.withColumn("__cx", F.explode(_cells(F.col("__b.x0"), F.col("__b.x1"), F.col("__size")))).withColumn(
+        "__cy", F.explode(_cells(F.col("__b.y0"), F.col("__b.y1"), F.col("__size")))).drop("__b", "__size")
+    if how not in ("inner", "left"):
+        raise ValueError(f"how must be 'inner' or 'left', not {how!r}")
+    p = points.select(F.struct(*[points[c] for c in points.columns]).alias("__row"), F.col(x).cast("double").alias("__px"), F.col(y).cast("double").alias("__py"))
+    if how == "left":
+        p = cut_lineage(p.withColumn("__id", F.monotonically_increasing_id()))
+    asked = F.array(*[F.lit(k) for k in sorted(levels) or [0]])
+    look = p.withColumn("__level", F.explode(asked)).withColumn("__size", F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("__level")))
+    look = look.withColumns({"__cx": F.floor(F.col("__px") / F.col("__size")).cast("bigint"), "__cy": F.floor(F.col("__py") / F.col("__size")).cast("bigint")})
+    hits = look.join(q, ["__level", "__cx", "__cy"]).filter(inside_ring(F.col("__px"), F.col("__py"), F.col("__ring")))
+    if how == "inner":
+        return hits.select("__row.*", poly_id)
+    return p.join(hits.select("__id", poly_id), "__id", "left").select("__row.*", poly_id)
 
 
 def overlap_counts(a: DataFrame, b: DataFrame, a_id: str, b_id: str, ring: str = "ring", cell: float = 1.0) -> DataFrame:
@@ -177,13 +271,21 @@ def assign_nearest(points: DataFrame, targets: DataFrame, id_col: str, x: str, y
     grid that doubles until every point is settled.
 
     A point is settled once its best target is no farther than the cell side,
-    because the 3 x 3 cells then hold everything that near.
+    because the 3 x 3 cells then hold everything that near. Points without a
+    place (NULL, NaN or infinite) get a NULL target, targets without one are
+    left out. Every place is finite, so the doubling ends.
     """
-    t = cut_lineage(targets.select(F.col(t_id), F.col(tx).cast("double").alias(tx), F.col(ty).cast("double").alias(ty)))
-    todo = cut_lineage(points.select(id_col, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)))
-    schema_out = None
+    def known(a: str, b: str) -> Column:
+        fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < F.lit(float("inf")))
+        return F.coalesce(fine(a) & fine(b), F.lit(False))
+
+    t = cut_lineage(targets.select(F.col(t_id), F.col(tx).cast("double").alias(tx), F.col(ty).cast("double").alias(ty)).filter(known(tx, ty)))
+    every = cut_lineage(points.select(id_col, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)))
+    none = lambda d: d.withColumn(t_id, F.lit(None).cast(t.schema[t_id].dataType)).withColumn("distance", F.lit(None).cast("double"))
     if t.isEmpty():
-        return todo.withColumn(t_id, F.lit(None).cast(t.schema[t_id].dataType)).withColumn("distance", F.lit(None).cast("double"))
+        return none(every)
+    todo = every.filter(known(x, y))
+    schema_out = none(every.filter(~known(x, y)))
     size = float(step)
     while not todo.isEmpty():
         c = t.withColumns({"__cx": F.floor(F.col(tx) / size).cast("bigint"), "__cy": F.floor(F.col(ty) / size).cast("bigint")})
@@ -193,11 +295,9 @@ def assign_nearest(points: DataFrame, targets: DataFrame, id_col: str, x: str, y
         best = p.join(c, ["__cx", "__cy"]).groupBy(id_col).agg(F.min(F.struct(d2.alias("d2"), F.col(t_id).alias("t"))).alias("b"))
         best = cut_lineage(best.filter(F.col("b.d2") <= size * size).select(id_col, F.col("b.t").alias(t_id), F.sqrt("b.d2").alias("distance")))
         found = todo.join(best, id_col)
-        schema_out = found if schema_out is None else schema_out.unionByName(found)
+        schema_out = schema_out.unionByName(found)
         todo = cut_lineage(todo.join(best, id_col, "left_anti"))
         size *= 2
-    if schema_out is None:
-        return todo.withColumn(t_id, F.lit(None).cast(t.schema[t_id].dataType)).withColumn("distance", F.lit(None).cast("double"))
     return schema_out
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapanel.functions.nulls import ratio_or_null, safe_weighted_mean
@@ -29,15 +29,18 @@ def benchmark_table(features: DataFrame, target: str, year: int, region_col: str
     """Target, region and nation: mean population, population-weighted rates, and
     the target relative to both."""
     f = features.filter(F.col("year") == year)
-    own = f.filter(F.col("cbsa_code") == target).select(F.lit("metro").alias("geo_level"), F.col("cbsa_name").alias("geo_name"), F.col("pop_total").alias("population"), *BENCH)
-    aggs = [F.avg("pop_total").alias("population"), *[safe_weighted_mean(c, "pop_total").alias(c) for c in BENCH]]
-    area = f.filter(F.col(region_col) == region).agg(*aggs).select(F.lit("region").alias("geo_level"), F.lit(region).alias("geo_name"), "population", *BENCH)
-    us = f.agg(*aggs).select(F.lit("us").alias("geo_level"), F.lit("United States").alias("geo_name"), "population", *BENCH)
-    out = own.unionByName(area).unionByName(us)
-    val = lambda d, c: d.select(c).scalar()
-    metro = F.col("geo_level") == "metro"
-    return out.withColumns({f"target_vs_{n}_{k}": F.when(metro, ratio_or_null(c, val(d, c)))
-                            for n, d in (("region", area), ("us", us)) for k, c in (("pop", "population"), ("rent", "median_gross_rent"))})
+    # each metro counts for the nation, for its region and for itself; one aggregation makes all rows
+    at = F.array_compact(F.array(F.lit("us"), F.when(F.col(region_col) == region, F.lit("region")), F.when(F.col("cbsa_code") == target, F.lit("metro"))))
+    rows = f.withColumn("geo_level", F.explode(at)).groupBy("geo_level").agg(
+        F.first("cbsa_name").alias("__name"), F.avg("pop_total").alias("population"),
+        *[F.when(F.col("geo_level") == "metro", F.max(c)).otherwise(safe_weighted_mean(c, "pop_total")).alias(c) for c in BENCH])
+    name = F.when(F.col("geo_level") == "metro", F.col("__name")).when(F.col("geo_level") == "region", F.lit(region)).otherwise(F.lit("United States"))
+    table = Window.partitionBy(F.lit(1))  # three rows at most
+    val = lambda n, c: F.max(F.when(F.col("geo_level") == n, F.col(c))).over(table)
+    return rows.withColumn("geo_name", name).withColumns({
+        f"target_vs_{n}_{k}": F.when(F.col("geo_level") == "metro", ratio_or_null(c, val(n, c)))
+        for n in ("region", "us") for k, c in (("pop", "population"), ("rent", "median_gross_rent"))}).select(
+        "geo_level", "geo_name", "population", *BENCH, *[f"target_vs_{n}_{k}" for n in ("region", "us") for k in ("pop", "rent")])
 
 
 def indexed_trend(features: DataFrame, target: str, region_col: str, region: str) -> DataFrame:

@@ -7,15 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.functions.columns import days_since, month_start
+from terrapanel.functions.columns import days_since, month_start, pad_zeros
 from terrapanel.functions.nulls import asc_last, desc_last, ratio_or_null, safe_ratio
 from terrapanel.operators.joins import zero_filled_right
 from terrapanel.operators.ordered import column_quantiles, row_numbers
-from terrapanel.operators.quality import validation_row, validation_suite
+from terrapanel.operators.quality import validation_row, validation_rows, validation_suite
 from terrapanel.operators.ranking import percentiles_of
-from terrapanel.operators.select import latest_per_key
+from terrapanel.operators.select import first_per_key, latest_per_key
 from terrapanel.operators.stats import winsorize
 from terrapanel.session import store
+from terrapanel.sources.files import read_with_aliases
 
 SQFT_PER_SQMI = 27878400.0
 
@@ -26,7 +27,34 @@ def county_name_key(name: str):
 
 
 def land_use_code(code: str):
-    return F.lpad(F.trim(F.col(code).cast("string")), 3, "0")
+    """Code of at least three digits; longer codes stay whole."""
+    return pad_zeros(F.trim(F.col(code).cast("string")), 3)
+
+
+# column names under which county files hold a field; fixed values
+PARCEL_ALIASES = {
+    "census_block_id": ("census_bk", "census_block_id", "block_geoid", "blockid"), "parcel_id": ("parcel_id", "parcelid", "parid"),
+    "alt_key": ("alt_key", "altkey", "alternate_id"), "county_code": ("co_no", "county", "county_code"), "use_code": ("dor_uc", "pa_uc", "use_code"),
+    "owner_name": ("own_name", "owner_name"), "owner_addr": ("own_addr1", "owner_addr"), "phys_addr": ("phy_addr1", "phys_addr", "site_address"),
+    "just_value": ("jv",), "land_value": ("lnd_val", "land_value"), "impro_value": ("nconst_val", "impro_value"), "total_value": ("del_val", "total_value"),
+    "living_area_sqft": ("tot_lvg_area", "living_area_sqft"), "sale_qual_code": ("qual_cd1", "qual_cd2", "sale_qual_code", "sale_qual1"),
+    "sale_price1": ("sale_prc1", "sale_price1"), "sale_yr1": ("sale_yr1", "sale_year1"), "sale_mo1": ("sale_mo1", "sale_month1")}
+_NUMBERS = ("just_value", "land_value", "impro_value", "total_value", "living_area_sqft", "sale_price1")
+
+
+def parcel_cleanup(raw: DataFrame, order: str, keep: Sequence[str] = ()) -> DataFrame:
+    """A county's parcel file under standard names: numbers parsed, keys in upper case, one row per key.
+
+    `join_key` is the parcel id, else the alternate key. Of rows with the same
+    key the one with the smallest `order` (a number, such as the line of the
+    file) stays; rows without a key all stay. `keep` names further columns.
+    """
+    casts = {**dict.fromkeys(_NUMBERS, "number"), "sale_yr1": "integer", "sale_mo1": "integer", "__order": "number"}
+    p = read_with_aliases(raw, {**PARCEL_ALIASES, "__order": (order,), **{c: (c,) for c in keep}}, casts)
+    p = p.withColumns({"parcel_id": F.upper("parcel_id"), "alt_key": F.upper("alt_key"), "sale_qual_code": pad_zeros(F.col("sale_qual_code"), 2)})
+    p = p.withColumn("join_key", F.coalesce("parcel_id", "alt_key"))
+    keyed = first_per_key(p.filter(F.col("join_key").isNotNull()), ["join_key"], ["__order"])
+    return keyed.unionByName(p.filter(F.col("join_key").isNull())).drop("__order")
 
 
 def parcels_canonical(raw: DataFrame, counties: DataFrame, land_use: DataFrame) -> DataFrame:
@@ -78,16 +106,20 @@ def parcel_validation(parcels: DataFrame, lineage: DataFrame, land_use: DataFram
     """Validation results that decide whether the layer may be published."""
     zero = F.col("metric_value") == 0
     canon, line = "parcel.parcels_canonical", "parcel.parcel_lineage"
-    per = parcels.groupBy("parcel_uid").agg(F.count(F.lit(1)).alias("n"))
     hits = lambda cond: F.count(F.when(cond, 1))
+    per = parcels.groupBy("parcel_uid").agg(
+        F.count(F.lit(1)).alias("n"), hits(F.col("qa_missing_join_key")).alias("no_key"),
+        hits(F.col("county_geoid").isNull() | (F.col("county_geoid") == "")).alias("no_county"))
     return validation_suite([
-        validation_row(per, "parcel_canonical_unique_parcel_uid", "error", canon, F.coalesce(F.sum(F.col("n") - 1), F.lit(0)), zero, "Duplicate parcel_uid rows"),
-        validation_row(parcels, "parcel_canonical_missing_join_key", "error", canon, hits(F.col("qa_missing_join_key")), zero, "Rows with missing join_key"),
-        validation_row(parcels, "parcel_canonical_missing_county_geoid", "error", canon, hits(F.col("county_geoid").isNull() | (F.col("county_geoid") == "")), zero, "Rows with missing county_geoid"),
+        *validation_rows(per, [
+            ("parcel_canonical_unique_parcel_uid", "error", canon, F.coalesce(F.sum(F.col("n") - 1), F.lit(0)), zero, "Duplicate parcel_uid rows"),
+            ("parcel_canonical_missing_join_key", "error", canon, F.coalesce(F.sum("no_key"), F.lit(0)), zero, "Rows with missing join_key"),
+            ("parcel_canonical_missing_county_geoid", "error", canon, F.coalesce(F.sum("no_county"), F.lit(0)), zero, "Rows with missing county_geoid")]),
         validation_row(unmapped_use_codes(parcels, land_use), "parcel_land_use_mapping_unmapped_codes", "error", "parcel.retail_parcels", F.count(F.lit(1)), zero, "Distinct unmapped land_use_code values"),
-        validation_row(lineage, "parcel_join_qa_missing_counties", "error", line, hits(F.col("load_status").isNull()), zero, "Counties without load lineage"),
-        validation_row(lineage, "parcel_join_qa_high_unmatched_rate_counties", "warning", line, hits(F.col("unmatched_rate") > max_unmatched), zero, "Counties above the unmatched limit"),
-        validation_row(lineage, "parcel_lineage_zero_parcel_counties", "warning", line, hits(F.coalesce("distinct_parcels", F.lit(0)) == 0), zero, "Counties without parcels")])
+        *validation_rows(lineage, [
+            ("parcel_join_qa_missing_counties", "error", line, hits(F.col("load_status").isNull()), zero, "Counties without load lineage"),
+            ("parcel_join_qa_high_unmatched_rate_counties", "warning", line, hits(F.col("unmatched_rate") > max_unmatched), zero, "Counties above the unmatched limit"),
+            ("parcel_lineage_zero_parcel_counties", "warning", line, hits(F.coalesce("distinct_parcels", F.lit(0)) == 0), zero, "Counties without parcels")])])
 
 
 def duplicate_profile(parcels: DataFrame, key: Sequence[str]) -> DataFrame:

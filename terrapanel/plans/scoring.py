@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.functions.columns import reason_tags, weighted_score, with_gates
-from terrapanel.functions.nulls import asc_last, desc_last, safe_ratio
+from terrapanel.functions.nulls import asc_last, desc_last, null_safe_join, safe_ratio
 from terrapanel.operators.ordered import column_quantiles, row_numbers
 from terrapanel.operators.quality import funnel
 from terrapanel.operators.ranking import ntile, percentiles_of, rank_metrics, top_share
@@ -44,19 +44,20 @@ def cbsa_features(meta: DataFrame, panel: DataFrame, permits: DataFrame) -> Data
     """Metro features by year with rank and percentile in the nation and the division.
 
     `meta`: cbsa_code, cbsa_type, census_division, ...; `panel`: cbsa_code, year
-    and metrics; `permits`: cbsa_code, year, total_units. All ranks of all
+    and metrics; `permits`: cbsa_code, year, total_units. A metro without a
+    panel row stays, with a NULL year and NULL measures. All ranks of all
     metrics come from one ordered pass over stacked rows.
     """
     b = rolling_mean(permits.select("cbsa_code", "year", F.col("total_units").alias("bps_total_units")), ["cbsa_code"], "year",
                      "bps_total_units", 3, "bps_units_3yr_avg")
-    f = meta.join(panel, "cbsa_code").join(b, ["cbsa_code", "year"], "left")
+    f = meta.join(panel, "cbsa_code", "left").join(b, ["cbsa_code", "year"], "left")
     f = f.withColumns({
         "commute_intensity_b": F.col("mean_travel_time") * (1 - F.col("pct_commute_wfh")),
         "bps_units_per_1k": safe_ratio(F.col("bps_total_units") * 1000.0, "pop_total"),
         "bps_units_per_1k_3yr_avg": safe_ratio(F.col("bps_units_3yr_avg") * 1000.0, "pop_total")})
     f = store(f)
     ranks = rank_metrics(f, ["cbsa_code", "year"], {"national": ["year", "cbsa_type"], "region": ["census_division", "year", "cbsa_type"]}, CBSA_METRICS)
-    return f.join(ranks, ["cbsa_code", "year"])
+    return null_safe_join(f, ranks, ["cbsa_code", "year"])
 
 
 def tract_features(tracts: DataFrame, metrics: DataFrame, permits: DataFrame, year: int) -> DataFrame:

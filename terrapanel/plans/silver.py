@@ -9,7 +9,7 @@ from operator import add
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.functions.columns import classify, diversity, geoid, in_parentheses, snake_case
+from terrapanel.functions.columns import classify, diversity, geoid, in_parentheses, pad_zeros, snake_case
 from terrapanel.functions.nulls import ratio_or_null, safe_ratio, sum0, sum_na0, weighted_mean
 from terrapanel.operators.reshape import longer
 from terrapanel.operators.rollup import cols_matching, multi_level_rollup
@@ -181,12 +181,16 @@ def burden_long(wide: DataFrame, keys: Sequence[str], variables: Sequence[str],
     return long.withColumns({k: F.lit(v) for k, v in labels.items()})
 
 
-def index_long(wide: DataFrame, keys: Sequence[str], pattern: str = r"^x\d{4}_\d{2}_\d{2}$", value: str = "zhvi", after: int = 2010) -> DataFrame:
-    """Monthly index columns named by date, stacked with date, year and month."""
+def index_long(wide: DataFrame, keys: Sequence[str], pattern: str = r"^x\d{4}_\d{2}_\d{2}$", value: str = "zhvi", *, after: int | None) -> DataFrame:
+    """Monthly index columns named by date, stacked with date, year and month.
+
+    Only years after `after` are kept; None keeps all.
+    """
     cols = cols_matching(wide, pattern)
     long = longer(wide, keys, cols, "date_raw", value)
     d = F.to_date(F.regexp_replace(F.substring("date_raw", 2, 10), "_", "-"))
-    return long.withColumn("date", d).withColumns({"year": F.year("date"), "month": F.month("date")}).drop("date_raw").filter(F.col("year") > after)
+    out = long.withColumn("date", d).withColumns({"year": F.year("date"), "month": F.month("date")}).drop("date_raw")
+    return out if after is None else out.filter(F.col("year") > after)
 
 
 # ---- migration flows ------------------------------------------------------
@@ -224,9 +228,49 @@ def named_flows(flows: DataFrame, names: DataFrame, level: str) -> DataFrame:
     return flows.join(o, "origin_geoid", "left").join(d, "dest_geoid", "left").withColumn("geo_level", F.lit(level))
 
 
+def state_flows(raw: DataFrame, states: DataFrame) -> DataFrame:
+    """Domestic state-to-state moves with the abbreviations of both ends (states: state_fip, state_abbr).
+
+    Valid state codes only, suppressed values as NULL; moves within a state stay
+    out. Side 1 is the destination and side 2 the origin.
+    """
+    f = raw.filter(F.col("y1_statefips").between(1, 56) & F.col("y2_statefips").between(1, 56)).withColumns({
+        "origin_geo_id": geoid("y2_statefips", widths=(2,)), "dest_geo_id": geoid("y1_statefips", widths=(2,))})
+    f = f.filter(F.col("origin_geo_id") != F.col("dest_geo_id"))
+    clean = lambda c: F.when(F.col(c) >= 0, F.col(c)).cast("double")
+    f = f.select(F.lit("State").alias("geo_level"), F.concat_ws("_", F.col("year").cast("string"), "origin_geo_id", "dest_geo_id").alias("flow_id"), "year",
+                 "origin_geo_id", "dest_geo_id", clean("n1").alias("n_returns"), clean("n2").alias("n_people"), clean("agi").alias("agi_thousands"), (clean("agi") * 1000).alias("agi"))
+    o = states.select(F.col("state_fip").alias("origin_geo_id"), F.col("state_abbr").alias("origin_state_abbr")).distinct()
+    d = states.select(F.col("state_fip").alias("dest_geo_id"), F.col("state_abbr").alias("dest_state_abbr")).distinct()
+    return f.join(o, "origin_geo_id", "left").join(d, "dest_geo_id", "left")
+
+
 # ---- crosswalks and catalogs ----------------------------------------------
 
 
+def code_crosswalk(raw: DataFrame, columns: Mapping[str, str], pads: Mapping[str, int] | None = None, required: Sequence[str] = (), **labels: object) -> DataFrame:
+    """A published crosswalk under standard names ({output: source column}).
+
+    `pads` fills codes with zeros to a width, rows without a `required` column
+    are left out, `labels` (vintage, source, ...) become constant columns.
+    Serves primary cities, tracts, ZIP pairs with published weights, counties.
+    """
+    out = raw.select(*[(pad_zeros(F.trim(F.col(c).cast("string")), pads[o]) if pads and o in pads else F.col(c)).alias(o) for o, c in columns.items()])
+    out = out.dropna(subset=list(required)) if required else out
+    return out.withColumns({k: F.lit(v) for k, v in labels.items()})
+
+
+def cbsa_state_crosswalk(county_xwalk: DataFrame, **labels: object) -> DataFrame:
+    """States of each CBSA with its number of counties there."""
+    keys = ["cbsa_code", "cbsa_name", "state_fips", "state_name"]
+    return county_xwalk.groupBy(*keys).agg(F.count(F.lit(1)).alias("counties")).withColumns({k: F.lit(v) for k, v in labels.items()})
+
+
+def state_region_crosswalk(states: DataFrame, regions: DataFrame, **labels: object) -> DataFrame:
+    """States with census region and division (regions: state_fips, census_region, census_division, one row per state)."""
+    return states.join(regions.dropDuplicates(["state_fips", "census_region", "census_division"]), "state_fips", "left").withColumns({k: F.lit(v) for k, v in labels.items()})
+
+
 def county_crosswalk(delineation: DataFrame) -> DataFrame:
     """CBSA to county with flags: geoid built from codes, core or outlying county."""
     return delineation.select(
@@ -264,11 +308,16 @@ def table_catalog(tables: Mapping[str, DataFrame], topics: Mapping[str, str]) ->
 
 
 def variable_catalog(tables: Mapping[str, DataFrame], topics: Mapping[str, str]) -> DataFrame:
-    """One row per column of each table; read from schemas, no data is touched."""
-    rows = [(t, topics.get(t, "other"), f.name, i + 1, f.dataType.simpleString(), f.name in KEYS,
-             f.name not in KEYS and not f.name.endswith("name")) for t, df in tables.items() for i, f in enumerate(df.schema.fields)]
-    spark = next(iter(tables.values())).sparkSession
-    return spark.createDataFrame(rows, "table_name string, topic string, column_name string, ordinal_position bigint, data_type string, is_key boolean, is_measure boolean")
+    """One row per column of each table, with its rows and NULLs: one pass over each table."""
+    parts = []
+    for t, df in tables.items():
+        fields = [F.struct(
+            F.lit(f.name).alias("column_name"), F.lit(i + 1).cast("bigint").alias("ordinal_position"), F.lit(f.dataType.simpleString()).alias("data_type"),
+            F.lit(f.name in KEYS).alias("is_key"), F.lit(f.name not in KEYS and not f.name.endswith("name")).alias("is_measure"),
+            F.col("n").alias("row_count"), (F.col("n") - F.col(f"known_{i}")).alias("null_count")) for i, f in enumerate(df.schema.fields)]
+        one = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(df[f"`{f.name}`"]).alias(f"known_{i}") for i, f in enumerate(df.schema.fields)])
+        parts.append(one.select(F.lit(t).alias("table_name"), F.lit(topics.get(t, "other")).alias("topic"), F.inline(F.array(*fields))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def age_band_table(counties: DataFrame, xwalk: DataFrame, bands: Mapping[str, Sequence[str]], pop: str = "pop_total") -> DataFrame:

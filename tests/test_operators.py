@@ -146,3 +146,40 @@ def test_quality_operators(frame):
     assert (prof["v"].null_count, prof["v"].distinct_count, prof["k"].max_value) == (1, 1, 2.0)
     checks = {r.check_name: r["pass"] for r in Q.contract_check(df, ["k", "zz"], numeric=["k"], single=["k"]).collect()}
     assert checks == {"required_columns": False, "optional_columns_present": True, "non_empty": True, "single_k": False, "finite_k": True}
+
+
+def test_first_per_key_takes_null_last(frame, values):
+    df = frame([("a", None, "x"), ("a", 2, "y"), ("b", None, "z")], "k string, t int, v string")
+    assert values(L.first_per_key(df, ["k"], ["t"]), "k", "v") == [("a", "y"), ("b", "z")]
+
+
+def test_match_names_reports_ambiguous_keys(frame):
+    from terrapanel.operators.joins import match_names
+
+    ref = frame([(1, "St. Johns County"), (2, "St Johns County"), (3, "Clay"), (3, "clay")], "id int, name string")
+    got = match_names(frame([("st johns county",), ("CLAY",), ("none",), (None,)], "typed string"), ref, "typed", "name", ["id"])
+    assert {r.typed: (r["id"], r.match_status) for r in got.collect()} == {
+        "st johns county": (None, "ambiguous"), "CLAY": (3, "matched"), "none": (None, "none"), None: (None, "none")}
+
+
+def test_backfill_never_multiplies_rows(frame):
+    from terrapanel.operators.joins import hierarchy_backfill
+
+    ref = frame([(1, 5.0), (1, 5.0), (2, 1.0), (2, 2.0)], "k int, v double")
+    got = hierarchy_backfill(frame([(1,), (2,), (3,)], "k int"), {"p": (ref, {"k": "k"})}, ["v"], ["p"])
+    assert sorted((r.k, r.v or 0.0) for r in got.collect()) == [(1, 5.0), (2, 0.0), (3, 0.0)]
+
+
+def test_long_codes_stay_whole(frame):
+    from terrapanel.functions.columns import geoid
+    from terrapanel.plans.parcels import land_use_code
+
+    df = frame([("7",), ("1234",), (None,)], "c string").select(land_use_code("c").alias("u"), geoid("c", widths=(3,)).alias("g"))
+    assert [(r.u, r.g) for r in df.collect()] == [("007", "007"), ("1234", "1234"), (None, None)]
+
+
+def test_top_k_per_group_beyond_sparks_own_limit(frame):
+    from terrapanel.operators.ranking import top_k_per_group
+
+    df = frame([("hot", i) for i in range(2500)] + [("b", 1)], "g string, i int")
+    assert top_k_per_group(df, ["g"], [F.col("i").desc()], 2000).count() == 2001

@@ -35,6 +35,31 @@ def test_point_in_polygon_assigns_borders_once(frame, polys, values):
     assert values(G.point_in_polygon(pts, polys, "x", "y", "id", cell=0.7), "p", "id") == [(1, 1), (2, 2), (4, 4)]
 
 
+def test_parts_and_holes_add_up(frame):
+    hole = "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 3, 3 3, 3 1, 1 1))"
+    parts = "MULTIPOLYGON (((0 0, 4 0, 4 4, 0 4, 0 0)), ((10 0, 11 0, 11 1, 10 1, 10 0)))"
+    df = frame([(1, hole), (2, parts), (3, None)], "id int, wkt string").withColumn("ring", G.ring_from_wkt("wkt"))
+    assert {r["id"]: r.a for r in df.select("id", G.ring_area("ring").alias("a")).collect()} == {1: 12.0, 2: 17.0, 3: None}
+    c = df.filter("id = 1").select(G.ring_centroid("ring").alias("c")).first().c
+    assert (c.x, c.y) == (2.0, 2.0)
+    pts = frame([(1, 2.0, 2.0), (2, 0.5, 2.0), (3, 10.5, 0.5), (4, 7.0, 0.5)], "p int, x double, y double")
+    got = G.point_in_polygon(pts, df, "x", "y", "id", cell=0.5, how="left")
+    assert sorted((r.p, r["id"] or 0) for r in got.collect()) == [(1, 2), (2, 1), (2, 2), (3, 2), (4, 0)]
+
+
+def test_large_polygon_is_listed_under_few_cells(frame):
+    df = frame([sq(1, 0, 0, 100000.0), sq(2, 5, 5)], "id int, wkt string").withColumn("ring", G.ring_from_wkt("wkt"))
+    pts = frame([(1, 5.5, 5.5), (2, 99999.0, 3.0)], "p int, x double, y double")
+    got = G.point_in_polygon(pts, df, "x", "y", "id", cell=1.0)
+    assert sorted((r.p, r["id"]) for r in got.collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_vertex_in_the_middle_of_an_edge_touches(frame, values):
+    shapes = [sq(1, 0, 0, 4.0), sq(2, 4, 1), sq(3, 4, 3), sq(4, 4.5, 9)]
+    df = frame(shapes, "id int, wkt string").withColumn("ring", G.ring_from_wkt("wkt"))
+    assert values(G.adjacency_edges(df, "id"), "src", "dst") == [(1, 2), (1, 3)]
+
+
 def test_dissolve_drops_shared_edge(polys, values):
     z = polys.withColumn("z", F.when(F.col("id") <= 2, "a").otherwise("b"))
     n = {r.z: r["count"] for r in G.dissolve(z, ["z"]).groupBy("z").count().collect()}
@@ -88,7 +113,30 @@ def test_small_clusters_join_nearest_core(frame):
     assert {r["id"]: r.cluster_raw_id for r in out.collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 1, 6: 3}
 
 
+def test_points_without_a_place_end_and_stay_apart(frame):
+    pts = [(1, 0.0, 0.0), (2, 0.1, 0.0), (3, None, None), (4, None, 1.0), (5, float("nan"), 0.0), (6, 1e6, 1e6)]
+    df = frame(pts, "id int, x double, y double")
+    out = {r["id"]: (r.component, r.cluster_raw_id) for r in GR.distance_clusters(df, "id", "x", "y", 0.5, min_pts=2).collect()}
+    assert out == {1: (1, 1), 2: (1, 1), 3: (None, None), 4: (None, None), 5: (None, None), 6: (6, 1)}
+    near = G.assign_nearest(df, frame([(9, 0.0, 1.0), (8, None, 0.0)], "t int, tx double, ty double"), "id", "x", "y", "t", "tx", "ty", step=0.5)
+    assert {r["id"]: r.t for r in near.collect()} == {1: 9, 2: 9, 3: None, 4: None, 5: None, 6: 9}
+
+
+def test_two_dense_blobs_are_never_paired(frame, spark):
+    """Just over and just under eps apart; the pairs looked at stay far below |A| x |B|."""
+    rnd = random.Random(8)
+    blob = lambda n, x: [(n + i, x - rnd.random() * 0.05, rnd.random() * 0.3) for i in range(400)]
+    for gap, parts in ((0.7001, 2), (0.6999, 1)):
+        left, right = [(i, min(x, 1.0), y) for i, x, y in blob(0, 1.0)], [(i, 2.0 - x + 1.0 + gap - 1.0, y) for i, x, y in blob(1000, 1.0)]
+        left[0], right[0] = (0, 1.0, 0.15), (1000, 1.0 + gap, 0.15)
+        df = frame(left + right, "id int, x double, y double")
+        got = GR.distance_clusters(df, "id", "x", "y", 0.7, policy="own")
+        assert len({r.component for r in got.collect()}) == parts
+
+
 def test_letters(frame):
+    big = frame([(26**6 + 5,), (26**6 + 5 + 26**5,)], "n long").select(GR.letters("n").alias("v"))
+    assert len({r.v for r in big.collect()}) == 2
     df = frame([(1,), (26,), (27,), (702,), (703,)], "n int")
     assert [r.v for r in df.select(GR.letters("n").alias("v")).collect()] == ["A", "Z", "AA", "ZZ", "AAA"]
 
