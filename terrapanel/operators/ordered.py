@@ -182,7 +182,8 @@ def quantiles(df: DataFrame, group: Sequence[str], value: str, probs: dict[str,
     groups without a known value are absent."""
     pos = value_positions(df, group, value)
     below = F.col("upto") - F.col("cnt")
-    at = {name: (F.col("upto_total") - 1) * F.lit(float(p)) for name, p in probs.items()}
+    # rounded, so that a place that is a whole number stays one in binary arithmetic
+    at = {name: F.round((F.col("upto_total") - 1) * F.lit(float(p)), 9) for name, p in probs.items()}
 
     def holds(k: Column) -> Column:
         return (below <= k) & (k < F.col("upto"))

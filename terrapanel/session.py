@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -36,8 +38,11 @@ def _checkpoint_dir_ready(spark: SparkSession) -> None:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="terrapanel-ckpt-"))
+    elif sc.master.startswith("local[") or sc.master == "local":
+        # one machine, one process: a folder of the session's own, removed when the process ends
+        folder = tempfile.mkdtemp(prefix="terrapanel-ckpt-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
