@@ -72,7 +72,7 @@ def certain(v: Column, before: Column) -> Column:
     """
     low = F.lower(before)
     varied = F.size(F.array_distinct(F.split(v, ""))) >= 8
-    words = F.length(F.regexp_replace(F.lower(v), _WORDS, "")) <= 0.4 * F.length(v)
+    words = F.length(F.regexp_replace(F.lower(v), _WORDS, "")) <= 0.5 * F.length(v)
     named = low.rlike(rf"(?:{_CUES})[a-z_]{{0,12}}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']$")
     return (F.when(v.rlike(_KNOWN), F.lit(1.0)).when(v.rlike("^[0-9+/_=-]+$") | ~varied | words, F.lit(0.0))
             .when(named, F.lit(1.0)).when(low.rlike(rf"(?:{_AGAINST})\W{{0,4}}$"), F.lit(0.0)))

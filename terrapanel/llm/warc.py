@@ -113,6 +113,8 @@ def parse_record(data: bytes, pos: int) -> tuple[int, dict[str, str], bytes]:
     if not data.startswith(VERSION, pos) or stop < 0:
         raise Damaged("no record head")
     lines = data[pos:stop].decode("utf-8", "replace").split("\r\n")[1:]
+    if any(":" not in x and x[:1] not in " \t" for x in lines):
+        raise Damaged("bad head line")
     heads = {k.strip().lower(): v.strip() for k, s, v in (x.partition(":") for x in lines) if s}
     length = heads.get("content-length", "")
     if not length.isdecimal():
