@@ -178,7 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = own.filter("label_id IS NOT NULL AND toxic IN (0, 1)").groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     sample = own.orderBy(F.xxhash64(F.col("label_id").cast("string")), "label_id").limit(max_train)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(f"`{text_col}`").alias("text"))
-    rows = store(texts.join(sample, F.col("id") == F.col("label_id")).select(F.col("id").cast("string").alias("uid"), "toxic", "text"))
+    # at most max_train ids, so the texts need not be shuffled to find theirs
+    rows = store(texts.join(F.broadcast(sample), F.col("id") == F.col("label_id")).select(F.col("id").cast("string").alias("uid"), "toxic", "text"))
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return Model()
