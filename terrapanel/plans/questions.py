@@ -77,16 +77,19 @@ PROFILE = {
     "pct_unemployment_rate": ("Unemployment rate", "Labor", "lower_is_better", 4),
     "pct_rent_burden_30plus": ("Rent-burdened renter share", "Affordability", "lower_is_better", 5),
     "permits_per_1000_population": ("Permits per 1,000 residents", "Supply", "higher_is_better", 6)}
+# The same for the peer profile.
 PEER_PROFILE = {
     "pop_growth_5yr": ("Population growth (5yr)", "Growth", "higher_is_better", 1), "pct_ba_plus": ("Adults with BA+", "Talent", "higher_is_better", 2),
     "median_hh_income": ("Median household income", "Prosperity", "higher_is_better", 3), "jobs_to_pop_ratio": ("Jobs-to-population ratio", "Labor", "higher_is_better", 4),
     "pct_unemployment_rate": ("Unemployment rate", "Labor", "lower_is_better", 5), "pct_rent_burden_30plus": ("Rent-burdened renter share", "Affordability", "lower_is_better", 6),
     "value_to_income": ("Home value-to-income", "Affordability", "lower_is_better", 7), "permits_per_1000_population": ("Permits per 1,000 residents", "Supply", "higher_is_better", 8),
     "mean_travel_time": ("Mean commute time", "Access", "lower_is_better", 9)}
+# The same for the shortlist.
 SHORTLIST = {
     "median_hh_income": ("Median household income", "Prosperity", "higher_is_better", 1), "pct_ba_plus": ("Adults with BA+", "Talent", "higher_is_better", 2),
     "vacancy_rate": ("Vacancy rate", "Housing headroom", "higher_is_better", 3), "pct_rent_burden_30plus": ("Rent-burdened renter share", "Affordability", "lower_is_better", 4),
     "value_to_income": ("Home value-to-income", "Affordability", "lower_is_better", 5)}
+# Order of the level metrics, and the growth metrics with label, theme, direction, order and group.
 LEVELS = {k: (*PROFILE[k][:3], i, "levels") for i, k in enumerate(
     ("median_hh_income", "pct_ba_plus", "pct_unemployment_rate", "pct_rent_burden_30plus", "permits_per_1000_population"), 1)}
 GROWTHS = {"pop_growth_5yr": ("Population growth (5yr)", "Growth", "higher_is_better", 1, "growth"),
@@ -212,6 +215,7 @@ def county_rank_movers(g: DataFrame, x: DataFrame, target: str, start: int, end:
     return s.join(movers.select("geo_id", (F.col("mover_order") <= k).alias("highlight_flag")), "geo_id", "left")
 
 
+# Weight of each percentile, and whether more of it counts.
 OVERHEAT = {"pop_growth_5yr": (0.35, True), "income_pc_growth_5yr": (0.25, True), "value_to_income": (0.25, True), "pct_rent_burden_30plus": (0.15, True)}
 SWEET = {"income_pc_growth_5yr": (0.40, True), "pop_growth_5yr": (0.30, True), "value_to_income": (0.30, False)}
 
@@ -265,14 +269,18 @@ def metric_table(df: DataFrame, question: str, metrics: Sequence[str], keys: Seq
     return long.filter(F.col("metric_value").isNotNull())
 
 
-def sweet_spot_metrics(g: DataFrame, x: DataFrame, metrics: Sequence[str], pop: tuple[float, float], level: str = "cbsa", k: int = 12) -> DataFrame:
-    """All places and a derived shortlist, each as its own group of metric rows."""
+def sweet_spot_metrics(g: DataFrame, x: DataFrame, metrics: Sequence[str], pop: tuple[float, float], level: str = "cbsa", k: int = 12,
+                       growth_from: float = 0.65, permits_from: float = 0.55, burden_to: float = 0.45, price_to: float = 0.45) -> DataFrame:
+    """All places and a derived shortlist, each as its own group of metric rows.
+
+    The last four arguments bound the percentiles of the shortlist.
+    """
     base = at(g, level).join(x, "geo_id", "left")
     need = ("pop_growth_5yr", "pct_rent_burden_30plus", "value_to_income", "permits_per_1000_population")
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in need])
     medium = base.filter((F.col("cbsa_type") == "Metro Area") & F.col("pop_total").between(*pop) & known)
     p = K.percentiles_of(medium.select(*PLACE, *need), ["geo_id"], [], {c: f"p_{i}" for i, c in enumerate(need)})
-    good = p.filter((F.col("p_0") >= 0.65) & (F.col("p_3") >= 0.55) & (F.col("p_1") <= 0.45) & (F.col("p_2") <= 0.45))
+    good = p.filter((F.col("p_0") >= growth_from) & (F.col("p_3") >= permits_from) & (F.col("p_1") <= burden_to) & (F.col("p_2") <= price_to))
     short = good.withColumn("__s", F.round(F.col("p_0") + F.col("p_3") - F.col("p_1") - F.col("p_2"), 9)).orderBy(desc_last("__s"), *[asc_last(c) for c in IDS]).limit(k)
     both = base.withColumn("group", F.lit("All CBSAs")).unionByName(base.join(short.select("geo_id"), "geo_id", "left_semi").withColumn("group", F.lit("Derived Sweet Spot shortlist")))
     return metric_table(both, "corr_sweet_spot_compare", metrics, ["group"])

@@ -223,6 +223,7 @@ def top_districts(df: DataFrame, k: int = 25) -> DataFrame:
     q = column_quantiles(best, [], {"qa": ("allocations_per_student", 0.75), "qe": ("enrollment", 0.75), "qp": ("child_poverty_rate", 0.75)})
     best = best.withColumn("__q", q.select(F.struct("qa", "qe", "qp")).scalar()).select("*", "__q.*").drop("__q")
     quartile, need = F.col("pop_growth_quartile"), F.col("economically_disadvantaged_percent") / 100
+    # fixed values: the texts of labels and reasons
     label = F.when(quartile == 4, "High growth").when(quartile == 3, "Moderate growth").when(quartile == 1, "Declining").otherwise("Stable")
     why = (F.when((F.col("allocations_per_student") >= F.col("qa")) & (need >= 0.60), "High Title I funding and high student need")
            .when(F.col("enrollment") >= F.col("qe"), "Large district with meaningful contract scale")
