@@ -55,13 +55,14 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vertex: str = "i
 def letters(n: Column | str, digits: int = 14) -> Column:
     """1 -> A, 26 -> Z, 27 -> AA, ...; 14 letters name every bigint."""
     rest = F.col(n) if isinstance(n, str) else n
-    rest = rest.cast("bigint")
-    out = F.lit("")
-    for _ in range(digits):
-        letter = F.when(rest > 0, F.char((rest - 1) % 26 + 65)).otherwise(F.lit(""))
-        out = F.concat(letter, out)
-        rest = F.when(rest > 0, F.floor((rest - 1) / 26)).otherwise(F.lit(0)).cast("bigint")
-    return out
+    start = F.struct(rest.cast("bigint").alias("rest"), F.lit("").alias("text"))
+
+    def step(s: Column, _: Column) -> Column:
+        more = s["rest"] > 0
+        return F.struct(F.when(more, F.floor((s["rest"] - 1) / 26).cast("bigint")).otherwise(F.lit(0).cast("bigint")).alias("rest"),
+                        F.when(more, F.concat(F.char((s["rest"] - 1) % 26 + 65), s["text"])).otherwise(s["text"]).alias("text"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(digits)), start, step, lambda s: s["text"])
 
 
 def order_zones(df: DataFrame, raw: str, score: str, prefix: str, label: str) -> DataFrame:
