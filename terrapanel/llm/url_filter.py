@@ -9,7 +9,6 @@ more of it than trust, is blocked. Everything is DataFrame operations.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -73,9 +72,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
     """host, trust, distrust from `seeds` (host, kind "trust" or "distrust", mass).
 
     Each round passes `damping` of the last round's mass on, by the share of
-    links: along them for trust, against them for distrust. Rounds stop when
-    less than `tolerance` of the seeds' mass moves, at the latest when damping
-    alone has used it up. What reaches a host that has no further link ends there.
+    links: along them for trust, against them for distrust. Rounds stop when no
+    host's score of either kind can still grow by more than `tolerance`, however
+    many seeds there are; damping makes their number grow with the logarithm of
+    the mass. What reaches a host that has no further link ends there.
     """
     out_n = edges.groupBy("src").agg(F.sum("n").alias("all"))
     in_n = edges.groupBy("dst").agg(F.sum("n").alias("all"))
@@ -83,14 +83,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
         edges.join(out_n, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("at"), F.col("dst").alias("to"), (F.col("n") / F.col("all")).alias("p"))
         .unionByName(edges.join(in_n, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("at"), F.col("src").alias("to"), (F.col("n") / F.col("all")).alias("p"))))
     wave = store(seeds.select(F.col("host").alias("at"), "kind", "mass"))
-    total = wave.agg(F.sum("mass")).first()[0] or 0.0
     waves = [wave]
-    for _ in range(math.ceil(math.log(tolerance) / math.log(damping))):
+    # all that a kind's last wave can still add to one host's score is damping times the wave's mass
+    while damping * max((r["mass"] for r in waves[-1].groupBy("kind").agg(F.sum("mass").alias("mass")).collect()), default=0.0) > tolerance:
         moved = waves[-1].join(steps, ["kind", "at"]).groupBy("to", "kind").agg((F.lit(damping) * F.sum(F.col("mass") * F.col("p"))).alias("mass"))
-        wave = store(moved.select(F.col("to").alias("at"), "kind", "mass"))
-        if (wave.agg(F.sum("mass")).first()[0] or 0.0) <= tolerance * total:
-            break
-        waves.append(wave)
+        waves.append(store(moved.select(F.col("to").alias("at"), "kind", "mass")))
     every = waves[0]
     for w in waves[1:]:
         every = every.unionByName(w)

@@ -87,3 +87,19 @@ def test_a_section_does_not_damn_its_host(web):
 def test_repeated_pages_and_empty_table(web):
     assert U.judge(web.unionByName(web), RULES, damping=0.5, tolerance=1e-2).count() == 2 * web.count()
     assert U.judge(web.filter("1 = 0"), RULES).count() == 0 and U.judge(web, [], damping=0.5).filter("verdict = 'block'").count() == 0
+
+
+def test_unlinked_seeds_do_not_hide_a_blocked_neighbour(spark):
+    rows = [(f"http://s{k}.com/", "") for k in range(10_000)] + [("http://bad.net/es/", ""), ("http://near.org/", '<a href="http://bad.net/es/">')]
+    pages = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    near = U.judge(pages, RULES).filter("host = 'near.org'").first()
+    assert near.distrust == pytest.approx(0.1275) and near.verdict == "block"
+
+
+def test_tolerance_holds_for_each_host_however_large_the_mass(spark):
+    """Many seeds of one host that links in a circle: the rest that is left out is small in itself, not beside the seeds."""
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("hub", "a", 1.0)], "src string, dst string, n double")
+    seeds = spark.createDataFrame([("hub", "trust", 1e4), ("b", "distrust", 1.0)], "host string, kind string, mass double")
+    got = {r.host: r for r in U.propagate(edges, seeds, damping=0.5, tolerance=1e-2).collect()}
+    assert got["a"].trust == pytest.approx(1e4 * 0.5 * 0.5 / (1 - 0.25), abs=1e-2)
+    assert got["b"].trust == pytest.approx(1e4 * 0.5 * 0.25 / (1 - 0.25), abs=1e-2)
