@@ -47,7 +47,9 @@ def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
     pages, path = _table(spark, sf, "pages"), shared_folder(spark, "warc")
     warc.write_archives(pages, path)
     key = pages.schema["page_id"].dataType
-    return warc.read_archives(spark, path, payload=False).filter("gap IS NULL").select(
+    # a gap in archives just written is a page that was not read back
+    failed = F.raise_error(F.concat(F.lit("page not read back: "), F.concat_ws(" ", "archive", "start", "end", "gap"))).cast("boolean")
+    return warc.read_archives(spark, path, payload=False).filter(F.when(F.col("gap").isNull(), F.lit(True)).otherwise(failed)).select(
         F.col("key").cast(key).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(key).alias("refers_to"))
 
 

@@ -7,7 +7,8 @@ so a file is a plain series of members that any gzip reader unpacks to a WARC.
 The reader checks every member (gzip checksum, record syntax, block and payload
 digest). Where a check fails it looks for the next gzip member or version line
 that holds a valid record, goes on from there and reports the bytes between as
-a gap with the reason. Uncompressed archives are read the same way.
+a gap with the reason. Uncompressed archives are read the same way, and so is
+the content of each member, also what can be unpacked of a damaged one.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from terrapanel.llm.common import map_arrow, slices, text_or_empty
 
 ROWS = 512  # rows handed on at a time
 STEP = 1 << 14  # bytes unpacked at a time
-HEAD = 1 << 16  # longest record head that is looked for
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:x-record:"
@@ -107,22 +107,34 @@ def _digest_ok(stated: str, data: bytes) -> bool:
     return name != "sha256" or hashlib.sha256(data).hexdigest() == value.lower()
 
 
+def _head_lines(data: bytes, pos: int) -> tuple[int, list[str]]:
+    """(start of the block, lines after the version line) of the record at `pos`; a line may have any length."""
+    at = data.find(b"\r\n", pos) + 2
+    if not data.startswith(VERSION, pos) or at < 2:
+        raise Damaged("no record head")
+    lines = []
+    while (end := data.find(b"\r\n", at)) != at:
+        if end < 0:
+            raise Damaged("no record head")
+        line = data[at:end]
+        if b":" not in line and line[:1] not in (b" ", b"\t"):
+            raise Damaged("bad head line")  # the next record's version line is one
+        lines.append(line.decode("utf-8", "replace"))
+        at = end + 2
+    return at + 2, lines
+
+
 def parse_record(data: bytes, pos: int) -> tuple[int, dict[str, str], bytes]:
     """(end, headers with lower-case names, block) of the record at `pos`."""
-    stop = data.find(b"\r\n\r\n", pos, pos + HEAD)
-    if not data.startswith(VERSION, pos) or stop < 0:
-        raise Damaged("no record head")
-    lines = data[pos:stop].decode("utf-8", "replace").split("\r\n")[1:]
-    if any(":" not in x and x[:1] not in " \t" for x in lines):
-        raise Damaged("bad head line")
+    start, lines = _head_lines(data, pos)
     heads = {k.strip().lower(): v.strip() for k, s, v in (x.partition(":") for x in lines) if s}
     length = heads.get("content-length", "")
     if not length.isdecimal():
         raise Damaged("no content length")
-    end = stop + 4 + int(length)
+    end = start + int(length)
     if data[end:end + 4] != b"\r\n\r\n":
         raise Damaged("record cut short")
-    block = data[stop + 4:end]
+    block = data[start:end]
     if not _digest_ok(heads.get("warc-block-digest", ""), block):
         raise Damaged("block digest differs")
     return end + 4, heads, block

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrapanel.llm import warc as W
+from terrapanel.llm.queries import op4_warc
 from terrapanel.session import shared_folder
 
 
@@ -96,3 +97,28 @@ def test_empty_table(spark, pages):
     path = shared_folder(spark, "warc-test")
     W.write_archives(pages.filter("1 = 0"), path)
     assert W.read_archives(spark, path).count() == 0
+
+
+def test_long_urls_are_read_back(spark, tmp_path):
+    """In archives and by the query, which fails if a page is missing."""
+    urls = ["http://a/" + "x" * 200_000, "http://b/" + " %" * 50_000, "http://c/"]
+    pages = spark.createDataFrame([(k, u, f"page {k}") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    path = shared_folder(spark, "warc-test")
+    W.write_archives(pages, path)
+    assert {(r.gap, r.key, r.url) for r in W.read_archives(spark, path).collect()} == {(None, str(k), u) for k, u in enumerate(urls)}
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r.page_id for r in op4_warc(spark, str(tmp_path)).collect()) == [0, 1, 2]
+
+
+def test_long_heads_in_uncompressed_archives():
+    recs = [W.record_bytes("response", str(k), "http://x/" + "y" * 100_000, "d", b"p", hashlib.sha256(b"p").hexdigest(), 1) for k in range(3)]
+    assert len(_keys(b"".join(recs))) == 3
+    assert len(_keys(recs[0] + recs[1][:90_000] + recs[2])) == 2
+
+
+def test_query_fails_on_a_page_it_wrote_and_cannot_read(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "u", "page")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    good = W.read_archives
+    monkeypatch.setattr(W, "read_archives", lambda *a, **k: good(*a, **k).withColumn("gap", F.lit("no record head")))
+    with pytest.raises(Exception, match="page not read back"):
+        op4_warc(spark, str(tmp_path)).collect()
