@@ -102,6 +102,10 @@ class Damaged(ValueError):
     """A record that fails a check."""
 
 
+def _checkable(stated: str) -> bool:
+    return stated.partition(":")[0] == "sha256"
+
+
 def _digest_ok(stated: str, data: bytes) -> bool:
     name, _, value = stated.partition(":")
     return name != "sha256" or hashlib.sha256(data).hexdigest() == value.lower()
@@ -140,41 +144,76 @@ def parse_record(data: bytes, pos: int) -> tuple[int, dict[str, str], bytes]:
     return end + 4, heads, block
 
 
-def unpack_member(data: memoryview, pos: int) -> tuple[int, bytes]:
-    """(end, content) of the gzip member at `pos`; a few bytes at a time, so that what follows is never copied whole."""
+def unpack_member(data: memoryview, pos: int) -> tuple[int, bytes, str]:
+    """(end, content, fault) of the gzip member at `pos`; a few bytes at a time, so that what follows is never copied whole.
+
+    A whole member has no fault; of another, the content is what could be unpacked before the fault.
+    """
     unpack, out, at = zlib.decompressobj(31), [], pos
-    try:
-        while not unpack.eof:
-            if at >= len(data):
-                raise Damaged("member cut short")
+    while not unpack.eof:
+        if at >= len(data):
+            return at, b"".join(out), "member cut short"
+        before = unpack.copy()
+        try:
             out.append(unpack.decompress(data[at:at + STEP]))
-            at = min(len(data), at + STEP)
-    except zlib.error as e:
-        raise Damaged("bad member") from e
-    return at - len(unpack.unused_data), b"".join(out)
-
-
-def _records_at(data: bytes, view: memoryview, pos: int) -> tuple[int, list[tuple[dict[str, str], bytes]]]:
-    if data.startswith(MAGIC, pos):
-        end, content = unpack_member(view, pos)
-        found, at = [], 0
-        while at < len(content):
-            at, heads, block = parse_record(content, at)
-            found.append((heads, block))
-        return end, found
-    if data.startswith(VERSION, pos):
-        end, heads, block = parse_record(data, pos)
-        return end, [(heads, block)]
-    raise Damaged("neither member nor version line")
-
-
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes | str]]:
-    """(start, end, headers, block) of each valid record and (start, end, None, reason) of each gap, in order."""
+        except zlib.error:
+            break
+        at = min(len(data), at + STEP)
+    else:
+        return at - len(unpack.unused_data), b"".join(out), ""
+    try:  # the last step again, byte by byte up to the fault
+        while at < len(data):
+            out.append(before.decompress(data[at:at + 1]))
+            at += 1
+    except zlib.error:
+        pass
+    return at, b"".join(out), "bad member"
+
+
+def _packed_end(data: memoryview, pos: int, size: int) -> int:
+    """How far the member at `pos` has to be read for all but the last of the first `size` bytes of its content."""
+    unpack, at, left = zlib.decompressobj(31), pos, size - 1
+    while left > 0:
+        step = data[at:at + STEP]
+        left -= len(unpack.decompress(step, left))
+        at += len(step) - len(unpack.unconsumed_tail)
+    return at
+
+
+def _member_at(view: memoryview, pos: int) -> tuple[int, Iterator[tuple[int, int, dict[str, str] | None, bytes | str]]]:
+    """(end, what `salvage` yields for it) of the gzip member at `pos`; of a damaged member, up to the end of its last valid record."""
+    def placed(found: Iterator) -> Iterator:
+        for a, b, heads, x in found:
+            yield pos, end, heads, f"{x} (bytes {a} to {b} of the member's content)" if heads is None else x
+
+    end, content, fault = unpack_member(view, pos)
+    if not fault:
+        return end, placed(_series(content, {VERSION: -1}))
+    found = list(_series(content, {VERSION: -1}, fault == "bad member"))
+    # the checksum is all that vouches for a head, so a bad member that is one record is a bad record
+    alone = fault == "bad member" and len(found) == 1
+    while found and found[-1][2] is None:
+        found.pop()
+    if not found or alone:
+        raise Damaged(fault)
+    end = min(_packed_end(view, pos, found[-1][1]), end - 1)  # so what is left is never empty
+    return end, placed(iter(found))
+
+
+def _series(data: bytes, ahead: dict[bytes, int], strict: bool = False) -> Iterator[tuple[int, int, dict[str, str] | None, bytes | str]]:
+    """Records and gaps of `data`; `ahead` names the marks to go on at. `strict` takes only records with a digest that was checked."""
     view, pos, gap, reason = memoryview(data), 0, None, ""
-    ahead = {MAGIC: -1, VERSION: -1}
     while pos < len(data):
         try:
-            end, found = _records_at(data, view, pos)
+            if MAGIC in ahead and data.startswith(MAGIC, pos):
+                end, found = _member_at(view, pos)
+            elif data.startswith(VERSION, pos):
+                end, heads, block = parse_record(data, pos)
+                if strict and not _checkable(heads.get("warc-block-digest", "")):
+                    raise Damaged("no digest in a bad member")
+                found = iter([(pos, end, heads, block)])
+            else:
+                raise Damaged("neither member nor version line" if MAGIC in ahead else "no version line")
         except Damaged as e:
             if gap is None:
                 gap, reason = pos, str(e)
@@ -187,13 +226,22 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
         if gap is not None:
             yield gap, pos, None, reason
             gap = None
-        for heads, block in found:
-            yield pos, end, heads, block
+        yield from found
         pos = end
     if gap is not None:
         yield gap, len(data), None, reason
 
 
+def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes | str]]:
+    """(start, end, headers, block) of each valid record and (start, end, None, reason) of each gap, in order.
+
+    What a gzip member holds has the member's start and end; the reason of a
+    gap inside names its place in the unpacked content. Of a damaged member,
+    what follows the last valid record is a gap of the file.
+    """
+    return _series(data, {MAGIC: -1, VERSION: -1})
+
+
 _FIELDS = [("archive", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("gap", pa.string()), ("record_type", pa.string()),
            ("key", pa.string()), ("url", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()),
            ("refers_to", pa.string()), ("payload", pa.string())]

@@ -122,3 +122,48 @@ def test_query_fails_on_a_page_it_wrote_and_cannot_read(spark, tmp_path, monkeyp
     monkeypatch.setattr(W, "read_archives", lambda *a, **k: good(*a, **k).withColumn("gap", F.lit("no record head")))
     with pytest.raises(Exception, match="page not read back"):
         op4_warc(spark, str(tmp_path)).collect()
+
+
+def _noisy(n):
+    """Records whose payloads hardly shrink, so that a cut member still has most of them."""
+    rnd = random.Random(3)
+    bodies = [bytes(rnd.randrange(33, 127) for _ in range(3000)) for _ in range(n)]
+    return [W.record_bytes("response", str(k), "http://x", "d", b, hashlib.sha256(b).hexdigest(), len(b)) for k, b in enumerate(bodies)]
+
+
+def test_one_bad_record_in_an_archive_of_one_member():
+    recs = _noisy(9)
+    for bad in (0, 4, 8):
+        cut = bytearray(recs[bad])
+        cut[-100] ^= 0x01
+        data = gzip.compress(b"".join(recs[:bad]) + bytes(cut) + b"".join(recs[bad + 1:]))
+        found = list(W.salvage(data))
+        start = len(b"".join(recs[:bad]))
+        assert len(_keys(data)) == 8
+        assert [x[3] for x in found if x[2] is None] == [f"block digest differs (bytes {start} to {start + len(cut)} of the member's content)"]
+        assert all(x[:2] == (0, len(data)) for x in found)
+
+
+def test_a_cut_or_damaged_member_keeps_what_can_be_unpacked():
+    recs = _noisy(9)
+    whole, tail = gzip.compress(b"".join(recs)), W._member(recs[0])
+    for cut in (len(whole) - 4, len(whole) * 2 // 3):
+        kept = 9 if cut > len(whole) - 9 else 5
+        for data in (whole[:cut], whole[:cut] + tail):
+            found = list(W.salvage(data))
+            assert len(_keys(data)) >= kept + (len(data) > cut)
+            gaps = [x for x in found if x[2] is None]
+            assert len(gaps) == 1 and 0 < gaps[0][0] < cut and gaps[0][1] == cut
+    bad = bytearray(whole)
+    bad[-6] ^= 0xFF  # checksum
+    assert len(_keys(bytes(bad) + tail)) == 10
+    stored = gzip.compress(b"".join(recs), 0)
+    assert len(_keys(stored[:len(stored) - 2000])) == 8
+
+
+def test_record_of_a_bad_member_needs_a_digest():
+    plain = b"WARC/1.1\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    whole = gzip.compress(plain + _noisy(1)[0] + plain)
+    bad = bytearray(whole)
+    bad[-6] ^= 0xFF
+    assert len(_keys(whole)) == 3 and _keys(bytes(bad)) == [f"<{W.URN}0>"]
