@@ -1,5 +1,9 @@
 """Secret scan: token-like strings proposed by a pattern, told from false positives by a random forest.
 
+Proposed are the forms of known providers, values of fields that are named
+after a secret (of any length), and long runs that mix kinds of characters;
+a name is not part of the value that is assigned to it.
+
 Features of a candidate are its length, the changes between letters, digits and
 signs, the make-up of its characters, how much of it common words cover, the
 document's path and the words before it. The forest is trained on labelled
@@ -20,19 +24,36 @@ from pyspark.sql import types as T
 from terrapanel.llm.common import let, packed, store, text_key, text_or_empty
 from terrapanel.llm.spans import find_all
 
-# A whole run of at least 16 token characters with a digit among its first 200
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}+[0-9])[A-Za-z0-9+/_=-]{16,}+"
 BEFORE = 48  # characters before a candidate that count as its neighbourhood
 MARK = "[SECRET]"
 
-_CUES = r"token|secret|passw|passphrase|pwd|api.?key|apikey|access.?key|private.?key|credential|auth|bearer|signature"
+_CUES = r"token|secret|passw|pass[ _-]?phrase|pwd|api[ _.-]?key|access[ _.-]?key|private[ _.-]?key|credential|auth|bearer|signature"
 _AGAINST = r"sha-?[0-9]*|commit|checksum|digest|hash|md5|uuid|guid|isbn|order|serial|phone|card|\bid\b"
-_KNOWN = r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^xox[abprs]-|^sk-[A-Za-z0-9]{20}|^AIza[A-Za-z0-9_-]{35}|^eyJ[A-Za-z0-9_-]{10}"
+_FORMS = r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-|sk-[A-Za-z0-9]{20}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10}"
+_KNOWN = rf"(?<![A-Za-z0-9])(?:{_FORMS})"
+_FIELD = rf"(?:{_CUES})[A-Za-z0-9_-]{{0,20}}[\"']?\s{{0,3}}[:=]{{1,2}}>?\s{{0,3}}"  # a name that holds a cue, and the sign after it
+
 _TEST_PATH = r"(?i)test|example|sample|fixture|mock|doc|vendor|lock$|\.md$"
 _WORDS = ("about|account|after|again|also|area|auch|avec|back|base|book|case|city|como|company|data|day|della|der|desde|die|dans|est|example|field|file|first|for|form|from|"
           "good|group|hand|have|home|house|image|index|into|item|job|les|life|line|list|main|make|name|nicht|not|number|order|para|page|part|people|place|pour|product|que|"
           "school|server|service|site|state|story|system|table|test|text|that|the|this|time|title|type|und|user|value|von|water|web|week|with|word|work|world|year|una")
 
+_RUN = "A-Za-z0-9+/_-"
+_PAD = rf"(?:={{1,2}}+(?![={_RUN}]))"
+_MIXED = rf"(?=[A-Za-z+/_-]*+[0-9]|[{_RUN}]*?[a-z][A-Z])"  # a digit, or a capital after a small letter, anywhere in the run
+_VALUE = r"[^\s\"'&;,<>(){}\[\]=:][^\s\"'&;,<>(){}\[\]]*(?<![.:])"
+# Tried in this order at each place; no dots, which mean another thing within find_all
+CANDIDATE = "|".join([
+    rf'(?<=")(?<=(?i:{_FIELD})")(?!")[^"\\\n]*+(?:\\[^\n][^"\\\n]*+){{0,50}}+(?=")',  # quoted values of fields named after a secret
+    rf"(?<=')(?<=(?i:{_FIELD})')(?!')[^'\\\n]*+(?:\\[^\n][^'\\\n]*+){{0,50}}+(?='(?![A-Za-z0-9]))",
+    rf"(?<=[:=>]\s{{0,3}})(?<=(?i:{_FIELD})){_VALUE}",  # the same without quotes
+    rf"(?<=\s)(?<=(?i:bearer)\s{{1,3}}){_VALUE}",
+    rf"{_KNOWN}[{_RUN}]*+{_PAD}?",
+    rf"(?<=[A-Za-z0-9_-]=){_MIXED}[{_RUN}]{{8,}}+{_PAD}?",  # what is assigned to any name
+    # long runs, unless they are the name of a field themselves
+    rf"(?<![{_RUN}])(?=[{_RUN}]{{14}}){_MIXED}(?![{_RUN}]*?(?i:{_CUES})[A-Za-z0-9_-]{{0,20}}[\"']?\s{{0,3}}[:=]\s{{0,3}}[^\s=])"
+    rf"(?:[{_RUN}]{{16,}}+{_PAD}?|[{_RUN}]{{14,15}}+(?<=[{_RUN}]{{15}}){_PAD}|[{_RUN}]{{14}}==(?![={_RUN}]))"])
+
 
 @dataclass(frozen=True)
 class Forest:
@@ -66,16 +87,22 @@ def _features(v: Column, before: Column, path: Column) -> Column:
 def certain(v: Column, before: Column) -> Column:
     """1 or 0 where form and neighbourhood leave no doubt, else NULL.
 
-    A known provider's form, or a quoted value of a field that is named after a
-    secret, with many different characters, is a secret. Numbers, words, runs of
-    few characters and what is named as a checksum are not.
+    A known provider's form, or a value of letters and other characters of a
+    field that is named after a secret, is a secret, and so is a quoted pass
+    phrase. Numbers, words, runs of few characters and what is named as a
+    checksum are not, unless a field named after a secret leaves them in doubt.
     """
     low = F.lower(before)
     varied = F.size(F.array_distinct(F.split(v, ""))) >= 8
     words = F.length(F.regexp_replace(F.lower(v), _WORDS, "")) <= 0.5 * F.length(v)
-    named = low.rlike(rf"(?:{_CUES})[a-z_]{{0,12}}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']$")
-    return (F.when(v.rlike(_KNOWN), F.lit(1.0)).when(v.rlike("^[0-9+/_=-]+$") | ~varied | words, F.lit(0.0))
-            .when(named, F.lit(1.0)).when(low.rlike(rf"(?:{_AGAINST})\W{{0,4}}$"), F.lit(0.0)))
+    plain = v.rlike("^[0-9+/_=-]+$") | ~varied | words | v.rlike(r"^[A-Za-z][a-z]*\W{0,2}$")
+    quoted = low.rlike(rf"{_FIELD}[\"']$")
+    bare = low.rlike(rf"{_FIELD}$")
+    mixed = v.rlike(r"^\S*$") & v.rlike("[A-Za-z]") & v.rlike("[^A-Za-z]") & ~words & (varied | (F.length(v) < 16))
+    phrase = low.rlike(rf"(?:pass[ _-]?phrase|passw|pwd)[a-z0-9_-]{{0,20}}[\"']?\s{{0,3}}[:=]{{1,2}}>?\s{{0,3}}[\"']$") & varied & ~words & v.rlike("[A-Za-z]")
+    return (F.when(v.rlike(_KNOWN), F.lit(1.0)).when((quoted & mixed) | phrase | (bare & mixed & v.rlike("[0-9]") & (F.length(v) >= 16)), F.lit(1.0))
+            .when(plain & ~quoted & ~low.rlike(rf"{_FIELD}(?<==\s{{0,3}})$"), F.lit(0.0))
+            .when(quoted | bare, F.lit(None).cast("double")).when(low.rlike(rf"(?:{_AGAINST})\W{{0,4}}$"), F.lit(0.0)))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
@@ -118,7 +145,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
     """One row for each candidate: id, start, end, score, is_secret.
 
     `labelled` (features, label) trains the forest; without it, the candidates
-    that `certain` decides. A NULL or empty text has no candidates; repeated
+    that `certain` decides, whose score that is. A NULL or empty text has no candidates; repeated
     rows each have theirs. Other columns are not read.
     """
     return _scored(docs, id_col, text_col, path_col, labelled, forest).select(F.col("id").alias(id_col), "start", "end", "score", (F.col("score") >= 0.5).alias("is_secret"))
@@ -127,7 +154,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
 def _scored(docs: DataFrame, id_col: str, text_col: str, path_col: str | None, labelled: DataFrame | None, forest: Forest) -> DataFrame:
     found = candidates(docs, id_col, text_col, path_col)
     model = train(found.select("features", F.col("certain").alias("label")) if labelled is None else labelled, forest)
-    return score(found, model)
+    scored = score(found, model)
+    return scored if labelled is not None else scored.withColumn("score", F.coalesce("certain", "score"))
 
 
 def _redacted(text: Column, spans: Column) -> Column:
