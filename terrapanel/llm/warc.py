@@ -13,7 +13,9 @@ the content of each member, also what can be unpacked of a damaged one.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -27,7 +29,9 @@ from terrapanel.llm.common import map_arrow, slices, text_or_empty
 
 ROWS = 512  # rows handed on at a time
 STEP = 1 << 14  # bytes unpacked at a time
-MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/"
+HASHES = ("md5", "sha1", "sha224", "sha256", "sha384", "sha512")
+_VERSION_LINE = re.compile(rb"WARC/[0-9]+\.[0-9]+[ \t]*\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:x-record:"
 
@@ -102,21 +106,43 @@ class Damaged(ValueError):
     """A record that fails a check."""
 
 
+def _hash_name(stated: str) -> str:
+    return stated.partition(":")[0].strip().lower().replace("-", "")
+
+
 def _checkable(stated: str) -> bool:
-    return stated.partition(":")[0] == "sha256"
+    return _hash_name(stated) in HASHES
 
 
 def _digest_ok(stated: str, data: bytes) -> bool:
-    name, _, value = stated.partition(":")
-    return name != "sha256" or hashlib.sha256(data).hexdigest() == value.lower()
+    """Whether `data` has the digest, stated in hex or base32; others than HASHES are not checked."""
+    if not _checkable(stated):
+        return True
+    value, made = stated.partition(":")[2].strip(), hashlib.new(_hash_name(stated), data)
+    return value.lower() == made.hexdigest() or value.upper().rstrip("=") == base64.b32encode(made.digest()).decode().rstrip("=")
+
+
+def _length(stated: str) -> int:
+    if not re.fullmatch("[0-9]{1,18}", stated.strip()):
+        raise Damaged("no content length")
+    return int(stated)
+
+
+def _unchunked(payload: bytes) -> bytes:
+    """The content of a chunked HTTP body; as it is where it is none."""
+    out, at = [], 0
+    while (head := re.compile(rb"([0-9A-Fa-f]{1,15})[^\r\n]*\r\n").match(payload, at)) and (size := int(head[1], 16)):
+        out.append(payload[head.end():head.end() + size])
+        at = head.end() + size + 2
+    return b"".join(out) if head else payload
 
 
 def _head_lines(data: bytes, pos: int) -> tuple[int, list[str]]:
     """(start of the block, lines after the version line) of the record at `pos`; a line may have any length."""
-    at = data.find(b"\r\n", pos) + 2
-    if not data.startswith(VERSION, pos) or at < 2:
+    version = _VERSION_LINE.match(data, pos)
+    if not version:
         raise Damaged("no record head")
-    lines = []
+    at, lines = version.end(), []
     while (end := data.find(b"\r\n", at)) != at:
         if end < 0:
             raise Damaged("no record head")
@@ -132,10 +158,7 @@ def parse_record(data: bytes, pos: int) -> tuple[int, dict[str, str], bytes]:
     """(end, headers with lower-case names, block) of the record at `pos`."""
     start, lines = _head_lines(data, pos)
     heads = {k.strip().lower(): v.strip() for k, s, v in (x.partition(":") for x in lines) if s}
-    length = heads.get("content-length", "")
-    if not length.isdecimal():
-        raise Damaged("no content length")
-    end = start + int(length)
+    end = start + _length(heads.get("content-length", ""))
     if data[end:end + 4] != b"\r\n\r\n":
         raise Damaged("record cut short")
     block = data[start:end]
@@ -254,12 +277,14 @@ def _key(stated: str | None) -> str | None:
 
 
 def _record(heads: dict[str, str], block: bytes, with_payload: bool) -> tuple:
-    http, _, payload = block.partition(b"\r\n\r\n")
+    http, _, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
     kind = heads.get("warc-type")
     digest = heads.get("warc-payload-digest", "")
-    if kind == "response" and not _digest_ok(digest, payload):
+    # writers differ in whether the payload is the body as it was sent
+    if kind == "response" and not _digest_ok(digest, payload) and not (
+            re.search(rb"(?im)^transfer-encoding:.*chunked", http) and _digest_ok(digest, _unchunked(payload))):
         raise Damaged("payload digest differs")
-    size = next((int(x[15:]) for x in http.decode("latin-1").split("\r\n") if x.lower().startswith("content-length:")), len(payload))
+    size = next((_length(x[15:]) for x in http.decode("latin-1").split("\r\n") if x.lower().startswith("content-length:")), len(payload))
     url = heads.get("warc-target-uri")
     return (kind, _key(heads.get("warc-record-id")), None if url is None else unquote(url), digest.partition(":")[2], size,
             _key(heads.get("warc-refers-to")), payload.decode("utf-8", "replace") if with_payload and kind == "response" else None)

@@ -1,5 +1,6 @@
 """WARC archives: exact round trip, and recovery around damage."""
 
+import base64
 import glob
 import gzip
 import hashlib
@@ -167,3 +168,27 @@ def test_record_of_a_bad_member_needs_a_digest():
     bad = bytearray(whole)
     bad[-6] ^= 0xFF
     assert len(_keys(whole)) == 3 and _keys(bytes(bad)) == [f"<{W.URN}0>"]
+
+
+def _foreign(block, **heads):
+    lines = ["WARC/0.18", "WARC-Type: response", "WARC-Record-ID: <urn:f>", *[f"{k.replace('_', '-')}: {v}" for k, v in heads.items()], f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("name", ["sha1", "md5", "SHA-256"])
+def test_digests_of_foreign_archives(name):
+    body = b"HTTP/1.1 200 OK\r\n\r\nfive!"
+    made = hashlib.new(name.lower().replace("-", ""), body)
+    for stated in (made.hexdigest(), base64.b32encode(made.digest()).decode(), base64.b32encode(made.digest()).decode().rstrip("=")):
+        rec = _foreign(body, WARC_Block_Digest=f"{name}:{stated}")
+        assert len(_keys(rec)) == 1 and _keys(rec.replace(b"five!", b"fivf!")) == []
+
+
+def test_payloads_and_lengths_of_foreign_archives():
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(b"five!").digest()).decode()
+    read = lambda block: W._record(*W.parse_record(_foreign(block, WARC_Payload_Digest=sha1), 0)[1:], True)
+    assert read(b"HTTP/1.1 200 OK\r\n\r\nfive!")[-1] == read(b"five!")[-1] == "five!"
+    read(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n2\r\nfi\r\n3;x=y\r\nve!\r\n0\r\n\r\n")
+    for bad in (b"HTTP/1.1 200 OK\r\n\r\nfivf!", b"HTTP/1.1 200 OK\r\nContent-Length: many\r\n\r\nfive!"):
+        with pytest.raises(W.Damaged):
+            read(bad)
