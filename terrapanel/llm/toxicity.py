@@ -5,12 +5,13 @@ document is toxic unless all its sentences are clean (noisy-or), so the labels
 of documents train the scores of sentences, which then show where the offence
 lies. Counts of features per class are made over the training documents in
 Spark; the features that tell the classes apart best make a bounded vocabulary,
-and the model is fitted on a bounded sample of labelled documents, of which
-only sentences that hold such features are kept.
+and the model is fitted on a bounded sample of each label, of which only
+sentences that hold such features are kept.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -138,8 +139,11 @@ def _chosen(batches: Iterator[pa.RecordBatch], vocabulary: dict[str, int]) -> It
 
 
 def fit_noisy_or(toxic: np.ndarray, plain: np.ndarray, features: list[np.ndarray], sizes: list[np.ndarray], n_features: int,
-                 steps: int = 500, rate: float = 0.1, ridge: float = 0.02) -> tuple[np.ndarray, float]:
-    """(weights, bias) that minimise the documents' log loss plus a ridge penalty, by full-batch Adam steps."""
+                 steps: int = 500, rate: float = 0.1, ridge: float = 0.02, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """(weights, bias) that minimise the documents' log loss plus a ridge penalty, by full-batch Adam steps.
+
+    `weight` says for how many documents each stands, one if it is left out.
+    """
     if not len(toxic):
         return np.zeros(n_features), Model.bias
     f = np.concatenate([np.asarray(x, np.int64) for x in features])
@@ -157,6 +161,7 @@ def fit_noisy_or(toxic: np.ndarray, plain: np.ndarray, features: list[np.ndarray
         all_clean = np.bincount(doc_of, -np.logaddexp(0.0, z), n) - plain * np.logaddexp(0.0, b)  # log probability
         # slope of the loss by each sentence's z is pull * p
         pull = np.where(y, -1.0 / np.maximum(np.expm1(np.clip(-all_clean, 1e-9, 600.0)), 1e-9), 1.0)
+        pull = pull if weight is None else pull * weight
         slope = pull[doc_of] * p
         g = np.append(np.bincount(f, slope[sentence_of], n_features) + ridge * w, slope.sum() + (pull * plain).sum() * p0) / n
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -168,33 +173,46 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           max_train: int = 12_000, max_features: int = 4096, least_docs: int = 3) -> Model:
     """Fit on the documents that `labels` (id, label 0 or 1) names.
 
-    At most `max_train` labelled documents are used, chosen by a hash of their
-    id; at most `max_features` features, those with the largest chi-square that
-    occur in `least_docs` documents. An id with several labels is toxic if any
+    Features are counted over all of them; at most `max_features` are used, those
+    with the largest chi-square that occur in `least_docs` documents. The fit
+    uses at most `max_train` ids, chosen by a hash: half of each label, more of
+    one where the other has fewer, and each document stands for its share of its
+    label. A feature that none of these holds has the log odds of its counts. An id with several labels is toxic if any
     says so; NULL ids and labels are left out. No labels give a model that
     calls nothing toxic.
     """
     own = labels.select(F.col(f"`{id_col}`").alias("label_id"), F.col(f"`{label_col}`").cast("int").alias("toxic"))
     own = own.filter("label_id IS NOT NULL AND toxic IN (0, 1)").groupBy("label_id").agg(F.max("toxic").alias("toxic"))
-    sample = own.orderBy(F.xxhash64(F.col("label_id").cast("string")), "label_id").limit(max_train)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(f"`{text_col}`").alias("text"))
-    # at most max_train ids, so the texts need not be shuffled to find theirs
-    rows = store(texts.join(F.broadcast(sample), F.col("id") == F.col("label_id")).select(F.col("id").cast("string").alias("uid"), "toxic", "text"))
-    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labelled = texts.join(own, F.col("id") == F.col("label_id"))
+    n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return Model()
-    counts = map_arrow(rows.select("toxic", "text"), _count, "feature string, toxic long, clean long").groupBy("feature").agg(
+    ids = own.join(texts, F.col("id") == F.col("label_id"), "left_semi")
+    n_ids = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    half = [ids.filter(F.col("toxic") == x).orderBy(F.xxhash64(F.col("label_id").cast("string")), "label_id").limit(max(max_train // 2, max_train - n_ids[1 - x]))
+            for x in (0, 1)]
+    # at most max_train ids, so the texts need not be shuffled to find theirs
+    rows = store(texts.join(F.broadcast(half[0].unionByName(half[1])), F.col("id") == F.col("label_id")).select(F.col("id").cast("string").alias("uid"), "toxic", "text"))
+    counts = map_arrow(labelled.select("toxic", "text"), _count, "feature string, toxic long, clean long").groupBy("feature").agg(
         F.sum("toxic").cast("double").alias("t"), F.sum("clean").cast("double").alias("c"))
     a, b, t, c = F.lit(float(n[1])), F.lit(float(n[0])), F.col("t"), F.col("c")
     chi = F.pow(t * (b - c) - c * (a - t), F.lit(2.0)) / ((t + c) * (a + b - t - c) + 1)
     best = counts.filter(t + c >= least_docs).orderBy(chi.desc(), "feature").limit(max_features)
-    vocabulary = {r["feature"]: k for k, r in enumerate(best.select("feature").collect())}
+    chosen = best.select("feature", "t", "c").collect()
+    vocabulary = {r["feature"]: k for k, r in enumerate(chosen)}
     kept = map_arrow(rows, partial(_chosen, vocabulary=vocabulary),
                      "uid string, toxic int, plain long, features array<int>, sizes array<int>")
     # at most max_train rows; in a fixed order, so that sums come out the same
     table = sorted(kept.collect(), key=lambda r: (r["uid"], r["toxic"], r["plain"], r["features"]))
-    w, bias = fit_noisy_or(np.array([r["toxic"] for r in table]), np.array([r["plain"] for r in table], float),
-                           [r["features"] for r in table], [r["sizes"] for r in table], len(vocabulary))
+    toxic = np.array([r["toxic"] for r in table])
+    stands_for = np.where(toxic == 1, n[1] / max(1, (toxic == 1).sum()), n[0] / max(1, (toxic == 0).sum()))
+    w, bias = fit_noisy_or(toxic, np.array([r["plain"] for r in table], float), [r["features"] for r in table], [r["sizes"] for r in table],
+                           len(vocabulary), weight=stands_for)
+    held = {k for r in table for k in r["features"]}
+    for k, r in enumerate(chosen):
+        if k not in held:
+            w[k] = math.log((r["t"] + 0.5) / (n[1] + 1)) - math.log((r["c"] + 0.5) / (n[0] + 1))
     return Model({f: float(w[k]) for f, k in vocabulary.items()}, bias)
 
 

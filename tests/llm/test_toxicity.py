@@ -73,3 +73,12 @@ def test_labels_with_gaps_and_conflicts(hard, spark, empty):
     none = X.train(hard, labels.filter("1 = 0"))
     assert none.weights == {} and X.train(empty, labels).weights == {}
     assert X.toxicity(empty, none).count() == 0
+
+
+def test_words_outside_the_sample_and_rare_labels_count(spark, corpus):
+    """Twelve toxic documents of 387 and a sample of six, which cannot hold each of four words three times."""
+    clean = [(i, t, 0) for i, t in corpus[0] if i not in corpus[1]]
+    rare = [(1000 + i, f"babble {w}. fulam", 1) for i, w in enumerate(["onefoul", "twofoul", "redfoul", "oddfoul"] * 3)]
+    docs = spark.createDataFrame(clean + rare, "doc_id long, text string, toxic int")
+    got = X.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), max_train=6)
+    assert all(got.weights.get(f"={w}", 0) > 0 for w in ("onefoul", "twofoul", "redfoul", "oddfoul"))
