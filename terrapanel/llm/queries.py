@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import byte_bpe, decontamination, packing, pii, secret_scan, topk, toxicity, url_filter, warc
+from terrapanel.llm import byte_bpe, decontamination, filter_audit, packing, pii, secret_scan, topk, toxicity, url_filter, warc
 from terrapanel.llm.common import text_or_empty
 from terrapanel.llm.exact_dedup import exact_duplicates
 from terrapanel.llm.near_dedup import near_duplicates
@@ -126,6 +126,30 @@ named AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM low LEFT JOIN words USING (r) LEFT JOIN named USING (r)"""
 
+
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """What each of five filters removes from all documents at every place of every order."""
+    return filter_audit.audit(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+OP12_SQL = """
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+failed AS (SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+  + CASE WHEN min(doc_id) OVER (PARTITION BY t) < doc_id THEN 16 ELSE 0 END AS bits FROM docs),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT f.part, f.bits, count(*) AS n, sum(coalesce(m.good, 0)) AS good, sum(coalesce(m.toxic, 0)) AS toxic FROM failed AS f LEFT JOIN marks AS m USING (doc_id) GROUP BY f.part, f.bits),
+l AS (SELECT unnest([1, 2, 3, 4, 5]) AS k, unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM l AS a, l AS b, l AS c, l AS d, l AS e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+steps AS (SELECT filter_order, CAST(s AS INTEGER) AS step, (SELECT CAST(sum(1 << (k - 1)) AS BIGINT) FROM l WHERE c = filter_order[s]) AS own,
+  coalesce((SELECT CAST(sum(1 << (k - 1)) AS BIGINT) FROM l WHERE contains(filter_order[1:s - 1], c)), 0) AS prior FROM orders, range(1, 6) AS x(s)),
+shown AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER ((bits & (own | prior)) = 0), 0) AS kept, coalesce(sum(n) FILTER ((bits & own) <> 0 AND (bits & prior) = 0), 0) AS removed,
+  coalesce(sum(n) FILTER ((bits & own) <> 0 AND (bits & prior) <> 0), 0) AS redundant, coalesce(sum(n) FILTER (bits = own), 0) AS unique_fails,
+  coalesce(sum(good) FILTER ((bits & own) <> 0 AND (bits & prior) = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER ((bits & own) <> 0 AND (bits & prior) = 0), 0) AS toxic_lost
+  FROM steps, d GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM shown"""
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_pii": op2_pii,
@@ -138,10 +162,12 @@ QUERIES = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_exact_top_k": op10_exact_top_k,
     "op11_winnowing": op11_winnowing,
+    "op12_filter_audit": op12_filter_audit,
 }
 ORACLE = {
     "op4_warc": OP4_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op10_exact_top_k": OP10_SQL,
     "op11_winnowing": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
