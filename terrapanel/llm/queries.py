@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import byte_bpe, decontamination, filter_audit, packing, pii, secret_scan, topk, toxicity, url_filter, warc
+from terrapanel.llm import byte_bpe, decontamination, filter_audit, packing, pii, prefix_trie, secret_scan, topk, toxicity, url_filter, warc
 from terrapanel.llm.common import text_or_empty
 from terrapanel.llm.exact_dedup import exact_duplicates
 from terrapanel.llm.near_dedup import near_duplicates
@@ -150,6 +150,26 @@ shown AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER ((bits &
 SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
 CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM shown"""
 
+
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.prefix_trie(_table(spark, sf, "conversations"))
+
+
+# crc32 of a text of digits, bit by bit; 3988292384 is its reversed polynomial
+OP13_SQL = """
+WITH own AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, turns, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))))) % 6 AS h FROM own),
+rebuilt AS (SELECT h.conv_id, list_concat(CASE WHEN b.turns IS NULL OR h.h = 0 THEN [] ELSE b.turns[1:h.h] END, h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN own AS b ON b.conv_id = h.conv_id - h.conv_id % 100),
+paths AS (SELECT conv_id, d, CASE WHEN d = 0 THEN [] ELSE turns[1:d] END AS p, d = len(turns) AS ends FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends) AS ids FROM paths GROUP BY d, p),
+kin AS (SELECT n.*, u.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes AS c WHERE c.d = n.d + 1 AND c.d > 0 AND CASE WHEN n.d = 0 THEN TRUE ELSE c.p[1:n.d] = n.p END) AS n_children
+  FROM nodes AS n LEFT JOIN nodes AS u ON u.d = n.d - 1 AND (u.d = 0 OR n.p[1:u.d] = u.p)),
+under AS (SELECT v.d, v.p, count(*) FILTER (u.n_children = 0) AS n_leaves, sum((u.n_convs - 1) * CASE WHEN u.d = 0 THEN 0 ELSE length(u.p[u.d].t) END) AS saved_tokens
+  FROM kin AS v JOIN kin AS u ON u.d >= v.d AND (v.d = 0 OR u.p[1:v.d] = v.p) GROUP BY v.d, v.p)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256 FROM kin JOIN under USING (d, p)"""
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_pii": op2_pii,
@@ -163,6 +183,7 @@ QUERIES = {
     "op10_exact_top_k": op10_exact_top_k,
     "op11_winnowing": op11_winnowing,
     "op12_filter_audit": op12_filter_audit,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE = {
     "op4_warc": OP4_SQL,
@@ -170,4 +191,5 @@ ORACLE = {
     "op10_exact_top_k": OP10_SQL,
     "op11_winnowing": OP11_SQL,
     "op12_filter_audit": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
