@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from terrapanel.session import mark_settled
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -64,5 +66,5 @@ class Tables:
         if table.startswith("_"):
             raise AttributeError(table)
         if table not in self.seen:
-            self.seen[table] = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+            self.seen[table] = mark_settled(self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet"))
         return self.seen[table]

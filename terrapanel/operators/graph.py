@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.functions.nulls import asc_last, desc_last, safe_weighted_mean
-from terrapanel.operators.ordered import row_numbers
+from terrapanel.operators.ordered import down, row_numbers, up
 from terrapanel.operators.rollup import group_summary
 from terrapanel.operators.spatial import assign_nearest, distance_components
 from terrapanel.session import cut_lineage
@@ -70,7 +70,7 @@ def order_zones(df: DataFrame, raw: str, score: str, prefix: str, label: str) ->
     agg = df.groupBy(raw).agg(F.count(F.lit(1)).alias("tracts"), F.avg(score).alias("mean_tract_score"))
     # equal means must stay equal however the sum was ordered
     agg = agg.withColumn("__key", F.round("mean_tract_score", 9))
-    o = row_numbers(agg, [], [desc_last("__key"), asc_last(raw)], "zone_order", "__n").drop("__n", "__key")
+    o = row_numbers(agg, [], [down("__key"), up(raw)], "zone_order", None).drop("__key")
     width = F.greatest(F.length(F.col("zone_order").cast("string")), F.lit(2))
     return o.withColumns({
         "zone_id": F.concat(F.lit(prefix), F.lpad(F.col("zone_order").cast("string"), width, F.lit("0"))),

@@ -10,12 +10,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapanel.functions.columns import parent_key, text_key
 from terrapanel.functions.nulls import asc_last
-from terrapanel.operators.ranking import top_k_per_group
 
 PANEL_KEYS = ("geo_level", "geo_id", "year")
 
@@ -165,4 +164,5 @@ def assign_by_prefix(df: DataFrame, ref: DataFrame, key: str, ref_key: str, n: i
 
 
 def top_matches(df: DataFrame, key: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:
-    return top_k_per_group(df, key, order, k, "__rn").drop("__rn")
+    best = Window.partitionBy(*[F.col(f"`{c}`") for c in key]).orderBy(*order)
+    return df.withColumn("__best", F.row_number().over(best)).filter(F.col("__best") <= k).drop("__best")

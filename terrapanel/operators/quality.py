@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from terrapanel.functions.nulls import finite
 from terrapanel.operators.joins import coverage_full
+from terrapanel.operators.ordered import down, up
 from terrapanel.operators.ranking import top_k_per_group
 
 _NUM = (T.IntegerType, T.LongType, T.ShortType, T.DoubleType, T.FloatType, T.DecimalType)
@@ -41,7 +42,7 @@ def top_values(df: DataFrame, cols: Sequence[str], k: int = 5) -> DataFrame:
     """The k most frequent known values of each column."""
     counts = _stacked(df, cols).filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(
         F.count(F.lit(1)).alias("n"))
-    return top_k_per_group(counts, ["column_name"], [F.col("n").desc(), F.col("value").asc()], k, "value_rank")
+    return top_k_per_group(counts, ["column_name"], [down("n"), up("value")], k, "value_rank")
 
 
 def _stacked(df: DataFrame, cols: Sequence[str]) -> DataFrame:

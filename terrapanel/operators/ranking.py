@@ -6,54 +6,56 @@ is spread over many tasks. NULL values sort last.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrapanel.functions.nulls import asc_last, desc_last
-from terrapanel.operators.ordered import column_quantiles, drop_rank_columns, ranks, row_numbers, running_sums
-
-
-def _keep(df: DataFrame, out: Mapping[str, Column]) -> DataFrame:
-    return drop_rank_columns(df.withColumns(dict(out)))
+from terrapanel.operators.ordered import Order, Ranks, column_quantiles, down, ranks, row_numbers, running_sums, up
+from terrapanel.session import settled
 
 
 def rank_by(df: DataFrame, group: Sequence[str], value: str, ids: Sequence[str], out: str = "rank", *,
             method: str = "row_number", descending: bool = True, keep_nulls: bool = True) -> DataFrame:
     """`method` is row_number (ties broken by `ids`), min or dense."""
-    source = {"row_number": "__rn", "min": "__rank", "dense": "__dense"}
+    source = {"row_number": "rn", "min": "rank", "dense": "dense"}
     if method not in source:
         raise ValueError(f"method must be one of {sorted(source)}, not {method!r}")
-    if method == "row_number" and keep_nulls:
-        order = [desc_last(value) if descending else asc_last(value), *[asc_last(i) for i in ids]]
-        return row_numbers(df, group, order, out, "__n").drop("__n")
-    r = ranks(df, group, value, ids, descending=descending, keep_nulls=keep_nulls, dense=method == "dense")
-    return _keep(r, {out: F.col(source[method]).cast("bigint")})
+    return ranks(df, group, value, ids, {out: lambda r: getattr(r, source[method])}, descending=descending, keep_nulls=keep_nulls,
+                 dense=method == "dense")
+
+
+def _percent(r: Ranks) -> Column:
+    return F.when(r.n > 1, (r.rank - 1) / (r.n - 1)).when(r.n == 1, F.lit(0.0))
+
+
+def _average(r: Ranks) -> Column:
+    return r.rank + (r.ties - 1) / 2
 
 
 def percent_rank(df: DataFrame, group: Sequence[str], value: str, ids: Sequence[str], out: str = "pctl", *,
                  descending: bool = False, keep_nulls: bool = True, fill: float | None = None) -> DataFrame:
     """(rank - 1) / (n - 1); 0 for a single row. `keep_nulls` counts NULL rows in n
     and ranks them last; otherwise they are left out and become `fill`."""
-    r = ranks(df, group, value, ids, descending=descending, keep_nulls=keep_nulls)
-    p = F.when(F.col("__n") > 1, (F.col("__rank") - 1) / (F.col("__n") - 1)).when(F.col("__n") == 1, F.lit(0.0))
-    return _keep(r, {out: p if fill is None else F.coalesce(p, F.lit(fill))})
+    return ranks(df, group, value, ids, {out: lambda r: _percent(r) if fill is None else F.coalesce(_percent(r), F.lit(fill))},
+                 descending=descending, keep_nulls=keep_nulls)
 
 
 def percentile_0_100(df: DataFrame, group: Sequence[str], value: str, ids: Sequence[str], out: str = "pctl",
                      higher_is_better: bool = True, single: float = 50.0) -> DataFrame:
     """Percentile from 0 to 100 with average rank for ties; NULL stays NULL."""
-    r = ranks(df, group, value, ids)
-    p = (F.col("__rank") + (F.col("__ties") - 1) / 2 - 1) / (F.col("__n") - 1) * 100
-    p = F.when(F.col("__n") > 1, p if higher_is_better else 100 - p).when(F.col("__n") == 1, F.lit(single))
-    return _keep(r, {out: p})
+    def made(r: Ranks) -> Column:
+        p = (_average(r) - 1) / (r.n - 1) * 100
+        return F.when(r.n > 1, p if higher_is_better else 100 - p).when(r.n == 1, F.lit(single))
+
+    return ranks(df, group, value, ids, {out: made})
 
 
 def cume_dist(df: DataFrame, group: Sequence[str], value: str, ids: Sequence[str], out: str = "cume_dist", *,
               descending: bool = False) -> DataFrame:
-    r = ranks(df, group, value, ids, descending=descending, keep_nulls=True)
-    return _keep(r, {out: (F.col("__rank") + F.col("__ties") - 1) / F.col("__n")})
+    return ranks(df, group, value, ids, {out: lambda r: (r.rank + r.ties - 1) / r.n}, descending=descending, keep_nulls=True)
 
 
 def bucket_of(rn: Column, n: Column, k: int) -> Column:
@@ -67,17 +69,63 @@ def bucket_of(rn: Column, n: Column, k: int) -> Column:
 def ntile(df: DataFrame, group: Sequence[str], value: str, ids: Sequence[str], k: int, out: str = "bucket", *,
           descending: bool = False) -> DataFrame:
     """Equal-count buckets over rows with a known value; NULL elsewhere."""
-    work = df.withColumn("__known", F.col(value).isNotNull())
-    order = [desc_last(value) if descending else asc_last(value), *[asc_last(i) for i in ids]]
-    r = row_numbers(work, [*group, "__known"], order, "__rn", "__n")
-    return r.withColumn(out, F.when(F.col("__known"), bucket_of(F.col("__rn"), F.col("__n"), k))).drop(
-        "__known", "__rn", "__n")
+    return ranks(df, group, value, ids, {out: lambda r: bucket_of(r.rn, r.n, k)}, descending=descending)
+
+
+class Ranking(NamedTuple):
+    """One of the rankings of `ranked_columns`: `make` turns a row's `Ranks` into the new column."""
+
+    col: str
+    make: Callable[[Ranks], Column]
+    group: Sequence[str] = ()
+    descending: bool = False
+    keep_nulls: bool = True
+
+
+def min_rank(col: str, group: Sequence[str] = (), descending: bool = True) -> Ranking:
+    return Ranking(col, lambda r: r.rank, group, descending)
+
+
+def pct_rank(col: str, group: Sequence[str] = (), descending: bool = False, keep_nulls: bool = True) -> Ranking:
+    return Ranking(col, _percent, group, descending, keep_nulls)
+
+
+def equal_buckets(col: str, k: int, group: Sequence[str] = ()) -> Ranking:
+    return Ranking(col, lambda r: bucket_of(r.rn, r.n, k), group, keep_nulls=False)
+
+
+def tie_bins(col: str, n: int, group: Sequence[str] = ()) -> Ranking:
+    """Equal-count bins 1..n in which equal values share a bin (by average rank)."""
+    return Ranking(col, lambda r: F.when(r.value.isNotNull(), F.least(F.floor((_average(r) - 0.5) / r.n * n) + 1, F.lit(n)).cast("bigint")), group, keep_nulls=False)
+
+
+def ranked_columns(df: DataFrame, ids: Sequence[str], wanted: Mapping[str, Ranking]) -> DataFrame:
+    """Several rankings of numeric columns, over groups of their own, in one ordered pass.
+
+    Values are stacked as groups of one long, narrow frame, ranked once and
+    joined back on `ids`, which must identify a row.
+    """
+    df = settled(df)
+    cells = F.array(*[F.struct(
+        F.lit(k).alias("k"), F.to_json(F.struct(*[F.col(f"`{g}`") for g in w.group])).alias("place") if w.group else F.lit("").alias("place"),
+        (F.lit(not w.keep_nulls) & F.col(f"`{w.col}`").isNull()).alias("skip"),
+        (-F.col(f"`{w.col}`").cast("double") if w.descending else F.col(f"`{w.col}`").cast("double")).alias("v")) for k, w in enumerate(wanted.values())])
+    keys = [f"i{k}" for k in range(len(ids))]
+    long = df.select(*[F.col(f"`{i}`").alias(k) for i, k in zip(ids, keys)], F.explode(cells).alias("x")).select(*keys, "x.*")
+
+    def chosen(r: Ranks) -> Column:
+        return F.struct(*[F.when((F.col("row.k") == k) & ~F.col("row.skip"), w.make(r)).alias(f"r{k}") for k, w in enumerate(wanted.values())])
+
+    made = ranks(long, ["k", "place", "skip"], "v", keys, {"made": chosen}, keep_nulls=True)
+    wide = made.groupBy(*keys).agg(*[F.max(f"made.r{k}").alias(f"r{k}") for k in range(len(wanted))])
+    same = reduce(lambda a, b: a & b, [df[f"`{i}`"].eqNullSafe(wide[k]) for i, k in zip(ids, keys)])
+    kept = [df[f"`{c}`"] for c in df.columns if c not in wanted]
+    return df.join(wide, same, "left").select(*kept, *[wide[f"r{k}"].alias(name) for k, name in enumerate(wanted)])
 
 
 def rank_gap(df: DataFrame, group: Sequence[str], a: str, b: str, ids: Sequence[str]) -> DataFrame:
     """Ranks on two metrics (largest first) and their difference."""
-    r = rank_by(df, group, a, ids, f"{a}_rank", method="min")
-    r = rank_by(r, group, b, ids, f"{b}_rank", method="min")
+    r = ranked_columns(df, ids, {f"{c}_rank": min_rank(c, group) for c in (a, b)})
     return r.withColumn("rank_gap", F.col(f"{a}_rank") - F.col(f"{b}_rank"))
 
 
@@ -103,17 +151,18 @@ def rank_metrics(df: DataFrame, ids: Sequence[str], scopes: Mapping[str, Sequenc
     long = long.withColumn("__goodness", sign).withColumn("__p", F.explode(places)).select(
         *ids, "__metric", "__goodness", F.col("__p.scope").alias("__scope"), F.col("__p.place").alias("__place"))
     key = ["__scope", "__place", "__metric"]
-    up = ranks(long, key, "__goodness", ids, keep_nulls=keep_nulls)
+    # of all members, NULL included: they rank last from either end
+    up_ranks = ranks(long, key, "__goodness", ids, {
+        "__rn": lambda r: r.rn, "__rank": lambda r: r.rank, "__ties": lambda r: r.ties, "__p": _percent}, keep_nulls=keep_nulls)
     # Positions from the best end follow from the ascending pass: everything
     # above this run, then the rank by id within the run.
     n_known = F.col("__known_n")
-    known = up.groupBy(*key).agg(F.count("__goodness").alias("__known_n"))
-    up = up.join(known, key)
+    known = up_ranks.groupBy(*key).agg(F.count("__goodness").alias("__known_n"))
+    placed = up_ranks.join(known, key)
     in_run = F.col("__rn") - F.col("__rank") + 1
     above = F.when(F.col("__goodness").isNull(), n_known).otherwise(n_known - (F.col("__rank") + F.col("__ties") - 1))
     rank = (above + in_run).cast("bigint")
-    pctl = F.when(F.col("__n") > 1, (F.col("__rank") - 1) / (F.col("__n") - 1)).when(F.col("__n") == 1, F.lit(0.0))
-    wide = up.select(*ids, F.concat_ws("|", "__scope", "__metric").alias("__k"), rank.alias("rank"), pctl.alias("pctl"))
+    wide = placed.select(*ids, F.concat_ws("|", "__scope", "__metric").alias("__k"), rank.alias("rank"), F.col("__p").alias("pctl"))
     picks = []
     for s in scopes:
         for m in cols:
@@ -138,14 +187,24 @@ def percentiles_of(df: DataFrame, ids: Sequence[str], group: Sequence[str], metr
 
 def top_share(df: DataFrame, group: Sequence[str], score: str, ids: Sequence[str], share: float) -> DataFrame:
     """Best ceil(n * share) rows of each group, with cut-off and seed rank."""
-    r = row_numbers(df, group, [desc_last(score), *[asc_last(i) for i in ids]], "seed_rank", "__n")
-    r = r.withColumn("cutoff_n", F.ceil(F.col("__n") * F.lit(share)).cast("bigint")).drop("__n")
+    r = row_numbers(df, group, [down(score), *map(up, ids)], "seed_rank", "cutoff_n")
+    r = r.withColumn("cutoff_n", F.ceil(F.col("cutoff_n") * F.lit(share)).cast("bigint"))
     return r.filter(F.col("seed_rank") <= F.col("cutoff_n"))
 
 
-def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, out: str = "rn") -> DataFrame:
-    """Best k rows of each group, for any k and groups of any size; `order` must be total."""
-    return row_numbers(df, group, order, out, "__n").drop("__n").filter(F.col(out) <= k)
+_PARTIAL_LIMIT = 1000  # up to here Spark keeps the best k of a group before the shuffle
+
+
+def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Order], k: int, out: str = "rn") -> DataFrame:
+    """Best k rows of each group, for any k and groups of any size; `order` must be total.
+
+    Every task keeps its own best k rows of a group before the shuffle, so at most
+    k rows of a group come from each; a larger k is cut from the ranking of all rows.
+    """
+    if k >= _PARTIAL_LIMIT:
+        return row_numbers(df, group, order, out, None).filter(F.col(out) <= k)
+    best = Window.partitionBy(*[F.col(f"`{g}`") for g in group]).orderBy(*[o.sort() for o in order])
+    return df.withColumn(out, F.row_number().over(best).cast("bigint")).filter(F.col(out) <= k)
 
 
 def cumulative_share(df: DataFrame, group: Sequence[str], value: str, ids: Sequence[str],
@@ -155,7 +214,7 @@ def cumulative_share(df: DataFrame, group: Sequence[str], value: str, ids: Seque
     A flag marks the rows needed to reach the cut: those whose share before
     the row is still below it.
     """
-    out = running_sums(df.filter(F.col(value).isNotNull()), group, [desc_last(value), *[asc_last(i) for i in ids]],
+    out = running_sums(df.filter(F.col(value).isNotNull()), group, [down(value), *map(up, ids)],
                        {"running": F.col(value).cast("double")}, rn="value_rank")
     out = out.withColumns({
         "share": F.try_divide(F.col(value), F.col("running_total")),
@@ -165,7 +224,8 @@ def cumulative_share(df: DataFrame, group: Sequence[str], value: str, ids: Seque
 
 
 def quantile_flag(df: DataFrame, group: Sequence[str], value: str, p: float, out: str = "is_high") -> DataFrame:
-    """True where the value reaches its group's exact p-quantile."""
+    """True where the value reaches its group's exact p-quantile; value and threshold come from one evaluation."""
+    df = settled(df)
     q = column_quantiles(df, list(group), {"__q": (value, p)})
     joined = df.join(q, list(group), "left") if group else df.withColumn("__q", q.scalar())
     return joined.withColumn(out, F.col(value) >= F.col("__q")).drop("__q")
@@ -174,6 +234,7 @@ def quantile_flag(df: DataFrame, group: Sequence[str], value: str, p: float, out
 def quantile_bins(df: DataFrame, value: str, probs: Sequence[float], out: str = "bin", labels: Sequence[str] | None = None,
                   group: Sequence[str] = ()) -> DataFrame:
     """Bin by exact quantile breaks: bin i where break(i-1) < value <= break(i)."""
+    df = settled(df)  # values and breaks come from one evaluation
     names = {f"__b{i}": (value, p) for i, p in enumerate(probs)}
     q = column_quantiles(df, list(group), names)
     if group:
@@ -189,16 +250,12 @@ def quantile_bins(df: DataFrame, value: str, probs: Sequence[float], out: str =
 
 def tie_stable_bins(df: DataFrame, group: Sequence[str], value: str, ids: Sequence[str], n: int, out: str) -> DataFrame:
     """Equal-count bins 1..n in which equal values share a bin (by average rank)."""
-    r = ranks(df, group, value, ids)
-    avg = F.col("__rank") + (F.col("__ties") - 1) / 2
-    b = F.least(F.floor((avg - 0.5) / F.col("__n") * n) + 1, F.lit(n)).cast("bigint")
-    return _keep(r, {out: F.when(F.col(value).isNotNull(), b)})
+    return ranks(df, group, value, ids, {out: tie_bins(value, n).make})
 
 
 def bivariate_class(df: DataFrame, x: str, y: str, ids: Sequence[str], n: int = 3, group: Sequence[str] = ()) -> DataFrame:
     """x bin, y bin and their joint class `<x>-<y>`."""
-    out = tie_stable_bins(df, group, x, ids, n, "x_bin")
-    out = tie_stable_bins(out, group, y, ids, n, "y_bin")
+    out = ranked_columns(df, ids, {"x_bin": tie_bins(x, n, group), "y_bin": tie_bins(y, n, group)})
     both = F.col("x_bin").isNotNull() & F.col("y_bin").isNotNull()
     return out.withColumn("bi_class", F.when(both, F.concat_ws("-", F.col("x_bin").cast("string"), F.col("y_bin").cast("string"))))
 

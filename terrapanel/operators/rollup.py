@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrapanel.functions.nulls import asc_last, as_col, safe_weighted_mean, sum_na0, weighted_mean
-from terrapanel.operators.ordered import column_quantiles, running_sums
+from terrapanel.operators.ordered import column_quantiles, quantiles, running_sums, up
 
 _NUMERIC = (T.IntegerType, T.LongType, T.ShortType, T.DoubleType, T.FloatType, T.DecimalType)
 
@@ -70,7 +70,7 @@ def weighted_median(df: DataFrame, keys: Sequence[str], x: str, w: str, out: str
     """Smallest `x` at which the running share of weight reaches one half."""
     known = df.filter(F.col(x).isNotNull() & F.col(w).isNotNull())
     per_value = known.groupBy(*keys, x).agg(F.sum(F.col(w).cast("double")).alias("__w"))
-    cum = running_sums(per_value, keys, [asc_last(x)], {"__cum": F.col("__w")})
+    cum = running_sums(per_value, keys, [up(x)], {"__cum": F.col("__w")})
     hit = cum.filter(F.col("__cum") / F.col("__cum_total") >= 0.5)
     return hit.groupBy(*keys).agg(F.min(x).alias(out))
 
@@ -109,7 +109,6 @@ def benchmark_bundle(df: DataFrame, group: Sequence[str], cols: Sequence[str], w
         [*group, "__w"], list(cols), "metric", "value")
     means = long.groupBy(*group, "metric").agg(
         F.avg("value").alias("bench_mean"), safe_weighted_mean("value", "__w").alias("bench_weighted"))
-    from terrapanel.operators.ordered import quantiles
     med = quantiles(long, [*group, "metric"], "value", {"bench_median": 0.5})
     return means.join(med, [*group, "metric"], "left")
 

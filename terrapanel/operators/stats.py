@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions.nulls import null_safe_join
 from terrapanel.operators.ordered import column_quantiles, ranks
+from terrapanel.session import settled
 
 
 def _with_group_stats(df: DataFrame, group: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
@@ -62,7 +63,7 @@ def rescale_0_100(df: DataFrame, cols: Mapping[str, str], group: Sequence[str] =
     aggs = []
     for c in cols:
         aggs += [F.min(c).alias(f"__lo_{c}"), F.max(c).alias(f"__hi_{c}")]
-    out = _with_group_stats(df, group, aggs)
+    out = _with_group_stats(settled(df), group, aggs)
     new = {o: F.try_divide((F.col(c) - F.col(f"__lo_{c}")) * F.lit(100.0), F.col(f"__hi_{c}") - F.col(f"__lo_{c}"))
            for c, o in cols.items()}
     return out.withColumns(new).drop(*[f"__{k}_{c}" for c in cols for k in ("lo", "hi")])
@@ -71,6 +72,7 @@ def rescale_0_100(df: DataFrame, cols: Mapping[str, str], group: Sequence[str] =
 def winsorize(df: DataFrame, col: str, lo: float, hi: float, mode: str = "clamp", group: Sequence[str] = (),
               out: str | None = None) -> DataFrame:
     """Clamp to (mode "clamp") or keep only (mode "trim") the exact quantile range."""
+    df = settled(df)  # values and bounds come from one evaluation
     q = column_quantiles(df, list(group), {"__lo": (col, lo), "__hi": (col, hi)})
     if group:
         j = null_safe_join(df, q, group, "left")
@@ -87,6 +89,7 @@ def winsorize(df: DataFrame, col: str, lo: float, hi: float, mode: str = "clamp"
 
 def sd_tiers(df: DataFrame, col: str, out: str = "tier", k: float = 1.0, group: Sequence[str] = ()) -> DataFrame:
     """high / middle / low by mean plus or minus k standard deviations."""
+    df = settled(df)
     j = _with_group_stats(df, group, [F.avg(col).alias("__mu"), F.stddev_samp(col).alias("__sd")])
     t = F.when(F.col(col) >= F.col("__mu") + k * F.col("__sd"), "high").when(
         F.col(col) <= F.col("__mu") - k * F.col("__sd"), "low").when(F.col(col).isNotNull(), "middle")
@@ -96,6 +99,7 @@ def sd_tiers(df: DataFrame, col: str, out: str = "tier", k: float = 1.0, group:
 def quantile_tiers(df: DataFrame, col: str, cuts: Sequence[tuple[float, str]], default: str, out: str = "tier",
                    group: Sequence[str] = ()) -> DataFrame:
     """Label of the highest quantile cut the value reaches; `cuts` from high to low."""
+    df = settled(df)  # values and cuts come from one evaluation
     q = column_quantiles(df, list(group), {f"__c{i}": (col, p) for i, (p, _) in enumerate(cuts)})
     if group:
         j = null_safe_join(df, q, group, "left")
@@ -131,9 +135,8 @@ def correlation_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str], met
         long = base.select(*ids, *group, F.explode(cells).alias("p")).select(*ids, *group, "p.*")
         long = long.filter(F.col("vx").isNotNull() & F.col("vy").isNotNull())
         key = [*group, "x", "y"]
-        avg = F.col("__rank") + (F.col("__ties") - 1) / 2
-        rx = ranks(long, key, "vx", ids).withColumn("rx", avg).drop("__rn", "__rank", "__ties", "__n")
-        ry = ranks(rx, key, "vy", ids).withColumn("ry", avg)
+        rx = ranks(long, key, "vx", ids, {"rx": lambda r: r.rank + (r.ties - 1) / 2})
+        ry = ranks(rx, key, "vy", ids, {"ry": lambda r: r.rank + (r.ties - 1) / 2})
         upper = ry.groupBy(*key).agg(F.corr("rx", "ry").alias("correlation"), F.count(F.lit(1)).alias("n"))
     elif method == "pearson":
         aggs = []

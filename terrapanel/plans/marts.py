@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from terrapanel.functions.columns import hhi, normalize_geo_key, residual, reweighted_score
 from terrapanel.functions.nulls import add_cols, ratio_or_null, safe_ratio, sum0
 from terrapanel.operators.joins import PANEL_KEYS, hierarchy_backfill, join_on_spine
-from terrapanel.operators.ranking import ntile, percent_rank, percentiles_of, rank_by
-from terrapanel.operators.rollup import dedupe_max, densities, multi_level_rollup
-from terrapanel.operators.series import growth, growth_many, level_change
+from terrapanel.operators.ranking import equal_buckets, min_rank, pct_rank, rank_by, ranked_columns
+from terrapanel.operators.rollup import dedupe_max, densities, multi_level_rollup, weighted_median
+from terrapanel.operators.select import latest_per_key
+from terrapanel.operators.series import growth, growth_many, level_change, rolling_mean
 from terrapanel.session import store
 
 KEYS = ["geo_level", "geo_id", "geo_name", "year"]
@@ -230,20 +231,19 @@ def school_district_mart(districts: DataFrame, acs: DataFrame, district_id: str
     a = a.withColumnRenamed("geo_id", district_id).filter(F.col("year") == a.select(F.max("year")).scalar()).drop("geo_level", "geo_name", "year")
     j = districts.withColumn("allocations_per_student", F.round(ratio_or_null("title_1_allocations", "enrollment"), 2)).join(a, district_id)
     ids = [district_id]
-    j = store(j)  # several ordered steps follow
-    j = percent_rank(j, [], "enrollment", ids, "enrollment_pct_rank")
-    j = percent_rank(j, [], "allocations_per_student", ids, "student_allocation_pct_rank")
-    j = percent_rank(j, [], "child_poverty_rate", ids, "child_poverty_pct_rank")
-    j = percentiles_of(j, ids, [], {"economically_disadvantaged_percent": "economic_disadvantaged_pct_rank",
-                                    "population_growth_5yr": "population_growth_pct_rank"})
-    j = ntile(j, [], "population_growth_5yr", ids, 4, "pop_growth_quartile")
+    j = ranked_columns(j, ids, {
+        "enrollment_pct_rank": pct_rank("enrollment"), "student_allocation_pct_rank": pct_rank("allocations_per_student"),
+        "child_poverty_pct_rank": pct_rank("child_poverty_rate"),
+        "economic_disadvantaged_pct_rank": pct_rank("economically_disadvantaged_percent", keep_nulls=False),
+        "population_growth_pct_rank": pct_rank("population_growth_5yr", keep_nulls=False),
+        "pop_growth_quartile": equal_buckets("population_growth_5yr", 4)})
     boost = F.lit(0.0)
     for q, b in GROWTH_BOOST.items():
         boost = F.when(F.col("pop_growth_quartile") == q, F.lit(b)).otherwise(boost)
     j = j.withColumn("lead_score", reweighted_score(LEAD_WEIGHTS, 100)).withColumn("lead_score_growth_boost", F.col("lead_score") + boost)
     j = j.withColumns({"__a": F.round("lead_score", 9), "__b": F.round("lead_score_growth_boost", 9)})
-    j = rank_by(j, [], "__a", ids, "lead_score_rank", method="min")
-    return rank_by(j, [], "__b", ids, "lead_score_growth_boost_rank", method="min").drop("__a", "__b")
+    j = ranked_columns(j, ids, {"lead_score_rank": min_rank("__a"), "lead_score_growth_boost_rank": min_rank("__b")})
+    return j.drop("__a", "__b")
 
 
 def growth_study(panel: DataFrame, permits: DataFrame, meta: DataFrame, metric: str = "pop_cagr_5yr", region: str = "South") -> DataFrame:
@@ -254,15 +254,13 @@ def growth_study(panel: DataFrame, permits: DataFrame, meta: DataFrame, metric:
     p = level_change(p, ENTITY, "year", "unemployment_rate", 5, "unemp_rate_chg_5y")
     annual = permits.groupBy("geo_id", "year").agg(F.sum("units").alias("permits_units"))
     p = p.join(annual, ["geo_id", "year"], "left").withColumn("units_per_1k", safe_ratio(F.col("permits_units") * 1000.0, "pop_total"))
-    from terrapanel.operators.series import rolling_mean
     p = rolling_mean(p, ENTITY, "year", "units_per_1k", 5, "units_per_1k_5y_avg", strict=True)
     last = p.filter((F.col("year") == p.select(F.max("year")).scalar()) & F.col(metric).isNotNull()).join(meta, "geo_id")
     last = store(last.withColumn("in_region", F.col("region") == region))
-    ids = ["geo_id"]
+    wanted = {}
     for name, group in (("nat_all", []), ("nat_in_type", ["cbsa_type"]), ("reg_in_type", ["cbsa_type", "in_region"])):
-        last = rank_by(last, group, metric, ids, f"{name}_rank", method="min")
-        last = percent_rank(last, group, metric, ids, f"{name}_pct")
-    q = ntile(last, ["in_region"], metric, ids, 5, "growth_q5")
+        wanted |= {f"{name}_rank": min_rank(metric, group), f"{name}_pct": pct_rank(metric, group)}
+    q = ranked_columns(last, ["geo_id"], wanted | {"growth_q5": equal_buckets(metric, 5, ["in_region"])})
     return q.withColumn("growth_q5", F.when(F.col("in_region"), F.col("growth_q5")))
 
 
@@ -271,7 +269,6 @@ def constant_membership_overview(counties: DataFrame, xwalk: DataFrame, values:
     """Metro series rebuilt from a fixed set of counties, so that boundary changes
     do not show up as growth. `values` maps a summed county column to its prefix,
     `medians` a column to the output of its population-weighted median."""
-    from terrapanel.operators.rollup import weighted_median
     c = counties.join(xwalk.select(F.col("county_geoid").alias("geo_id"), "cbsa_code"), "geo_id")
     keys = ["cbsa_code", "year"]
     out = c.groupBy(*keys).agg(F.coalesce(F.sum(pop), F.lit(0.0)).alias(pop), *[F.coalesce(F.sum(v), F.lit(0.0)).alias(v) for v in values])
@@ -288,7 +285,6 @@ def real_income(income: DataFrame, cbsa_rpp: DataFrame, state_rpp: DataFrame, co
     A metro belongs to the state of its largest county (`counties`: cbsa_code,
     cbsa_type, state_fips, county_geoid, pop_total).
     """
-    from terrapanel.operators.select import latest_per_key
     meta = latest_per_key(counties.select("cbsa_code", "pop_total", "county_geoid", "cbsa_type", "state_fips"), ["cbsa_code"],
                           ["pop_total", "county_geoid"]).select(F.col("cbsa_code").alias("geo_id"), "cbsa_type", "state_fips")
     i = income.join(meta, "geo_id", "left")

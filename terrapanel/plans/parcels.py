@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terrapanel.functions.columns import days_since, month_start, pad_zeros
 from terrapanel.functions.nulls import asc_last, desc_last, ratio_or_null, safe_ratio
 from terrapanel.operators.joins import zero_filled_right
-from terrapanel.operators.ordered import column_quantiles, row_numbers
+from terrapanel.operators.ordered import column_quantiles, down, row_numbers, up
 from terrapanel.operators.quality import validation_row, validation_rows, validation_suite
 from terrapanel.operators.ranking import percentiles_of
 from terrapanel.operators.select import first_per_key, latest_per_key
@@ -180,10 +180,10 @@ def parcel_shortlist(assigned: DataFrame, parcels: DataFrame, tract_zone: DataFr
     p = p.withColumn("shortlist_score", 0.50 * F.col("zone_quality_score") + 0.25 * F.col("local_retail_context_score") + 0.25 * F.col("parcel_characteristics_score"))
     # the score is rounded for ordering, so that equal scores stay equal
     p = p.withColumn("__s", F.round("shortlist_score", 9))
-    p = row_numbers(p, [], [desc_last("__s"), desc_last("zone_quality_score"), desc_last("parcel_area_sqmi"), asc_last("parcel_uid")],
-                    "shortlist_rank_system", "__n").drop("__n")
-    p = row_numbers(p, ["zone_id"], [desc_last("__s"), desc_last("parcel_area_sqmi"), asc_last("parcel_uid")], "shortlist_rank_zone", "__n")
-    return p.drop("__n", "__s")
+    p = row_numbers(p, [], [down("__s"), down("zone_quality_score"), down("parcel_area_sqmi"), up("parcel_uid")],
+                    "shortlist_rank_system", None)
+    p = row_numbers(p, ["zone_id"], [down("__s"), down("parcel_area_sqmi"), up("parcel_uid")], "shortlist_rank_zone", None)
+    return p.drop("__s")
 
 
 def shortlist_summary(shortlist: DataFrame) -> DataFrame:

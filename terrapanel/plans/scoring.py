@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions.columns import reason_tags, weighted_score, with_gates
 from terrapanel.functions.nulls import asc_last, desc_last, null_safe_join, safe_ratio
-from terrapanel.operators.ordered import column_quantiles, row_numbers
+from terrapanel.operators.ordered import column_quantiles, down, row_numbers, up
 from terrapanel.operators.quality import funnel
-from terrapanel.operators.ranking import ntile, percentiles_of, rank_metrics, top_share
+from terrapanel.operators.ranking import ntile, percent_rank, percentiles_of, rank_metrics, top_share
 from terrapanel.operators.reshape import longer
 from terrapanel.operators.series import rolling_mean
 from terrapanel.operators.stats import impute_median, quantile_tiers, rescale_0_100, sd_tiers, zscore
-from terrapanel.session import store
+from terrapanel.session import mark_settled, settled, store
 
 # Metrics of the metro table and whether larger is better.
 CBSA_METRICS = {
@@ -105,9 +105,9 @@ def tract_models(features: DataFrame) -> DataFrame:
     """
     f = store(_scored(features))
     long = longer(f, ["cbsa_code", "tract_geoid"], [f"score_{m}" for m in MODELS], "model", "score")
-    order = [desc_last("score"), asc_last("tract_geoid")]
-    long = row_numbers(long, ["model", "cbsa_code"], order, "rank_cbsa", "__n").drop("__n")
-    long = row_numbers(long, ["model"], [desc_last("score"), asc_last("cbsa_code"), asc_last("tract_geoid")], "rank_national", "__n").drop("__n")
+    order = [down("score"), up("tract_geoid")]
+    long = row_numbers(long, ["model", "cbsa_code"], order, "rank_cbsa", None)
+    long = row_numbers(long, ["model"], [down("score"), up("cbsa_code"), up("tract_geoid")], "rank_national", None)
     long = long.withColumn("rank_national", F.when(F.col("cbsa_code").isNotNull() & (F.col("cbsa_code") != ""), F.col("rank_national")))
     wide = long.groupBy("tract_geoid").agg(*[
         F.max(F.when(F.col("model") == f"score_{m}", F.col(f"rank_{s}"))).alias(f"rank_{m}_{s}") for m in MODELS for s in ("cbsa", "national")])
@@ -154,7 +154,7 @@ def tract_scores(features: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     f = zscore(f, group, {f"{t}_scoring": f"z_{t}" for t in V1_TERMS})
     f = f.withColumns({f"contrib_{t}": F.lit(w) * F.col(f"z_{t}") for t, (_, _, w) in V1_TERMS.items()})
     f = f.withColumn("tract_score", sum((F.col(f"contrib_{t}") for t in V1_TERMS), F.lit(0.0)))
-    f = row_numbers(f, group, [desc_last("tract_score"), asc_last("tract_geoid")], "tract_rank", "__n").drop("__n")
+    f = row_numbers(f, group, [down("tract_score"), up("tract_geoid")], "tract_rank", None)
     cuts = column_quantiles(features, list(group), {f"__q_{t}": (V1_TERMS[t][0], 0.75) for t in ("growth", "units", "commute", "income")})
     f = f.join(cuts, list(group), "left") if group else f.withColumn("__q", cuts.select(F.struct(*cuts.columns)).scalar()).select("*", "__q.*").drop("__q")
     tags = {"High growth": F.col("pop_growth_3yr") >= F.col("__q_growth"), "High housing pipeline": F.col("units_per_1k_3yr") >= F.col("__q_units"),
@@ -168,7 +168,7 @@ def top_tracts(scores: DataFrame, n: int) -> DataFrame:
     """Best n eligible tracts, renumbered."""
     best = scores.filter(F.col("eligible_v1") == 1).orderBy(desc_last("tract_score"), asc_last("tract_geoid")).limit(n)
     # n rows at most remain
-    return row_numbers(best.drop("tract_rank"), [], [desc_last("tract_score"), asc_last("tract_geoid")], "tract_rank", "__n").drop("__n")
+    return row_numbers(best.drop("tract_rank"), [], [down("tract_score"), up("tract_geoid")], "tract_rank", None)
 
 
 def eligibility_funnel(features: DataFrame) -> DataFrame:
@@ -179,11 +179,11 @@ def eligibility_funnel(features: DataFrame) -> DataFrame:
 def overheat_gap(df: DataFrame, pressure: Sequence[str], support: Mapping[str, float]) -> DataFrame:
     """Pressure minus support, its label by the outer tenths, and a 0-100 score."""
     out = df.withColumns({"overheating_score": weighted_score({c: 1.0 for c in pressure}), "support_score": weighted_score(support)})
-    out = out.withColumn("overheat_gap", F.col("overheating_score") - F.col("support_score"))
+    out = settled(out.withColumn("overheat_gap", F.col("overheating_score") - F.col("support_score")))
     out = quantile_tiers(out, "overheat_gap", [(0.9, "Overheated")], "__low", "market_type")
     q = column_quantiles(out, [], {"q": ("overheat_gap", 0.1)}).scalar()
     out = out.withColumn("market_type", F.when(F.col("market_type") != "__low", F.col("market_type")).when(F.col("overheat_gap") <= q, "Undervalued").otherwise("Neutral"))
-    return rescale_0_100(out, {"overheat_gap": "overheat_gap_score"})
+    return rescale_0_100(mark_settled(out), {"overheat_gap": "overheat_gap_score"})
 
 
 def investment_index(df: DataFrame, weights: Mapping[str, float], ids: Sequence[str]) -> DataFrame:
@@ -209,7 +209,6 @@ def percentile_screen(df: DataFrame, ids: Sequence[str], metrics: Mapping[str, b
 
 def radar_long(df: DataFrame, ids: Sequence[str], kpis: Mapping[str, bool]) -> DataFrame:
     """Percentile of each indicator among known values, turned round where less is better."""
-    from terrapanel.operators.ranking import percent_rank
     long = longer(df, ids, list(kpis), "kpi", "value")
     p = percent_rank(long, ["kpi"], "value", ids, "pct", keep_nulls=False)
     low = F.col("kpi").isin([k for k, up in kpis.items() if not up])

@@ -179,7 +179,8 @@ def test_long_codes_stay_whole(frame):
 
 
 def test_top_k_per_group_beyond_sparks_own_limit(frame):
+    from terrapanel.operators.ordered import down
     from terrapanel.operators.ranking import top_k_per_group
 
     df = frame([("hot", i) for i in range(2500)] + [("b", 1)], "g string, i int")
-    assert top_k_per_group(df, ["g"], [F.col("i").desc()], 2000).count() == 2001
+    assert top_k_per_group(df, ["g"], [down("i")], 2000).count() == 2001

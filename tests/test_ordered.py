@@ -10,9 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrapanel.functions.nulls import asc_last, desc_last
 from terrapanel.operators import ordered as O
 from terrapanel.operators import ranking as K
+from terrapanel.operators import stats as S
 
 
 def rows(n=1200, seed=3):
@@ -50,23 +50,82 @@ def brute(data, keep_nulls, descending):
 @pytest.mark.parametrize("descending", [True, False])
 def test_ranks_match_brute_force(frame, data, keep_nulls, descending):
     df = frame(data, "id int, g string, v double")
-    r = O.ranks(df, ["g"], "v", ["id"], descending=descending, keep_nulls=keep_nulls, dense=True)
-    got = {x["id"]: tuple(x[c] for c in ("__rn", "__rank", "__ties", "__n", "__dense")) for x in r.collect()}
+    out = ("rn", "rank", "ties", "n", "dense")
+    r = O.ranks(df, ["g"], "v", ["id"], {c: lambda x, c=c: getattr(x, c) for c in out}, descending=descending, keep_nulls=keep_nulls, dense=True)
+    got = {x["id"]: tuple(x[c] for c in out) for x in r.collect()}
     assert len(got) == len(data)
     want = brute(data, keep_nulls, descending)
     assert {i: t for i, t in got.items() if t[0] is not None} == want
 
 
-def test_hot_group_spans_partitions(frame, data):
-    placed = O._place(frame(data, "id int, g string, v double"), ["g"], [asc_last("v"), asc_last("id")])
-    parts = placed.filter("g = 'hot'").select("__seg").distinct().count()
-    run = placed.filter("g = 'hot' AND v = 5").select("__seg").distinct().count()
-    assert parts >= 3 and run >= 2
+def test_hot_group_and_hot_value_are_cut_small_groups_stay_whole(frame, data):
+    more = data + [(10_000 + i, "small", float(i)) for i in range(5)]
+    placed = O._place(frame(more, "id int, g string, v double"), [F.col("g")], [O.up("v"), O.up("id")]).rows.select("row.*", "piece", "piece.large", "piece.solid")
+    sizes = {(r.g, r.piece): r["count"] for r in placed.groupBy("g", "piece").count().collect()}
+    assert max(sizes.values()) <= 1200 / 6 * 1.5
+    assert placed.filter("g = 'hot' AND v = 5").select("piece").distinct().count() >= 2 and placed.filter("v = 5 AND g = 'hot' AND NOT solid").count() == 0
+    assert placed.filter("g = 'small'").select("piece").distinct().count() == 1 and placed.filter("g = 'small' AND large").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "date", "timestamp", "decimal(12,2)", "boolean", "float"])
+@pytest.mark.parametrize("descending", [True, False])
+def test_every_type_orders_as_spark_does(spark, kind, descending):
+    """Places of one group against a plain window, for values of both signs, ties, NULLs and texts that share prefixes."""
+    value = {"long": "IF(id % 5 = 0, 7, (id * 7919) % 1009 * 9876543210 - 4000000000000)", "string": "IF(id % 4 = 0, 'same', repeat(char(97 + id % 3), CAST(id % 40 AS int)) || id % 7)",
+             "date": "date_add(DATE '1960-01-01', CAST((id * 37) % 20000 AS int))", "timestamp": "timestamp_micros((id * 7919) % 100003 * 123456789)",
+             "decimal(12,2)": "CAST((id * 31) % 777 / 7 - 30 AS decimal(12,2))", "boolean": "id % 3 = 0", "float": "IF(id % 9 = 0, CAST('NaN' AS float), CAST((id * 31) % 97 - 40 AS float))"}[kind]
+    df = spark.range(900).selectExpr("id", f"IF(id % 11 = 0, NULL, {value}) AS v")
+    got = O.row_numbers(df, [], [O.Order("v", descending), O.up("id")], "rn", "n")
+    from pyspark.sql import Window
+    want = df.withColumn("w", F.row_number().over(Window.orderBy(O.Order("v", descending).sort(), "id")))
+    assert got.join(want.select("id", "w"), "id").filter("rn <> w OR n <> 900").count() == 0 and got.count() == 900
+
+
+NAMES = "g0 piece row large major solid o0 l0 kl0 b0 s0 a0 r0 w0 before of_g at in all rank run dense __rn __rank __n __g __a __pos d.e".split()
+
+
+def test_no_name_of_the_caller_clashes(frame, data):
+    df = frame([(i, "hot", v, *[i + 7] * len(NAMES)) for i, _, v in data[:300]], "id int, g string, v double, " + ", ".join(f"`{c}` int" for c in NAMES))
+    for out in (K.percent_rank(df, ["g"], "v", ["id"], "p"), O.running_sums(df, ["g"], [O.up("v"), O.up("id")], {"p": F.col("v")}, totals=False),
+                K.ntile(df, ["g"], "v", ["id"], 4, "p"), K.top_k_per_group(df, ["g"], [O.down("v"), O.up("id")], 1500, "p")):
+        assert out.columns == [*df.columns, "p"]
+        rows = out.select("id", *[F.col(f"`{c}`") for c in NAMES]).collect()
+        assert len(rows) == 300 and all(set(r[1:]) == {r[0] + 7} for r in rows)
+
+
+def test_quantiles_shuffle_few_rows(spark):
+    """Of a large group only the rows near the wanted places are counted by value."""
+    df = spark.range(200_000).select(F.struct(F.lit("a").alias("g0")).alias("g"), ((F.col("id") * 7919) % 200_003).cast("double").alias("v"))
+    assert O.region_counts(df, {"p": 0.5, "q": 0.9}).count() < 2000
+    q = O.quantiles(df.select("g.g0", "v"), ["g0"], "v", {"p": 0.5, "q": 0.9}).first()
+    known = sorted((i * 7919) % 200_003 for i in range(200_000))
+    assert (q.p, q.q) == (pytest.approx(np.percentile(known, 50)), pytest.approx(np.percentile(known, 90)))
+
+
+def test_top_k_keeps_at_most_k_of_a_group_from_each_task(spark):
+    df = spark.range(0, 4000, 1, 4).selectExpr("id", "id % 2 AS g")
+    plan = K.top_k_per_group(df, ["g"], [O.down("id")], 3)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan.split("Exchange hashpartitioning")[-1]
+    assert {r.id for r in K.top_k_per_group(df, ["g"], [O.down("id")], 3).collect()} == set(range(3994, 4000))
+
+
+@pytest.mark.parametrize("parts", [1, 4, 13])
+def test_thresholds_of_sums_do_not_flip(spark, parts):
+    """Sums of doubles in any order: the row at the quantile always reaches it."""
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.range(0, 20_000, 1, 7).selectExpr("id % 101 AS k", "CAST(id AS double) * 0.1 AS x").groupBy("k").agg(F.sum("x").alias("v"), F.avg("x").alias("w"))
+        tiers = {r.k: r.tier for r in S.quantile_tiers(df, "v", [(0.9, "high")], "rest").collect()}
+        assert sum(t == "high" for t in tiers.values()) == 11
+        assert K.quantile_flag(df, [], "v", 0.5).filter("is_high").count() == 51
+        assert {r.b: r.n for r in K.quantile_bins(df, "v", [0.5], "b").groupBy("b").agg(F.count("k").alias("n")).collect()} == {1: 51, 2: 50}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 6)
 
 
 def test_running_sums_and_totals(frame, data):
     df = frame([(i, g, v or 0.0) for i, g, v in data], "id int, g string, v double")
-    got = {r["id"]: (r.s, r.s_total, r.rn) for r in O.running_sums(df, ["g"], [desc_last("v"), asc_last("id")], {"s": F.col("v")}, rn="rn").collect()}
+    got = {r["id"]: (r.s, r.s_total, r.rn) for r in O.running_sums(df, ["g"], [O.down("v"), O.up("id")], {"s": F.col("v")}, rn="rn").collect()}
     for g in {r[1] for r in data}:
         total, ordered = 0.0, sorted(((-(v or 0.0), i) for i, gg, v in data if gg == g))
         whole = -sum(v for v, _ in ordered)
