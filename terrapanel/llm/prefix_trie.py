@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.llm.common import map_arrow, ship, store
 from terrapanel.llm.perfect_hash import PerfectHash
-from terrapanel.operators.ordered import row_numbers
+from terrapanel.operators.ordered import row_numbers, up
 
 _SUMS = ["ends", "turn_chars", "own_chars", "own_leaves"]
 _CHUNK = 1 << 16  # bytes of ids that are written as one piece of a list
@@ -48,7 +48,8 @@ def conversation_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: st
                      F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).filter("conv IS NOT NULL")
     t = t.select("conv", "turn", "role", "text", F.unhex(F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256)).alias("x"),
                  F.length("text").cast("bigint").alias("chars"))
-    order = [F.col("turn").asc_nulls_first(), F.col("role").asc(), F.col("text").asc()]
+    t = t.withColumn("known", F.col("turn").isNotNull())
+    order = [up("known"), up("turn"), up("role"), up("text")]
     return store(row_numbers(t, ["conv"], order, "pos", "n").select("conv", "pos", "n", "x", "chars"))
 
 
