@@ -13,6 +13,8 @@ each kind.
 
 from __future__ import annotations
 
+import math
+
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -117,12 +119,14 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return store(found.select("id", F.filter("found", chain).alias("found")))
 
 
-def estimate_votes(counts: dict[tuple[int, tuple[int, ...]], int], rounds: int = 100) -> dict[tuple[int, tuple[int, ...]], float]:
+def estimate_votes(counts: dict[tuple[int, tuple[int, ...]], int], rounds: int = 100_000) -> dict[tuple[int, tuple[int, ...]], float]:
     """Probability of each (kind, votes) that the span is personal data, from how often each occurs.
 
     Expectation-maximisation of a two-class model for each kind, in which
     labelers vote independently given the class. It starts from labelers that
-    are right more often than not, which fixes which class is which.
+    are right more often than not, which fixes which class is which, and goes on
+    until a round adds less than 1e-10 to the log likelihood of a span; not
+    getting there within `rounds` is an error.
     """
     out: dict[tuple[int, tuple[int, ...]], float] = {}
     for kind in {k for k, _ in counts}:
@@ -131,14 +135,17 @@ def estimate_votes(counts: dict[tuple[int, tuple[int, ...]], int], rounds: int =
         prior = 0.5
         chance = [[{-1: 0.2, 0: 0.2, 1: 0.6}, {-1: 0.6, 0: 0.2, 1: 0.2}] for _ in labelers]
         post: list[float] = []
+        total, likely = sum(n for _, n in rows), -math.inf
         for _ in range(rounds):
-            post = []
-            for votes, _n in rows:
+            post, before, likely = [], likely, 0.0
+            for votes, n in rows:
                 a, b = prior, 1 - prior
                 for j in labelers:
                     a, b = a * chance[j][0][votes[j]], b * chance[j][1][votes[j]]
                 post.append(a / (a + b))
-            total = sum(n for _, n in rows)
+                likely += n * math.log(a + b)
+            if abs(likely - before) < 1e-10 * total:
+                break
             yes = sum(p * n for p, (_, n) in zip(post, rows))
             prior = (yes + 1) / (total + 2)
             for j in labelers:
@@ -146,6 +153,8 @@ def estimate_votes(counts: dict[tuple[int, tuple[int, ...]], int], rounds: int =
                     hit = [(p * n, (1 - p) * n) for p, (v, n) in zip(post, rows) if v[j] == vote]
                     chance[j][0][vote] = (sum(h[0] for h in hit) + 0.5) / (yes + 1.5)
                     chance[j][1][vote] = (sum(h[1] for h in hit) + 0.5) / (total - yes + 1.5)
+        else:
+            raise RuntimeError(f"the estimate has not settled after {rounds} rounds")
         out.update({(kind, v): p for p, (v, _) in zip(post, rows)})
     return out
 
