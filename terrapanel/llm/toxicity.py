@@ -169,6 +169,9 @@ def fit_noisy_or(toxic: np.ndarray, plain: np.ndarray, features: list[np.ndarray
     return x[:-1], float(x[-1])
 
 
+LABELS_BROADCAST = 1_000_000  # labelled ids, about 30 MB
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           max_train: int = 12_000, max_features: int = 4096, least_docs: int = 3) -> Model:
     """Fit on the documents that `labels` (id, label 0 or 1) names.
@@ -184,7 +187,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = labels.select(F.col(f"`{id_col}`").alias("label_id"), F.col(f"`{label_col}`").cast("int").alias("toxic"))
     own = own.filter("label_id IS NOT NULL AND toxic IN (0, 1)").groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(f"`{text_col}`").alias("text"))
-    labelled = texts.join(own, F.col("id") == F.col("label_id"))
+    # texts stay where they are while the labels fit a broadcast; beyond that, both sides are shuffled by id
+    near = F.broadcast(own) if own.count() <= LABELS_BROADCAST else own
+    labelled = texts.join(near, F.col("id") == F.col("label_id"))
     n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return Model()
