@@ -169,6 +169,14 @@ def fit_noisy_or(toxic: np.ndarray, plain: np.ndarray, features: list[np.ndarray
     return x[:-1], float(x[-1])
 
 
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Each list of a column as a view of its values."""
+    whole = column.combine_chunks()
+    whole = whole if isinstance(whole, pa.Array) else pa.concat_arrays(whole.chunks)
+    values, ends = whole.values.to_numpy(), whole.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends, ends[1:])]
+
+
 LABELS_BROADCAST = 1_000_000  # labelled ids, about 30 MB
 
 
@@ -208,13 +216,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     vocabulary = {r["feature"]: k for k, r in enumerate(chosen)}
     kept = map_arrow(rows, partial(_chosen, vocabulary=vocabulary),
                      "uid string, toxic int, plain long, features array<int>, sizes array<int>")
-    # at most max_train rows; in a fixed order, so that sums come out the same
-    table = sorted(kept.collect(), key=lambda r: (r["uid"], r["toxic"], r["plain"], r["features"]))
-    toxic = np.array([r["toxic"] for r in table])
+    # at most max_train rows, as Arrow buffers; in a fixed order, so that sums come out the same
+    table = kept.orderBy("uid", "toxic", "plain", "features").toArrow()
+    toxic, plain = table["toxic"].to_numpy(), table["plain"].to_numpy().astype(float)
+    features, sizes = _lists(table["features"]), _lists(table["sizes"])
     stands_for = np.where(toxic == 1, n[1] / max(1, (toxic == 1).sum()), n[0] / max(1, (toxic == 0).sum()))
-    w, bias = fit_noisy_or(toxic, np.array([r["plain"] for r in table], float), [r["features"] for r in table], [r["sizes"] for r in table],
-                           len(vocabulary), weight=stands_for)
-    held = {k for r in table for k in r["features"]}
+    w, bias = fit_noisy_or(toxic, plain, features, sizes, len(vocabulary), weight=stands_for)
+    held = set(np.unique(np.concatenate([np.empty(0, np.int32), *features])).tolist())
     for k, r in enumerate(chosen):
         if k not in held:
             w[k] = math.log((r["t"] + 0.5) / (n[1] + 1)) - math.log((r["c"] + 0.5) / (n[0] + 1))
