@@ -6,6 +6,7 @@ from catalog import standins as S
 from catalog.registry import query
 from terrapanel.operators import joins as J
 from terrapanel.operators import spatial as G
+from terrapanel.operators.geometry import polygons_overlap
 from terrapanel.operators.series import endpoints_join
 
 MART = lambda body, *lv, extra="": S.sql_mart(*(lv or ("county",)), body=body, extra=extra)
@@ -225,3 +226,15 @@ def jn20(t):
     z = g.select((zx * 1000 + zy).alias("zone"), (zx * 5).alias("x"), (zy * 5).alias("y")).distinct().select(
         "zone", square(F.col("x"), F.col("y"), 5.0, 5.0).alias("ring"))
     return G.overlap_counts(g, z, "geo_id", "zone", cell=2.5)
+
+
+@query("jn20_polygon_overlaps", f"""
+WITH {GRID_SQL}, z AS (SELECT DISTINCT x // 3 AS zx, y // 3 AS zy FROM g)
+SELECT id AS geo_id, zx * 1000 + zy AS zone FROM g JOIN z ON x < 3 * zx + 2.5 AND x + 1 > 3 * zx + 0.5 AND y < 3 * zy + 2.5 AND y + 1 > 3 * zy + 0.5""", ints="zone")
+def jn20_overlaps(t):
+    """Squares of the grid against squares of side 2 that lie across its lines: all pairs with area in common."""
+    g = grid_polys(t)
+    zx, zy = F.floor(F.col("ring")[0]["x"] / 3), F.floor(F.col("ring")[0]["y"] / 3)
+    z = g.select((zx * 1000 + zy).alias("zone"), (zx * 3 + 0.5).alias("x"), (zy * 3 + 0.5).alias("y")).distinct().select(
+        "zone", square(F.col("x"), F.col("y"), 2.0, 2.0).alias("ring"))
+    return polygons_overlap(g, z, "geo_id", "zone", cell=2.0)

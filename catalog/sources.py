@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog.registry import query
+from terrapanel.operators.geometry import parts_area, parts_from_wkb, wkb_from_parts
 from terrapanel.operators.spatial import ring_area, ring_from_wkt, wkt_from_ring
 from terrapanel.session import shared_folder
 from terrapanel.sources import files
@@ -107,6 +108,21 @@ def io09(t):
     return back.select("geo_id", ring_area("ring").alias("area"), F.size("ring").alias("vertices"))
 
 
+@query("io09_wkb_parts", """
+SELECT c_custkey AS geo_id, 1 + c_custkey % 2 AS parts, 2 + c_custkey % 2 AS rings, 4.0 * (1 + c_custkey % 7) - 0.25 + (c_custkey % 2) * (1 + c_custkey % 7) AS area FROM customer""",
+       real="area", ints="parts rings")
+def io09_wkb(t):
+    """Polygons with a hole, every other one with a second part, written to binary and read back."""
+    x, w = (F.col("c_custkey") % 100).cast("double"), (1 + F.col("c_custkey") % 7).cast("double")
+    pt = lambda px, py: F.struct(px.alias("x"), py.alias("y"))
+    box = lambda x0, y0, x1, y1: F.array(pt(x0, y0), pt(x1, y0), pt(x1, y1), pt(x0, y1), pt(x0, y0))
+    first = F.array(box(x, F.lit(0.0), x + w, F.lit(4.0)), box(x + 0.25, F.lit(1.0), x + 0.5, F.lit(2.0)))
+    second = F.array(box(x, F.lit(10.0), x + 1, w + 10))
+    shapes = t.customer.select(F.col("c_custkey").alias("geo_id"), F.when(F.col("c_custkey") % 2 == 1, F.array(first, second)).otherwise(F.array(first)).alias("parts"))
+    back = shapes.select("geo_id", wkb_from_parts("parts").alias("wkb")).select("geo_id", parts_from_wkb("wkb").alias("p"))
+    return back.select("geo_id", F.size("p").alias("parts"), F.size(F.flatten("p")).alias("rings"), parts_area("p").alias("area"))
+
+
 @query("io10_inline_dimension", """
 SELECT d.label, count(*) AS n FROM orders JOIN (VALUES ('1-URGENT', 'fast'), ('2-HIGH', 'fast'), ('3-MEDIUM', 'normal'),
   ('4-NOT SPECIFIED', 'normal'), ('5-LOW', 'slow')) AS d(code, label) ON o_orderpriority = d.code GROUP BY ALL""")

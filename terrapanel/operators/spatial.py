@@ -77,6 +77,36 @@ def ring_centroid(ring: Column | str) -> Column:
     return F.struct(F.try_divide(cx, 3 * twice).alias("x"), F.try_divide(cy, 3 * twice).alias("y"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)`, the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def point_on_surface(ring: Column | str) -> Column:
+    """A point inside the polygon: the middle of the widest stretch of a line across it.
+
+    The line runs halfway between the two neighbouring heights of vertices in
+    the middle of all heights, so it meets no vertex. Bridges of a path are met
+    twice and change nothing. A path without any area gives its first point.
+    """
+    c = F.col(ring) if isinstance(ring, str) else ring
+
+    def across(y: Column) -> Column:
+        edges = F.filter(ring_edges(c), lambda e: (e["y1"] > y) != (e["y2"] > y))
+        xs = F.array_sort(F.transform(edges, lambda e: e["x1"] + (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0))))
+
+        def widest(x: Column) -> Column:
+            pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / 2).cast("int") - 1), lambda k: F.struct(
+                (x[2 * k + 1] - x[2 * k]).alias("width"), ((x[2 * k] + x[2 * k + 1]) / 2).alias("x")))
+            return F.array_max(pairs)["x"]
+
+        return F.struct(_let(xs, widest).alias("x"), y.alias("y"))
+
+    heights = F.array_sort(F.array_distinct(F.transform(c, lambda p: p["y"])))
+    middle = _let(heights, lambda h: F.when(F.size(h) > 1, (h[F.floor(F.size(h) / 2).cast("int") - 1] + h[F.floor(F.size(h) / 2).cast("int")]) / 2))
+    return _let(middle, lambda y: F.when(y.isNotNull(), across(y)).otherwise(F.struct(c[0]["x"].alias("x"), c[0]["y"].alias("y"))))
+
+
 def ring_box(ring: Column | str) -> Column:
     c = F.col(ring) if isinstance(ring, str) else ring
     xs, ys = F.transform(c, lambda p: p["x"]), F.transform(c, lambda p: p["y"])
@@ -259,8 +289,11 @@ def point_in_polygon(points: DataFrame, polys: DataFrame, x: str, y: str, poly_i
 
 
 def overlap_counts(a: DataFrame, b: DataFrame, a_id: str, b_id: str, ring: str = "ring", cell: float = 1.0) -> DataFrame:
-    """Number of `a` polygons whose centroid falls in each `b` polygon (0 kept)."""
-    pts = a.select(a_id, ring_centroid(ring).alias("c")).select(a_id, F.col("c.x").alias("px"), F.col("c.y").alias("py"))
+    """Number of `a` polygons of which a point on the surface falls in each `b` polygon (0 kept).
+
+    The point lies inside whatever the shape, which a centroid does not.
+    """
+    pts = a.select(a_id, point_on_surface(ring).alias("c")).select(a_id, F.col("c.x").alias("px"), F.col("c.y").alias("py"))
     hits = point_in_polygon(pts, b, "px", "py", b_id, ring, cell).groupBy(b_id).agg(F.count(F.lit(1)).alias("n"))
     return b.select(b_id).join(hits, b_id, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
