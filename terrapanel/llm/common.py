@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrapanel.llm.sieve import sieve
 from terrapanel.session import store
 
 
@@ -70,12 +71,15 @@ def keep_decided(docs: DataFrame, id_col: str, text_col: str, decided: DataFrame
     Rows are found by id and text. Of rows that repeat both, as many stay as
     were kept, one at most; they differ in nothing that was compared.
     """
-    gone = decided.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(
-        F.min("kept").alias("__all"), F.max("kept").alias("__one")).filter("NOT __all")
+    gone = store(decided.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(
+        F.min("kept").alias("__all"), F.max("kept").alias("__one")).filter("NOT __all").select("__id", "__key", "__one", F.xxhash64("__key").alias("__hash")))
     rows = packed(docs, docs[f"`{id_col}`"].alias("__doc"), text_key(text_col).alias("__own"))
-    rows = rows.join(gone, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left")
-    once = rows.filter("__one").groupBy("__doc", "__own").agg(F.first("__row").alias("__row"))
-    return rows.filter("__one IS NULL").select("__row.*").unionByName(once.select("__row.*"))
+    # only rows whose text may have lost a row are shuffled
+    test = sieve(gone, "__hash")(F.xxhash64("__own"))
+    near = rows.filter(test).join(gone, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left")
+    near = store(near.filter("__one IS NULL OR __one").select("__doc", "__own", "__row", "__one"))
+    once = near.filter("__one").groupBy("__doc", "__own").agg(F.first("__row").alias("__row"))
+    return rows.filter(~test).select("__row.*").unionByName(near.filter("__one IS NULL").select("__row.*")).unionByName(once.select("__row.*"))
 
 
 SLICE = 1_000_000  # bytes of text a worker handles at a time

@@ -20,7 +20,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     got = table(df.columns, [tuple(r) for r in df.collect()])
@@ -29,7 +29,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_all_are_registered():
-    assert [n for n in entry.queries() if n.startswith("op")] == list(queries.QUERIES) and len(queries.QUERIES) == 10
+    assert [n for n in entry.queries() if n.startswith("op")] == list(queries.QUERIES) and len(queries.QUERIES) == 13
     assert entry.queries()["pipeline"] is corpus_pipeline.run
 
 
@@ -108,10 +108,15 @@ def test_run_gives_the_last_stage(spark, planted):
 
 
 def test_stages_take_hard_rows(spark, hard, empty, planted):
-    for rows in (hard, empty):
+    """Of rows with equal texts the one with the largest id stays; no other row is lost."""
+    left = {}
+    for i, t in HARD:
+        left[t or ""] = max(i if i is not None else -1, left.get(t or "", -1))
+    for rows, want in ((hard, sorted(left.values())), (empty, [])):
         docs = rows
-        for _, stage in corpus_pipeline.STAGES:
+        for _, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, planted[0])
-        assert docs.count() >= 0
-        if rows is hard:
-            assert {r.doc_id for r in docs.select("doc_id").collect()} <= {i for i, _ in HARD}
+            assert docs.columns == rows.columns
+        assert sorted(r.doc_id if r.doc_id is not None else -1 for r in docs.select("doc_id").collect()) == want
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, planted[0])
+        assert sorted({r.doc_id if r.doc_id is not None else -1 for r in packed.select("doc_id").collect()}) == want
