@@ -85,8 +85,8 @@ SELECT geo_id, percent_rank() OVER (PARTITION BY cbsa_code ORDER BY v NULLS LAST
 FROM (SELECT *, CASE WHEN hu_total % 7 <> 0 THEN hu_total END AS v FROM ty)"""), real="up down")
 def wn07(t):
     df = tract_year(t).withColumn("v", F.when(F.col("hu_total") % 7 != 0, F.col("hu_total")))
-    df = K.percent_rank(df, ["cbsa_code"], "v", ["geo_id"], "up")
-    return K.percent_rank(df, ["cbsa_code"], "v", ["geo_id"], "down", descending=True).select("geo_id", "up", "down")
+    both = {"up": K.pct_rank("v", ["cbsa_code"]), "down": K.pct_rank("v", ["cbsa_code"], descending=True)}
+    return K.ranked_columns(df, ["geo_id"], both).select("geo_id", "up", "down")
 
 
 @query("wn08_percentile_known_rows", TRACT("""

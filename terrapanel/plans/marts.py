@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from terrapanel.functions.columns import hhi, normalize_geo_key, residual, reweighted_score
 from terrapanel.functions.nulls import add_cols, ratio_or_null, safe_ratio, sum0
 from terrapanel.operators.joins import PANEL_KEYS, hierarchy_backfill, join_on_spine
-from terrapanel.operators.ranking import equal_buckets, min_rank, pct_rank, rank_by, ranked_columns
+from terrapanel.operators.ranking import equal_buckets, min_rank, pct_rank, ranked_columns
 from terrapanel.operators.rollup import dedupe_max, densities, multi_level_rollup, weighted_median
 from terrapanel.operators.select import latest_per_key
 from terrapanel.operators.series import growth, growth_many, level_change, rolling_mean
@@ -293,11 +293,10 @@ def real_income(income: DataFrame, cbsa_rpp: DataFrame, state_rpp: DataFrame, co
     i = i.withColumn("rpp_all_items", F.coalesce("__c", "__s")).drop("__c", "__s")
     i = i.withColumn("real_pc_income", ratio_or_null("pi_per_capita", F.col("rpp_all_items") / 100))
     i = i.withColumn("pc_real_change", ratio_or_null(F.col("real_pc_income") - F.col("pi_per_capita"), "pi_per_capita"))
-    i = store(i)
-    g, ids = ["cbsa_type", "period"], ["geo_id"]
-    i = rank_by(i, g, "rpp_all_items", ids, "lowest_rpp_rank", method="min", descending=False)
-    i = rank_by(i, g, "pi_per_capita", ids, "nominal_pc_income_rank", method="min")
-    i = rank_by(i, g, "real_pc_income", ids, "real_pc_income_rank", method="min")
+    g = ["cbsa_type", "period"]
+    i = ranked_columns(i, ["geo_id", "period"], {
+        "lowest_rpp_rank": min_rank("rpp_all_items", g, descending=False), "nominal_pc_income_rank": min_rank("pi_per_capita", g),
+        "real_pc_income_rank": min_rank("real_pc_income", g)})
     return i.withColumn("pc_real_rank_change", F.col("real_pc_income_rank") - F.col("nominal_pc_income_rank"))
 
 

@@ -12,7 +12,8 @@ SAMPLE = ["io04_tolerant_aliases", "pr12_residual_reconciliation", "jn04_hierarc
           "ag18_correlation_spearman", "ag25_zone_boundary", "wn06_deterministic_ranks", "wn13_bivariate_class", "wn21_cumulative_share", "gr03_distance_clusters",
           "mt01_population_mart", "mt09_affordability_mart", "mt12_housing_theme", "mt26_cluster_seeds", "mt34_parcel_shortlist", "ch05_bump", "dq07_validation_suite",
           "bump_sweet_spot_overheating", "waterfall_q3_gdp_sector_change", "jn06_normalised_text_key", "mt22_metro_features", "mt30_parcel_validation",
-          "mt31_parcel_cleanup", "mt40_variable_catalog", "gr04_kmeans_peer_groups"]
+          "mt31_parcel_cleanup", "mt40_variable_catalog", "gr04_kmeans_peer_groups", "mt10_school_district_mart", "mt37_overheat_gap", "mt42_top_districts",
+          "io09_wkb_parts", "jn20_polygon_overlaps"]
 
 
 @pytest.fixture(scope="module")
