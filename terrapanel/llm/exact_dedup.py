@@ -1,15 +1,22 @@
 """Exact duplicates by merging sorted digest runs in a tree.
 
 Every input partition makes one run: its distinct digests with the row to keep
-and a count, in digest order. Runs then meet in rounds: in each round `fan_in`
-neighbouring runs exchange their digests and are merged into one run, so after
-log(partitions) rounds one run is left, itself spread over all tasks by digest.
+and a count. Runs then meet in binomial rounds: round k joins `fan_in` groups
+of runs to one group, in which as many partitions as it has runs hold one range
+of digests each. So a partition hands `fan_in` - 1 of `fan_in` parts of its range
+to its partners, gets theirs for the part that it keeps, and after
+log(partitions) rounds the one run that is left lies in order over all
+partitions. Each partition is sorted by digest and merged in one ordered pass.
+Ranges are fixed shares of the digests' space, which hashes fill evenly; nothing
+is sampled.
+
 A merge keeps one row for each digest at every level, so a text with any number
 of copies costs at most one entry for each run, and the answer goes back to the
 rows over the same entries: no task ever meets all copies of a text.
 
 Two texts count as equal when SHA-256, byte length and a second 64-bit hash all
-agree; the three are compared at every level.
+agree; the three are compared at every level. The texts themselves are not
+compared again.
 """
 
 from __future__ import annotations
@@ -46,14 +53,23 @@ def merge_runs(rows: DataFrame, keep: str = "smallest", fan_in: int = 8) -> tupl
         candidate, best = F.struct(F.col("id").isNull().alias("last"), "id", F.col("uid").alias("rank"), "uid"), F.min
     first = rows.groupBy("run", *_KEY).agg(best(candidate).alias("keep"), F.count(F.lit(1)).alias("n"))
     runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
-    level = first
-    while runs > 1:
-        level = level.groupBy(F.floor(F.col("run") / fan_in).cast("int").alias("run"), *_KEY).agg(
-            best("keep").alias("keep"), F.sum("n").alias("n"))
-        runs = -(-runs // fan_in)
+    level, width = first, 1
+    while width < runs:
+        width *= fan_in
+        ranges = min(width, runs)
+        level = (level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
+                 .withColumn("part", F.col("run") * ranges + _range(F.col("sha"), ranges))
+                 .repartitionById(-(-runs // width) * ranges, F.col("part")).sortWithinPartitions("part", "run", *_KEY)
+                 .groupBy("part", "run", *_KEY).agg(best("keep").alias("keep"), F.sum("n").alias("n")).drop("part"))
     return first, level
 
 
+def _range(sha: Column, ranges: int) -> Column:
+    """Which of `ranges` equal shares of all digests one belongs to, in digest order."""
+    head = F.conv(F.substring(F.hex(sha), 1, 8), 16, 10).cast("bigint")
+    return F.shiftright(head * F.lit(ranges).cast("bigint"), 32).cast("int")
+
+
 def _decided(docs: DataFrame, id_col: str, text_col: str, keep: str, fan_in: int) -> DataFrame:
     rows = digest_rows(docs, id_col, text_col)
     first, last = merge_runs(rows, keep, fan_in)

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import pytest
 from hard_rows import HARD
+from pyspark.sql import functions as F
 
 from terrapanel.llm.exact_dedup import drop_exact_duplicates, exact_duplicates, merge_runs, digest_rows
 
@@ -43,6 +44,19 @@ def test_hot_text_reaches_every_level_as_one_entry(spark):
     assert last.filter("n > 1").select("keep.id", "n").collect() == [(0, 1334)]
 
 
+@pytest.mark.parametrize("runs,fan_in", [(16, 2), (16, 4), (11, 4), (3, 8)])
+def test_the_last_run_lies_in_order_over_disjoint_partitions(spark, runs, fan_in):
+    df = spark.range(0, 3000, 1, runs).selectExpr("id AS doc_id", "CAST(id % 1000 AS STRING) AS text")
+    _, last = merge_runs(digest_rows(df, "doc_id", "text"), fan_in=fan_in)
+    got = [(r.p, bytes(r.sha)) for r in last.select("*", F.spark_partition_id().alias("p")).collect()]
+    assert len(got) == 1000 and got == sorted(got) and [s for _, s in got] == sorted(s for _, s in got)
+    assert len({p for p, _ in got}) == runs
+    last.collect()
+    plan = last._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].lower()
+    assert plan.count("exchange shufflepartitionidpassthrough") == len([k for k in range(9) if fan_in**k < runs])
+    assert plan.count("hashpartitioning") == 1  # the first runs; no merge hashes again
+
+
 def test_empty_table(empty):
     assert exact_duplicates(empty).count() == 0 and drop_exact_duplicates(empty).count() == 0
 
