@@ -4,11 +4,13 @@ Proposed are the forms of known providers, values of fields that are named
 after a secret (of any length), and long runs that mix kinds of characters;
 a name is not part of the value that is assigned to it.
 
-Features of a candidate are its length, the changes between letters, digits and
-signs, the make-up of its characters, how much of it common words cover, the
-document's path and the words before it. The forest is trained on labelled
+Features of a candidate are its length, its make-up and the transitions between
+kinds of characters, whether it begins as a known provider's, how much of it the
+corpus's own common words cover, the document's path, and the words on both
+sides: cues, and the nearest words hashed. The forest is trained on labelled
 findings: the caller's own, or those that `certain` labels because their form
-leaves no doubt. Texts are only ever handled by Spark's own functions.
+leaves no doubt. Every score is the forest's, also for those. Texts are only
+ever handled by Spark's own functions.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from terrapanel.llm.common import let, packed, store, text_key, text_or_empty
 from terrapanel.llm.spans import find_all
 
 BEFORE = 48  # characters before a candidate that count as its neighbourhood
+AFTER = 32  # and behind it
+DICTIONARY = 1000  # the corpus's commonest words that may cover a candidate
+LEAST_DOCS = 3  # documents that hold a word of the dictionary, at least
+BUCKETS = 12  # hash buckets for the nearest words, on each side
 MARK = "[SECRET]"
 
 _CUES = r"token|secret|passw|pass[ _-]?phrase|pwd|api[ _.-]?key|access[ _.-]?key|private[ _.-]?key|credential|auth|bearer|signature"
@@ -59,29 +65,49 @@ CANDIDATE = "|".join([
 class Forest:
     """Size of the forest and the bound on its training sample."""
 
-    trees: int = 20
-    depth: int = 6
+    trees: int = 40
+    depth: int = 8
     max_train: int = 20_000
     seed: int = 7
     names: list[str] = field(default_factory=lambda: [
-        "length", "long", "changes", "digits", "upper", "lower", "signs", "distinct", "hex", "covered", "test_path", "cue", "against", "assigned", "quoted"])
+        "length", "long", "changes", "capitals", "to_digit", "from_digit", "consonants", "digits", "upper", "lower", "signs", "distinct", "hex", "known", "covered",
+        "test_path", "cue", "against", "assigned", "quoted", "cue_after", "against_after",
+        *[f"before_{k}" for k in range(BUCKETS)], *[f"after_{k}" for k in range(BUCKETS)]])
+
+
+def dictionary(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY) -> list[str]:
+    """The words of three to twelve letters a-z that most documents hold, counted over all whole texts."""
+    own = F.array_distinct(F.filter(F.split(F.lower(text_or_empty(f"`{text_col}`")), "[^a-z]+"), lambda w: F.length(w).between(3, 12)))
+    counts = docs.select(F.explode(own).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_DOCS)
+    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(words).collect()]
 
 
 def _share(v: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(v, f"[^{chars}]", "")) / F.length(v)
 
 
-def _features(v: Column, before: Column, path: Column) -> Column:
+def _near(text: Column, last: bool) -> Column:
+    """How many of the two nearest words fall in each bucket."""
+    words = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
+    two = F.slice(F.reverse(words) if last else words, 1, 2)
+    return let(F.transform(two, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS))), lambda own: F.transform(
+        F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda k: F.size(F.filter(own, lambda x: x == k)).cast("double")))
+
+
+def _features(v: Column, before: Column, after: Column, path: Column, words: list[str]) -> Column:
     n = F.length(v).cast("double")
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[0-9]+", "\u0001"), "[A-Z]+", "\u0002"), "[a-z]+", "\u0003")
-    covered = n - F.length(F.regexp_replace(F.lower(v), _WORDS, ""))
-    low = F.lower(before)
+    # longer words first, so that a short one does not end a match early
+    covered = n - F.length(F.regexp_replace(F.lower(v), "|".join(sorted(words, key=lambda w: (-len(w), w))), "")) if words else F.lit(0.0)
+    low, tail = F.lower(before), F.lower(after)
+    often = lambda c, pattern: F.regexp_count(c, F.lit(pattern)) / n
     values = [
-        F.least(n, F.lit(256.0)), (n >= 32).cast("double"), F.length(kinds) / n, _share(v, "0-9"), _share(v, "A-Z"), _share(v, "a-z"), _share(v, "+/_=-"),
-        F.size(F.array_distinct(F.split(v, ""))) / F.least(n, F.lit(64.0)), v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("double"), covered / n,
-        path.rlike(_TEST_PATH).cast("double"), low.rlike(_CUES).cast("double"), low.rlike(_AGAINST).cast("double"),
-        before.rlike(r"[:=]\s{0,3}[\"']?$").cast("double"), before.rlike("[\"']$").cast("double")]
-    return F.array(*[x.cast("double") for x in values])
+        F.least(n, F.lit(256.0)), (n >= 32).cast("double"), F.length(kinds) / n, often(v, "[a-z][A-Z]"), often(v, "[A-Za-z][0-9]"), often(v, "[0-9][A-Za-z]"),
+        often(F.lower(v), "[bcdfghjklmnpqrstvwxz]{4}"), _share(v, "0-9"), _share(v, "A-Z"), _share(v, "a-z"), _share(v, "+/_=-"),
+        F.size(F.array_distinct(F.split(v, ""))) / F.least(n, F.lit(64.0)), v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("double"), v.rlike(f"^{_KNOWN}").cast("double"),
+        covered / n, path.rlike(_TEST_PATH).cast("double"), low.rlike(_CUES).cast("double"), low.rlike(_AGAINST).cast("double"),
+        before.rlike(r"[:=]\s{0,3}[\"']?$").cast("double"), before.rlike("[\"']$").cast("double"), tail.rlike(_CUES).cast("double"), tail.rlike(_AGAINST).cast("double")]
+    return F.concat(F.array(*[x.cast("double") for x in values]), _near(before, True), _near(after, False))
 
 
 def certain(v: Column, before: Column) -> Column:
@@ -105,13 +131,17 @@ def certain(v: Column, before: Column) -> Column:
             .when(quoted | bare, F.lit(None).cast("double")).when(low.rlike(rf"(?:{_AGAINST})\W{{0,4}}$"), F.lit(0.0)))
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """id, key (of the text), start, end, features, certain: a stored row for each candidate, in code points, end exclusive."""
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, words: list[str] | None = None) -> DataFrame:
+    """id, key (of the text), start, end, features, certain: a stored row for each candidate, in code points, end exclusive.
+
+    `words` is the dictionary that may cover a candidate, that of `docs` if none is given.
+    """
+    words = dictionary(docs, text_col) if words is None else words
     path = F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")) if path_col else F.lit("")
     own = docs.select(F.col(f"`{id_col}`").alias("id"), text_key(text_col).alias("key"), path.alias("path"), text_or_empty(f"`{text_col}`").alias("text"))
-    found = own.select("id", "key", "path", F.explode(find_all(F.col("text"), CANDIDATE, BEFORE)).alias("m"))
+    found = own.select("id", "key", "path", F.explode(find_all(F.col("text"), CANDIDATE, BEFORE, AFTER)).alias("m"))
     return store(found.select("id", "key", F.col("m.start").alias("start"), F.col("m.end").alias("end"),
-                              _features(F.col("m.value"), F.col("m.before"), F.col("path")).alias("features"),
+                              _features(F.col("m.value"), F.col("m.before"), F.col("m.after"), F.col("path"), words).alias("features"),
                               certain(F.col("m.value"), F.col("m.before")).alias("certain")))
 
 
@@ -129,7 +159,7 @@ def train(labelled: DataFrame, forest: Forest = Forest()) -> RandomForestClassif
     used = {x: min(n[x], forest.max_train) for x in n}
     weight = F.when(F.col("label") == 1.0, F.lit(used[0.0] / used[1.0])).otherwise(F.lit(1.0))
     sample = store(parts[0].unionByName(parts[1]).select(array_to_vector("features").alias("features"), "label", weight.alias("weight")))
-    return RandomForestClassifier(numTrees=forest.trees, maxDepth=forest.depth, seed=forest.seed, weightCol="weight").fit(sample)
+    return RandomForestClassifier(numTrees=forest.trees, maxDepth=forest.depth, seed=forest.seed, weightCol="weight", featureSubsetStrategy="onethird").fit(sample)
 
 
 def score(found: DataFrame, model: RandomForestClassificationModel | float) -> DataFrame:
@@ -145,7 +175,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
     """One row for each candidate: id, start, end, score, is_secret.
 
     `labelled` (features, label) trains the forest; without it, the candidates
-    that `certain` decides, whose score that is. A NULL or empty text has no candidates; repeated
+    that `certain` decides. Where only one label occurs, it is the score. A NULL or empty text has no candidates; repeated
     rows each have theirs. Other columns are not read.
     """
     return _scored(docs, id_col, text_col, path_col, labelled, forest).select(F.col("id").alias(id_col), "start", "end", "score", (F.col("score") >= 0.5).alias("is_secret"))
@@ -154,8 +184,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
 def _scored(docs: DataFrame, id_col: str, text_col: str, path_col: str | None, labelled: DataFrame | None, forest: Forest) -> DataFrame:
     found = candidates(docs, id_col, text_col, path_col)
     model = train(found.select("features", F.col("certain").alias("label")) if labelled is None else labelled, forest)
-    scored = score(found, model)
-    return scored if labelled is not None else scored.withColumn("score", F.coalesce("certain", "score"))
+    return score(found, model)
 
 
 def _redacted(text: Column, spans: Column) -> Column:

@@ -27,22 +27,25 @@ def running_sums(lengths: Column) -> Column:
     return let(lengths, lambda a: F.when(F.size(a) > 0, whole(a)).otherwise(F.array().cast("array<int>")))
 
 
-def find_all(text: Column, pattern: str, before: int = 0) -> Column:
+def find_all(text: Column, pattern: str, before: int = 0, after: int = 0) -> Column:
     """Leftmost matches that do not overlap: array of (start, end, value, before), in code points, end exclusive.
 
     `before` holds up to so many characters in front of the match, back to the
-    match before it. The text between matches is taken with them, from the end
+    match before it. With `after`, a further field of that name holds up to so
+    many characters behind the match, as far as the next one. The text between matches is taken with them, from the end
     of the last one on, so a text is gone through once for each of two
     extractions and never again from the middle.
     """
     gaps = F.regexp_extract_all(text, F.lit(rf"(?s)\G(.*?)(?:{pattern})"), F.lit(1))
-    gaps = F.transform(gaps, lambda g: F.struct(F.length(g).alias("n"), (F.right(g, F.lit(before)) if before else F.lit("")).alias("before")))
+    gaps = F.transform(gaps, lambda g: F.struct(F.length(g).alias("n"), (F.right(g, F.lit(before)) if before else F.lit("")).alias("before"),
+                                            *([F.left(g, F.lit(after)).alias("head")] if after else [])))
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def placed(g: Column, h: Column) -> Column:
         both = F.zip_with(g, h, lambda x, y: x["n"] + F.length(y))
         return let(running_sums(both), lambda ends: F.transform(h, lambda v, i: F.struct(
-            (ends[i] - F.length(v)).alias("start"), ends[i].alias("end"), v.alias("value"), g[i]["before"].alias("before"))))
+            (ends[i] - F.length(v)).alias("start"), ends[i].alias("end"), v.alias("value"), g[i]["before"].alias("before"),
+            *([F.when(i + 1 < F.size(g), g[i + 1]["head"]).otherwise(F.substring(text, ends[i] + 1, F.lit(after))).alias("after")] if after else []))))
 
     return let(gaps, lambda g: let(hits, lambda h: placed(g, h)))
 

@@ -4,6 +4,7 @@ import random
 import string
 
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from terrapanel.llm import secret_scan as S
@@ -38,6 +39,50 @@ def test_held_out_findings(spark, corpus):
     assert {(r.doc_id, r.start, r.end) for r in got.filter("is_secret").collect()} == {s for s in corpus[1] if s[0] % 12 >= 6}
 
 
+def _undecided(rnd, k):
+    """A text whose candidate `certain` leaves open, and whether it is a secret."""
+    letters = string.ascii_letters + string.digits
+    v = "".join(rnd.choice(letters) for _ in range(28)) + "aZ7"
+    if k % 2:
+        return rnd.choice(["please use the api key {} for now", "my password is {} since today", "the access token {} was sent"]).format(v), v, True
+    h = hexes(rnd)
+    return rnd.choice(["merged in revision {} last night", "the build {} is out", "see object {} in the store"]).format(h), h, False
+
+
+def test_the_forest_judges_what_the_rules_leave_open(spark, corpus):
+    """Precision and recall on candidates that `certain` abstains on; it never sees their labels."""
+    rnd = random.Random(11)
+    made = [(1000 + k, *_undecided(rnd, k)) for k in range(120)]
+    df = spark.createDataFrame(corpus[0] + [(i, t) for i, t, _, _ in made], "doc_id long, text string")
+    open_ids = {r.id for r in S.candidates(df).filter("certain IS NULL").collect()}
+    assert open_ids >= {i for i, _, _, _ in made}
+    found = {(r.doc_id, r.start, r.end) for r in S.scan(df).filter("is_secret AND doc_id >= 1000").collect()}
+    wanted = {(i, t.index(v), t.index(v) + len(v)) for i, t, v, secret in made if secret}
+    hits = len(found & wanted)
+    assert hits >= 0.9 * len(wanted) and hits >= 0.9 * len(found)
+
+
+def test_scores_are_the_forests_own(spark, corpus):
+    """`scan` gives exactly what a forest trained on the certain candidates says of all of them."""
+    df = spark.createDataFrame(corpus[0], "doc_id long, text string")
+    seen = S.candidates(df)
+    model = S.train(seen.select("features", F.col("certain").alias("label")))
+    want = sorted((r.id, r.start, model.predictProbability(Vectors.dense(r.features))[1]) for r in seen.collect())
+    got = sorted((r.doc_id, r.start, r.score) for r in S.scan(df).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[2] - w[2]) < 1e-9 for g, w in zip(got, want))
+    assert any(0 < g[2] < 1 for g in got)
+    assert len(S.Forest().names) == len(seen.first().features)
+
+
+def test_dictionary_and_words_on_both_sides(spark):
+    df = spark.createDataFrame([(k, "Lantern harbour, lantern") for k in range(3)] + [(9, "lantern once")], "doc_id long, text string")
+    assert S.dictionary(df) == ["lantern", "harbour"]
+    one = spark.createDataFrame([(1, "before lanternharbour12 is the commit")], "doc_id long, text string")
+    f = dict(zip(S.Forest().names, S.candidates(one, words=["lantern", "harbour"]).first().features))
+    assert abs(f["covered"] - 14 / 16) < 1e-9 and (f["against"], f["against_after"]) == (0, 1)
+    assert sum(f[f"before_{k}"] for k in range(S.BUCKETS)) == 1 and sum(f[f"after_{k}"] for k in range(S.BUCKETS)) == 2
+
+
 def test_every_candidate_is_reported_in_place(spark, corpus):
     df = spark.createDataFrame(corpus[0], "doc_id long, text string")
     text = dict(corpus[0])
