@@ -47,7 +47,10 @@ def find_all(text: Column, pattern: str, before: int = 0, after: int = 0) -> Col
             (ends[i] - F.length(v)).alias("start"), ends[i].alias("end"), v.alias("value"), g[i]["before"].alias("before"),
             *([F.when(i + 1 < F.size(g), g[i + 1]["head"]).otherwise(F.substring(text, ends[i] + 1, F.lit(after))).alias("after")] if after else []))))
 
-    return let(gaps, lambda g: let(hits, lambda h: placed(g, h)))
+    # most texts hold no match and need no second extraction
+    none = lambda h: F.transform(h, lambda v: F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), v.alias("value"), v.alias("before"),
+                                                       *([v.alias("after")] if after else [])))
+    return let(hits, lambda h: F.when(F.size(h) > 0, let(gaps, lambda g: placed(g, h))).otherwise(none(h)))
 
 
 def only_where(condition: Column, found: Callable[[], Column]) -> Column:
