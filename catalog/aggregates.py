@@ -12,7 +12,10 @@ from terrapanel.operators import select as L
 from terrapanel.operators import series as T
 from terrapanel.operators import spatial as G
 from terrapanel.operators import stats
+from terrapanel.operators.boundary import zone_polygons
+from terrapanel.operators.geometry import parts_area
 from terrapanel.operators.ordered import column_quantiles
+from terrapanel.session import store
 
 MART = lambda body, *lv, extra="": S.sql_mart(*(lv or ("county",)), body=body, extra=extra)
 
@@ -266,6 +269,22 @@ def ag25(t):
     return G.dissolve(grid_polys(t).withColumnRenamed("c_nationkey", "zone"), ["zone"])
 
 
+@query("ag25_zone_polygon", f"""
+WITH {GRID_SQL}, e AS (SELECT c_nationkey AS zone, x AS x1, y AS y1, x + 1 AS x2, y AS y2 FROM g UNION ALL SELECT c_nationkey, x, y + 1, x + 1, y + 1 FROM g
+  UNION ALL SELECT c_nationkey, x, y, x, y + 1 FROM g UNION ALL SELECT c_nationkey, x + 1, y, x + 1, y + 1 FROM g),
+once AS (SELECT zone, count(*) AS outline_edges, min(x1) AS least_x, max(y2) AS most_y FROM (SELECT zone, x1, y1, x2, y2 FROM e GROUP BY ALL HAVING count(*) = 1) GROUP BY zone)
+SELECT zone, (SELECT CAST(count(*) AS DOUBLE) FROM g WHERE c_nationkey = zone) AS area, outline_edges, least_x, most_y, true AS closed FROM once""",
+       real="area least_x most_y", ints="zone outline_edges")
+def ag25_polygon(t):
+    """Geometry of each zone: what SQL can state of it is its area, the length of its outline and its extent."""
+    z = store(zone_polygons(grid_polys(t).withColumnRenamed("c_nationkey", "zone"), ["zone"]))
+    rings = F.flatten("parts")
+    points = F.flatten(rings)
+    return z.select("zone", parts_area("parts").alias("area"), (F.size(points) - F.size(rings)).cast("bigint").alias("outline_edges"),
+                    F.array_min(F.transform(points, lambda p: p["x"])).alias("least_x"), F.array_max(F.transform(points, lambda p: p["y"])).alias("most_y"),
+                    F.forall(rings, lambda r: r[0] == F.element_at(r, -1)).alias("closed"))
+
+
 @query("ag25_zone_area", f"WITH {GRID_SQL} SELECT c_nationkey AS zone, CAST(count(*) AS DOUBLE) AS zone_area, count(*) AS polygons FROM g GROUP BY c_nationkey", real="zone_area", ints="zone")
 def ag25_area(t):
     return G.zone_areas(grid_polys(t).withColumnRenamed("c_nationkey", "zone"), ["zone"])
