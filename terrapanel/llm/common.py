@@ -19,10 +19,18 @@ from terrapanel.session import store
 
 
 _shipped: set[str] = set()
+BATCH_SETTING, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each application."""
+    """Send this package to the executors' Python workers, once for each application.
+
+    Workers go through texts in slices of SLICE bytes, so Arrow batches need not be
+    much larger; Spark's default of 64 MB is in memory several times for each core.
+    A limit that the caller has set stays.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH)
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]

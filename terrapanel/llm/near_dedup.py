@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from terrapanel.llm.common import keep_decided, map_arrow, slices, store, text_key, text_or_empty
 from terrapanel.operators.graph import connected_components
 
-CACHE = 300_000  # words a worker remembers; it starts again when full, which changes no result
+CACHE = 100_000  # words a worker remembers; it starts again when full, which changes no result
 FIRST_TIME = 2.0**-12  # end of the first interval of time
 RARE = 8  # a shingle of at most so many open documents is rare; any number gives the same classes
 MOST_DARTS = 24  # no cell is expected to hold more than 1 dart; more than this has probability below 1e-24

@@ -28,7 +28,7 @@ from terrapanel.llm.common import map_arrow, ship, slices, store, text_or_empty
 
 BEGINNINGS = (4, 5, 6, 7)  # lengths of word beginnings that are features besides whole words
 MOST_COUNTS = 200_000  # counts a task holds before it hands them on
-CACHE = 200_000  # words a worker remembers; it starts again when full, which changes no result
+CACHE = 100_000  # words a worker remembers; it starts again when full, which changes no result
 
 _TOKEN = re.compile(r"\w+|[.!?\n]+")
 
