@@ -136,12 +136,27 @@ def _edge_cells(e: Column, size: Column, slack: float) -> Column:
     return F.flatten(F.transform(_cells(y0 - slack, y1 + slack, size), row))
 
 
+def edge_index(edges: DataFrame, slack: float) -> DataFrame:
+    """`edges` (e: x1, y1, x2, y2) with level, cx, cy: each edge under at most four cells.
+
+    The level is the length class: cells have side 2^level, which is no less
+    than the edge's extent with `slack` on both ends. Edges without extent are
+    left out.
+    """
+    span = F.greatest(F.abs(F.col("e.x2") - F.col("e.x1")), F.abs(F.col("e.y2") - F.col("e.y1")))
+    classed = edges.filter(span > 0).withColumn("level", F.ceil(F.log2(span + 2 * slack)).cast("int"))
+    cells = _edge_cells(F.col("e"), F.pow(F.lit(2.0), F.col("level")), slack)
+    return classed.withColumn("c", F.explode(cells)).withColumns({"cx": F.col("c.cx"), "cy": F.col("c.cy")}).drop("c")
+
+
 def adjacency_edges(polys: DataFrame, id_col: str, ring: str = "ring", digits: int = 6) -> DataFrame:
     """Pairs (src < dst) of touching polygons: a vertex of one lies on the other's border.
 
-    That covers shared corners, shared and partly shared edges. Vertices meet
-    edges in grid cells about as wide as an edge is long. Places count as equal
-    within half a unit of the last of `digits`.
+    That covers shared corners, shared and partly shared edges. Edges are
+    listed in the grid of their length class (`edge_index`) and a vertex is
+    looked up in each class there is, so a long border among short ones costs
+    four cells, too. Places count as equal within half a unit of the last of
+    `digits`.
     """
     slack = 0.5 * 10.0**-digits
     own = polys.select(F.col(id_col).alias("id"), F.col(ring).alias("r"))
@@ -149,32 +164,42 @@ def adjacency_edges(polys: DataFrame, id_col: str, ring: str = "ring", digits: i
     v = v.filter("x IS NOT NULL AND y IS NOT NULL")
     # vertices that coincide settle most pairs; each place then stands for itself once
     same = v.withColumnRenamed("id", "src").join(v.withColumnRenamed("id", "dst"), ["x", "y"]).filter("src < dst").select("src", "dst")
-    e = own.select("id", F.explode(ring_edges("r")).alias("e"))
-    span = F.greatest(F.abs(F.col("e.x2") - F.col("e.x1")), F.abs(F.col("e.y2") - F.col("e.y1")))
-    size = e.filter(span > 0).select(F.avg(span)).first()[0] or 1.0
-    e = e.select("id", "e", F.explode(_edge_cells(F.col("e"), F.lit(size), slack)).alias("c")).select("id", "e", "c.cx", "c.cy")
-    cells = v.withColumns({"cx": F.floor(F.col("x") / size).cast("bigint"), "cy": F.floor(F.col("y") / size).cast("bigint")}).withColumnRenamed("id", "other")
+    e = edge_index(own.select("id", F.explode(ring_edges("r")).alias("e")), slack)
+    levels = [r[0] for r in e.select("level").distinct().collect()]  # at most one for each power of two a double holds
+    size = F.pow(F.lit(2.0), F.col("level"))
+    cells = v.withColumn("level", F.explode(F.array(*[F.lit(k) for k in sorted(levels) or [0]]))).withColumns(
+        {"cx": F.floor(F.col("x") / size).cast("bigint"), "cy": F.floor(F.col("y") / size).cast("bigint")}).withColumnRenamed("id", "other")
     dx, dy = F.col("e.x2") - F.col("e.x1"), F.col("e.y2") - F.col("e.y1")
     along = F.coalesce(F.least(F.greatest(((F.col("x") - F.col("e.x1")) * dx + (F.col("y") - F.col("e.y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)),
                                           F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
     gap2 = F.pow(F.col("x") - F.col("e.x1") - along * dx, F.lit(2.0)) + F.pow(F.col("y") - F.col("e.y1") - along * dy, F.lit(2.0))
     # strictly inside the edge: vertices at its ends are found above
     inside = (along > 0) & (along < 1)
-    on = cells.join(e, ["cx", "cy"]).filter((F.col("id") != F.col("other")) & inside & (gap2 <= slack * slack))
+    on = cells.join(e, ["level", "cx", "cy"]).filter((F.col("id") != F.col("other")) & inside & (gap2 <= slack * slack))
     on = on.select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst"))
     return same.unionByName(on).distinct()
 
 
-def within_distance(points: DataFrame, id_col: str, x: str, y: str, eps: float) -> DataFrame:
-    """Pairs (src < dst) at most `eps` apart: grid cells of side eps, 3 x 3 lookup."""
+def within_distance(points: DataFrame, id_col: str, x: str, y: str, eps: float, cell_rows: int = 10_000) -> DataFrame:
+    """Pairs (src < dst) at most `eps` apart: grid cells of side eps, 3 x 3 lookup.
+
+    The points of a cell with more than `cell_rows` are dealt over several
+    parts; those that look it up go to each of them. So a part compares at most
+    about `cell_rows` points with what lies around, however dense the cell.
+    """
     p = points.select(F.col(id_col).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
                       F.floor(F.col(x) / eps).cast("bigint").alias("cx"), F.floor(F.col(y) / eps).cast("bigint").alias("cy"))
     around = p.withColumn("cx", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1))).withColumn(
         "cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
-    a = p.withColumnsRenamed({"id": "src", "x": "xa", "y": "ya"})
-    b = around.withColumnsRenamed({"id": "dst", "x": "xb", "y": "yb"})
+    dense = p.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell_rows).select(
+        "cx", "cy", F.ceil(F.col("n") / cell_rows).cast("bigint").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1).cast("bigint"))
+    a = p.join(dense, ["cx", "cy"], "left").withColumn("part", F.pmod(F.xxhash64("id"), parts)).drop("parts").withColumnsRenamed(
+        {"id": "src", "x": "xa", "y": "ya"})
+    b = around.join(dense, ["cx", "cy"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("parts").withColumnsRenamed(
+        {"id": "dst", "x": "xb", "y": "yb"})
     d2 = (F.col("xa") - F.col("xb")) ** 2 + (F.col("ya") - F.col("yb")) ** 2
-    return a.join(b, ["cx", "cy"]).filter("src < dst").withColumn("d2", d2).filter(F.col("d2") <= eps * eps).select(
+    return a.join(b, ["cx", "cy", "part"]).filter("src < dst").withColumn("d2", d2).filter(F.col("d2") <= eps * eps).select(
         "src", "dst", F.sqrt("d2").alias("distance"))
 
 
@@ -239,10 +264,12 @@ def distance_components(points: DataFrame, id_col: str, x: str, y: str, eps: flo
             F.col(c).alias(f"{s}_cell" if c == "cell" else f"{s}_n{c}") for c in fields])
         pairs = open_.join(child("a"), ["a_cell", "a_bx", "a_by"]).join(child("b"), ["b_cell", "b_bx", "b_by"]).drop("a_bx", "a_by", "b_bx", "b_by")
         near = judged(pairs.select("a_cell", "b_cell", *[F.col(f"{s}_n{c}").alias(f"{s}_{c}") for s in "ab" for c in fields[1:]]))
-        more = near.filter("sure").select(F.col("a_cell").alias("src"), F.col("b_cell").alias("dst"))
+        # new links join whole components, so only those that they touch are gone through
+        more = cut_lineage(near.filter("sure").join(left, "a_cell").join(right, "b_cell").filter("a_comp <> b_comp").select("a_comp", "b_comp").distinct())
         if not more.isEmpty():
-            links = links.unionByName(more)
-            comp = cut_lineage(components(cells, links, "cell", "src", "dst", "comp"))
+            ends = more.select(F.col("a_comp").alias("comp")).unionByName(more.select(F.col("b_comp").alias("comp"))).distinct()
+            whole = components(ends, more, "comp", "a_comp", "b_comp", "whole")
+            comp = cut_lineage(comp.join(whole, "comp", "left").select("cell", F.coalesce("whole", "comp").alias("comp")))
     return p.select(id_col, "cell").join(comp, "cell").select(id_col, F.col("comp").alias("cell_comp"))
 
 
