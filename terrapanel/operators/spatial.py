@@ -16,7 +16,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.session import cut_lineage
+from terrapanel.session import cut_lineage, spread
 
 # ---- rings ----------------------------------------------------------------
 
@@ -156,14 +156,16 @@ def adjacency_edges(polys: DataFrame, id_col: str, ring: str = "ring", digits: i
     listed in the grid of their length class (`edge_index`) and a vertex is
     looked up in each class there is, so a long border among short ones costs
     four cells, too. Places count as equal within half a unit of the last of
-    `digits`.
+    `digits`. Spark would judge vertices and edges by the size of the file that
+    the polygons come from and send millions of them through the driver, so both
+    joins ask for a merge.
     """
     slack = 0.5 * 10.0**-digits
-    own = polys.select(F.col(id_col).alias("id"), F.col(ring).alias("r"))
+    own = spread(polys.select(F.col(id_col).alias("id"), F.col(ring).alias("r")), "id")
     v = own.select("id", F.explode("r").alias("p")).select("id", F.round("p.x", digits).alias("x"), F.round("p.y", digits).alias("y")).distinct()
     v = v.filter("x IS NOT NULL AND y IS NOT NULL")
     # vertices that coincide settle most pairs; each place then stands for itself once
-    same = v.withColumnRenamed("id", "src").join(v.withColumnRenamed("id", "dst"), ["x", "y"]).filter("src < dst").select("src", "dst")
+    same = v.withColumnRenamed("id", "src").join(v.withColumnRenamed("id", "dst").hint("merge"), ["x", "y"]).filter("src < dst").select("src", "dst")
     e = edge_index(own.select("id", F.explode(ring_edges("r")).alias("e")), slack)
     levels = [r[0] for r in e.select("level").distinct().collect()]  # at most one for each power of two a double holds
     size = F.pow(F.lit(2.0), F.col("level"))
@@ -175,7 +177,7 @@ def adjacency_edges(polys: DataFrame, id_col: str, ring: str = "ring", digits: i
     gap2 = F.pow(F.col("x") - F.col("e.x1") - along * dx, F.lit(2.0)) + F.pow(F.col("y") - F.col("e.y1") - along * dy, F.lit(2.0))
     # strictly inside the edge: vertices at its ends are found above
     inside = (along > 0) & (along < 1)
-    on = cells.join(e, ["level", "cx", "cy"]).filter((F.col("id") != F.col("other")) & inside & (gap2 <= slack * slack))
+    on = cells.join(e.hint("merge"), ["level", "cx", "cy"]).filter((F.col("id") != F.col("other")) & inside & (gap2 <= slack * slack))
     on = on.select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst"))
     return same.unionByName(on).distinct()
 

@@ -85,6 +85,16 @@ def settled(df: DataFrame) -> DataFrame:
     return df if getattr(df, "_terrapanel_settled", False) else store(df)
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """`df` dealt by `cols` over as many tasks as the session has shuffle partitions.
+
+    For steps that make many rows of one, or do much work on it: a file of some MB
+    is one task, and adaptive execution joins partitions by the bytes that come in,
+    not by what is made of them. A number that is asked for is left as it is.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder beside the checkpoints, reachable from every executor."""
     _checkpoint_dir_ready(spark)

@@ -81,3 +81,10 @@ def test_refined_links_join_components(frame):
         parent[max(ra, rb)] = min(ra, rb)
     got = GR.distance_clusters(frame(pts, "id int, x double, y double"), "id", "x", "y", 0.5, policy="own")
     assert {r["id"]: r.component for r in got.collect()} == {v: find(v) for v in parent}
+
+
+def test_adjacency_sends_no_side_through_the_driver(frame):
+    """Vertices and edges look as small as their polygons' file, however many they are."""
+    df = frame([box(i, i, 0, i + 1, 1) for i in range(4)], "id int, wkt string").withColumn("ring", G.ring_from_wkt("wkt"))
+    plan = G.adjacency_edges(df, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
