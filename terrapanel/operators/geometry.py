@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.operators.spatial import _edge_cells, _let, point_in_polygon, point_on_surface, ring_edges, ring_from_wkt
+from terrapanel.session import spread
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 PARTS = f"array<{RINGS}>"
@@ -191,7 +192,10 @@ def polygons_overlap(a: DataFrame, b: DataFrame, a_id: str, b_id: str, ring: str
     one, or the middle of one of its edges, lies inside the other. Edges meet in
     grid cells of side `cell`; the points are looked up by `point_in_polygon`.
     Polygons that only touch do not overlap. A path without points pairs with none.
+    A polygon becomes some twenty places and more, so polygons are dealt over tasks first.
     """
+    a, b = (spread(df.select(f"`{i}`", ring), f"`{i}`") for df, i in ((a, a_id), (b, b_id)))
+
     def edges(df: DataFrame, id_col: str, name: str) -> DataFrame:
         e = df.select(F.col(f"`{id_col}`").alias(f"{name}_id"), F.explode(ring_edges(ring)).alias(name))
         return e.select("*", F.explode(_edge_cells(F.col(name), F.lit(float(cell)), 1e-9)).alias("c")).select(f"{name}_id", name, "c.cx", "c.cy")
@@ -202,13 +206,13 @@ def polygons_overlap(a: DataFrame, b: DataFrame, a_id: str, b_id: str, ring: str
             "of", F.struct(((F.col("e.x1") + F.col("e.x2")) / 2).alias("x"), ((F.col("e.y1") + F.col("e.y2")) / 2).alias("y")).alias("p"))
         places = surface.unionByName(middles).select("of", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
         # a middle counts only off the other's border, where points just beside it lie on the same side
-        beside = F.array(*[F.struct((F.col("px") + dx).alias("x"), (F.col("py") + dy).alias("y")) for dx in (-1e-7, 1e-7) for dy in (-1e-7, 1e-7)])
-        four = places.select("of", F.col("px").alias("mx"), F.col("py").alias("my"), F.explode(beside).alias("q")).select("of", "mx", "my", F.col("q.x").alias("px"), F.col("q.y").alias("py"))
+        beside = F.array_distinct(F.array(*[F.struct((F.col("px") + dx).alias("x"), (F.col("py") + dy).alias("y")) for dx in (-1e-7, 1e-7) for dy in (-1e-7, 1e-7)]))
+        four = places.distinct().select("of", F.col("px").alias("mx"), F.col("py").alias("my"), F.explode(beside).alias("q")).select("of", "mx", "my", F.col("q.x").alias("px"), F.col("q.y").alias("py"))
         shapes = polys.select(F.col(f"`{poly_id}`").alias("shape"), F.col(ring).alias("ring"))
-        hits = point_in_polygon(four.distinct(), shapes, "px", "py", "shape", "ring", cell).groupBy("of", "mx", "my", "shape").agg(F.count(F.lit(1)).alias("n"))
+        hits = point_in_polygon(four, shapes.hint("merge"), "px", "py", "shape", "ring", cell).groupBy("of", "mx", "my", "shape").agg(F.count(F.lit(1)).alias("n"))
         return hits.filter("n = 4").select(F.col("of").alias(names[0]), F.col("shape").alias(names[1]))
 
-    crossing = edges(a, a_id, "e").join(edges(b, b_id, "f"), ["cx", "cy"]).filter(segments_cross(F.col("e"), F.col("f"))).select(
+    crossing = edges(a, a_id, "e").join(edges(b, b_id, "f").hint("merge"), ["cx", "cy"]).filter(segments_cross(F.col("e"), F.col("f"))).select(
         F.col("e_id").alias("a_id"), F.col("f_id").alias("b_id"))
     pairs = crossing.unionByName(inside(a, a_id, b, b_id, ("a_id", "b_id"))).unionByName(inside(b, b_id, a, a_id, ("b_id", "a_id")))
     return pairs.distinct().withColumnsRenamed({"a_id": f"{a_id}", "b_id": f"{b_id}"} if a_id != b_id else {"a_id": f"{a_id}_a", "b_id": f"{b_id}_b"})
