@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog import standins as S
 from catalog.registry import query
 from terrapanel.plans import charts as C
+from terrapanel.session import store
 
 TRACT = lambda body, extra="": S.sql_mart("tract", extra="ty AS (SELECT m.* REPLACE (m.geo_id || '-' || CAST(m.year AS INTEGER) AS geo_id), x.census_region, x.cbsa_code || '-' || CAST(m.year AS INTEGER) AS cbsa_code FROM mart m JOIN tract_cbsa x ON m.geo_id = x.tract_geoid)" + (", " + extra if extra else ""), body=body)
 COUNTY = lambda body, extra="": S.sql_mart("county", extra=extra, body=body)
@@ -44,13 +45,13 @@ def ch01r(t):
 
 @query("ch02_ranked_bar", TRACT("SELECT geo_id, income_pc AS metric_value, overall_rank, row_number() OVER (ORDER BY overall_rank) AS display_order, true AS truncated_flag FROM (SELECT *, row_number() OVER (ORDER BY income_pc DESC, geo_name, geo_id) AS overall_rank FROM ty) WHERE overall_rank <= 12 OR geo_id IN ('00000000010-1999', '00000000020-1999')"), real="metric_value")
 def ch02(t):
-    df = places(t).withColumn("metric_value", F.col("income_pc"))
+    df = places(t).select("geo_id", "geo_name", F.col("income_pc").alias("metric_value"))
     return C.bar(df, top_n=12, include=["00000000010-1999", "00000000020-1999"]).select("geo_id", "metric_value", "overall_rank", "display_order", "truncated_flag")
 
 
 @query("ch02_bottom_bar", TRACT("SELECT geo_id, overall_rank, row_number() OVER (ORDER BY overall_rank) AS display_order FROM (SELECT *, count(*) OVER () - row_number() OVER (ORDER BY income_pc, geo_name, geo_id) + 1 AS overall_rank, row_number() OVER (ORDER BY income_pc, geo_name, geo_id) AS b FROM ty) WHERE b <= 9"))
 def ch02b(t):
-    return C.bar(places(t).withColumn("metric_value", F.col("income_pc")), bottom_n=9).select("geo_id", "overall_rank", "display_order")
+    return C.bar(places(t).select("geo_id", "geo_name", F.col("income_pc").alias("metric_value")), bottom_n=9).select("geo_id", "overall_rank", "display_order")
 
 
 @query("ch03_scatter", TRACT("SELECT geo_id, income_pc AS x_value, vacancy_rate AS y_value FROM ty WHERE hu_total % 6 <> 0"), real="x_value y_value")
@@ -81,7 +82,7 @@ _HEAT = f"l AS (SELECT geo_id, 'hu_total' AS metric_id, hu_total AS metric_value
 
 
 def _metrics_long(t):
-    ty = places(t)
+    ty = store(places(t).select("geo_level", "geo_id", "geo_name", "hu_total", "pop_total"))
     one = lambda m, d, df: df.select("geo_level", "geo_id", "geo_name", F.lit(m).alias("metric_id"), F.lit(m).alias("metric_label"), F.col(m).alias("metric_value"), F.lit(d).alias("direction"))
     return one("hu_total", "higher_is_better", ty).unionByName(one("pop_total", "lower_is_better", ty.filter("hu_total % 5 <> 0")))
 
@@ -146,7 +147,7 @@ def ch12(t):
 
 @query("ch13_choropleth_diverging", TRACT("SELECT geo_id, f AS fill_value, CASE WHEN f <= a THEN 'low' WHEN f <= b THEN 'mid' ELSE 'high' END AS bin FROM d, (SELECT quantile_cont(f, 0.25) AS a, quantile_cont(f, 0.75) AS b FROM d)", "d AS (SELECT geo_id, hu_total - (SELECT round(avg(hu_total), 2) FROM ty) AS f FROM ty)"), real="fill_value")
 def ch13(t):
-    df = places(t)
+    df = store(places(t).select("geo_id", "hu_total"))
     df = df.withColumns({"metric_value": F.col("hu_total"), "benchmark_value": df.select(F.round(F.avg("hu_total"), 2)).scalar()})
     return C.choropleth(df, "diverging", probs=(0.25, 0.75), labels=("low", "mid", "high")).select("geo_id", "fill_value", "bin")
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrapanel.session import settled
+from terrapanel.session import settled, spread
 
 _INF = float("inf")
 _GROUP_PIECE = ("g", "piece")
@@ -102,6 +102,10 @@ class _Placed(NamedTuple):
     order: list[Column]
     cut: bool
 
+    def dealt(self) -> DataFrame:
+        """The rows with each piece in one task, pieces of large groups over all tasks, however well they compress."""
+        return spread(self.rows, *_GROUP_PIECE) if self.cut else self.rows
+
     def window(self, by: int | None = None) -> WindowSpec:
         return Window.partitionBy(*_GROUP_PIECE).orderBy(*self.order[:by])
 
@@ -207,7 +211,7 @@ def _groups(group: Sequence[str]) -> list[Column]:
 def row_numbers(df: DataFrame, group: Sequence[str], order: Sequence[Order], rn: str = "rn", n: str | None = "n") -> DataFrame:
     """`row_number()` and, unless `n` is None, group size for groups of any size (`group` may be empty)."""
     placed = _place(df, _groups(group), order)
-    rows = placed.rows.withColumns({"at": F.row_number().over(placed.window()), "in": F.count(F.lit(1)).over(Window.partitionBy(*_GROUP_PIECE))})
+    rows = placed.dealt().withColumns({"at": F.row_number().over(placed.window()), "in": F.count(F.lit(1)).over(Window.partitionBy(*_GROUP_PIECE))})
     rows = _with_offsets(placed, rows)
     out = {rn: (F.coalesce("before", F.lit(0)) + F.col("at")).cast("bigint")}
     return _result(rows, df.columns, out | ({n: F.coalesce("all", "in").cast("bigint")} if n else {}))
@@ -224,7 +228,7 @@ def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[Order], su
     local = {"at": F.row_number().over(placed.window())}
     for k in range(len(sums)):
         local |= {f"r{k}": F.sum(f"s{k}").over(so_far), f"w{k}": F.sum(f"s{k}").over(piece)}
-    rows = _with_offsets(placed, placed.rows.withColumns(local), len(sums))
+    rows = _with_offsets(placed, placed.dealt().withColumns(local), len(sums))
     out = {rn: (F.coalesce("before", F.lit(0)) + F.col("at")).cast("bigint")} if rn else {}
     for k, name in enumerate(sums):
         out[name] = F.when(F.col(f"b{k}").isNull(), F.col(f"r{k}")).otherwise(F.col(f"b{k}") + F.col(f"r{k}"))
@@ -255,7 +259,7 @@ def ranks(df: DataFrame, group: Sequence[str], value: str, ids: Sequence[str], o
     parts = _groups(group) + ([] if keep_nulls else [F.col(f"`{value}`").isNotNull()])
     placed = _place(df, parts, [Order(value, descending), *[Order(i) for i in ids]])
     by_value = placed.window(1)
-    rows = placed.rows.withColumns({
+    rows = placed.dealt().withColumns({
         "at": F.row_number().over(placed.window()), "rank": F.rank().over(by_value),
         "run": F.count(F.lit(1)).over(by_value.rangeBetween(Window.currentRow, Window.currentRow)), "in": F.count(F.lit(1)).over(Window.partitionBy(*_GROUP_PIECE)),
         "dense": F.dense_rank().over(by_value) if dense else F.lit(0)})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions.nulls import asc_last, desc_last
 from terrapanel.operators.ranking import rank_by, top_k_per_group
+from terrapanel.session import settled, store
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
@@ -18,12 +19,13 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
 def top_k_with(df: DataFrame, value: str, ids: Sequence[str], k: int, keep: Column | None = None,
                descending: bool = True, overall_rank: str = "overall_rank") -> DataFrame:
     """Best k rows plus any row for which `keep` holds, each with its rank among all."""
+    df = settled(df)
     r = rank_by(df, [], value, ids, overall_rank, descending=descending)
     chosen = F.col(overall_rank) <= k
     if keep is not None:
         chosen = chosen | F.coalesce(keep, F.lit(False))
     n = df.select(F.count(F.lit(1))).scalar()
-    out = r.filter(chosen)
+    out = store(r.filter(chosen))
     kept = out.select(F.count(F.lit(1))).scalar()
     return out.withColumn("truncated_flag", kept < n)
 

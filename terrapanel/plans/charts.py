@@ -20,6 +20,7 @@ from terrapanel.operators.quality import contract_check
 from terrapanel.operators.rollup import group_summary, hex_bin
 from terrapanel.operators.select import select_entities, top_k_with
 from terrapanel.operators.stats import correlation_long, winsorize
+from terrapanel.session import settled
 
 # Required and optional columns of each chart type.
 _PLACE = ("geo_level", "geo_id", "geo_name")
@@ -108,6 +109,7 @@ def bar(df: DataFrame, top_n: int | None = None, bottom_n: int | None = None, de
     if top_n is None and bottom_n is None:
         return K.rank_by(known, [], "sort_value", ["geo_name", "geo_id"], "overall_rank", descending=descending).withColumns(
             {"display_order": F.col("overall_rank"), "truncated_flag": F.lit(False)})
+    known = settled(known)  # ranked and counted
     if bottom_n is not None:
         out = top_k_with(known, "sort_value", ["geo_name", "geo_id"], bottom_n, keep, not descending, "__from_bottom")
         n = known.select(F.count(F.lit(1))).scalar()
