@@ -11,6 +11,7 @@ by an exact test; nothing pairs all rows with all rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -327,10 +328,30 @@ def overlap_counts(a: DataFrame, b: DataFrame, a_id: str, b_id: str, ring: str =
     return b.select(b_id).join(hits, b_id, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+_CROWD = 16  # targets in the fullest cell that a search starts with
+
+
+def first_side(targets: DataFrame, tx: str, ty: str, step: float, far: float) -> float:
+    """`step`, halved until no cell holds more than a few targets, each at a place of its own.
+
+    `far` is the largest coordinate; cells stay wide enough to be numbered exactly.
+    """
+    side = float(step)
+    while True:
+        most = targets.groupBy(F.floor(F.col(tx) / side), F.floor(F.col(ty) / side)).count().agg(F.max("count")).first()[0]
+        if most <= _CROWD:
+            return side
+        finer = side / 2.0 ** max(1, round(math.log2(most / _CROWD) / 2))
+        if finer < step * 2.0**-30 or finer < far * 2.0**-50:
+            return side
+        side = finer
+
+
 def assign_nearest(points: DataFrame, targets: DataFrame, id_col: str, x: str, y: str, t_id: str, tx: str, ty: str,
                    step: float) -> DataFrame:
     """Nearest target per point (ties to the smallest target id), searched over a
-    grid that doubles until every point is settled.
+    grid that doubles until every point is settled. It starts at `step` or, where
+    targets are dense, finer (`first_side`); targets at one place count once.
 
     A point is settled once its best target is no farther than the cell side,
     because the 3 x 3 cells then hold everything that near. Points without a
@@ -341,14 +362,16 @@ def assign_nearest(points: DataFrame, targets: DataFrame, id_col: str, x: str, y
         fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < F.lit(float("inf")))
         return F.coalesce(fine(a) & fine(b), F.lit(False))
 
-    t = cut_lineage(targets.select(F.col(t_id), F.col(tx).cast("double").alias(tx), F.col(ty).cast("double").alias(ty)).filter(known(tx, ty)))
-    every = cut_lineage(points.select(id_col, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)))
+    t = cut_lineage(targets.select(F.col(t_id), F.col(tx).cast("double").alias(tx), F.col(ty).cast("double").alias(ty)).filter(known(tx, ty)).groupBy(
+        tx, ty).agg(F.min(F.struct(t_id)).alias("t")).select(F.col(f"t.{t_id}").alias(t_id), tx, ty))
+    every = cut_lineage(spread(points.select(id_col, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)), id_col))
     none = lambda d: d.withColumn(t_id, F.lit(None).cast(t.schema[t_id].dataType)).withColumn("distance", F.lit(None).cast("double"))
     if t.isEmpty():
         return none(every)
     todo = every.filter(known(x, y))
     schema_out = none(every.filter(~known(x, y)))
-    size = float(step)
+    far = max(d.select(F.max(F.greatest(F.abs(F.col(a)), F.abs(F.col(b))))).first()[0] or 0.0 for d, a, b in ((t, tx, ty), (todo, x, y)))
+    size = first_side(t, tx, ty, step, far)
     while not todo.isEmpty():
         c = t.withColumns({"__cx": F.floor(F.col(tx) / size).cast("bigint"), "__cy": F.floor(F.col(ty) / size).cast("bigint")})
         p = todo.withColumn("__cx", F.explode(F.sequence(F.floor(F.col(x) / size).cast("bigint") - 1, F.floor(F.col(x) / size).cast("bigint") + 1)))

@@ -88,3 +88,15 @@ def test_adjacency_sends_no_side_through_the_driver(frame):
     df = frame([box(i, i, 0, i + 1, 1) for i in range(4)], "id int, wkt string").withColumn("ring", G.ring_from_wkt("wkt"))
     plan = G.adjacency_edges(df, "id")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_search_for_the_nearest_starts_with_few_targets_in_a_cell(frame):
+    """Targets crowd in one cell of the step asked for, and half of them at one place."""
+    rnd = random.Random(5)
+    targets = [(i, rnd.random() * 0.04, rnd.random() * 0.04) for i in range(200)] + [(500 - i, 0.01, 0.01) for i in range(200)]
+    pts = [(i, rnd.random() * 0.05, rnd.random() * 0.05) for i in range(60)] + [(99, 3.0, -2.0), (100, 0.01, 0.01)]
+    t, p = frame(targets, "t int, tx double, ty double"), frame(pts, "id int, x double, y double")
+    side = G.first_side(t.dropDuplicates(["tx", "ty"]), "tx", "ty", 0.05, 3.0)
+    assert t.dropDuplicates(["tx", "ty"]).groupBy(F.floor(F.col("tx") / side), F.floor(F.col("ty") / side)).count().agg(F.max("count")).first()[0] <= 16
+    got = G.assign_nearest(p, t, "id", "x", "y", "t", "tx", "ty", step=0.05)
+    assert {r["id"]: r.t for r in got.collect()} == nearest(pts, targets)
