@@ -7,6 +7,7 @@ from catalog.joins import GRID_SQL, POINTS_SQL, grid_polys, points
 from catalog.registry import query
 from terrapanel.operators import graph as GR
 from terrapanel.operators import spatial as G
+from terrapanel.session import store
 
 # transitive closure: every vertex with everything it reaches, then the smallest
 REACH = """reach AS (SELECT id, id AS other FROM v UNION SELECT reach.id, e.dst FROM reach JOIN e ON e.src = reach.other)"""
@@ -57,8 +58,8 @@ SELECT count(*) AS rows_in, count(*) AS rows_assigned, 5 AS groups, count(*) AS
 FROM mart WHERE income_pc IS NOT NULL AND vacancy_rate IS NOT NULL AND pct_ba_plus IS NOT NULL"""), real="income_pc vacancy_rate pct_ba_plus", ints="groups")
 def gr04(t):
     """What does not depend on the random start: every row has a group, and the profile adds up to the whole."""
-    df = S.mart(t, "tract").withColumn("geo_id", F.concat_ws("-", "geo_id", F.col("year").cast("int").cast("string")))
     cols = ["income_pc", "vacancy_rate", "pct_ba_plus"]
+    df = store(S.mart(t, "tract").select(F.concat_ws("-", "geo_id", F.col("year").cast("int").cast("string")).alias("geo_id"), *cols))
     assign, profile = GR.kmeans_peers(df, ["geo_id"], cols, 5)
     n, whole = F.col("n"), F.sum("n")
     groups = profile.agg(F.count(F.lit(1)).alias("groups"), whole.alias("rows_in_groups"), *[(F.sum(F.col(f"mean_{c}") * n) / whole).alias(c) for c in cols])

@@ -14,7 +14,7 @@ from terrapanel.functions.nulls import asc_last, desc_last, safe_weighted_mean
 from terrapanel.operators.ordered import down, row_numbers, up
 from terrapanel.operators.rollup import group_summary
 from terrapanel.operators.spatial import assign_nearest, distance_components
-from terrapanel.session import cut_lineage
+from terrapanel.session import cut_lineage, settled
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, vertex: str = "id", src: str = "src", dst: str = "dst",
@@ -120,7 +120,7 @@ def zone_summary(df: DataFrame, zone: Sequence[str], pop: str, weighted: Sequenc
 
 def kmeans_peers(df: DataFrame, ids: Sequence[str], features: Sequence[str], k: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(assignment, profile): standardised k-means groups and their feature means."""
-    known = df.dropna(subset=list(features))
+    known = settled(df).dropna(subset=list(features))  # fitting and assigning read the rows many times
     vec = VectorAssembler(inputCols=list(features), outputCol="__raw").transform(known)
     scaled = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True, withStd=True).fit(vec).transform(vec)
     model = KMeans(k=k, seed=seed, featuresCol="__x", predictionCol="peer_group").fit(scaled)
