@@ -23,6 +23,7 @@ from terrapanel.operators.ordered import column_quantiles
 from terrapanel.operators.reshape import metric_rows
 from terrapanel.operators.series import endpoints_pivot
 from terrapanel.operators.stats import z_outliers
+from terrapanel.session import store
 
 PLACE = ("geo_level", "geo_id", "geo_name")
 IDS = ["geo_name", "geo_id"]
@@ -275,8 +276,10 @@ def sweet_spot_metrics(g: DataFrame, x: DataFrame, metrics: Sequence[str], pop:
 
     The last four arguments bound the percentiles of the shortlist.
     """
-    base = at(g, level).join(x, "geo_id", "left")
     need = ("pop_growth_5yr", "pct_rent_burden_30plus", "value_to_income", "permits_per_1000_population")
+    # read several times below: one evaluation, and only the columns in use
+    g = store(g.filter(F.col("geo_level") == level).select(*dict.fromkeys([*PLACE, "year", "pop_total", *need, *metrics])))
+    base = at(g, level).join(x, "geo_id", "left")
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in need])
     medium = base.filter((F.col("cbsa_type") == "Metro Area") & F.col("pop_total").between(*pop) & known)
     p = K.percentiles_of(medium.select(*PLACE, *need), ["geo_id"], [], {c: f"p_{i}" for i, c in enumerate(need)})
