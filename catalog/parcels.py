@@ -8,6 +8,7 @@ from catalog.registry import query
 from catalog.scoring import _CF, metro_features
 from terrapanel.plans import overview as O
 from terrapanel.plans import parcels as P
+from terrapanel.session import store
 
 # ---- parcels: parts sold through suppliers play parcels in counties -------
 
@@ -130,11 +131,11 @@ zq AS (SELECT *, percent_rank() OVER (ORDER BY mean_tract_score) AS zone_quality
 ov AS (SELECT zone_id, 'Zone ' || substr(zone_id, 6) AS zone_label, count(*) AS tracts, sum(retail_parcel_count) AS retail_parcel_count, sum(retail_area) AS retail_area, sum(ri.tract_land_area_sqmi) AS tract_land_area_sqmi, sum(retail_area) / sum(ri.tract_land_area_sqmi) AS retail_area_density, avg(local_retail_context_score) AS local_retail_context_score FROM tl JOIN ri USING (tract_geoid) WHERE zone_id IS NOT NULL GROUP BY zone_id)"""
 
 
-def _retail(t):
-    """(parcels, assignment, tracts, tract-zone map, zone quality)."""
-    p = parcels(t).filter("retail_flag").withColumn("parcel_area_sqmi", (1 + F.col("l_partkey") % 97) / 1024.0)
+def _retail(t, keep=lambda df: df):
+    """(parcels, assignment, tracts, tract-zone map, zone quality); `keep` is `store` where the first two are read again."""
+    p = keep(parcels(t).filter("retail_flag").select("parcel_uid", "join_key", "just_value", "last_sale_date", ((1 + F.col("l_partkey") % 97) / 1024.0).alias("parcel_area_sqmi")))
     o = t.orders.select(F.col("o_orderkey").alias("k"), F.lpad(F.col("o_custkey").cast("string"), 11, "0").alias("tract_geoid"))
-    asg = p.withColumn("k", F.split_part("join_key", F.lit("-"), F.lit(1)).cast("bigint")).join(o, "k").select("parcel_uid", "tract_geoid", "parcel_area_sqmi")
+    asg = keep(p.withColumn("k", F.split_part("join_key", F.lit("-"), F.lit(1)).cast("bigint")).join(o, "k").select("parcel_uid", "tract_geoid", "parcel_area_sqmi"))
     k = F.col("c_custkey")
     tid = F.lpad(k.cast("string"), 11, "0").alias("tract_geoid")
     tracts = t.customer.select(tid, (1.0 + k % 13).alias("tract_land_area_sqmi"))
@@ -166,7 +167,7 @@ _SL_REAL = "parcel_area_sqmi just_value assessed_value_psf assessed_value_psf_wi
 
 
 def shortlist(t):
-    p, asg, tracts, zones, quality = _retail(t)
+    p, asg, tracts, zones, quality = _retail(t, store)
     own = p.select("parcel_uid", "just_value", "last_sale_date", "parcel_area_sqmi")
     return P.parcel_shortlist(asg, own, zones, P.retail_intensity(asg, tracts), quality, "2002-01-01")
 

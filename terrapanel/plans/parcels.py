@@ -188,6 +188,7 @@ def parcel_shortlist(assigned: DataFrame, parcels: DataFrame, tract_zone: DataFr
 
 def shortlist_summary(shortlist: DataFrame) -> DataFrame:
     """Counts, medians and the upper tenth of the shortlist."""
+    shortlist = store(shortlist.select("zone_id", "shortlist_score", "parcel_area_sqmi", "just_value"))
     zones = shortlist.select("zone_id").distinct().select(F.count(F.lit(1))).scalar()
     q = column_quantiles(shortlist, [], {
         "median_shortlist_score": ("shortlist_score", 0.5), "p90_shortlist_score": ("shortlist_score", 0.9),
