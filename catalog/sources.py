@@ -7,6 +7,7 @@ from terrapanel.operators.geometry import parts_area, parts_from_wkb, wkb_from_p
 from terrapanel.operators.spatial import ring_area, ring_from_wkt, wkt_from_ring
 from terrapanel.session import shared_folder
 from terrapanel.sources import files
+from terrapanel.session import spread
 
 
 @query("io01_csv_clean_scan", """
@@ -118,7 +119,7 @@ def io09_wkb(t):
     box = lambda x0, y0, x1, y1: F.array(pt(x0, y0), pt(x1, y0), pt(x1, y1), pt(x0, y1), pt(x0, y0))
     first = F.array(box(x, F.lit(0.0), x + w, F.lit(4.0)), box(x + 0.25, F.lit(1.0), x + 0.5, F.lit(2.0)))
     second = F.array(box(x, F.lit(10.0), x + 1, w + 10))
-    shapes = t.customer.select(F.col("c_custkey").alias("geo_id"), F.when(F.col("c_custkey") % 2 == 1, F.array(first, second)).otherwise(F.array(first)).alias("parts"))
+    shapes = spread(t.customer.select("c_custkey"), "c_custkey").select(F.col("c_custkey").alias("geo_id"), F.when(F.col("c_custkey") % 2 == 1, F.array(first, second)).otherwise(F.array(first)).alias("parts"))
     back = shapes.select("geo_id", wkb_from_parts("parts").alias("wkb")).select("geo_id", parts_from_wkb("wkb").alias("p"))
     return back.select("geo_id", F.size("p").alias("parts"), F.size(F.flatten("p")).alias("rings"), parts_area("p").alias("area"))
 

@@ -79,10 +79,20 @@ def parts_area(parts: Column | str) -> Column:
 # ---- WKB ------------------------------------------------------------------
 
 
+def _turned(digits: Column) -> Column:
+    """Hexadecimal with its bytes in reverse order."""
+    return F.regexp_replace(F.reverse(digits), "(.)(.)", "$2$1")
+
+
 def _hex(data: Column, at: Column, n: int, little: Column) -> Column:
-    """n bytes from `at` (from 0) on as hexadecimal, the most significant first."""
-    pieces = [F.hex(F.substring(data, at.cast("int") + 1 + k, F.lit(1))) for k in range(n)]
-    return F.when(little, F.concat(*reversed(pieces))).otherwise(F.concat(*pieces))
+    """n bytes from `at` (from 0) on as hexadecimal, the most significant first; `data` holds all digits both ways round."""
+    back = (data["n"] - at - n).cast("int")
+    turned = F.when(back >= 0, F.substring(data["back"], 2 * back + 1, F.lit(2 * n))).otherwise("")
+    return F.when(little, turned).otherwise(F.substring(data["digits"], 2 * at.cast("int") + 1, F.lit(2 * n)))
+
+
+def _is_little(data: Column, at: Column) -> Column:
+    return F.substring(data["digits"], 2 * at.cast("int") + 1, F.lit(2)) == "01"
 
 
 def _uint(data: Column, at: Column, little: Column) -> Column:
@@ -91,22 +101,25 @@ def _uint(data: Column, at: Column, little: Column) -> Column:
 
 def _double(data: Column, at: Column, little: Column) -> Column:
     def value(h: Column) -> Column:
-        head = F.conv(F.substring(h, F.lit(1), F.lit(3)), 16, 10).cast("bigint")
         mantissa = F.conv(F.substring(h, F.lit(4), F.lit(13)), 16, 10).cast("double")
-        power = head % 2048
-        # in two factors, so that none of them leaves the range of a double
-        half = F.floor((power - 1075) / 2)
-        normal = (mantissa + 2.0**52) * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - 1075 - half)
-        small = mantissa * 2.0**-537 * 2.0**-537
-        size = F.when(power == 0, small).otherwise(normal)
-        return F.when(head >= 2048, -size).otherwise(size)
+
+        def scaled(head: Column) -> Column:
+            power = head % 2048
+            # in two factors, so that none of them leaves the range of a double
+            half = F.floor((power - 1075) / 2)
+            normal = (mantissa + 2.0**52) * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - 1075 - half)
+            small = mantissa * 2.0**-537 * 2.0**-537
+            size = F.when(power == 0, small).otherwise(normal)
+            return F.when(head >= 2048, -size).otherwise(size)
+
+        return _let(F.conv(F.substring(h, F.lit(1), F.lit(3)), 16, 10).cast("bigint"), scaled)
 
     return _let(_hex(data, at, 8, little), value)
 
 
 def _polygon(data: Column, start: Column) -> Column:
     """The polygon that begins at a byte: its rings and the byte after it."""
-    little = F.substring(data, start.cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+    little = _is_little(data, start)
 
     def ring(s: Column) -> Column:
         def read(n: Column) -> Column:
@@ -123,23 +136,30 @@ def _polygon(data: Column, start: Column) -> Column:
 
 def parts_from_wkb(wkb: Column | str) -> Column:
     """Parts of a polygon or multipolygon in well-known binary, of either byte order; NULL for other kinds."""
-    data, zero = _col(wkb), F.lit(0).cast("bigint")
-    little = F.substring(data, 1, 1) == F.lit(b"\x01")
-    kind = _uint(data, F.lit(1).cast("bigint"), little)
+    zero = F.lit(0).cast("bigint")
 
-    def part(s: Column) -> Column:
-        return _let(_polygon(data, s["end"]), lambda p: F.struct(F.concat(s["parts"], F.array(p["rings"])).alias("parts"), p["end"].alias("end")))
+    def read(data: Column) -> Column:
+        little = _is_little(data, zero)
+        kind = _uint(data, zero + 1, little)
 
-    many = _fold(_uint(data, F.lit(5).cast("bigint"), little), F.struct(F.array().cast(PARTS).alias("parts"), (zero + 9).alias("end")), part)
-    return F.when(kind == _POLYGON, F.array(_polygon(data, zero)["rings"])).when(kind == _MULTIPOLYGON, many["parts"])
+        def part(s: Column) -> Column:
+            return _let(_polygon(data, s["end"]), lambda p: F.struct(F.concat(s["parts"], F.array(p["rings"])).alias("parts"), p["end"].alias("end")))
 
+        many = _fold(_uint(data, zero + 5, little), F.struct(F.array().cast(PARTS).alias("parts"), (zero + 9).alias("end")), part)
+        return F.when(kind == _POLYGON, F.array(_polygon(data, zero)["rings"])).when(kind == _MULTIPOLYGON, many["parts"])
 
-def _little(number: Column, digits: int) -> Column:
-    """A number's hexadecimal with its bytes in reverse order."""
-    return _let(F.lpad(F.hex(number), digits, "0"), lambda h: F.concat(*[F.substring(h, F.lit(k), F.lit(2)) for k in range(digits - 1, 0, -2)]))
+    # the bytes are turned into digits once, not for each number
+    digits = F.hex(_col(wkb))
+    return _let(F.struct(digits.alias("digits"), _turned(digits).alias("back"), F.octet_length(_col(wkb)).alias("n")), read)
+
+
+def _number(n: Column) -> Column:
+    """Eight digits of a count, the most significant byte first."""
+    return F.lpad(F.hex(n), 8, "0")
 
 
 def _double_hex(x: Column) -> Column:
+    """The sixteen digits of a double, the most significant byte first."""
     def bits(a: Column) -> Column:
         def exact(e: Column) -> Column:
             # the logarithm can be one off beside a power of two
@@ -156,19 +176,21 @@ def _double_hex(x: Column) -> Column:
         return F.when(a < 2.0**-1022, small).otherwise(_let(_let(F.floor(F.log2(a)), exact), normal))
 
     negative = (x < 0) | (x.cast("string") == "-0.0")
-    return _little(bits(F.abs(x)) + F.when(negative, F.lit(-(2**63)).cast("bigint")).otherwise(0), 16)
+    return F.lpad(F.hex(bits(F.abs(x)) + F.when(negative, F.lit(-(2**63)).cast("bigint")).otherwise(0)), 16, "0")
 
 
 def wkb_from_parts(parts: Column | str) -> Column:
     """Little-endian well-known binary: a polygon of one part, a multipolygon of none or several."""
-    def polygon(rings: Column) -> Column:
-        body = F.transform(rings, lambda r: F.concat(_little(F.size(r), 8), F.array_join(
-            F.transform(r, lambda p: F.concat(_double_hex(p["x"]), _double_hex(p["y"]))), "")))
-        return F.concat(F.lit("01"), _little(F.lit(_POLYGON), 8), _little(F.size(rings), 8), F.array_join(body, ""))
-
-    texts = F.transform(_col(parts), polygon)
-    several = F.concat(F.lit("01"), _little(F.lit(_MULTIPOLYGON), 8), _little(F.size(texts), 8), F.array_join(texts, ""))
-    return F.unhex(F.when(F.size(texts) == 1, texts[0]).otherwise(several))
+    def head(kind: int, n: Column) -> Column:
+        return F.array(F.lit("01"), F.lit(f"{kind:08x}"), _number(n))
+
+    def ring(r: Column) -> Column:
+        # a point is one field; turning all digits round at the end swaps its numbers
+        return F.concat(F.array(_number(F.size(r))), F.transform(r, lambda p: F.concat(_double_hex(p["y"]), _double_hex(p["x"]))))
+
+    fields = F.flatten(F.transform(_col(parts), lambda rings: F.concat(head(_POLYGON, F.size(rings)), F.flatten(F.transform(rings, ring)))))
+    whole = F.when(F.size(_col(parts)) == 1, fields).otherwise(F.concat(head(_MULTIPOLYGON, F.size(_col(parts))), fields))
+    return F.unhex(_turned(F.array_join(F.reverse(whole), "")))
 
 
 # ---- points and pairs -----------------------------------------------------
