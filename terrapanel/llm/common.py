@@ -83,7 +83,7 @@ def keep_decided(docs: DataFrame, id_col: str, text_col: str, decided: DataFrame
         F.min("kept").alias("__all"), F.max("kept").alias("__one")).filter("NOT __all").select("__id", "__key", "__one", F.xxhash64("__key").alias("__hash")))
     rows = packed(docs, docs[f"`{id_col}`"].alias("__doc"), text_key(text_col).alias("__own"))
     # only rows whose text may have lost a row are shuffled
-    test = sieve(gone, "__hash")(F.xxhash64("__own"))
+    test = sieve(gone, "__hash", in_lambdas=False)(F.xxhash64("__own"))
     near = rows.filter(test).join(gone, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left")
     near = store(near.filter("__one IS NULL OR __one").select("__doc", "__own", "__row", "__one"))
     once = near.filter("__one").groupBy("__doc", "__own").agg(F.first("__row").alias("__row"))

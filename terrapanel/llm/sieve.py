@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrapanel.session import store
+
 MOST = 1 << 20  # bytes of the table; it travels as a literal of the plan
 _ROOM = 64  # slots for each hash, while that fits
 _BYTES = [bytes((x >> b) & 1 for b in range(8)) for x in range(256)]
@@ -16,13 +18,17 @@ def _slots(h: Column, size: int) -> tuple[Column, Column]:
     return h.bitwiseAND(F.lit(size - 1).cast("bigint")), F.shiftright(h, 32).bitwiseAND(F.lit(size - 1).cast("bigint"))
 
 
-def sieve(hashes: DataFrame, col: str) -> Callable[[Column], Column]:
+def sieve(hashes: DataFrame, col: str, in_lambdas: bool = True) -> Callable[[Column], Column]:
     """A test that every value of `hashes.col` passes, and few others: one in 1,000 or less while the set is small.
 
     The table has MOST bytes at most, whatever the set's size; a set too large
     for it makes a test that lets more through. So callers still join exactly,
     and only the number of rows they shuffle depends on it. What reaches the
     driver is bitmaps of MOST / 8 bytes in all.
+
+    A literal is written out in full in each description of a plan that names it,
+    and Spark keeps those. With `in_lambdas` false the table is a scalar subquery
+    over a stored row instead, which lambdas must not hold.
     """
     n = hashes.agg(F.approx_count_distinct(col)).first()[0]
     if n == 0:
@@ -38,7 +44,10 @@ def sieve(hashes: DataFrame, col: str) -> Callable[[Column], Column]:
         part = b"".join(map(_BYTES.__getitem__, bits))
         at = (b - 1) * len(part)
         table[at:at + len(part)] = part[: size - at]
-    known = F.lit(bytes(table))
+    if in_lambdas:
+        known = F.lit(bytes(table))
+    else:
+        known = store(hashes.sparkSession.createDataFrame([(bytes(table),)], "t binary")).scalar()
 
     def test(h: Column) -> Column:
         one, two = (F.substring(known, s.cast("int") + 1, F.lit(1)) == F.lit(b"\x01") for s in _slots(h, size))

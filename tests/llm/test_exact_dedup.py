@@ -64,3 +64,11 @@ def test_empty_table(empty):
 def test_unknown_choice_is_refused(hard):
     with pytest.raises(ValueError):
         exact_duplicates(hard, keep="any").count()
+
+
+def test_no_plan_holds_the_sieve_itself(spark):
+    """A description of a plan names the table of dropped rows, and stays small however many they are."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id % 1500) AS text")
+    kept = drop_exact_duplicates(docs)
+    assert len(kept._jdf.queryExecution().executedPlan().toString()) < 50_000
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == list(range(1500))
