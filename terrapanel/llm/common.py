@@ -104,4 +104,4 @@ def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         at = end
 
 
-__all__ = ["keep_decided", "let", "map_arrow", "packed", "same", "ship", "slices", "store", "text_key", "text_or_empty"]
+__all__ = ["keep_decided", "let", "map_arrow", "packed", "same", "ship", "sieve", "slices", "store", "text_key", "text_or_empty"]

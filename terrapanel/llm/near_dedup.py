@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrapanel.llm.common import keep_decided, map_arrow, slices, store, text_key, text_or_empty
+from terrapanel.llm.common import keep_decided, map_arrow, sieve, slices, store, text_key, text_or_empty
 from terrapanel.operators.graph import connected_components
 
 CACHE = 100_000  # words a worker remembers; it starts again when full, which changes no result
@@ -191,6 +191,14 @@ def _elements(batches: Iterator[pa.RecordBatch], words: int, counted: bool) -> I
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int64()))], ["uid", "elements"])
 
 
+def _wanted_texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(uid, text) for each of `wanted` (uid, key; no key twice): only texts that may be wanted are shuffled, copies of one combined before."""
+    wanted = store(wanted.withColumn("hash", F.xxhash64("key")))
+    texts = docs.select(text_key(text_col).alias("key"), text_or_empty(f"`{text_col}`").alias("text"))
+    texts = texts.filter(sieve(wanted, "hash", in_lambdas=False)(F.xxhash64("key"))).groupBy("key").agg(F.first("text").alias("text"))
+    return texts.join(wanted, "key").select("uid", "text")
+
+
 def _first_pairs(members: DataFrame) -> DataFrame:
     """(a, b): each bucket's leader, the member whose buckets have most members, with every other member."""
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -306,11 +314,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int = 5, simila
     members = store(spread.join(shared.select("bucket"), "bucket", "left_semi"))
 
     # the shingles of documents that share a bucket, found again by their text's key
-    wanted = one.join(members.select("uid").distinct(), "uid", "left_semi").select("uid", F.col("key").alias("wanted"))
-    texts = docs.select(text_key(text_col).alias("key"), text_or_empty(f"`{text_col}`").alias("text"))
-    texts = texts.join(wanted, F.col("key") == F.col("wanted")).select("uid", "text")
-    elements = store(map_arrow(texts, partial(_elements, words=words, counted=counted), "uid long, elements array<long>").groupBy("uid").agg(
-        F.first("elements").alias("elements")))
+    texts = _wanted_texts(docs, text_col, one.join(members.select("uid").distinct(), "uid", "left_semi").select("uid", "key"))
+    elements = store(map_arrow(texts, partial(_elements, words=words, counted=counted), "uid long, elements array<long>"))
 
     classes = elements.select("uid", F.col("uid").alias("class"))
     done = store(_first_pairs(members))

@@ -84,6 +84,15 @@ def test_sieve_passes_all_members_and_few_others(spark):
     assert inside.filter(sieve(inside.limit(0), "h")(F.col("h"))).count() == 0
 
 
+def test_sieve_of_bits_holds_more_hashes_than_one_of_bytes(spark, monkeypatch):
+    """Outside of lambdas eight times as many fit; beyond that all rows pass."""
+    monkeypatch.setattr("terrapanel.llm.sieve.MOST", 1 << 13)
+    inside, outside = spark.range(6000).select(F.xxhash64("id").alias("h")), spark.range(6000, 12000).select(F.xxhash64("id").alias("h"))
+    test = sieve(inside, "h", in_lambdas=False)
+    assert inside.filter(test(F.col("h"))).count() == 6000 and outside.filter(test(F.col("h"))).count() < 600
+    assert outside.filter(sieve(spark.range(40_000).select(F.xxhash64("id").alias("h")), "h", in_lambdas=False)(F.col("h"))).count() == 6000
+
+
 def test_hard_rows(spark, hard, empty):
     items = [(1, "one two three four five six one two three four"), (2, None), (3, ""), (4, "a b c"), (5, "no id here, but a text")]
     b = spark.createDataFrame([(i, t, 1, "w") for i, t in items], "item_id long, text string, key int, words string")

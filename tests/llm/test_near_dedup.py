@@ -142,5 +142,19 @@ def test_counted_shingles_tell_repeats_apart(spark):
     assert sets[2] == 1 and counted[2] == 2
 
 
+def test_only_texts_that_share_a_bucket_are_shuffled(spark, exchanged, monkeypatch):
+    """Also where the table of them is too large for a broadcast; copies of one text are shuffled once for each partition."""
+    rnd = random.Random(3)
+    texts = [" ".join(f"word{rnd.randrange(10**8)}" for _ in range(2000)) for _ in range(60)]
+    texts += [texts[0] + " more", *[texts[1] + " more"] * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).cache()
+    sizes = []
+    real = N.store
+    monkeypatch.setattr(N, "store", lambda x: (sizes.append(exchanged(x)), real(x))[1])
+    classes = {r.doc_id: r.class_id for r in N.near_duplicates(df).collect()}
+    assert classes == {k: 0 if k == 60 else 1 if k > 60 else k for k in range(91)}
+    assert sizes and max(sizes) < sum(map(len, texts)) / 5
+
+
 def test_empty_table(empty):
     assert N.near_duplicates(empty).count() == 0 and N.drop_near_duplicates(empty).count() == 0
