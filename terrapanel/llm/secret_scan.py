@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrapanel.llm.common import let, packed, store, text_key, text_or_empty
+from terrapanel.llm.common import let, packed, sieve, store, text_key, text_or_empty
 from terrapanel.llm.spans import find_all
 
 BEFORE = 48  # characters before a candidate that count as its neighbourhood
@@ -205,10 +205,14 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     """
     secrets = _scored(docs, id_col, text_col, path_col, labelled, forest).filter("score >= 0.5")
     # a document's spans are part of one text; rows that repeat id and text have equal spans
-    lists = secrets.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(
-        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
+    lists = store(secrets.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(
+        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans")).withColumn("__hash", F.xxhash64("__key")))
     rows = packed(docs, docs[f"`{id_col}`"].alias("__doc"), text_key(text_col).alias("__own"))
-    rows = rows.join(lists, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left")
+    # only rows whose text may hold a secret are shuffled
+    test = sieve(lists, "__hash", in_lambdas=False)(F.xxhash64("__own"))
+    near = rows.filter(test).join(lists, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left").select("__row", "__spans")
+    far = rows.filter(~test).select("__row", F.lit(None).cast(lists.schema["__spans"].dataType).alias("__spans"))
+    rows = far.unionByName(near)
     text = F.when(F.col("__spans").isNull(), F.col(f"__row.`{text_col}`")).otherwise(
         let(F.col("__spans"), lambda s: _redacted(F.col(f"__row.`{text_col}`"), s)))
     rows = rows.withColumn("__text", text)

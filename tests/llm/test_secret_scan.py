@@ -152,3 +152,13 @@ def test_fields_and_known_forms_are_redacted(spark, corpus):
     df = spark.createDataFrame(corpus[0] + [(1000 + k, t) for k, t in enumerate(texts + prose)], "doc_id long, text string")
     got = [r.text for r in S.redact(df).filter("doc_id >= 1000").orderBy("doc_id").collect()]
     assert got == [t.replace(v, S.MARK) for t, v in zip(texts, values)] + prose
+
+
+def test_only_texts_that_hold_a_secret_are_shuffled(spark, exchanged):
+    """Also where the table of secrets is too large for a broadcast."""
+    rows = [(k, f"plain words {k} " * 500 + ('api_key = "Zx8Qw3Rt7Yp2Lk9Mn4Bv"' if k % 20 == 0 else "")) for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    done = S.redact(df, labelled=spark.createDataFrame([([0.0], 1.0)], "features array<double>, label double"))
+    assert exchanged(done) < sum(len(t) for _, t in rows) / 4
+    got = {r.doc_id: r.text for r in done.collect()}
+    assert got == {k: t.replace("Zx8Qw3Rt7Yp2Lk9Mn4Bv", S.MARK) for k, t in rows}
