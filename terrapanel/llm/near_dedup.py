@@ -217,26 +217,36 @@ def _open_members(members: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _rare_shingles(docs: DataFrame, elements: DataFrame) -> DataFrame:
-    """(uid, e, n): the shingles of `docs` (uid) that at most RARE of them have, with how many do."""
-    own = elements.join(docs, "uid", "left_semi").select("uid", F.explode("elements").alias("e"))
-    counts = own.groupBy("e").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= RARE)
-    return store(own.join(counts, "e").select("uid", "e", F.col("n").cast("int").alias("n")))
+    """(uids): for each shingle that at most RARE documents have, those documents in order.
+
+    Counted are `docs` (uid) and the few others that pass a sieve of them.
+    """
+    known = sieve(docs.select(F.xxhash64("uid").alias("hash")), "hash", in_lambdas=False)
+    own = elements.filter(known(F.xxhash64("uid"))).select("uid", F.explode("elements").alias("e"))
+    by_shingle = Window.partitionBy("e")
+    # one document more than RARE tells a common shingle; each task hands on no more of it
+    some = own.withColumn("nth", F.row_number().over(by_shingle.orderBy("uid"))).filter(F.col("nth") <= RARE + 1)
+    found = some.withColumn("uids", F.collect_list("uid").over(by_shingle)).filter((F.col("nth") == 1) & (F.size("uids") <= RARE))
+    return store(found.select(F.array_sort("uids").alias("uids")))
 
 
 def _room(docs: DataFrame, elements: DataFrame, rare: DataFrame) -> DataFrame:
     """(uid, own, shared): how many rare and how many common shingles a document has."""
-    own = rare.groupBy("uid").agg(F.count(F.lit(1)).alias("own"))
-    sized = elements.join(docs, "uid", "left_semi").select("uid", F.size("elements").alias("size")).join(own, "uid", "left")
+    own = rare.select(F.explode("uids").alias("uid")).groupBy("uid").agg(F.count(F.lit(1)).alias("own"))
+    sized = elements.select("uid", F.size("elements").alias("size")).join(docs, "uid", "left_semi").join(own, "uid", "left")
     return store(sized.select("uid", F.coalesce("own", F.lit(0)).alias("own"), (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared")))
 
 
 def _rare_pairs(rare: DataFrame, room: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """(a, b): documents of different classes that share a rare shingle and are not too different in size."""
-    rows = rare.filter("n > 1").join(classes, "uid").join(room.select("uid", (F.col("own") + F.col("shared")).alias("size")), "uid")
-    a = rows.select("e", F.col("uid").alias("a"), F.col("class").alias("class_a"), F.col("size").alias("size_a"))
-    b = rows.select("e", F.col("uid").alias("b"), F.col("class").alias("class_b"), F.col("size").alias("size_b"))
-    fits = (F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_b")) & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
-    return a.join(b, (a["e"] == b["e"]) & fits).select("a", "b").distinct()
+    # at most (RARE - 1) / 2 pairs for each document of a shingle
+    pairs = F.flatten(F.transform("uids", lambda b, k: F.transform(F.slice("uids", 1, k), lambda a: F.struct(a.alias("a"), b.alias("b")))))
+    shared = rare.filter(F.size("uids") > 1).select(F.inline(pairs)).distinct()
+    docs = room.join(classes, "uid").select("uid", "class", (F.col("own") + F.col("shared")).alias("size"))
+    a = docs.withColumnsRenamed({"uid": "a", "class": "class_a", "size": "size_a"})
+    b = docs.withColumnsRenamed({"uid": "b", "class": "class_b", "size": "size_b"})
+    fits = (F.col("class_a") != F.col("class_b")) & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
+    return shared.join(a, "a").join(b, "b").filter(fits).select("a", "b")
 
 
 def _further_pairs(open_: DataFrame, room: DataFrame, similarity: float, leaders: int) -> tuple[DataFrame, DataFrame]:
@@ -308,10 +318,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int = 5, simila
     signed = store(map_arrow(own, partial(_sign, words=words, bands=bands, rows=rows, counted=counted), schema))
     best = F.struct(F.col("id").isNull().alias("last"), "id", "uid")
     sets = signed.groupBy("set").agg(F.min("uid").alias("rep"), F.min(best).alias("best"), F.count(F.lit(1)).alias("n"))
-    one = signed.join(sets.select(F.col("rep").alias("uid")), "uid", "left_semi")
+    one = store(signed.join(sets.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "key", "bands"))
     spread = one.select("uid", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).filter("low < high")
-    members = store(spread.join(shared.select("bucket"), "bucket", "left_semi"))
+    shared = store(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"))
+    # a document has no bucket twice; only those that may be shared are shuffled with their documents
+    members = store(spread.filter(sieve(shared, "bucket", in_lambdas=False)(F.col("bucket"))).join(shared, "bucket", "left_semi"))
 
     # the shingles of documents that share a bucket, found again by their text's key
     texts = _wanted_texts(docs, text_col, one.join(members.select("uid").distinct(), "uid", "left_semi").select("uid", "key"))
@@ -328,7 +339,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int = 5, simila
             break
         first = room is None
         if first:
-            ids = open_.select("uid").distinct()
+            ids = store(open_.select("uid").distinct())
             rare = _rare_shingles(ids, elements)
             room = _room(ids, elements, rare)
         pairs, most = _further_pairs(open_, room, similarity, leaders)

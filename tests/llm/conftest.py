@@ -18,7 +18,8 @@ def exchanged(spark):
     """Bytes that a frame's evaluation shuffles, when no table is small enough for a broadcast."""
     def size(plan):
         own = plan.metrics().get("dataSize").get().value() if plan.getClass().getSimpleName() == "ShuffleExchangeExec" else 0
-        inner = {"AdaptiveSparkPlanExec": "executedPlan", "ShuffleQueryStageExec": "plan", "BroadcastQueryStageExec": "plan"}.get(plan.getClass().getSimpleName())
+        inner = {"AdaptiveSparkPlanExec": "executedPlan", "ShuffleQueryStageExec": "plan", "BroadcastQueryStageExec": "plan",
+                 "ResultQueryStageExec": "plan"}.get(plan.getClass().getSimpleName())
         below = [getattr(plan, inner)()] if inner else [plan.children().apply(k) for k in range(plan.children().size())]
         return own + sum(map(size, below))
 

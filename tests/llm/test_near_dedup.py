@@ -156,5 +156,23 @@ def test_only_texts_that_share_a_bucket_are_shuffled(spark, exchanged, monkeypat
     assert sizes and max(sizes) < sum(map(len, texts)) / 5
 
 
+def test_shingles_are_shuffled_once(spark, exchanged, monkeypatch):
+    """Those of documents that are compared further; no arrays of them, and a shingle of all documents RARE + 1 times a task at most."""
+    rnd = random.Random(4)
+    common = [rnd.getrandbits(62) for _ in range(800)]
+    sets = [sorted(common + [rnd.getrandbits(62) for _ in range(800)] + [k // 2]) for k in range(60)]
+    elements = spark.createDataFrame(list(enumerate(sets)), "uid long, elements array<long>").repartition(2).cache()
+    docs = spark.range(40).withColumnRenamed("id", "uid").cache()
+    sizes = []
+    real = N.store
+    monkeypatch.setattr(N, "store", lambda x: (sizes.append(exchanged(x)), real(x))[1])
+    rare = N._rare_shingles(docs, elements)
+    room = {r.uid: (r.own, r.shared) for r in N._room(docs, elements, rare).collect()}
+    assert room == {k: (801, 800) for k in range(40)}
+    assert sum(sizes) < 45 * 40 * 801
+    pairs = N._rare_pairs(rare, spark.createDataFrame([(k, 801, 800) for k in range(40)], "uid long, own long, shared long"), docs.selectExpr("uid", "uid AS class"), 0.8)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(k, k + 1) for k in range(0, 40, 2)}
+
+
 def test_empty_table(empty):
     assert N.near_duplicates(empty).count() == 0 and N.drop_near_duplicates(empty).count() == 0
