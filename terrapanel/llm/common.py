@@ -90,6 +90,28 @@ def keep_decided(docs: DataFrame, id_col: str, text_col: str, decided: DataFrame
     return rows.filter(~test).select("__row.*").unionByName(near.filter("__one IS NULL").select("__row.*")).unionByName(once.select("__row.*"))
 
 
+class Recent(dict):
+    """What `make` gives for each key, remembered for the keys used lately.
+
+    It holds `most` of them and as many that were full before; of those, the
+    ones that are used again stay. Frequent keys are kept and rare ones go.
+    """
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, key):
+        out = self.before.pop(key, None)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+
 SLICE = 1_000_000  # bytes of text a worker handles at a time
 
 
@@ -104,4 +126,4 @@ def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         at = end
 
 
-__all__ = ["keep_decided", "let", "map_arrow", "packed", "same", "ship", "sieve", "slices", "store", "text_key", "text_or_empty"]
+__all__ = ["Recent", "keep_decided", "let", "map_arrow", "packed", "same", "ship", "sieve", "slices", "store", "text_key", "text_or_empty"]

@@ -30,9 +30,9 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from terrapanel.llm.byte_bpe import byte_characters
-from terrapanel.llm.common import map_arrow, slices, store, text_or_empty
+from terrapanel.llm.common import Recent, map_arrow, slices, store, text_or_empty
 
-CACHE = 600_000  # words a worker remembers; it starts again when full, which changes no result
+CACHE = 200_000  # words a worker remembers, twice as many at most; any number gives the same ids
 RUNS_BROADCAST = 200_000  # a plan of at most so many runs (about 10 MB) is broadcast, a longer one is joined by shuffle
 
 PLAN_SCHEMA = "length int, first long, last long, each long, bin long, at long"
@@ -129,43 +129,34 @@ _PLAIN = re.compile("[!-~\u00c0-\u00ff]+")
 _PLAIN_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
-class _Words(dict):
+class _Words(Recent):
     """Packed ids of words, filled as they are met.
 
-    A word of plain characters is split here and each new part given to the
-    model, where the tokenizer file has the splitter above; other words, and
-    all words of other tokenizers, are encoded as they are.
+    A word of plain characters is split here and each new part, remembered as a
+    word too, given to the model, where the tokenizer file has the splitter
+    above; other words, and all words of other tokenizers, are encoded as they are.
     """
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(self.word, CACHE)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their spelling in a text is ordinary text
         stated = json.loads(self.tokenizer.to_str())
         steps = (stated["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.plain = (stated["normalizer"] == _NORMALIZER and steps[0].get("pattern") == {"Regex": _SPLIT} and steps[0].get("invert") is True
                       and [x["type"] for x in steps] == ["Split", "ByteLevel"] and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"])
-        self.parts: dict[str, bytes] = {}
 
     def part(self, text: str) -> bytes:
-        if text not in self.parts:
-            if len(self.parts) >= CACHE:
-                self.parts.clear()
-            spelled = text if text.isascii() else "".join(map(byte_characters().__getitem__, text.encode()))
-            ids = [x.id for x in self.tokenizer.model.tokenize(spelled)]
-            self.parts[text] = struct.pack(f"<{len(ids)}I", *ids)
-        return self.parts[text]
-
-    def __missing__(self, word: str) -> bytes:
+        spelled = text if text.isascii() else "".join(map(byte_characters().__getitem__, text.encode()))
+        ids = [x.id for x in self.tokenizer.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def word(self, word: str) -> bytes:
         if self.plain and _PLAIN.fullmatch(word):
-            out = b"".join(map(self.part, _PLAIN_SPLIT.findall(word.lower())))
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = out
-        return out
+            parts = _PLAIN_SPLIT.findall(word.lower())
+            return self.part(word) if parts == [word] else b"".join(map(self.__getitem__, parts))
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(2)

@@ -1,6 +1,7 @@
 """Packing: every token placed once, no overlap, close to the fewest sequences."""
 
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ from tokenizers import Tokenizer
 from hard_rows import HARD
 
 from terrapanel.llm import packing as K
+from terrapanel.llm.common import Recent
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -78,3 +80,16 @@ def test_hard_rows(hard, reference):
 
 def test_empty_table(empty):
     assert K.pack(empty, PATH).count() == 0
+
+
+def test_words_that_a_worker_remembers_stay_few():
+    """However many there are, and frequent ones are not looked up again."""
+    words = K._Words(PATH)
+    for k in range(590_000):
+        words[f"w{k}x"]
+    tables = [t for t in (words, *vars(words).values()) if isinstance(t, dict)]
+    assert sum(sys.getsizeof(t) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in t.items()) for t in tables) < 100e6
+    made = []
+    recent = Recent(lambda x: made.append(x) or x + 1, 10)
+    assert all(recent[k] == k + 1 and recent[-1] == 0 for k in range(100))
+    assert made.count(-1) == 1 and len(recent) + len(recent.before) <= 20
