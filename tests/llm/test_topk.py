@@ -68,3 +68,41 @@ def test_ties_go_to_the_smaller_id():
 def test_empty_table(spark, rows):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert K.top_k(df, F.col("id") % 5 == 0, 5).count() == 0
+
+
+def test_queries_do_not_go_through_the_driver(spark, rows):
+    """However small the files of the queries are: a copy of all of them for each block of rows was broadcast."""
+    df = spark.createDataFrame([(i, x) for i, x in rows], "vec_id long, embedding array<double>")
+    got = K.top_k(df, F.col("id") % 5 == 0, 5, block_rows=7, query_rows=9)
+    got.collect()
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_row_is_a_query(spark, rows, monkeypatch):
+    """Queries are dealt over groups, too."""
+    monkeypatch.setattr(K, "HELD", 6000)
+    rows = [(i and 5 * i, x) for i, x in rows]
+    got = K.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 5 == 0, 5, block_rows=32, query_rows=8).collect()
+    assert sorted(tuple(r) for r in got) == sorted(brute(rows, 5))
+
+
+@pytest.mark.parametrize("largest", [2, 300, 100_000, 10**9])
+def test_blocks_met_in_turn_equal_brute_force(largest):
+    """Few values give ties within and over blocks; large ones pass what floats and doubles hold."""
+    rng = np.random.default_rng(largest)
+    ids, cells = rng.permutation(700), rng.integers(-largest, largest + 1, (700, 4))
+    cells[:300] = cells[0]  # a vector that is common
+    best = K.Best(ids[::7], cells[::7], 6)
+    for at in range(0, 700, 90):
+        K.Lists(ids[at:at + 90], cells[at:at + 90]).meet(best, np.arange(100))
+    for n, own in enumerate(ids[::7]):
+        found = sorted((-int(s), int(i)) for i, s in zip(ids, cells @ cells[::7][n]) if i != own)[:6]
+        assert list(zip((-best.score[n]).tolist(), best.ids[n].tolist())) == found
+
+
+def test_grid():
+    assert K.grid(0, 0, 0, 200, 2048, 1024) == (1, 1)
+    assert K.grid(51_282, 1_026, 600_000, 12, 2048, 1024) == (12, 1)
+    assert K.grid(15_000_000, 300_000, 60_000_000, 600, 2048, 1024) == (200, 3)
+    assert K.grid(15_000_000, 300_000, 10 * K.HELD, 600, 2048, 1024) == (60, 10)
+    assert K.grid(1_000_000, 1_000_000, K.HELD, 400, 2048, 1024) == (20, 20)
